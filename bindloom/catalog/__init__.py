@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-SECTIONS = ["assay"]
+SECTIONS = ["assay", "cleaning", "joins"]
 
 
 def query(name: str, sql: str | None = None):

@@ -141,3 +141,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(
         *[F.round(f.name, digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema]
     )
+
+
+def letters(text: str):
+    """Letters A–Z of a text in upper case: the sequences of the mapped tables."""
+    return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
+
+
+LETTERS = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"

@@ -53,8 +53,8 @@ def compare(spark_df, con, sql):
     got.sort(key=key)
     want.sort(key=key)
     if len(got) != len(want):
-        extra = [r for r in got if r not in set(want)][:2]
-        miss = [r for r in want if r not in set(got)][:2]
+        sg, sw = set(got), set(want)
+        extra, miss = [r for r in got if r not in sw][:2], [r for r in want if r not in sg][:2]
         return len(got), f"rows {len(got)} vs {len(want)}; cols {cols}; extra {extra}; missing {miss}"
     bad = [(a, b) for a, b in zip(got, want) if a != b]
     return len(got), f"{len(bad)} differ; cols {cols}; first {bad[0]}" if bad else ""
