@@ -149,3 +149,49 @@ def letters(text: str):
 
 
 LETTERS = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
+
+
+# ---- fingerprints and features: embeddings as (vec_id, protein, on-bits, descriptors)
+
+VECS = """vecs AS (
+  SELECT vec_id, 'P' || label AS protein, embedding, list_filter(list_transform(embedding, lambda v, i: CASE WHEN v > 0 THEN i - 1 END), lambda b: b IS NOT NULL) AS bits,
+    list_transform(embedding[1:9], lambda v: CAST(round(CAST(v AS DOUBLE) * 10) AS BIGINT)) AS props,
+    CASE WHEN vec_id % 5 <> 0 THEN 'scaf' || (vec_id % 7) END AS scaffold, CASE WHEN vec_id % 3 = 0 THEN 'target' ELSE 'off_target' END AS target_type
+  FROM embeddings)"""
+
+
+def vecs(spark, sf) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    on = F.transform("embedding", lambda v, i: F.when(v > 0, i))
+    return e.select(
+        "vec_id",
+        F.concat(F.lit("P"), "label").alias("protein"),
+        F.filter(on, lambda b: b.isNotNull()).alias("bits"),
+        F.transform(F.slice("embedding", 1, 9), lambda v: F.round(v.cast("double") * 10).cast("long")).alias("props"),
+        F.when(F.col("vec_id") % 5 != 0, F.concat(F.lit("scaf"), F.col("vec_id") % 7)).alias("scaffold"),
+        F.when(F.col("vec_id") % 3 == 0, "target").otherwise("off_target").alias("target_type"),
+        "embedding",
+    )
+
+
+# ---- ligand pairs with similarity and affinity difference: one pair per line item
+
+PAIRTAB = """pt AS (
+  SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey AS pair_id, 'P' || l_suppkey AS protein,
+    ((l_partkey * 37 + l_orderkey * 11) % 1000) / 1000.0::DOUBLE AS sim,
+    ((l_partkey * 53 + l_orderkey * 29 + CAST(l_quantity AS BIGINT) * 7 + (l_partkey * 37 + l_orderkey * 11) % 1000 // 4) % 300) / 100.0::DOUBLE AS delta,
+    l_returnflag = 'A' AS same_bin FROM lineitem)"""
+
+
+def pair_table(spark, sf) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    c = F.col
+    s = (c("l_partkey") * 37 + c("l_orderkey") * 11) % 1000
+    d = (c("l_partkey") * 53 + c("l_orderkey") * 29 + c("l_quantity").cast("long") * 7 + F.floor(s / 4)) % 300
+    return li.select(
+        ((c("l_orderkey") * 10 + c("l_linenumber")) * 100000000 + c("l_partkey") * 1000 + c("l_suppkey")).alias("pair_id"),
+        F.concat(F.lit("P"), "l_suppkey").alias("protein"),
+        (s / 1000.0).alias("sim"),
+        (d / 100.0).alias("delta"),
+        (c("l_returnflag") == "A").alias("same_bin"),
+    )

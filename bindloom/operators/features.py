@@ -23,6 +23,6 @@ def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     out = df
     for name in columns:
         median = S.exact_quantiles(df, [], name, {"_median": 0.5})
-        out = out.join(F.broadcast(median))  # one row
+        out = S.with_row(out, median)
         out = out.withColumn(name, F.coalesce(F.col(name), F.col("_median"))).drop("_median")
     return out

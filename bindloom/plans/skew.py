@@ -29,6 +29,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])
 
 
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row DataFrame as a scalar subquery: no join, no driver round trip."""
+    row = one.select(F.struct(*one.columns).alias("_row")).scalar()
+    return df.withColumn("_row", row).select(*df.columns, *[F.col("_row")[c].alias(c) for c in one.columns])
+
+
 def with_group(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     """Attach aggregates of the key to every row.
 
@@ -36,8 +42,7 @@ def with_group(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     the join can be split by the skew handling of adaptive execution, a window cannot.
     """
     if not keys:
-        one = df.agg(*aggs)
-        return df.withColumn(WHOLE, F.lit(0)).join(F.broadcast(one.withColumn(WHOLE, F.lit(0))), WHOLE).drop(WHOLE)
+        return with_row(df, df.agg(*aggs))
     return null_safe_join(df, df.groupBy(*keys).agg(*aggs), keys)
 
 

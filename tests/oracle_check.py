@@ -1,4 +1,4 @@
-"""Run registered queries next to their SQL twins: ``python tests/oracle_check.py [name-part ...]``."""
+"""Run registered queries next to their SQL twins: ``python tests/oracle_check.py [name | @section ...]``."""
 
 from __future__ import annotations
 
@@ -68,7 +68,8 @@ def main(names, sf_dir):
     qs, oracles = queries(), oracle_sql()
     failed = []
     for name, fn in qs.items():
-        if names and not any(n == name or (n.endswith("*") and name.startswith(n[:-1])) for n in names):
+        section = fn.__module__.rsplit(".", 1)[-1]
+        if names and not any(n == name or n == f"@{section}" for n in names):
             continue
         t0 = time.time()
         try:
