@@ -195,3 +195,72 @@ def pair_table(spark, sf) -> DataFrame:
         (d / 100.0).alias("delta"),
         (c("l_returnflag") == "A").alias("same_bin"),
     )
+
+
+# ---- poses and decoys: one pose per line item, grouped by supplier
+
+POSES = """poses AS (
+  SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey AS pose_id, 'C' || l_suppkey AS config_id,
+    CASE WHEN l_tax > 0.01 THEN -l_quantity / 5 - (l_partkey % 97) / 100.0::DOUBLE END AS score,
+    l_discount * 60 + (l_orderkey % 50) / 10.0::DOUBLE AS com_distance, l_linenumber * 0.6::DOUBLE + (l_partkey % 10) / 10.0::DOUBLE AS min_distance,
+    l_partkey % 3 = 0 AS has_clash, l_partkey % 5 AS n_clashes, (l_orderkey % 10) / 10.0::DOUBLE AS pocket_overlap,
+    l_orderkey % 23 AS n_int, l_quantity * 3 - l_extendedprice / 1000 AS energy, (l_partkey % 40) / 10.0::DOUBLE AS drift,
+    l_orderkey % 6 AS hbonds, l_partkey % 12 AS contacts, (l_orderkey % 29) / 10.0::DOUBLE AS ca_rmsd, (l_partkey % 43) / 10.0::DOUBLE AS all_atom_rmsd,
+    CASE WHEN l_partkey % 13 <> 0 THEN -(l_orderkey % 37) / 2.0::DOUBLE END AS interface, 'f' || (l_orderkey % 500) AS file, l_linenumber AS seed
+  FROM lineitem)"""
+
+
+def poses(spark, sf) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    c = F.col
+    part, order, line = c("l_partkey"), c("l_orderkey"), c("l_linenumber")
+    return li.select(
+        ((order * 10 + line) * 100000000 + part * 1000 + c("l_suppkey")).alias("pose_id"),
+        F.concat(F.lit("C"), "l_suppkey").alias("config_id"),
+        F.when(c("l_tax") > 0.01, -c("l_quantity") / 5 - (part % 97) / 100.0).alias("score"),
+        (c("l_discount") * 60 + (order % 50) / 10.0).alias("com_distance"),
+        (line * 0.6 + (part % 10) / 10.0).alias("min_distance"),
+        (part % 3 == 0).alias("has_clash"),
+        (part % 5).alias("n_clashes"),
+        ((order % 10) / 10.0).alias("pocket_overlap"),
+        (order % 23).alias("n_int"),
+        (c("l_quantity") * 3 - c("l_extendedprice") / 1000).alias("energy"),
+        ((part % 40) / 10.0).alias("drift"),
+        (order % 6).alias("hbonds"),
+        (part % 12).alias("contacts"),
+        ((order % 29) / 10.0).alias("ca_rmsd"),
+        ((part % 43) / 10.0).alias("all_atom_rmsd"),
+        F.when(part % 13 != 0, -(order % 37) / 2.0).alias("interface"),
+        F.concat(F.lit("f"), order % 500).alias("file"),
+        line.alias("seed"),
+    )
+
+
+# ---- status events: events as (complex, stage, status, error, ts)
+
+STAGE_NAMES = ["click", "error", "purchase", "signup", "view"]
+
+STATUS = """status AS (
+  SELECT user_id AS complex_id, event_type AS stage, CASE WHEN value < 20 THEN 'failed' WHEN value < 25 THEN 'skip' ELSE 'success' END AS status,
+    CASE WHEN value < 20 THEN CASE CAST(floor(value * 100) AS BIGINT) % 6 WHEN 0 THEN 'File not found: x' WHEN 1 THEN 'Vina run FAILED' WHEN 2 THEN 'no poses in file'
+      WHEN 3 THEN 'Timeout after 5 s' WHEN 4 THEN 'out of memory' ELSE 'strange' END END AS error, ts, event_id FROM events),
+  latest AS (SELECT complex_id, stage, arg_max(status, (ts, event_id)) AS status, arg_max(coalesce(error, ''), (ts, event_id)) AS error0 FROM status GROUP BY 1, 2),
+  lst AS (SELECT complex_id, stage, status, nullif(error0, '') AS error FROM latest)"""
+
+
+def status_events(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events")
+    v = F.col("value")
+    k = F.floor(v * 100) % 6
+    error = (
+        F.when(k == 0, "File not found: x").when(k == 1, "Vina run FAILED").when(k == 2, "no poses in file")
+        .when(k == 3, "Timeout after 5 s").when(k == 4, "out of memory").otherwise("strange")
+    )
+    return e.select(
+        F.col("user_id").alias("complex_id"),
+        F.col("event_type").alias("stage"),
+        F.when(v < 20, "failed").when(v < 25, "skip").otherwise("success").alias("status"),
+        F.when(v < 20, error).alias("error"),
+        "ts",
+        "event_id",
+    )
