@@ -264,3 +264,56 @@ def status_events(spark, sf) -> DataFrame:
         "ts",
         "event_id",
     )
+
+
+# ---- atoms: every embedding is one residue of the structure named by its label
+
+ATOM_NAMES = ["N", "CA", "C", "O", "CB", "CG", "CD", "H1", "CE", "NZ"]
+RES3 = ["ALA", "CYS", "ASP", "GLU", "PHE", "GLY", "HIS", "ILE", "LYS", "LEU", "MET", "ASN", "PRO", "GLN", "ARG", "SER", "THR", "VAL", "TRP", "TYR"]
+
+ATOMS = f"""atoms AS (
+  SELECT 'S' || label AS structure_id, CASE WHEN vec_id % 10 IN (0, 5) THEN 'HETATM' ELSE 'ATOM' END AS record, CASE WHEN vec_id % 3 < 2 THEN 'A' ELSE 'B' END AS chain,
+    vec_id // 4 AS resseq, ['', 'A', 'B', 'C'][vec_id % 4 + 1] AS icode,
+    CASE WHEN vec_id % 10 = 0 THEN 'LG' || (vec_id % 3) WHEN vec_id % 10 = 5 THEN 'HOH' ELSE ({RES3})[vec_id % 20 + 1] END AS resname,
+    CASE WHEN vec_id % 10 = 0 THEN 'ligand' WHEN vec_id % 10 = 5 THEN 'water' ELSE 'protein' END AS kind,
+    ({ATOM_NAMES})[i + 1] AS atom, substr(({ATOM_NAMES})[i + 1], 1, 1) AS element, CASE WHEN vec_id % 13 = 4 AND i > 5 THEN 'B' ELSE ' ' END AS altloc,
+    vec_id, i, vec_id * 10 + i AS serial,
+    round(CAST(embedding[1] AS DOUBLE) * 100 + CAST(embedding[3 * i + 4] AS DOUBLE) * 8, 3) AS x,
+    round(CAST(embedding[2] AS DOUBLE) * 100 + CAST(embedding[3 * i + 5] AS DOUBLE) * 8, 3) AS y,
+    round(CAST(embedding[3] AS DOUBLE) * 100 + CAST(embedding[3 * i + 6] AS DOUBLE) * 8, 3) AS z
+  FROM (SELECT *, unnest(range(10)) AS i FROM embeddings) WHERE NOT (vec_id % 10 = 5 AND i > 0) AND NOT (vec_id % 7 = 3 AND i = 4) AND NOT (vec_id % 11 = 6 AND i = 3)),
+ lig AS (SELECT * FROM atoms WHERE kind = 'ligand'), prot AS (SELECT * FROM atoms WHERE kind = 'protein')"""
+
+
+def atoms(spark, sf) -> DataFrame:
+    c = F.col
+    v, i = c("vec_id"), c("i")
+    e = table(spark, sf, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    names, res = F.array(*[F.lit(a) for a in ATOM_NAMES]), F.array(*[F.lit(r) for r in RES3])
+
+    def axis(k):
+        near = F.element_at("embedding", i * 3 + 3 + k).cast("double") * 8
+        return F.round(F.element_at("embedding", F.lit(k)).cast("double") * 100 + near, 3)
+
+    kind = F.when(v % 10 == 0, "ligand").when(v % 10 == 5, "water").otherwise("protein")
+    return e.filter(~((v % 10 == 5) & (i > 0)) & ~((v % 7 == 3) & (i == 4)) & ~((v % 11 == 6) & (i == 3))).select(
+        F.concat(F.lit("S"), "label").alias("structure_id"),
+        F.when(v % 10 % 5 == 0, "HETATM").otherwise("ATOM").alias("record"),
+        F.when(v % 3 < 2, "A").otherwise("B").alias("chain"),
+        F.floor(v / 4).alias("resseq"),
+        F.element_at(F.array(*[F.lit(x) for x in ["", "A", "B", "C"]]), (v % 4 + 1).cast("int")).alias("icode"),
+        F.when(v % 10 == 0, F.concat(F.lit("LG"), v % 3)).when(v % 10 == 5, "HOH").otherwise(F.element_at(res, (v % 20 + 1).cast("int"))).alias("resname"),
+        kind.alias("kind"),
+        F.element_at(names, i + 1).alias("atom"),
+        F.substring(F.element_at(names, i + 1), 1, 1).alias("element"),
+        F.when((v % 13 == 4) & (i > 5), "B").otherwise(" ").alias("altloc"),
+        "vec_id",
+        "i",
+        (v * 10 + i).alias("serial"),
+        axis(1).alias("x"),
+        axis(2).alias("y"),
+        axis(3).alias("z"),
+    )
+
+
+D2 = "((l.x - p.x) * (l.x - p.x) + (l.y - p.y) * (l.y - p.y) + (l.z - p.z) * (l.z - p.z))"
