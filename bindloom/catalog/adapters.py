@@ -317,3 +317,38 @@ def atoms(spark, sf) -> DataFrame:
 
 
 D2 = "((l.x - p.x) * (l.x - p.x) + (l.y - p.y) * (l.y - p.y) + (l.z - p.z) * (l.z - p.z))"
+
+
+# ---- scores: 63 values of an embedding are three residues of 21 letters
+
+AA = "ACDEFGHIKLMNPQRSTVWYX"
+
+SCORES = f"""scores AS (
+  SELECT 'S' || label AS sample, vec_id // 2 AS run, vec_id % 2 AS batch, i // 21 AS residue, substr('{AA}', CAST(i % 21 + 1 AS INT), 1) AS aa, CAST(v AS DOUBLE) * 10 AS logit, label
+  FROM (SELECT label, vec_id, unnest(embedding[1:63]) AS v, unnest(range(63)) AS i FROM embeddings)),
+ soft AS (SELECT *, x - ln(sum(exp(x)) OVER w) AS log_prob, CASE WHEN aa = 'X' THEN 0 ELSE exp(x) / sum(exp(x)) OVER w END AS prob
+  FROM (SELECT *, CASE WHEN aa <> 'X' THEN logit END AS x FROM scores) WINDOW w AS (PARTITION BY sample, run, batch, residue))"""
+
+
+def scores(spark, sf) -> DataFrame:
+    c = F.col
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode(F.slice("embedding", 1, 63)).alias("i", "v"))
+    return e.select(
+        F.concat(F.lit("S"), "label").alias("sample"), F.floor(c("vec_id") / 2).alias("run"), (c("vec_id") % 2).alias("batch"),
+        F.floor(c("i") / 21).alias("residue"), F.substring(F.lit(AA), c("i") % 21 + 1, F.lit(1)).alias("aa"), (c("v").cast("double") * 10).alias("logit"), "label",
+    )
+
+
+# ---- designed sequences: conversation turns, the role is the design set
+
+DESIGNS = """designs AS (SELECT role AS label, conv_id, turn, """ + LETTERS + """ AS seq FROM conversations),
+ refs AS (SELECT label, arg_min(seq, (conv_id, turn)) AS ref FROM designs WHERE seq <> '' GROUP BY 1)"""
+
+
+def designs(spark, sf) -> DataFrame:
+    return table(spark, sf, "conversations").select(F.col("role").alias("label"), "conv_id", "turn", letters("text").alias("seq"))
+
+
+def references(spark, sf) -> DataFrame:
+    d = designs(spark, sf).filter("seq <> ''")
+    return d.groupBy("label").agg(F.min_by("seq", F.struct("conv_id", "turn")).alias("seq"))

@@ -131,8 +131,10 @@ def code_map(c: Column) -> Column:
 def identity(a: Column, b: Column, mask: Column | None = None) -> Column:
     """Share of equal characters on the common prefix length, over positions whose mask is 1."""
     n = F.least(F.length(a), F.length(b))
-    pairs = F.slice(F.arrays_zip(chars(a).alias("a"), chars(b).alias("b")), 1, F.greatest(n, F.lit(1)))
+    # the mask travels inside the zipped cells: lambdas must not hold array expressions of their own
+    columns = [chars(a).alias("a"), chars(b).alias("b")] + ([] if mask is None else [mask.alias("m")])
+    pairs = F.slice(F.arrays_zip(*columns), 1, F.greatest(n, F.lit(1)))
     if mask is not None:
-        pairs = F.filter(pairs, lambda p, i: F.element_at(mask, i + 1) == 1)
+        pairs = F.filter(pairs, lambda p: p["m"] == 1)
     same = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
     return F.when((n > 0) & (F.size(pairs) > 0), same / F.size(pairs))
