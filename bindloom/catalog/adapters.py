@@ -352,3 +352,31 @@ def designs(spark, sf) -> DataFrame:
 def references(spark, sf) -> DataFrame:
     d = designs(spark, sf).filter("seq <> ''")
     return d.groupBy("label").agg(F.min_by("seq", F.struct("conv_id", "turn")).alias("seq"))
+
+
+# ---- alignment: every embedding is one aligned sequence of 64 columns, the label is the query
+
+MSA_LETTERS = "ACDEFGHIKLMNPQRSTVWY-"
+
+MSA = f"""msa AS (
+  SELECT 'Q' || label AS query_id, vec_id AS seq_idx, i AS pos, substr('{MSA_LETTERS}', CAST(least(greatest(floor((CAST(v AS DOUBLE) + 0.3) * 35), 0), 20) AS INT) + 1, 1) AS aa,
+    CASE WHEN (vec_id * 7 + i * 3) % 11 < 3 THEN (vec_id * 7 + i * 3) % 11 ELSE 0 END AS n_deleted
+  FROM (SELECT label, vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings)),
+ seqs AS (SELECT query_id, seq_idx FROM msa WHERE pos = 0)"""
+
+
+def msa(spark, sf) -> DataFrame:
+    c = F.col
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "v"))
+    code = F.least(F.greatest(F.floor((c("v").cast("double") + 0.3) * 35), F.lit(0)), F.lit(20)).cast("int")
+    d = (c("vec_id") * 7 + c("i") * 3) % 11
+    return e.select(
+        F.concat(F.lit("Q"), "label").alias("query_id"), c("vec_id").alias("seq_idx"), c("i").cast("long").alias("pos"),
+        F.substring(F.lit(MSA_LETTERS), code + 1, F.lit(1)).alias("aa"), F.when(d < 3, d).otherwise(0).alias("n_deleted"),
+    )
+
+
+def uniform_sql(seed: int, *parts: str) -> str:
+    """SQL twin of the seeded draw from [0, 1)."""
+    text = f"'{seed}|' || " + " || '|' || ".join(parts)
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
