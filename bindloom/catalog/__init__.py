@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-SECTIONS = ["assay", "cleaning", "joins", "stats", "ranking", "progress", "spatial", "scores", "alignments"]
+SECTIONS = ["assay", "cleaning", "joins", "stats", "ranking", "progress", "spatial", "scores", "alignments", "files"]
 
 
 def query(name: str, sql: str | None = None):

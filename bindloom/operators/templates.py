@@ -102,7 +102,9 @@ def train_filter(chains: DataFrame, sequence: str, resolution: str, max_resoluti
     """
     n = [F.length(sequence) - F.length(F.replace(F.col(sequence), F.lit(a), F.lit(""))) for a in LETTERS]
     x = chains.filter(F.col(resolution).isNull() | (F.col(resolution) <= max_resolution))
-    x = x.withColumn("largest_share", F.try_divide(F.greatest(*n), F.length(sequence)))
+    share = F.try_divide(F.greatest(*n), F.length(sequence))
+    # a generator keeps the filter below from copying the sequence expression into every count
+    x = x.select("*", F.explode(F.array(share)).alias("largest_share"))
     return x.filter(F.col("largest_share") <= max_share)
 
 
