@@ -23,7 +23,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t") -> tuple[Dat
 
     Only the header line is looked at beforehand; bad rows go to the second result.
     """
-    options = dict(sep=sep, quote='"', escape="\\", header=True, recursiveFileLookup=True)
+    options = dict(sep=sep, quote='"', escape="\\", header=True, recursiveFileLookup=True, columnPruning=False)
     names = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(schema).csv(path)
