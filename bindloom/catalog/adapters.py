@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    # whole texts go through costly expressions in every query that reads them
+    return spread(df) if name in ("documents", "conversations") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that comes in fewer splits than there are cores, dealt out to all of them.
+
+    Large tables have many splits and are left alone; one small file would keep costly
+    expressions in a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
 def with_sql(*ctes: str) -> str:
@@ -30,7 +42,7 @@ ASSAY = """assay AS (
 
 
 def assay(spark, sf) -> DataFrame:
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"))
     lig = F.col("l_partkey") % 40
     px = (
         F.lit(4.003)
@@ -161,7 +173,7 @@ VECS = """vecs AS (
 
 
 def vecs(spark, sf) -> DataFrame:
-    e = table(spark, sf, "embeddings")
+    e = spread(table(spark, sf, "embeddings"))
     on = F.transform("embedding", lambda v, i: F.when(v > 0, i))
     return e.select(
         "vec_id",
@@ -184,7 +196,7 @@ PAIRTAB = """pt AS (
 
 
 def pair_table(spark, sf) -> DataFrame:
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"))
     c = F.col
     s = (c("l_partkey") * 37 + c("l_orderkey") * 11) % 1000
     d = (c("l_partkey") * 53 + c("l_orderkey") * 29 + c("l_quantity").cast("long") * 7 + F.floor(s / 4)) % 300
@@ -211,7 +223,7 @@ POSES = """poses AS (
 
 
 def poses(spark, sf) -> DataFrame:
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"))
     c = F.col
     part, order, line = c("l_partkey"), c("l_orderkey"), c("l_linenumber")
     return li.select(
@@ -288,7 +300,7 @@ ATOMS = f"""atoms AS (
 def atoms(spark, sf) -> DataFrame:
     c = F.col
     v, i = c("vec_id"), c("i")
-    e = table(spark, sf, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    e = spread(table(spark, sf, "embeddings")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9))))
     names, res = F.array(*[F.lit(a) for a in ATOM_NAMES]), F.array(*[F.lit(r) for r in RES3])
 
     def axis(k):
@@ -332,7 +344,7 @@ SCORES = f"""scores AS (
 
 def scores(spark, sf) -> DataFrame:
     c = F.col
-    e = table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode(F.slice("embedding", 1, 63)).alias("i", "v"))
+    e = spread(table(spark, sf, "embeddings")).select("label", "vec_id", F.posexplode(F.slice("embedding", 1, 63)).alias("i", "v"))
     return e.select(
         F.concat(F.lit("S"), "label").alias("sample"), F.floor(c("vec_id") / 2).alias("run"), (c("vec_id") % 2).alias("batch"),
         F.floor(c("i") / 21).alias("residue"), F.substring(F.lit(AA), c("i") % 21 + 1, F.lit(1)).alias("aa"), (c("v").cast("double") * 10).alias("logit"), "label",
@@ -367,7 +379,7 @@ MSA = f"""msa AS (
 
 def msa(spark, sf) -> DataFrame:
     c = F.col
-    e = table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "v"))
+    e = spread(table(spark, sf, "embeddings")).select("label", "vec_id", F.posexplode("embedding").alias("i", "v"))
     code = F.least(F.greatest(F.floor((c("v").cast("double") + 0.3) * 35), F.lit(0)), F.lit(20)).cast("int")
     d = (c("vec_id") * 7 + c("i") * 3) % 11
     return e.select(

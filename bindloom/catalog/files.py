@@ -7,7 +7,8 @@ from bindloom.session import fresh_path
 from bindloom.sources import readers as R, sinks as W
 
 c = F.col
-FILE = F.regexp_extract("file", "part_of=([^/]+)", 1).cast("long").alias("file")
+def file_id():
+    return F.regexp_extract("file", "part_of=([^/]+)", 1).cast("long").alias("file")
 
 
 def write_files(spark, df, name):
@@ -104,7 +105,7 @@ def _(spark, sf):
     from bindloom.operators.spatial import classify
 
     x = classify(R.parse_atoms(lines(spark, pdb_rows(spark, sf), "pdb"), ["A"]))
-    return D.rounded(x.select(FILE, "model", "record", "kind", "serial", "atom", "altloc", "resname", "chain", "resseq", "icode", "x", "y", "z", "element"), 3)
+    return D.rounded(x.select(file_id(), "model", "record", "kind", "serial", "atom", "altloc", "resname", "chain", "resseq", "icode", "x", "y", "z", "element"), 3)
 
 
 @query(
@@ -123,7 +124,7 @@ def _(spark, sf):
     mark = poses.filter("vec_id % 3 <> 0").select(part, (v * 100 + 1).alias("ord"), score.alias("value"))
     tail = poses.select(part, (v * 100 + 99).alias("ord"), F.lit("ENDMDL").alias("value"))
     found, _atoms = R.parse_poses(lines(spark, body.unionByName(head).unionByName(mark).unionByName(tail), "poses"))
-    return found.select(FILE, "model", "pose_id", "score", "n_atoms")
+    return found.select(file_id(), "model", "pose_id", "score", "n_atoms")
 
 
 def fasta_rows(spark, sf, sequence):
@@ -147,7 +148,7 @@ def fasta_rows(spark, sf, sequence):
 )
 def _(spark, sf):
     x = R.parse_designs(lines(spark, fasta_rows(spark, sf, D.letters("text")), "fasta"), skip_native=False)
-    return x.select(FILE, "idx", "name", "sequence", "id", "T", "seed", "overall_confidence", "ligand_confidence", "seq_rec")
+    return x.select(file_id(), "idx", "name", "sequence", "id", "T", "seed", "overall_confidence", "ligand_confidence", "seq_rec")
 
 
 MIXED = "regexp_replace(text, '[^A-Za-z]', '', 'g')"
@@ -160,7 +161,7 @@ MIXED = "regexp_replace(text, '[^A-Za-z]', '', 'g')"
 )
 def _(spark, sf):
     x = R.parse_a3m(lines(spark, fasta_rows(spark, sf, F.regexp_replace("text", "[^A-Za-z]", "")), "a3m"))
-    return x.select(FILE, "idx", "aligned", F.array_join("deletions", ",").alias("deletions"))
+    return x.select(file_id(), "idx", "aligned", F.array_join("deletions", ",").alias("deletions"))
 
 
 STO = f"""st AS (SELECT 'Q' || label AS q, CAST(label AS BIGINT) AS file, vec_id, {{}} AS s FROM (SELECT label, vec_id, list_transform(embedding, lambda v: substr('{D.MSA_LETTERS}', CAST(least(greatest(floor((CAST(v AS DOUBLE) + 0.3) * 35), 0), 20) AS INT) + 1, 1)) AS l FROM embeddings)),
@@ -189,7 +190,7 @@ def stockholm_rows(spark, sf):
 )
 def _(spark, sf):
     x = R.parse_stockholm(lines(spark, stockholm_rows(spark, sf), "sto"))
-    return x.select(FILE, "name", "is_query", "aligned", F.array_join("deletions", ",").alias("deletions"))
+    return x.select(file_id(), "name", "is_query", "aligned", F.array_join("deletions", ",").alias("deletions"))
 
 
 @query(
@@ -198,7 +199,7 @@ def _(spark, sf):
     SELECT file, 'seq' || vec_id || '/1-64' AS name, '>seq' || vec_id || '/1-64 ' || CASE WHEN vec_id % 3 = 0 THEN '[subseq from] no ' || vec_id ELSE '' END || chr(10) || array_to_string(list_transform(z, lambda x: CASE WHEN x.q <> '-' THEN x.s WHEN x.s <> '-' THEN lower(x.s) ELSE '' END), '') AS a3m FROM z WHERE rn <= 30""",
 )
 def _(spark, sf):
-    return R.stockholm_to_a3m(lines(spark, stockholm_rows(spark, sf), "sto"), 30).select(FILE, "name", "a3m")
+    return R.stockholm_to_a3m(lines(spark, stockholm_rows(spark, sf), "sto"), 30).select(file_id(), "name", "a3m")
 
 
 @query(
@@ -210,7 +211,7 @@ def _(spark, sf):
     o = D.table(spark, sf, "orders")
     rows = o.select((k % 8).alias("part_of"), (k + 10).alias("ord"), F.concat(F.lit("t"), c("o_custkey") % 400, F.lit("   -  q  -   "), k, F.lit("e-5  33.1 0.1")).alias("value"))
     heads = rows.select("part_of").distinct().select("part_of", F.lit(0).alias("ord"), F.lit("# target name  accession").alias("value"))
-    return R.parse_evalues(lines(spark, rows.unionByName(heads), "tbl")).select(FILE, "target", "e_value")
+    return R.parse_evalues(lines(spark, rows.unionByName(heads), "tbl")).select(file_id(), "target", "e_value")
 
 
 @query(

@@ -131,7 +131,7 @@ def _(spark, sf):
     s = D.scores(spark, sf)
     own = means(spark, sf).filter("sample not in ('S3', 'S8')")
     every = R.mean_of_means(s.withColumn("run", F.concat_ws("/", "sample", "run")), ["residue", "aa"], "run")
-    return D.rounded(R.with_fallback(own, every, s.select("sample").distinct()))
+    return D.rounded(R.with_fallback(means(spark, sf), own, every))
 
 
 @query(

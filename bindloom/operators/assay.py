@@ -35,21 +35,27 @@ def aggregate_pairs(
 ) -> DataFrame:
     """Pair aggregate: pooled measurement statistics, first filled texts, joined distinct ids.
 
-    ``median_px`` comes from the exact distributed quantile, everything else from one
-    partial aggregate. Rows with a null key are dropped.
+    Measurements are counted per (pair, value) once; statistics and the exact median both
+    read those counts. Rows with a null key are dropped.
     """
-    px = A.nm_to_px(F.col(value))
-    df = df.dropna(subset=keys).withColumn("_px", px)
-    stats = df.groupBy(*keys).agg(
-        F.count(value).alias("n_measurements"),
+    df = df.dropna(subset=keys)
+    firsts = [F.min(F.when(F.trim(c) != "", F.struct(F.col(row_id).alias("at"), F.col(c).alias("v")))).alias(c) for c in first]
+    hist = df.groupBy(*keys, value).agg(F.count(value).alias("_n"), *firsts).withColumn("_px", A.nm_to_px(F.col(value)))
+    # the filter that the quantile needs, on all readers of the counts, so that they share one shuffle
+    hist = hist.select(*keys, value, "_n", "_px", *first).filter(F.col("_px").isNotNull())
+    # spread around a fixed centre of the pX scale, which keeps the sums well conditioned
+    d = F.col("_px") - (A.TARGET_PX + A.OFF_TARGET_PX) / 2
+    n, s1, s2 = F.sum("_n"), F.sum(F.col("_n") * d), F.sum(F.col("_n") * d * d)
+    stats = hist.groupBy(*keys).agg(
+        n.alias("n_measurements"),
         F.min(value).alias("min_nM"),
         F.max(value).alias("max_nM"),
         F.min("_px").alias("min_px"),
         F.max("_px").alias("max_px"),
-        F.stddev_samp("_px").alias("std_px"),
-        *[F.min_by(c, F.when(F.trim(c) != "", F.col(row_id))).alias(c) for c in first],
+        F.when(n > 1, F.sqrt(F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0)))).alias("std_px"),
+        *[F.min(c)["v"].alias(c) for c in first],
     )
-    out = stats.join(S.exact_quantiles(df, keys, "_px", {"median_px": 0.5}), keys, "left")
+    out = stats.join(S.exact_quantiles(hist, keys, "_px", {"median_px": 0.5}, weight="_n"), keys, "left")
     if joined:
         out = out.join(S.joined_cells(df, keys, joined), keys, "left")
     return out

@@ -77,12 +77,14 @@ def pocket_delta(target: DataFrame, off: DataFrame, keys: list[str], pocket: Dat
     return rows.select(*keys, "residue", "aa", "logit", "off_logit", "delta")
 
 
-def with_fallback(off: DataFrame, all_off: DataFrame, samples: DataFrame) -> DataFrame:
-    """Off-target means per sample; samples without their own take the overall mean."""
-    missing = samples.join(off.select("sample").distinct(), "sample", "left_anti")
-    default = all_off.select("residue", "aa", "logit").withColumn("_k", F.lit(0))
-    filled = missing.withColumn("_k", F.lit(0)).join(default, "_k").drop("_k")
-    return off.select("sample", "residue", "aa", "logit").unionByName(filled)
+def with_fallback(target: DataFrame, off: DataFrame, all_off: DataFrame) -> DataFrame:
+    """Off-target means for every cell of ``target``; samples without their own take the overall mean."""
+    own = off.select("sample", "residue", "aa", F.col("logit").alias("_own"))
+    has = off.select("sample").distinct().withColumn("_has", F.lit(True))
+    x = target.select("sample", "residue", "aa").join(own, ["sample", "residue", "aa"], "left").join(has, "sample", "left")
+    x = x.join(all_off.select("residue", "aa", F.col("logit").alias("_all")), ["residue", "aa"], "left")
+    x = x.withColumn("logit", F.when(F.col("_has"), F.col("_own")).otherwise(F.col("_all")))
+    return x.filter(F.col("logit").isNotNull()).select("sample", "residue", "aa", "logit")
 
 
 def topk_success(df: DataFrame, other: DataFrame, ensemble: list[str], wanted: DataFrame) -> DataFrame:

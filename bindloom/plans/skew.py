@@ -98,24 +98,23 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     cell: Column | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles per key with linear interpolation, one column per entry of ``probs``.
 
     Equal values are counted before the first shuffle, the cells that hold a wanted rank
-    are found from cell counts, and only their rows are sorted.
+    are found from cell counts, and only their rows are sorted. ``weight`` names the count
+    column of rows that are counted already.
     """
     keys = list(keys)
     whole = not keys
     if whole:
         df, keys = df.withColumn(WHOLE, F.lit(0)), [WHOLE]
     v = F.col("_v")
-    hist = (
-        df.select(*keys, F.col(value).cast("double").alias("_v"))
-        .filter(v.isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_c", coarse(v) if cell is None else cell)
-    )
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_n") if weight is None else F.col(weight).alias("_n"))
+    rows = rows.filter(v.isNotNull())
+    hist = rows if weight else rows.groupBy(*keys, "_v").agg(F.sum("_n").alias("_n"))
+    hist = hist.withColumn("_c", coarse(v) if cell is None else cell)
     cells = hist.groupBy(*keys, "_c").agg(F.sum("_n").alias("_m"))
     upto = W.partitionBy(*keys).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select(
@@ -129,7 +128,7 @@ def exact_quantiles(
     ends = [f(h) for h in pos.values() for f in (F.floor, F.ceil)]
     hit = reduce(lambda a, b: a | b, [(F.col("_off") <= e) & (e < F.col("_off") + F.col("_m")) for e in ends])
     rows = null_safe_join(hist, cells.filter(hit), [*keys, "_c"])
-    run = F.sum("_n").over(W.partitionBy(*keys, "_c").orderBy("_v"))
+    run = F.sum("_n").over(W.partitionBy(*keys, "_c").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("_end", F.col("_off") + run).withColumn("_start", F.col("_end") - F.col("_n"))
 
     def at(rank):
@@ -168,8 +167,13 @@ def joined_cells(
         .filter(F.trim("v") != "")
         .distinct()
     )
-    numbered = ranked(long, [*keys, "f"], [F.col("v")], [F.substring("v", 1, 3)], "_rn")
-    parts = numbered.withColumn("part", F.floor((F.col("_rn") - 1) / part_size).cast("long"))
+    group = [*keys, "f"]
+    # only groups over the part size pay for ranking; usually there are none
+    large = long.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_size).drop("_n")
+    first = null_safe_join(long, large, group, "left_anti").withColumn("part", F.lit(0).cast("long"))
+    rest = ranked(null_safe_join(long, large, group, "left_semi"), group, [F.col("v")], [F.substring("v", 1, 3)], "_rn")
+    rest = rest.withColumn("part", F.floor((F.col("_rn") - 1) / part_size).cast("long")).drop("_rn")
+    parts = first.unionByName(rest)
     return parts.groupBy(*keys, "part").agg(
         *[
             F.array_join(F.sort_array(F.collect_list(F.when(F.col("f") == name, F.col("v")))), sep).alias(name)

@@ -28,8 +28,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t") -> tuple[Dat
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(schema).csv(path)
     raw = raw.toDF(*[clean_header(n) for n in names], CORRUPT)
+    # Spark refuses plans that read nothing but the corrupt column, such as a count of bad rows
+    reads_a_column = F.length(F.coalesce(F.col(clean_header(names[0])), F.lit(""))) >= 0
     bad = F.col(CORRUPT).isNotNull()
-    return raw.filter(~bad).drop(CORRUPT), raw.filter(bad)
+    return raw.filter(~bad).drop(CORRUPT), raw.filter(bad & reads_a_column)
 
 
 def read_gzip_csv(spark: SparkSession, path: str, schema: T.StructType, partitions: int | None = None) -> DataFrame:
@@ -276,6 +278,8 @@ def read_status_files(spark: SparkSession, path: str) -> DataFrame:
     """Status files of a job folder. Spark's scan leaves out empty files, so their names come
     from the file listing that Spark keeps anyway."""
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{success,failed,skip}").load(path)
-    names = spark.createDataFrame([(n,) for n in scan.inputFiles()], "path string")
-    texts = scan.select("path", F.decode("content", "utf-8").alias("text"))
+    # the listing writes local names as file:///x, the scan as file:/x
+    name = F.regexp_replace("path", "^file:/+", "file:/").alias("path")
+    names = spark.createDataFrame([(n,) for n in scan.inputFiles()], "path string").select(name)
+    texts = scan.select(name, F.decode("content", "utf-8").alias("text"))
     return parse_status(names.join(texts, "path", "left"))
