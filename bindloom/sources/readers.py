@@ -28,10 +28,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t") -> tuple[Dat
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(schema).csv(path)
     raw = raw.toDF(*[clean_header(n) for n in names], CORRUPT)
-    # Spark refuses plans that read nothing but the corrupt column, such as a count of bad rows
-    reads_a_column = F.length(F.coalesce(F.col(clean_header(names[0])), F.lit(""))) >= 0
+    # Spark refuses plans that read nothing but the corrupt column, such as a count of rows
+    raw = raw.filter(F.length(F.coalesce(F.col(clean_header(names[0])), F.lit(""))) >= 0)
     bad = F.col(CORRUPT).isNotNull()
-    return raw.filter(~bad).drop(CORRUPT), raw.filter(bad & reads_a_column)
+    return raw.filter(~bad).drop(CORRUPT), raw.filter(bad)
 
 
 def read_gzip_csv(spark: SparkSession, path: str, schema: T.StructType, partitions: int | None = None) -> DataFrame:
