@@ -161,7 +161,7 @@ HITS = """q AS (SELECT conv_id, """ + D.LETTERS + """ AS qs FROM conversations W
   h AS (SELECT c.conv_id AS query_id, c.turn AS hit_id, qs AS query_sequence, 'p' || (c.conv_id % 50) AS query_pdb, CASE WHEN c.conv_id % 4 = 0 THEN DATE '2000-06-01' END AS query_date, 'P' || ((c.conv_id + c.turn * 7) % 60) AS hit_pdb,
       CASE WHEN c.turn % 3 = 1 THEN substr(qs, 1, CAST(floor(length(qs) * 0.97::DOUBLE) AS INT)) WHEN c.conv_id % 9 = 2 THEN 'AC-DEF' ELSE regexp_replace(text, '[^A-Za-z]', '-', 'g') END AS hit_sequence,
       length(text) % 97 AS aligned_cols, (length(text) * 31 % 1000) / 10.0::DOUBLE AS sum_probs FROM conversations c JOIN q ON q.conv_id = c.conv_id WHERE c.turn > 0 AND qs <> ''),
-  dt AS (SELECT 'P' || o_custkey AS pdb, CAST(min(o_orderdate) AS DATE) AS date FROM orders WHERE o_custkey < 45 GROUP BY 1), rp AS (SELECT 'P' || c_custkey AS from_id, 'P' || (c_custkey - 45) AS to_id FROM customer WHERE c_custkey BETWEEN 45 AND 55)"""
+  dt AS (SELECT 'P' || (o_custkey % 45) AS pdb, CAST(min(o_orderdate) + INTERVAL (min(o_custkey % 45) * 40) DAY AS DATE) AS date FROM orders GROUP BY 1), rp AS (SELECT DISTINCT 'P' || (45 + c_custkey % 11) AS from_id, 'P' || (c_custkey % 11) AS to_id FROM customer)"""
 
 
 def hits(spark, sf):
@@ -186,10 +186,11 @@ def hits(spark, sf):
     SELECT query_id, hit_id, pdb, reason, CASE WHEN reason IS NULL AND rn <= 2 THEN rn END AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, reason IS NULL ORDER BY sum_probs DESC, hit_id) AS rn FROM y)""",
 )
 def _(spark, sf):
-    dates = D.table(spark, sf, "orders").filter("o_custkey < 45").groupBy(F.concat(F.lit("P"), "o_custkey").alias("pdb")).agg(F.min("o_orderdate").cast("date").alias("date"))
-    old = D.table(spark, sf, "customer").filter("c_custkey between 45 and 55").select(
-        F.concat(F.lit("P"), "c_custkey").alias("from_id"), F.concat(F.lit("P"), c("c_custkey") - 45).alias("to_id")
-    )
+    n = c("o_custkey") % 45
+    released = F.date_add(F.min("o_orderdate").cast("date"), (F.min(n) * 40).cast("int"))
+    dates = D.table(spark, sf, "orders").groupBy(F.concat(F.lit("P"), n).alias("pdb")).agg(released.alias("date"))
+    k = c("c_custkey") % 11
+    old = D.table(spark, sf, "customer").select(F.concat(F.lit("P"), k + 45).alias("from_id"), F.concat(F.lit("P"), k).alias("to_id")).distinct()
     out = T.prefilter(hits(spark, sf), dates, old, "1997-01-01", 2)
     return out.select("query_id", "hit_id", "pdb", "reason", "rank")
 

@@ -38,7 +38,7 @@ def star_tables(spark, sf):
         "compound_structures": part.select(
             c("p_partkey").alias("molregno"), F.when(c("p_size") % 5 != 0, c("p_brand")).alias("standard_inchi_key")
         ),
-        "docs": t("supplier").filter("s_suppkey % 2 = 0").select(c("s_suppkey").alias("doc_id"), c("s_name").alias("doi")),
+        "docs": t("supplier").select(c("s_suppkey").alias("doc_id"), c("s_name").alias("doi")),
     }
 
 
@@ -47,7 +47,7 @@ def star_tables(spark, sf):
     """SELECT DISTINCT l_orderkey AS assay_id, l_partkey AS molregno, l_suppkey AS activity_no, l_linenumber AS line, l_quantity AS standard_value,
       c_name AS target_name, n_name AS sequence, p_name AS pref_name, p_brand AS standard_inchi_key, s_name AS doi
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-      JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_linenumber % 3 <> 0 AND l_suppkey = s_suppkey AND s_suppkey % 2 = 0
+      JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_linenumber % 3 <> 0 AND l_suppkey = s_suppkey
     WHERE l_tax > 0 AND l_returnflag <> 'R' AND l_linestatus = 'O' AND o_orderkey % 10 >= 6 AND c_mktsegment <> 'MACHINERY'
       AND c_custkey % 4 % 2 = 0 AND n_regionkey <> 4 AND p_size % 5 <> 0""",
 )
@@ -82,9 +82,9 @@ def _(spark, sf):
 
 @query(
     "join_offtarget_lookup",
-    """WITH t AS (SELECT o_custkey % 100 AS key, o_orderkey AS id, [CAST(o_orderkey % 17 AS VARCHAR), CAST(o_orderkey % 13 AS VARCHAR), CAST(o_orderkey % 17 AS VARCHAR)] AS ids FROM orders),
+    """WITH t AS (SELECT o_custkey % 130 AS key, o_orderkey AS id, [CAST(o_orderkey % 17 AS VARCHAR), CAST(o_orderkey % 13 AS VARCHAR), CAST(o_orderkey % 17 AS VARCHAR)] AS ids FROM orders),
       l AS (SELECT l_suppkey % 100 AS key, CAST(l_partkey % 25 AS VARCHAR) AS het, arg_min('f' || l_orderkey, l_orderkey * 100000 + l_partkey) AS off_path FROM lineitem
-        WHERE l_returnflag = 'A' AND l_partkey % 25 < 14 AND l_suppkey % 100 % 9 <> 0 GROUP BY 1, 2),
+        WHERE l_returnflag = 'A' GROUP BY 1, 2),
       e AS (SELECT key, id, h.het AS het, h.pos AS pos FROM (SELECT key, id, unnest(list_transform(CASE WHEN ids[1] = ids[2] THEN ids[1:1] ELSE ids[1:2] END, lambda x, i: {'het': x, 'pos': i - 1})) AS h FROM t)),
       f AS (SELECT e.*, off_path, count(off_path) OVER (PARTITION BY e.key, id) AS n FROM e LEFT JOIN l ON l.key = e.key AND l.het = e.het)
     SELECT key, id, CAST(pos AS BIGINT) AS pos, het, off_path, CAST(NULL AS VARCHAR) AS reason FROM f WHERE off_path IS NOT NULL
@@ -93,8 +93,8 @@ def _(spark, sf):
 def _(spark, sf):
     k = c("o_orderkey")
     ids = F.concat((k % 17).cast("string"), F.lit(" ; "), (k % 13).cast("string"), F.lit(";;"), (k % 17).cast("string"))
-    t = D.table(spark, sf, "orders").select((c("o_custkey") % 100).alias("key"), k.alias("id"), ids.alias("ids"))
-    l = D.table(spark, sf, "lineitem").filter("l_partkey % 25 < 14 and l_suppkey % 100 % 9 <> 0").select(
+    t = D.table(spark, sf, "orders").select((c("o_custkey") % 130).alias("key"), k.alias("id"), ids.alias("ids"))
+    l = D.table(spark, sf, "lineitem").select(
         (c("l_suppkey") % 100).alias("key"), (c("l_partkey") % 25).cast("string").alias("het"),
         F.when(c("l_returnflag") == "A", F.concat(F.lit("f"), "l_orderkey")).alias("path"),
         (c("l_orderkey") * 100000 + c("l_partkey")).alias("ord"),
@@ -102,15 +102,17 @@ def _(spark, sf):
     return J.offtarget_lookup(t, l, "key", "id", "ids", "het", "path", "ord")
 
 
-TWO = """a AS (SELECT 'P' || l_suppkey AS protein, 'L' || (l_partkey % 300) AS ligand, CASE WHEN l_linenumber = 1 THEN 'S' || l_partkey END AS pdb FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 3 <> 0),
-  b AS (SELECT 'P' || l_suppkey AS protein, 'L' || (l_partkey % 300) AS ligand FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 4 <> 0)"""
+TWO = """a AS (SELECT 'P' || l_suppkey AS protein, 'L' || (l_partkey % 300) AS ligand, CASE WHEN l_linenumber = 1 THEN 'S' || l_partkey END AS pdb FROM lineitem WHERE l_returnflag <> 'R'),
+  b AS (SELECT 'P' || (l_suppkey + 3) AS protein, 'L' || (l_partkey % 300) AS ligand FROM lineitem WHERE l_returnflag = 'R')"""
 
 
 def two_sources(spark, sf):
     li = D.table(spark, sf, "lineitem")
-    cols = [F.concat(F.lit("P"), "l_suppkey").alias("protein"), F.concat(F.lit("L"), c("l_partkey") % 300).alias("ligand")]
+    lig = F.concat(F.lit("L"), c("l_partkey") % 300).alias("ligand")
+    # the proteins of the second source are shifted, so some occur on one side only
+    first, second = (F.concat(F.lit("P"), c("l_suppkey") + shift).alias("protein") for shift in (0, 3))
     pdb = F.when(c("l_linenumber") == 1, F.concat(F.lit("S"), "l_partkey")).alias("pdb")
-    return li.filter("l_returnflag = 'A' and l_suppkey % 3 <> 0").select(*cols, pdb), li.filter("l_returnflag = 'R' and l_suppkey % 4 <> 0").select(*cols)
+    return li.filter("l_returnflag <> 'R'").select(first, lig, pdb), li.filter("l_returnflag = 'R'").select(second, lig)
 
 
 @query(
@@ -267,15 +269,15 @@ def _(spark, sf):
     return J.merge_similarity(d, s, "protein", "ligand", "row_id")
 
 
-STAGES = """orig AS (SELECT o_orderkey AS row_id, 'P' || (o_custkey % 40) || '_h' AS protein_key, CASE WHEN o_orderkey % 3 = 0 THEN 'target' ELSE 'off_target' END AS target_type, 'K' || o_orderkey AS ligand_inchikey FROM orders),
-  s2 AS (SELECT *, CASE WHEN target_type = 'target' THEN 't' ELSE 'o' END || row_id AS complex_id FROM orig WHERE row_id % 4 <> 1),
+STAGES = """orig AS (SELECT o_orderkey AS row_id, 'P' || (o_custkey % 40) || '_h' AS protein_key, CASE WHEN o_orderkey % 3 = 0 THEN 'target' ELSE 'off_target' END AS target_type, 'K' || o_orderkey AS ligand_inchikey, o_orderstatus FROM orders),
+  s2 AS (SELECT *, CASE WHEN target_type = 'target' THEN 't' ELSE 'o' END || row_id AS complex_id FROM orig WHERE o_orderstatus <> 'P'),
   s6 AS (SELECT 'P' || (l_suppkey % 40) || '_x' AS protein_key, 'c' || l_orderkey || '_' || l_partkey || '_' || l_suppkey || '_' || l_linenumber AS config_id, 't' || (l_orderkey // 3 * 3) AS target_complex_id, 'o' || l_orderkey AS offtarget_complex_id FROM lineitem WHERE l_returnflag = 'A')"""
 
 
 @query(
     "merge_after_stages",
     "WITH " + STAGES
-    + """ SELECT row_id, o.protein_key, o.target_type, o.ligand_inchikey, NULL AS config_id, 't' || row_id AS target_complex_id FROM orig o WHERE target_type = 'target' AND row_id % 4 <> 1
+    + """ SELECT row_id, o.protein_key, o.target_type, o.ligand_inchikey, NULL AS config_id, 't' || row_id AS target_complex_id FROM orig o WHERE target_type = 'target' AND o_orderstatus <> 'P'
        AND 't' || row_id IN (SELECT target_complex_id FROM s6)
     UNION ALL SELECT o.row_id, o.protein_key, o.target_type, o.ligand_inchikey, s6.config_id, s6.target_complex_id FROM orig o JOIN s2 USING (row_id)
       JOIN s6 ON s6.offtarget_complex_id = s2.complex_id AND split_part(s6.protein_key, '_', 1) = split_part(o.protein_key, '_', 1) WHERE o.target_type = 'off_target'""",
@@ -284,9 +286,9 @@ def _(spark, sf):
     k = c("o_orderkey")
     kind = F.when(k % 3 == 0, "target").otherwise("off_target")
     orig = D.table(spark, sf, "orders").select(
-        k.alias("row_id"), F.concat(F.lit("P"), c("o_custkey") % 40, F.lit("_h")).alias("protein_key"), kind.alias("target_type"), F.concat(F.lit("K"), k).alias("ligand_inchikey")
+        k.alias("row_id"), F.concat(F.lit("P"), c("o_custkey") % 40, F.lit("_h")).alias("protein_key"), kind.alias("target_type"), F.concat(F.lit("K"), k).alias("ligand_inchikey"), "o_orderstatus",
     )
-    s2 = orig.filter("row_id % 4 <> 1").withColumn("complex_id", F.concat(F.when(c("target_type") == "target", "t").otherwise("o"), "row_id"))
+    s2 = orig.filter("o_orderstatus <> 'P'").drop("o_orderstatus").withColumn("complex_id", F.concat(F.when(c("target_type") == "target", "t").otherwise("o"), "row_id"))
     s6 = D.table(spark, sf, "lineitem").filter("l_returnflag = 'A'").select(
         F.concat(F.lit("P"), c("l_suppkey") % 40, F.lit("_x")).alias("protein_key"),
         F.concat_ws("_", F.concat(F.lit("c"), "l_orderkey"), "l_partkey", "l_suppkey", "l_linenumber").alias("config_id"),

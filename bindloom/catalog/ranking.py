@@ -165,14 +165,14 @@ def _(spark, sf):
     return R.filter_decoys_second(x, BY, "file", "pose_id", 15).select("config_id", "pose_id", "rank")
 
 
-ENS = """o AS (SELECT 'C' || s_suppkey AS config_id, CASE WHEN s_suppkey % 3 = 0 THEN 2.5 END AS rt, CASE WHEN s_suppkey % 4 = 0 THEN 0.3 END AS pt FROM supplier WHERE s_suppkey % 2 = 0),
+ENS = """o AS (SELECT 'C' || s_suppkey AS config_id, CASE WHEN s_suppkey % 3 = 0 THEN 2.5 END AS rt, CASE WHEN s_suppkey % 4 = 0 THEN 0.3 END AS pt FROM supplier),
   c AS (SELECT p.*, CASE WHEN config_id NOT LIKE '%3' THEN pocket_overlap WHEN pose_id % 2 = 0 THEN drift / 4 END AS conf FROM (SELECT * FROM poses) p),
   k AS (SELECT c.config_id, pose_id, ca_rmsd FROM c LEFT JOIN o ON o.config_id = c.config_id WHERE ca_rmsd <= coalesce(rt, 1.5) AND conf >= coalesce(pt, 0.5)),
   r AS (SELECT *, row_number() OVER (PARTITION BY config_id ORDER BY ca_rmsd, pose_id) AS rn FROM k)"""
 
 
 def ensemble(spark, sf):
-    s = D.table(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(
+    s = D.table(spark, sf, "supplier").select(
         F.concat(F.lit("C"), "s_suppkey").alias("config_id"),
         F.when(c("s_suppkey") % 3 == 0, 2.5).alias("rmsd_threshold"), F.when(c("s_suppkey") % 4 == 0, 0.3).alias("plddt_threshold"),
     )

@@ -66,14 +66,18 @@ def _(spark, sf):
 
 @query(
     "score_penalty_mask",
-    D.with_sql(D.ATOMS) + """, r AS (SELECT DISTINCT structure_id, vec_id FROM prot), a AS (SELECT structure_id, vec_id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS m FROM r WHERE vec_id % 7 <> 0)
-    SELECT r.structure_id, r.vec_id, CASE WHEN r.vec_id % 3 = 0 AND r.vec_id % 7 <> 0 AND r.vec_id % 2 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mask FROM r""",
+    D.with_sql(D.ATOMS) + f""", r AS (SELECT DISTINCT structure_id, vec_id FROM prot), hit AS (SELECT DISTINCT p.vec_id FROM lig l JOIN prot p ON l.structure_id = p.structure_id AND l.element <> 'H' AND p.element <> 'H' AND {D.D2} <= 64)
+    SELECT r.structure_id, r.vec_id, CASE WHEN r.vec_id IN (SELECT vec_id FROM hit) AND r.vec_id % 2 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mask FROM r""",
 )
 def _(spark, sf):
-    r = D.atoms(spark, sf).filter("kind = 'protein'").select("structure_id", "vec_id").distinct()
-    auto = r.filter("vec_id % 7 <> 0").withColumn("mask", F.when(c("vec_id") % 3 == 0, 1).otherwise(0))
-    manual = r.filter("vec_id % 2 = 1").withColumn("mask", F.lit(1))
-    return R.penalty_mask(r, [auto, manual], ["structure_id", "vec_id"])
+    from bindloom.operators import spatial as A
+
+    at = D.atoms(spark, sf)
+    r = at.filter("kind = 'protein'").select("structure_id", "vec_id", *A.RESIDUE[1:]).distinct()
+    # residues near a ligand, and a list of residues by number
+    auto = A.pocket_residues(at.filter("kind = 'ligand'"), at.filter("kind = 'protein'"), ["structure_id"], 8.0).withColumn("mask", F.lit(1))
+    manual = r.select(*A.RESIDUE, (c("vec_id") % 2).alias("mask"))
+    return R.penalty_mask(r, [auto, manual], A.RESIDUE).select("structure_id", "vec_id", "mask")
 
 
 PK = """pk AS (SELECT DISTINCT sample, residue FROM scores WHERE residue <> 0), nat AS (SELECT sample, residue, substr('ACDEFGHIKLMNPQRSTVWYX', CAST((label * 3 + residue) % 20 + 1 AS INT), 1) AS aa FROM (SELECT DISTINCT sample, label, residue FROM scores))"""

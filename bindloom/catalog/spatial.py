@@ -184,18 +184,21 @@ def _(spark, sf):
 
 
 def fragment(spark, sf):
-    """Atoms of a part of the residues, moved; some residues of it are unknown to the full structure."""
-    v = c("vec_id")
-    x = D.atoms(spark, sf).filter((v % 4 == 1) | (v % 20 == 10)).withColumn("x", c("x") + 1).withColumn("serial", c("serial") + 1000000)
-    return x.filter(c("i") != 6)
+    """Pocket residues and ligands, moved; one atom has another name, some residues are unknown to the full structure."""
+    at = D.atoms(spark, sf)
+    near = A.pocket_residues(at.filter("kind = 'ligand'"), at.filter("kind = 'protein'"), ["structure_id"], 8.0)
+    part = at.join(near, A.RESIDUE, "left_semi").unionByName(at.filter("kind = 'ligand'"))
+    icode = F.when(c("icode") == "C", "D").otherwise(c("icode"))
+    atom = F.when(c("i") == 6, "CH").otherwise(c("atom"))
+    return part.withColumns({"x": c("x") + 1, "serial": c("serial") + 1000000, "icode": icode, "atom": atom})
 
 
 def full(spark, sf):
-    return D.atoms(spark, sf).filter("vec_id % 9 <> 5 and i <> 8")
+    return D.atoms(spark, sf)
 
 
-FRAG = """fr AS (SELECT * REPLACE (x + 1 AS x, serial + 1000000 AS serial) FROM atoms WHERE (vec_id % 4 = 1 OR vec_id % 20 = 10) AND i <> 6), fu AS (SELECT * FROM atoms WHERE vec_id % 9 <> 5 AND i <> 8),
-  hit AS (SELECT DISTINCT vec_id FROM fu WHERE (record = 'ATOM' OR resname = 'LG1') AND vec_id IN (SELECT vec_id FROM fr))"""
+FRAG = POCKET + """, fr AS (SELECT * REPLACE (x + 1 AS x, serial + 1000000 AS serial, CASE WHEN i = 6 THEN 'CH' ELSE atom END AS atom) FROM atoms WHERE kind = 'ligand' OR (kind = 'protein' AND (structure_id, chain, resseq, icode) IN (SELECT (structure_id, chain, resseq, icode) FROM pk))),
+  fu AS (SELECT * FROM atoms), hit AS (SELECT DISTINCT vec_id FROM fu WHERE icode <> 'C' AND (record = 'ATOM' OR resname = 'LG1') AND vec_id IN (SELECT vec_id FROM fr))"""
 
 
 @query(
@@ -218,10 +221,10 @@ def _(spark, sf):
 
 @query(
     "atom_upsert",
-    AT + ", " + FRAG + """, side AS (SELECT * FROM fr WHERE atom NOT IN ('N', 'CA', 'C', 'O') AND vec_id IN (SELECT vec_id FROM fu WHERE kind = 'protein')),
+    AT + ", " + FRAG + """, side AS (SELECT * FROM fr WHERE atom NOT IN ('N', 'CA', 'C', 'O') AND vec_id IN (SELECT vec_id FROM fu WHERE kind = 'protein' AND icode <> 'C')),
       pl AS (SELECT coalesce(s.structure_id, f.structure_id) AS structure_id, coalesce(s.serial, f.serial) AS serial, coalesce(s.x, f.x) AS x FROM (SELECT * FROM fu WHERE kind = 'protein') f FULL JOIN side s ON s.vec_id = f.vec_id AND s.atom = f.atom)
     SELECT structure_id, serial, round(x, 3) AS x FROM pl UNION ALL SELECT structure_id, serial, round(x, 3) FROM fr WHERE kind = 'ligand'
-    UNION ALL SELECT structure_id, serial, round(x, 3) FROM fu WHERE kind <> 'protein' AND NOT (kind = 'ligand' AND vec_id IN (SELECT vec_id FROM fr))""",
+    UNION ALL SELECT structure_id, serial, round(x, 3) FROM fu WHERE kind <> 'protein' AND NOT (kind = 'ligand' AND icode <> 'C' AND vec_id IN (SELECT vec_id FROM fr))""",
 )
 def _(spark, sf):
     return D.rounded(A.atom_upsert(full(spark, sf), fragment(spark, sf)).select("structure_id", "serial", "x"), 3)
@@ -313,7 +316,7 @@ def _(spark, sf):
 
 @query(
     "residue_align_check",
-    """WITH t AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderstatus AS r, o_orderkey FROM orders), o AS (SELECT k, pos, CASE WHEN o_orderkey % 40 = 7 THEN 'X' ELSE r END AS r FROM t WHERE o_orderkey % 31 <> 3)
+    """WITH t AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderstatus AS r, o_orderkey FROM orders), o AS (SELECT k, pos + CASE WHEN o_orderkey % 31 = 3 THEN 1000 ELSE 0 END AS pos, CASE WHEN o_orderkey % 40 = 7 THEN 'X' ELSE r END AS r FROM t)
     SELECT coalesce(t.k, o.k) AS k, count(*) FILTER (t.r IS DISTINCT FROM o.r) AS n_mismatch, count(*) AS n_positions, count(*) FILTER (t.r IS DISTINCT FROM o.r) = 0 AS accepted FROM t FULL JOIN o ON t.k = o.k AND t.pos = o.pos GROUP BY 1""",
 )
 def _(spark, sf):
@@ -321,5 +324,5 @@ def _(spark, sf):
 
     k = c("o_orderkey")
     t = S.ranked(D.table(spark, sf, "orders").select(c("o_custkey").alias("k"), "o_orderkey", c("o_orderstatus").alias("residue")), ["k"], [k], [F.floor(k / 4096)], "pos")
-    o = t.filter(k % 31 != 3).withColumn("residue", F.when(k % 40 == 7, "X").otherwise(c("residue")))
+    o = t.withColumn("pos", c("pos") + F.when(k % 31 == 3, 1000).otherwise(0)).withColumn("residue", F.when(k % 40 == 7, "X").otherwise(c("residue")))
     return A.residues_align(t, o, ["k"])

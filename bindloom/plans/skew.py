@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 WHOLE = "_whole"
+GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+SALTS = 256
 
 
 def coarse(value: Column, steps: int = 1024) -> Column:
@@ -48,7 +50,15 @@ def with_group(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rn") -> DataFrame:
     """The first ``k`` rows per key. Spark limits each key to ``k`` rows per task *before*
-    the shuffle (rank limit push-down), so a hot key sends ``k`` rows per map task."""
+    the shuffle (rank limit push-down), so a hot key sends ``k`` rows per map task.
+
+    Above Spark's limit for that (1000) the key is split by a hash first, so that no task
+    ranks more than its share of a hot key.
+    """
+    if k > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+        w = W.partitionBy(*keys, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", salt).withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k).drop("_salt", name)
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
