@@ -39,8 +39,22 @@ def norm(v):
     return str(v)
 
 
+SPARK_KINDS = {"byte": "int", "short": "int", "integer": "int", "long": "int", "float": "float", "double": "float", "string": "text", "boolean": "bool"}
+DUCK_KINDS = {"TINYINT": "int", "SMALLINT": "int", "INTEGER": "int", "BIGINT": "int", "FLOAT": "float", "DOUBLE": "float", "VARCHAR": "text", "BOOLEAN": "bool"}
+
+
+def kinds(spark_df, con, sql):
+    """Columns whose type class differs; columns that are null throughout may have any type in SQL."""
+    mine = {f.name: SPARK_KINDS.get(f.dataType.typeName(), f.dataType.typeName()) for f in spark_df.schema}
+    twin = {r[0]: DUCK_KINDS.get(r[1], r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {c: (k, twin.get(c)) for c, k in mine.items() if twin.get(c) != k and twin.get(c) != '"NULL"'}
+
+
 def compare(spark_df, con, sql):
     cols = sorted(spark_df.columns)
+    differ = kinds(spark_df, con, sql)
+    if differ:
+        return -1, f"types {differ}"
     got = [tuple(norm(v) for v in r) for r in spark_df.select(*cols).collect()]
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
