@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bindloom.functions import affinity as A, text as X
 from bindloom.plans import skew as S
+from bindloom.session import written
 
 
 def resolve_columns(df: DataFrame, candidates: dict[str, list[str]], keep_rest: bool = False) -> DataFrame:
@@ -213,7 +214,8 @@ def best_pair(df: DataFrame, key: str, ligand: str, value: str, structure: str |
 def curate(raw: DataFrame, protein: str, ligand: str, cell: str, row_id: str) -> DataFrame:
     """Measurements to labelled pairs: parse, aggregate, validate, label, drop conflicts, keep both types."""
     pairs = aggregate_pairs(parse_measurements(raw, cell), [protein, ligand], "nM", row_id)
-    labelled = label_pairs(validate_replicates(pairs).filter("is_valid"))
+    # the pair table is small against the measurements and read by every later filter
+    labelled = written(label_pairs(validate_replicates(pairs).filter("is_valid")), "pairs")
     return keep_both_types(drop_conflicts(labelled, [protein, ligand]), protein)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from bindloom.functions import affinity as A
 from bindloom.plans import skew as S
+from bindloom.session import written
 
 # fixed values: weights of the composite and of the two final scores
 COMPOSITE = {"score": 0.5, "distance": 0.2, "interactions": 0.3}
@@ -30,10 +31,10 @@ def filter_poses(df: DataFrame, by: list[str], tie: str, cutoff: float, k: int)
     return x.withColumn("possible_allosteric", (F.col("com_distance") > 10.0) | (F.col("pocket_overlap") < 0.3))
 
 
-def minmax(df: DataFrame, by: list[str], columns: dict[str, str], eps: float = 0.0) -> DataFrame:
-    """Min–max scaled copies of columns per group."""
+def minmax(df: DataFrame, by: list[str], columns: dict[str, str], eps: float = 0.0, source: DataFrame | None = None) -> DataFrame:
+    """Min–max scaled copies of columns per group; the limits may come from an earlier state of the rows."""
     aggs = [f(c).alias(f"_{n}_{c}") for c in columns.values() for n, f in (("lo", F.min), ("hi", F.max))]
-    x = S.with_group(df, by, *aggs)
+    x = S.null_safe_join(df, source.groupBy(*by).agg(*aggs), by) if source and by else S.with_group(df, by, *aggs)
     out = {o: F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + eps) for o, c in columns.items()}
     return x.withColumns(out).drop(*[f"_{n}_{c}" for c in columns.values() for n in ("lo", "hi")])
 
@@ -54,7 +55,7 @@ def robust_minmax(df: DataFrame, by: list[str], columns: dict[str, str], low: fl
 def composite_rank(df: DataFrame, by: list[str], tie: str, score: str, distance: str, interactions: str, k: int = 10) -> DataFrame:
     """Weighted sum of scaled score, scaled distance and inverted interactions; lowest ``k``."""
     x = robust_minmax(df, by, {"score_norm": score, "distance_norm": distance})
-    x = minmax(x, by, {"_i": interactions}).withColumn("interactions_norm", 1 - F.col("_i")).drop("_i")
+    x = minmax(x, by, {"_i": interactions}, source=df).withColumn("interactions_norm", 1 - F.col("_i")).drop("_i")
     total = (
         COMPOSITE["score"] * F.col("score_norm")
         + COMPOSITE["distance"] * F.col("distance_norm")
@@ -84,15 +85,21 @@ def filter_decoys(
     """Decoys without energy, RMSD and interface outliers; filters are given up in turn where
     fewer than ``k`` remain; ranked by energy plus an interface penalty."""
     x = df.dropna(subset=["energy", "ca_rmsd", "all_atom_rmsd"])
-    e = S.exact_quantiles(x, by, "energy", {"_e1": 0.25, "_e3": 0.75})
-    i = S.exact_quantiles(x, by, "interface", {"_i1": 0.25, "_i3": 0.75})
-    x = S.null_safe_join(S.null_safe_join(x, e, by), i, by, "left")
+    # quartiles of both columns from one pass over (group, column, value)
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("c"), F.col(n).alias("v")) for n in ("energy", "interface")])).alias("_l")
+    q = S.exact_quantiles(x.select(*by, both).select(*by, "_l.c", "_l.v"), [*by, "c"], "v", {"_q1": 0.25, "_q3": 0.75})
+    pick = lambda n, p: F.max(F.when(F.col("c") == n, F.col(p)))
+    q = q.groupBy(*by).agg(
+        *[pick(n, p).alias(a) for a, n, p in (("_e1", "energy", "_q1"), ("_e3", "energy", "_q3"), ("_i1", "interface", "_q1"), ("_i3", "interface", "_q3"))]
+    )
+    x = S.null_safe_join(x, q, by)
     ok_e = F.col("energy") <= F.col("_e3") + 1.5 * (F.col("_e3") - F.col("_e1"))
     ok_i = F.coalesce(F.col("interface") <= F.col("_i3") + 2.0 * (F.col("_i3") - F.col("_i1")), F.lit(False))
     ok_r = F.col("ca_rmsd").between(*ca) & (F.col("all_atom_rmsd") <= max_all_atom)
     # level of each row: 0 passes all, 1 energy and interface, 2 energy, 3 nothing
     x = x.withColumn("_level", F.when(ok_e & ok_i & ok_r, 0).when(ok_e & ok_i, 1).when(ok_e, 2).otherwise(3))
-    x = x.drop("_e1", "_e3", "_i1", "_i3")
+    # the rows are read several times from here on: a written table instead of as many scans of the input
+    x = written(x.drop("_e1", "_e3", "_i1", "_i3"), "decoys")
     n = [F.count_if(F.col("_level") <= level).alias(f"_n{level}") for level in range(3)]
     need = F.when(F.col("_n0") >= k, 0).when(F.col("_n1") >= k, 1).when(F.col("_n2") >= k, 2).otherwise(3)
     x = S.with_group(x, by, *n).withColumn("level", need).filter(F.col("_level") <= F.col("level"))
@@ -106,7 +113,7 @@ def filter_decoys(
 
 def filter_decoys_second(df: DataFrame, by: list[str], file: str, row_id: str, k: int) -> DataFrame:
     """Second decoy filter: one row per file, total-score then repulsion outliers, ranked by score and ddg."""
-    x = S.first_per(df.filter(F.col("totalscore").isNotNull()), [*by, file], [F.col(row_id)])
+    x = written(S.first_per(df.filter(F.col("totalscore").isNotNull()), [*by, file], [F.col(row_id)]), "decoys")
     for c in ("totalscore", "fa_rep"):
         q = S.exact_quantiles(x, by, c, {"_q1": 0.25, "_q3": 0.75})
         x = S.null_safe_join(x, q, by)

@@ -62,16 +62,15 @@ def group_tertiles(df: DataFrame, by: str, value: str, out: str) -> DataFrame:
     return x.withColumn(out, F.when(n_bins > 0, name)).drop("_edges")
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Average rank (ties share the mean) of every row within its key, from value counts."""
-    hist = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_c", S.coarse(F.col(value)))
+def rank_table(df: DataFrame, by: list[str], value: str, out: str, weight: str) -> DataFrame:
+    """Average rank (ties share the mean) of every value within its key, from counted rows."""
+    hist = df.groupBy(*by, value).agg(F.sum(weight).alias("_n")).withColumn("_c", S.coarse(F.col(value)))
     upto = W.partitionBy(*by).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
     cells = hist.groupBy(*by, "_c").agg(F.sum("_n").alias("_m"))
     cells = cells.select(*by, "_c", F.coalesce(F.sum("_m").over(upto), F.lit(0)).alias("_off"))
     inner = F.sum("_n").over(W.partitionBy(*by, "_c").orderBy(value))
     rank = F.col("_off") + inner - F.col("_n") + (F.col("_n") + 1) / 2
-    ranks = hist.join(cells, [*by, "_c"]).select(*by, value, rank.alias(out))
-    return df.join(ranks, [*by, value])
+    return hist.join(cells, [*by, "_c"]).select(*by, value, rank.alias(out))
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -82,10 +81,17 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 def spearman(df: DataFrame, by: str, x: str, y: str, min_pairs: int = 20) -> DataFrame:
     """Rank correlation per protein with at least ``min_pairs`` pairs."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, x, y)
-    big = d.groupBy(by).agg(F.count(F.lit(1)).alias("n_pairs")).filter(F.col("n_pairs") >= min_pairs)
-    d = d.join(big, by)
-    ranked = average_ranks(average_ranks(d, [by], x, "_rx"), [by], y, "_ry")
-    rho = ranked.groupBy(by).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n_pairs"))
+    # equal pairs are counted once; both rank tables come from those counts
+    pairs = d.groupBy(by, x, y).agg(F.count(F.lit(1)).alias("_w"))
+    ranked = pairs.join(rank_table(pairs, [by], x, "_rx", "_w"), [by, x]).join(rank_table(pairs, [by], y, "_ry", "_w"), [by, y])
+    # weighted correlation around the mean rank, which is known from the number of pairs
+    n = F.sum("_w")
+    s = lambda a, b: F.sum(F.col("_w") * F.col(a) * F.col(b))
+    sums = ranked.groupBy(by).agg(n.alias("n_pairs"), s("_rx", "_rx").alias("_xx"), s("_ry", "_ry").alias("_yy"), s("_rx", "_ry").alias("_xy"))
+    shift = F.col("n_pairs") * F.pow((F.col("n_pairs") + 1) / 2.0, F.lit(2.0))
+    cov = F.col("_xy") - shift
+    rho = F.try_divide(cov, F.sqrt((F.col("_xx") - shift) * (F.col("_yy") - shift)))
+    rho = sums.filter(F.col("n_pairs") >= min_pairs).select(by, rho.alias("rho"), "n_pairs")
     return rho.withColumn("p", P.correlation_p("rho", "n_pairs"))
 
 

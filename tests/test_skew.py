@@ -43,6 +43,13 @@ def test_exact_quantiles(spark, hot, parts):
     assert one[0].med == pytest.approx(hot.v.median())
 
 
+def test_large_top_k(spark, hot):
+    df = spark.createDataFrame(hot).withColumn("key", F.lit("one"))
+    got = S.top_k(df, ["key"], [F.col("v"), F.col("id")], 1500).select("id", "rn").collect()
+    want = hot.sort_values(["v", "id"]).id.head(1500).tolist()
+    assert [r.id for r in sorted(got, key=lambda r: r.rn)] == want
+
+
 def test_joined_cells_in_parts(spark):
     df = spark.createDataFrame([("a", f"x{i:03d}") for i in range(25)] * 2 + [("b", "y"), ("b", " ")], "k string, v string")
     rows = S.joined_cells(df, ["k"], {"ids": "v"}, part_size=10).orderBy("k", "part").collect()
