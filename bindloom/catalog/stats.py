@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from bindloom.catalog import adapters as D, query
 from bindloom.functions import similarity as M
 from bindloom.operators import sampling as G, similarity as N, statistics as T
+from bindloom.session import written
 
 c = F.col
 
@@ -114,7 +115,8 @@ def _(spark, sf):
 
 @query("sample_priority")
 def _(spark, sf):
-    x = D.labelled(spark, sf).withColumn("mw", F.substring("ligand", 2, 9).cast("double"))
+    # sampling starts from the curated table, which is read several times
+    x = written(D.labelled(spark, sf).withColumn("mw", F.substring("ligand", 2, 9).cast("double")), "pairs")
     out = G.sample_by_priority(x, "protein", "ligand", "median_px", ["mw", "median_px"], 3)
     return out.select("protein", "ligand", "target_type", F.round("median_px", 6).alias("median_px"))
 
