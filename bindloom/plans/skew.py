@@ -179,9 +179,10 @@ def joined_cells(
     )
     group = [*keys, "f"]
     # only groups over the part size pay for ranking; usually there are none
-    large = long.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_size).drop("_n")
-    first = null_safe_join(long, large, group, "left_anti").withColumn("part", F.lit(0).cast("long"))
-    rest = ranked(null_safe_join(long, large, group, "left_semi"), group, [F.col("v")], [F.substring("v", 1, 3)], "_rn")
+    large = long.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_size)
+    # outer and inner joins: semi and anti joins would move below the distinct step and repeat it
+    first = null_safe_join(long, large, group, "left").filter(F.col("_n").isNull()).withColumn("part", F.lit(0).cast("long"))
+    rest = ranked(null_safe_join(long, large, group), group, [F.col("v")], [F.substring("v", 1, 3)], "_rn")
     rest = rest.withColumn("part", F.floor((F.col("_rn") - 1) / part_size).cast("long")).drop("_rn")
     parts = first.unionByName(rest)
     return parts.groupBy(*keys, "part").agg(
