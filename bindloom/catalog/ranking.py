@@ -53,12 +53,12 @@ def seeds(spark, sf):
 
 @query("pose_rmsd")
 def _(spark, sf):
-    return D.rounded(R.pose_rmsd(seeds(spark, sf), ["complex_id"], "seed", "xyz", 5))
+    return D.rounded(R.pose_rmsd(seeds(spark, sf), ["complex_id"], "seed", "xyz"))
 
 
 @query("relax_delta")
 def _(spark, sf):
-    return D.rounded(R.relax_delta(seeds(spark, sf), ["complex_id"], "seed", "xyz", 5).drop("xyz"))
+    return D.rounded(R.relax_delta(seeds(spark, sf), ["complex_id"], "seed", "xyz").drop("xyz"))
 
 
 @query(
@@ -67,7 +67,7 @@ def _(spark, sf):
       CAST(vec_id * 3 % 29 - vec_id * 5 % 31 AS DOUBLE) AS d_rep FROM embeddings""",
 )
 def _(spark, sf):
-    return R.relax_delta(seeds(spark, sf), ["complex_id"], "seed", "xyz", 5).select("complex_id", "seed", "d_total", "d_rep")
+    return R.relax_delta(seeds(spark, sf), ["complex_id"], "seed", "xyz").select("complex_id", "seed", "d_total", "d_rep")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import os
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -66,12 +67,20 @@ def substitutions(reference: Column, variant: Column) -> Column:
 
 
 def describe_edit(reference: str, variant: str) -> tuple[str, int, int, int]:
-    """Edits that turn the reference into the variant: text and counts (subs, ins, dels)."""
+    """Edits that turn the reference into the variant: text and counts (subs, ins, dels).
+
+    Common ends are trimmed first, so one edit in a long sequence stays one edit; what is left is
+    aligned without the matcher's rule for popular letters, which fits no alphabet of twenty.
+    """
     notes: list[str] = []
     subs = ins = dels = 0
-    for kind, a0, a1, b0, b1 in difflib.SequenceMatcher(a=reference, b=variant).get_opcodes():
+    head = len(os.path.commonprefix([reference, variant]))
+    tail = len(os.path.commonprefix([reference[head:][::-1], variant[head:][::-1]]))
+    a, b = reference[head : len(reference) - tail], variant[head : len(variant) - tail]
+    for kind, a0, a1, b0, b1 in difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes():
         if kind == "equal":
             continue
+        a0, a1, b0, b1 = a0 + head, a1 + head, b0 + head, b1 + head
         both = min(a1 - a0, b1 - b0)
         changed = [f"{reference[a0 + k]}{a0 + k + 1}{variant[b0 + k]}" for k in range(both) if reference[a0 + k] != variant[b0 + k]]
         lost, gained = a1 - a0 - both, variant[b0 + both : b1]

@@ -112,8 +112,14 @@ def filter_decoys(
 
 
 def filter_decoys_second(df: DataFrame, by: list[str], file: str, row_id: str, k: int) -> DataFrame:
-    """Second decoy filter: one row per file, total-score then repulsion outliers, ranked by score and ddg."""
-    x = written(S.first_per(df.filter(F.col("totalscore").isNotNull()), [*by, file], [F.col(row_id)]), "decoys")
+    """Second decoy filter: one row per file, total-score then repulsion outliers, ranked by score and ddg.
+
+    A row without a file name is a file of its own, named by its row id.
+    """
+    text = lambda name, c: F.concat(F.lit(name), F.col(c).cast("string"))
+    named = df.filter(F.col("totalscore").isNotNull() & ~F.isnan("totalscore"))
+    named = named.withColumn("_file", F.coalesce(text("file ", file), text("row ", row_id)))
+    x = written(S.first_per(named, [*by, "_file"], [F.col(row_id)]).drop("_file"), "decoys")
     for c in ("totalscore", "fa_rep"):
         q = S.exact_quantiles(x, by, c, {"_q1": 0.25, "_q3": 0.75})
         x = S.null_safe_join(x, q, by)
@@ -127,7 +133,7 @@ def filter_ensemble(df: DataFrame, overrides: DataFrame, label: str, index: str,
     Returns every model that passed, with its rank (null beyond ``k``); the confidence falls
     back to the second column where a label has none in the first.
     """
-    x = S.with_group(df, [label], F.count("plddt").alias("_has"))
+    x = S.with_group(df, [label], F.count_if(~F.isnan("plddt")).alias("_has"))
     x = x.join(overrides, label, "left")
     conf = F.when(F.col("_has") > 0, F.col("plddt")).otherwise(F.col("plddt_pde"))
     limit = F.coalesce("rmsd_threshold", F.lit(max_rmsd))
@@ -166,16 +172,11 @@ def assign_ids(df: DataFrame, protein: str, tag: str, order: str, cell: Column)
     return x.withColumn("complex_id", F.format_string(f"%s_{tag}_%06d", F.col(protein), F.col("_n"))).drop("_n")
 
 
-def seed_pairs(df: DataFrame, by: list[str], seed: str, columns: list[str], n_seeds: int) -> DataFrame:
-    """Every seed next to each other seed of its complex.
-
-    Seeds are numbered below ``n_seeds``, so a row meets at most ``n_seeds - 1`` partners;
-    partners are found by an equi-join on the seed number.
-    """
+def seed_pairs(df: DataFrame, by: list[str], seed: str, columns: list[str]) -> DataFrame:
+    """Every seed next to each other seed of its complex, whatever the seeds' numbers."""
     one = S.first_per(df, [*by, seed], [F.col(c) for c in columns])
     other = one.select(*by, F.col(seed).alias("other"), *[F.col(c).alias(f"other_{c}") for c in columns])
-    x = one.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1)))).filter(F.col("other") != F.col(seed))
-    return x.join(other.withColumn("other", F.col("other").cast("int")), [*by, "other"])
+    return one.join(other, by).filter(F.col("other") != F.col(seed))
 
 
 def _superposed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -202,16 +203,16 @@ def superposed_rmsd(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out).where(sizes > 0, None)
 
 
-def pose_rmsd(df: DataFrame, by: list[str], seed: str, coords: str, n_seeds: int) -> DataFrame:
+def pose_rmsd(df: DataFrame, by: list[str], seed: str, coords: str) -> DataFrame:
     """Mean superposed RMSD over all seed pairs of a complex."""
-    pairs = seed_pairs(df, by, seed, [coords], n_seeds).filter(F.col(seed) < F.col("other"))
+    pairs = seed_pairs(df, by, seed, [coords]).filter(F.col(seed) < F.col("other"))
     each = pairs.withColumn("rmsd", superposed_rmsd(coords, f"other_{coords}"))
     return each.groupBy(*by).agg(F.avg("rmsd").alias("mean_rmsd"), F.count("rmsd").alias("n_pairs"))
 
 
-def relax_delta(df: DataFrame, by: list[str], seed: str, coords: str, n_seeds: int) -> DataFrame:
+def relax_delta(df: DataFrame, by: list[str], seed: str, coords: str) -> DataFrame:
     """Change of score and repulsion by relaxation; spread of each seed's RMSD to the other seeds."""
-    pairs = seed_pairs(df, by, seed, [coords], n_seeds).withColumn("rmsd", superposed_rmsd(coords, f"other_{coords}"))
+    pairs = seed_pairs(df, by, seed, [coords]).withColumn("rmsd", superposed_rmsd(coords, f"other_{coords}"))
     spread = pairs.groupBy(*by, seed).agg(F.avg("rmsd").alias("rmsd_mean"), F.stddev_pop("rmsd").alias("rmsd_std"))
     change = df.withColumn("d_total", F.col("total_after") - F.col("total_before")).withColumn(
         "d_rep", F.col("rep_after") - F.col("rep_before")

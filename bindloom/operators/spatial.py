@@ -54,7 +54,7 @@ def clash_count(ligand: DataFrame, receptor: DataFrame, by: list[str], radius: f
 
 def min_distance(ligand: DataFrame, receptor: DataFrame, by: list[str], key: list[str], cutoff: float) -> DataFrame:
     """Smallest heavy-atom distance and whether it lies under the cut-off."""
-    near = G.k_nearest(heavy(ligand), heavy(receptor), by, key, "serial", 1, (cutoff * 4, 64.0, 1e6))
+    near = G.k_nearest(heavy(ligand), heavy(receptor), by, key, "serial", 1, (cutoff * 4, 64.0))
     d = F.sqrt(F.min("d2"))
     return near.groupBy(*by).agg(d.alias("min_distance"), (d < cutoff).alias("has_clash"))
 

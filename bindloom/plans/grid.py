@@ -32,21 +32,29 @@ def within_radius(left: DataFrame, right: DataFrame, by: list[str], radius: floa
     return joined.withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
 
 
+def _all_partners(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """All (left, right) rows of the same ``by`` keys, with columns as ``within_radius`` gives them."""
+    other = right.select(*by, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in by])
+    d2 = sum(((F.col(v) - F.col(f"r_{v}")) * (F.col(v) - F.col(f"r_{v}")) for v in AXES), F.lit(0.0))
+    return left.join(other, by).withColumn("d2", d2)
+
+
 def k_nearest(
-    left: DataFrame, right: DataFrame, by: list[str], key: list[str], tie: str, k: int, radii: tuple[float, ...] = (8.0, 64.0, 1e6)
+    left: DataFrame, right: DataFrame, by: list[str], key: list[str], tie: str, k: int, radii: tuple[float, ...] = (8.0, 64.0)
 ) -> DataFrame:
     """The ``k`` nearest right rows of every left row, exactly, by growing radii.
 
     A row is settled at the first radius that holds ``k`` partners (or all partners its
-    structure has); only unsettled rows go on to the next radius.
+    structure has); only unsettled rows go on to the next radius. The few rows that no radius
+    settles meet all partners of their structure, however far away.
     """
     totals = right.groupBy(*by).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("_want"))
     todo = left.join(totals, by)
     out = None
-    for i, radius in enumerate(radii):
-        pairs = within_radius(todo, right, by, radius)
+    for i, radius in enumerate((*radii, None)):
+        pairs = _all_partners(todo, right, by) if radius is None else within_radius(todo, right, by, radius)
         best = S.top_k(pairs, [*by, *key], [F.col("d2"), F.col(f"r_{tie}")], k, "rank")
-        if i < len(radii) - 1:
+        if i < len(radii):
             got = best.groupBy(*by, *key).agg(F.count(F.lit(1)).alias("_n"), F.max("_want").alias("_w")).filter("_n >= _w")
             settled = got.select(*by, *key)
             best = best.join(settled, [*by, *key], "left_semi")

@@ -18,9 +18,13 @@ SALTS = 256
 
 
 def coarse(value: Column, steps: int = 1024) -> Column:
-    """Order-preserving bucket of a number on a logarithmic scale (``steps`` per doubling)."""
+    """Order-preserving bucket of a number on a logarithmic scale (``steps`` per doubling).
+
+    NaN is the largest value, as in Spark's order; infinities are beyond all other numbers.
+    """
     v = value.cast("double")
-    return (F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * steps)).cast("long")
+    ends = F.when(F.isnan(v), F.lit(1 << 62)).when(v == float("inf"), F.lit((1 << 62) - 1)).when(v == float("-inf"), F.lit(1 - (1 << 62)))
+    return ends.otherwise((F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * steps)).cast("long"))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -114,7 +118,7 @@ def exact_quantiles(
 
     Equal values are counted before the first shuffle, the cells that hold a wanted rank
     are found from cell counts, and only their rows are sorted. ``weight`` names the count
-    column of rows that are counted already.
+    column of rows that are counted already. NaN is a missing value, as null is.
     """
     keys = list(keys)
     whole = not keys
@@ -122,7 +126,7 @@ def exact_quantiles(
         df, keys = df.withColumn(WHOLE, F.lit(0)), [WHOLE]
     v = F.col("_v")
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_n") if weight is None else F.col(weight).alias("_n"))
-    rows = rows.filter(v.isNotNull())
+    rows = rows.filter(v.isNotNull() & ~F.isnan(v))
     hist = rows if weight else rows.groupBy(*keys, "_v").agg(F.sum("_n").alias("_n"))
     hist = hist.withColumn("_c", coarse(v) if cell is None else cell)
     cells = hist.groupBy(*keys, "_c").agg(F.sum("_n").alias("_m"))
@@ -155,39 +159,15 @@ def exact_quantiles(
     return out.select(*([] if whole else keys), *picked)
 
 
-def joined_cells(
-    df: DataFrame,
-    keys: list[str],
-    values: dict[str, str],
-    sep: str = ";",
-    part_size: int = 10_000,
-) -> DataFrame:
+def joined_cells(df: DataFrame, keys: list[str], values: dict[str, str], sep: str = ";") -> DataFrame:
     """Sorted distinct values of several string columns, joined into one text cell per key.
 
-    Values are made distinct by a partial aggregate before they travel. A key with more
-    than ``part_size`` distinct values gets further rows (``part`` 1, 2, …), so that no
-    cell grows without bound and no value is lost; ordinary keys have only ``part`` 0.
+    Values are made distinct by a partial aggregate before they travel. A key is one row, however
+    many values it has (``part`` is 0); a cell is as large as the distinct values of its key.
     """
     fields = F.explode(
         F.array(*[F.struct(F.lit(name).alias("f"), F.col(src).cast("string").alias("v")) for name, src in values.items()])
     )
-    long = (
-        df.select(*keys, fields.alias("_e"))
-        .select(*keys, "_e.f", "_e.v")
-        .filter(F.trim("v") != "")
-        .distinct()
-    )
-    group = [*keys, "f"]
-    # only groups over the part size pay for ranking; usually there are none
-    large = long.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_size)
-    # outer and inner joins: semi and anti joins would move below the distinct step and repeat it
-    first = null_safe_join(long, large, group, "left").filter(F.col("_n").isNull()).withColumn("part", F.lit(0).cast("long"))
-    rest = ranked(null_safe_join(long, large, group), group, [F.col("v")], [F.substring("v", 1, 3)], "_rn")
-    rest = rest.withColumn("part", F.floor((F.col("_rn") - 1) / part_size).cast("long")).drop("_rn")
-    parts = first.unionByName(rest)
-    return parts.groupBy(*keys, "part").agg(
-        *[
-            F.array_join(F.sort_array(F.collect_list(F.when(F.col("f") == name, F.col("v")))), sep).alias(name)
-            for name in values
-        ]
-    )
+    long = df.select(*keys, fields.alias("_e")).select(*keys, "_e.f", "_e.v").filter(F.trim("v") != "").distinct()
+    cells = [F.array_join(F.sort_array(F.collect_list(F.when(F.col("f") == name, F.col("v")))), sep).alias(name) for name in values]
+    return long.groupBy(*keys).agg(F.lit(0).cast("long").alias("part"), *cells)

@@ -130,7 +130,7 @@ def parse_fasta(lines: DataFrame) -> DataFrame:
     head = v.startswith(">")
     x = number_records(lines, head).filter("rec > 0")
     text = F.when(~head & (v != ""), v)
-    out = x.groupBy("file", "rec").agg(F.max(F.when(head, F.substring(v, 2, 1_000_000))).alias("header"), _joined(text).alias("sequence"))
+    out = x.groupBy("file", "rec").agg(F.max(F.when(head, F.substr(v, F.lit(2)))).alias("header"), _joined(text).alias("sequence"))
     return out.select("file", (F.col("rec") - 1).alias("idx"), "header", "sequence")
 
 

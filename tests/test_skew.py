@@ -50,12 +50,18 @@ def test_large_top_k(spark, hot):
     assert [r.id for r in sorted(got, key=lambda r: r.rn)] == want
 
 
-def test_joined_cells_in_parts(spark):
-    df = spark.createDataFrame([("a", f"x{i:03d}") for i in range(25)] * 2 + [("b", "y"), ("b", " ")], "k string, v string")
-    rows = S.joined_cells(df, ["k"], {"ids": "v"}, part_size=10).orderBy("k", "part").collect()
-    assert [(r.k, r.part) for r in rows] == [("a", 0), ("a", 1), ("a", 2), ("b", 0)]
-    assert ";".join(r.ids for r in rows[:3]) == ";".join(f"x{i:03d}" for i in range(25))
-    assert rows[3].ids == "y"
+def test_a_key_with_many_values_stays_one_row(spark):
+    df = spark.range(10_050).selectExpr("'a' AS k", "concat('x', lpad(id, 5, '0')) AS v").unionByName(spark.createDataFrame([("b", "y"), ("b", " ")], "k string, v string"))
+    rows = S.joined_cells(df.unionByName(df), ["k"], {"ids": "v"}).orderBy("k").collect()
+    assert [r.k for r in rows] == ["a", "b"] and rows[1].ids == "y"
+    assert rows[0].ids == ";".join(f"x{i:05d}" for i in range(10_050))
+
+
+def test_nan_is_missing_for_quantiles_and_last_in_ranks(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(9)] + [(9, float("nan")), (10, None), (11, float("inf"))], "id int, v double")
+    assert S.exact_quantiles(df.filter("id < 11"), [], "v", {"med": 0.5}).collect()[0].med == 4.0
+    got = S.ranked(df.filter("id <> 10"), [], [F.col("v")], [S.coarse(F.col("v"))], "rn").orderBy("rn").collect()
+    assert [r.id for r in got] == [*range(9), 11, 9]
 
 
 def _points(rng, n, name):
@@ -80,9 +86,9 @@ def test_within_radius(spark):
 def test_k_nearest_reaches_far_points(spark):
     rng = np.random.default_rng(2)
     a, b = _points(rng, 40, "p"), _points(rng, 120, "q")
-    a.loc[:3, ["x", "y", "z"]] = 500.0  # nothing within the first radii
+    a.loc[:3, ["x", "y", "z"]] = 3e6  # nothing within the first radii
     b = b[(b.s != 2) | (b.q < 40)]
-    got = G.k_nearest(spark.createDataFrame(a), spark.createDataFrame(b), ["s"], ["p"], "q", 4, (3.0, 20.0, 1e6)).select("p", "r_q", "rank").toPandas()
+    got = G.k_nearest(spark.createDataFrame(a), spark.createDataFrame(b), ["s"], ["p"], "q", 4, (3.0, 20.0)).select("p", "r_q", "rank").toPandas()
     d = _distances(a, b, "p", "q").sort_values(["d2", "q"])
     d["rank"] = d.groupby("p").cumcount() + 1
     want = d[d["rank"] <= 4]
