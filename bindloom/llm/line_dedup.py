@@ -7,7 +7,7 @@ on every line. For a Jaccard threshold t, sets of n <= m tokens can only match i
 before and behind the shared one can still make up the overlap (position). Pairs that pass are
 verified on the whole sets. A line goes if an earlier line matches it.
 
-Lines that are equal are one class, found by their hash. A class is compared with the earliest class
+Lines that are equal but for case are one class, found by their hash. A class is compared with the earliest class
 at each of its shared tokens first; only classes without a match there meet all earlier ones.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bindloom.llm.common import written
 
 WORDS = 5  # per shingle; lines of fewer words are never judged
-CELL_BITS = 20  # shingles are counted in 2^20 hashed cells
+CELL_BITS = 18  # shingles are counted in 2^18 hashed cells
 INNER_BITS = 10
 c = F.col
 
@@ -63,8 +63,8 @@ def _lines(df: DataFrame) -> DataFrame:
     blank = " \t\x0b\x0c\r"
     words = F.split(F.btrim(F.lower("line"), F.lit(blank)), f"[{blank}]+")
     lines = df.select("_id", F.xxhash64("_text").alias("th"), F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
-    lines = lines.select("_id", "th", "line_no", words.alias("words")).filter(F.size("words") >= WORDS)
-    return lines.withColumn("h", F.xxhash64("words"))
+    lines = lines.filter(c("line").rlike(f"(?:[^{blank}]++[{blank}]++){{{WORDS - 1}}}[^{blank}]"))
+    return lines.select("_id", "th", "line_no", F.xxhash64(F.lower("line")).alias("h"), words.alias("words"))
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -133,8 +133,9 @@ def removed_lines(df: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     classes = written(places.groupBy("h").agg(F.min(order).alias("first")), "line-classes")
     postings = written(few.join(classes, "h"), "line-postings")
     keys = postings.select("h").distinct()
-    sets = lines.filter(_bits(keys, "h")("h")).join(keys, "h", "left_semi").groupBy("h").agg(F.first(_shingles(c("words"))).alias("s"))
-    sets = written(sets, "line-sets")
+    # one line per class and task travels
+    texts = lines.filter(_bits(keys, "h")("h")).groupBy("h").agg(F.first("words").alias("words"))
+    sets = written(texts.join(keys, "h", "left_semi").select("h", _shingles(c("words")).alias("s")), "line-sets")
 
     # the earliest class at each shared token
     earliest = postings.groupBy("token").agg(F.min(F.struct("first", "h", "n", "pos")).alias("e"))
@@ -160,7 +161,7 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
 
     Lines end at a line feed; words are what blanks, tabs, carriage returns and form feeds separate,
     all lower-cased. A line of at least five words goes if an earlier line, in the order of id and
-    line number, has the same words in the same order or five-word shingles with a Jaccard similarity of at
+    line number, is equal but for case or has five-word shingles with a Jaccard similarity of at
     least num/den (default 0.8), whether that earlier line stays itself or not. The other lines,
     blank and short ones included, stay as they are and in their order. ``n_worded`` counts
     the lines left that hold anything but white space.
@@ -173,17 +174,18 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
     names = [x for x in (df.columns if keep is None else keep) if x.lower() not in new]
     quoted = lambda x: c("`" + x.replace("`", "``") + "`")
     flat = df.select(quoted(doc_id).alias("_id"), quoted(text).alias("_text"), *[quoted(x).alias(f"_k{i}") for i, x in enumerate(names)])
-    found = removed_lines(flat.select("_id", "_text"), num, den).withColumnsRenamed({"_id": "_rid", "th": "_rth"})
+    found = removed_lines(flat.select("_id", "_text"), num, den).select(c("_id").alias("_rid"), c("th").alias("_rth"), c("removed").alias("_gone"))
     flat = flat.withColumn("_th", F.xxhash64("_text"))
     both = flat.join(found, c("_id").eqNullSafe(c("_rid")) & (c("_th") == c("_rth")), "left")
     lines = F.split("_text", "\n")
-    gone = F.coalesce("removed", F.array().cast("array<int>"))
+    gone = F.coalesce("_gone", F.array().cast("array<int>"))
     bounds = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
     # the runs of lines between removed ones
     between = F.transform(F.sequence(F.lit(0), F.size(gone)), lambda j: F.slice(lines, F.get(bounds, j) + 2, F.get(bounds, j + 1) - F.get(bounds, j) - 1))
     left = F.when(F.size(gone) == 0, lines).otherwise(F.flatten(between))
     kept = F.when(F.size(gone) == 0, c("_text")).otherwise(F.array_join(left, "\n"))
     worded = F.size(F.filter(left, lambda x: x.rlike("[^ \\t\\x0B\\f\\r]")))
-    columns = [kept.alias(x) if x == text else c(f"_k{i}").alias(x) for i, x in enumerate(names)]
-    count = F.when(c("_text").isNull(), 0).otherwise(F.size(lines))
-    return both.select(*columns, count.alias("n_lines"), F.size(gone).alias("n_removed"), F.when(c("_text").isNull(), 0).otherwise(worded).alias("n_worded"))
+    count = F.when(c("_text").isNull(), 0).otherwise(F.size(lines)).alias("_n0")
+    both = both.select("*", kept.alias("_kept"), count, F.size(gone).alias("_n1"), F.when(c("_text").isNull(), 0).otherwise(worded).alias("_n2"))
+    columns = [c("_kept" if x == text else f"_k{i}").alias(x) for i, x in enumerate(names)]
+    return both.select(*columns, *[c(f"_n{i}").alias(x) for i, x in enumerate(new)])

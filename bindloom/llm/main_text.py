@@ -9,7 +9,7 @@ are left out first. For every node that is left
 with C characters and T tags in its subtree and LC, LT those inside links (zeros count as one):
 characters per tag, lowered where the text is link text. The density sum of a node adds up the
 densities of its children; a run of text directly in the node is a child of one tag. The node with
-the largest sum holds the article. The threshold is the least density on its path to the body: a
+the largest sum, or the container around it if it is a paragraph, list or the like, holds the article. The threshold is the least density on its path to the body: a
 neighbour of the path stays if its density reaches it, or if it is a heading.
 """
 
@@ -42,6 +42,7 @@ DROPPED_WORDS = frozenset(
 )
 KEPT_TAGS = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("html body main article section div td center".split())
 CLOSED_BY = {  # an open element of the first kind ends where one of the second kind begins
     "p": frozenset(
         "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
@@ -216,6 +217,8 @@ def main_text(html: str) -> str:
         return ""
     within = [n for n in tree.nodes if not n.dropped and n.chars]
     best = max(within, key=lambda n: n.total)
+    while best.tag not in CONTAINERS and best.parent is not None:  # a paragraph brings its neighbours
+        best = best.parent
     path = [best]
     while path[-1].parent is not None and path[-1] is not body:
         path.append(path[-1].parent)

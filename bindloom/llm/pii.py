@@ -10,6 +10,8 @@ behind them that no base pattern matches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindloom.llm.common import written
@@ -43,16 +45,27 @@ def _running(lengths: Column) -> Column:
     return F.aggregate(steps, lengths, add)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs in it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of all matches, in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
-    ends = _running(both)
-    spans = F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
-    nothing = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    """Array of (start, end, value, before) of all matches, in code points, end exclusive.
+
+    ``before`` holds up to 200 characters between the match before and this one."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    # there is one gap more than there are matches
+    both = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("value"), F.length(g).alias("gap"), F.substring(g, -200, 200).alias("before")))
+    both = F.filter(both, lambda s: s["value"].isNotNull())
+
+    def placed(m: Column) -> Column:
+        ends = _running(F.transform(m, lambda s: (s["gap"] + F.length(s["value"])).cast("long")))
+        return F.zip_with(ends, m, lambda e, s: F.struct((e - F.length(s["value"])).alias("start"), e.alias("end"), s["value"].alias("value"), s["before"].alias("before")))
+
+    nothing = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>")
     # most texts have no match: they skip the sums
-    return F.when(text.rlike(pattern), spans).otherwise(nothing)
+    return F.when(text.rlike(pattern), _bound(both, placed)).otherwise(nothing)
 
 
 def _digits(value: Column) -> Column:
@@ -99,18 +112,16 @@ def _plausible(kind: Column, value: Column) -> Column:
 
 def _candidates(text: Column) -> Column:
     """Candidates with the text before them, trimmed of quotes and punctuation at both ends."""
-    found = _located(text, CANDIDATE)
-    gaps = F.split(text, CANDIDATE, -1)
-    opening = r"^[\"'(\[{<]*"
-    closing = r"[\"')\]}>.,;:!?]*$"
-
-    def cut(s: Column, i: Column) -> Column:
-        inner = F.regexp_replace(F.regexp_replace(s["value"], opening, ""), closing, "")
-        start = s["start"] + F.length(F.regexp_extract(s["value"], opening, 0))
-        context = F.lower(F.regexp_replace(F.regexp_extract(F.get(gaps, i), r"(?:[^\s]+\s+)?[^\s]+\s*$", 0), r"[\s]+", " "))
+    opening, closing = F.lit("\"'([{<"), F.lit("\"')]}>.,;:!?")
+
+    def cut(s: Column) -> Column:
+        tail = F.ltrim(s["value"], opening)
+        start = s["end"] - F.length(tail)
+        inner = F.rtrim(tail, closing)
+        context = F.lower(F.regexp_replace(F.regexp_extract(s["before"], r"(?:[^\s]+\s+)?[^\s]+\s*$", 0), r"[\s]+", " "))
         return F.struct(start.alias("start"), (start + F.length(inner)).alias("end"), inner.alias("value"), F.trim(context).alias("pattern"))
 
-    return F.filter(F.transform(found, cut), lambda s: (F.length(s["value"]) > 0) & (F.length(s["pattern"]) > 0))
+    return F.filter(F.transform(_located(text, CANDIDATE), cut), lambda s: (F.length(s["value"]) > 0) & (F.length(s["pattern"]) > 0))
 
 
 def _numbered(spans: Column, k: int) -> Column:
