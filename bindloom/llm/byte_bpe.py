@@ -30,10 +30,29 @@ def ranks_of_pairs(ranks: dict[bytes, int]) -> list[int]:
     return [ranks.get(bytes([i >> 8, i & 255]), -1) for i in range(1 << 16)]
 
 
+class Remembered:
+    """Values of recent keys, in two generations: a full one becomes the old one, and what is used again moves on."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def again(self, key):
+        """Value of a key that is not among the young ones, or None."""
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class ByteBpe:
     """Encoder and decoder over ``ranks`` (token bytes to id, the id being the merge rank)."""
 
-    CACHE = 500_000  # pieces and chunks kept per worker; an eviction only costs time
+    CACHE = 500_000  # pieces and chunks per generation and worker; an eviction only costs time
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -41,8 +60,8 @@ class ByteBpe:
         self.longest = max(map(len, ranks))
         self.pairs = ranks_of_pairs(ranks)
         self.bytes_of = {str(i): t for t, i in ranks.items()}
-        self.pieces: dict[str, str] = {}
-        self.chunks: dict[str, str] = {}
+        self.pieces = Remembered(self.CACHE)
+        self.chunks = Remembered(self.CACHE)
         self.odd = re.compile(r" \s|\s \Z").search
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -111,13 +130,11 @@ class ByteBpe:
         """Ids of a text by its pattern matches, joined by blanks."""
         pieces, out = self.pieces, []
         for piece in self.split(text):
-            ids = pieces.get(piece)
+            ids = pieces.young.get(piece) or pieces.again(piece)
             if ids is None:
                 ids = " ".join(map(str, self.encode_piece(piece.encode())))
                 if len(piece) <= 64:
-                    if len(pieces) >= self.CACHE:
-                        pieces.clear()
-                    pieces[piece] = ids
+                    pieces.put(piece, ids)
             out.append(ids)
         return " ".join(out)
 
@@ -135,13 +152,11 @@ class ByteBpe:
         chunks = self.chunks
         out = [self._joined(first)] if first else []
         for part in rest:
-            ids = chunks.get(part)
+            ids = chunks.young.get(part) or chunks.again(part)
             if ids is None:
                 ids = self._joined(" " + part)
                 if len(part) <= 64:
-                    if len(chunks) >= self.CACHE:
-                        chunks.clear()
-                    chunks[part] = ids
+                    chunks.put(part, ids)
             out.append(ids)
         return " ".join(out)
 
