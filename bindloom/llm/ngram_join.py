@@ -242,11 +242,11 @@ class Join:
                     keys.append(k)
                     sizes.append(m)
                     parts.append(np.bincount((grams & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).tolist())
-                    sets.append(grams.tobytes())
-                columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.array(sets, pa.binary())]
+                    sets.append(grams.view(np.int64))
+                columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "parts", "grams"])
 
-        return self.source.select("_text").mapInArrow(run, "key long, n long, parts array<int>, grams binary")
+        return self.source.select("_text").mapInArrow(run, "key long, n long, parts array<int>, grams array<long>")
 
     def _may_link(self, n: Column, pos: Column, m: Column, at: Column) -> Column:
         """Length and position filters for sizes n and m with a shared token at pos and at."""
@@ -269,19 +269,8 @@ class Join:
         one = near.join(self.sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a")
         both = one.join(self.sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = []
-                for x, y in zip(batch.column(2), batch.column(3)):
-                    x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                    merged = np.concatenate([x, y])
-                    merged.sort()
-                    o = int((merged[1:] == merged[:-1]).sum())
-                    ok.append(o * den >= (len(x) + len(y) - o) * num)
-                keep = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-        return both.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+        overlap = F.size(F.array_intersect("ga", "gb"))
+        return both.withColumn("o", overlap).filter(F.col("o") * den >= (F.size("ga") + F.size("gb") - F.col("o")) * num).select("a", "b")
 
     def _all_pairs(self, postings: DataFrame, apart: bool) -> DataFrame:
         """Distinct pairs (a < b) that share a prefix token and pass the filters; of two components, with ``apart``."""
@@ -310,7 +299,7 @@ class Join:
         pairs = best.select("key", F.explode("best.b").alias("b"))
         return pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
 
-    def classes(self, rounds: int = 3, partners: int = 4) -> DataFrame:
+    def classes(self, rounds: int = 2, partners: int = 4) -> DataFrame:
         """(key, comp) of the classes that have links; the component is its least key."""
         links = checked = comps = None
         for turn in range(rounds + 1):
