@@ -186,7 +186,7 @@ class ChunkEncoder:
     line ends have the same ids alone and in the text.
     """
 
-    CACHE = 400_000  # parts kept per worker; an eviction only costs time
+    CACHE = 500_000  # parts per generation and worker; an eviction only costs time
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -196,15 +196,16 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.width = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
+        self.known, self.old = {}, {}  # a full table of ids becomes the old one
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        missing = list({p for parts in split for p in parts if p not in known})
-        if len(known) + len(missing) > self.CACHE:
-            known.clear()
-            missing = list({p for parts in split for p in parts})
+        if len(self.known) >= self.CACHE:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = {p for parts in split for p in parts if p not in known}
+        missing = [p for p in new if p not in old]
+        known.update((p, old[p]) for p in new if p in old)
         if missing:
             for part, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
                 known[part] = np.array(found.ids, self.width).tobytes()
