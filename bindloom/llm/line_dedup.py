@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bindloom.llm.common import written
 
 WORDS = 5  # per shingle; lines of fewer words are never judged
-CELL_BITS = 18  # shingles are counted in 2^18 hashed cells
+CELL_BITS = 16  # shingles are counted in 2^16 hashed cells
 INNER_BITS = 10
 c = F.col
 
@@ -59,27 +59,26 @@ def _bits(df: DataFrame, column: str, bits: int = 24) -> Callable[[str], Column]
 
 
 def _lines(df: DataFrame) -> DataFrame:
-    """(_id, th, line_no, h, words) of all lines of at least five words."""
-    blank = " \t\x0b\x0c\r"
-    words = F.split(F.btrim(F.lower("line"), F.lit(blank)), f"[{blank}]+")
+    """(_id, th, line_no, h, line) of all lines, lower-cased; ``h`` is the class of a line."""
     lines = df.select("_id", F.xxhash64("_text").alias("th"), F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
-    lines = lines.filter(c("line").rlike(f"(?:[^{blank}]++[{blank}]++){{{WORDS - 1}}}[^{blank}]"))
-    return lines.select("_id", "th", "line_no", F.xxhash64(F.lower("line")).alias("h"), words.alias("words"))
+    lines = lines.withColumn("line", F.lower("line"))
+    return lines.select("_id", "th", "line_no", F.xxhash64("line").alias("h"), "line")
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it occurs in it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _words(line: Column) -> Column:
+    """Words of a line; only a line with other separators than single blanks needs the regular expression."""
+    blank = " \t\x0b\x0c\r"
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for mark in ["  ", *blank[1:]]:
+        odd = odd | F.contains(line, F.lit(mark))
+    return F.when(odd, F.split(F.btrim(line, F.lit(blank)), f"[{blank}]+")).otherwise(F.split(line, " "))
 
 
 def _shingles(words: Column) -> Column:
-    """Distinct 64-bit hashes of five words in a row."""
-
-    def hashes(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(w) - WORDS)
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)])))
-
-    return _bound(words, hashes)
+    """64-bit hashes of five words in a row, in their order."""
+    n = F.greatest(F.size(words) - WORDS + 1, F.lit(0))
+    runs = F.arrays_zip(*[F.slice(words, F.lit(k + 1), n) for k in range(WORDS)])
+    return F.transform(runs, lambda run: F.xxhash64(run))
 
 
 def _cell_of(shingle: Column) -> Column:
@@ -88,22 +87,33 @@ def _cell_of(shingle: Column) -> Column:
 
 def _rarity(lines: DataFrame) -> Column:
     """Level (0 to 127) of every cell of shingle hashes."""
-    cells = lines.select(F.explode(_shingles(c("words"))).alias("s")).groupBy(_cell_of(c("s")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    words = lines.select(_words(c("line")).alias("words"))
+    # an explode with the hash behind it compiles into one loop, unlike a lambda over the words
+    last = F.size("words") - WORDS
+    at = words.select("words", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
+    shingle = F.xxhash64(*[F.get("words", c("i") + k) for k in range(WORDS)])
+    cells = at.groupBy(_cell_of(shingle).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.lit(127), F.floor(F.log2(c("n") + 1) * 4))
     return _cells(cells, "cell", level, CELL_BITS, "tinyint", 0)
 
 
 def _entries(lines: DataFrame, levels: Column, num: int, den: int) -> DataFrame:
-    """(token, h, n, pos) of the prefix tokens; sets that cannot match another set have none."""
+    """(_id, th, line_no, h, n, prefix) of the lines of five words or more: number of tokens, first tokens.
+
+    Sets that cannot match another set have no prefix."""
 
     def token(s: Column) -> Column:
         return F.shiftleft(_at(c("_levels"), _cell_of(s)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(s, 8))
 
-    # a scalar may not be written inside a lambda; as a column of its own it merges into the next step
-    tokens = lines.withColumn("_levels", levels).select("h", F.sort_array(F.transform(_shingles(c("words")), token)).alias("tokens"))
-    tokens = tokens.withColumn("n", F.size("tokens")).filter((den - num) * c("n") >= num)
-    prefix = c("n") - F.ceil(c("n") * num / F.lit(den)).cast("int") + 1
-    return tokens.select("h", "n", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token"))
+    at = ["_id", "th", "line_no", "h"]
+    # every step is its own projection and no filter follows, so that nothing is computed twice;
+    # a scalar may not be written inside a lambda, as a column of its own it merges into the next step
+    hashes = lines.select(*at, _words(c("line")).alias("words")).select(*at, _shingles(c("words")).alias("s"))
+    tokens = hashes.withColumn("_levels", levels)
+    tokens = tokens.select(*at, F.sort_array(F.array_distinct(F.transform("s", lambda s: F.coalesce(token(s), F.lit(0))))).alias("tokens"))
+    n = F.size("tokens")
+    first = F.when((den - num) * n >= num, n - F.ceil(n * num / F.lit(den)).cast("int") + 1).otherwise(0)
+    return tokens.select(*at, n.alias("n"), F.slice("tokens", F.lit(1), first).alias("prefix"))
 
 
 def _may_match(n: Column, pos: Column, m: Column, at: Column, num: int, den: int) -> Column:
@@ -125,17 +135,22 @@ def removed_lines(df: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """(_id, th, removed) for texts (_id, _text): ascending numbers of the lines that go."""
     lines = _lines(df)
     order = F.struct("_id", "th", "line_no")
-    entries = written(_entries(lines, _rarity(lines), num, den), "line-tokens")
-    shared = entries.groupBy("token").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("token")
-    shared = written(shared, "line-shared")
-    few = entries.filter(_bits(shared, "token")("token")).join(shared, "token", "left_semi").distinct()
-    places = lines.select("h", "_id", "th", "line_no")
+    table = written(_entries(lines, _rarity(lines), num, den), "line-tokens")
+    table = table.filter("n > 0")
+    places = table.select("h", "_id", "th", "line_no")
+    entries = table.select("h", "n", F.posexplode("prefix").alias("pos", "token"))
+    # first the tokens of several lines, then those of several classes
+    repeated = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token"), "line-repeated")
+    few = entries.filter(_bits(repeated, "token")("token")).join(repeated, "token", "left_semi").distinct()
+    few = written(few, "line-few")
+    shared = few.groupBy("token").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("token")
     classes = written(places.groupBy("h").agg(F.min(order).alias("first")), "line-classes")
-    postings = written(few.join(classes, "h"), "line-postings")
+    postings = written(few.join(shared, "token", "left_semi").join(classes, "h"), "line-postings")
     keys = postings.select("h").distinct()
     # one line per class and task travels
-    texts = lines.filter(_bits(keys, "h")("h")).groupBy("h").agg(F.first("words").alias("words"))
-    sets = written(texts.join(keys, "h", "left_semi").select("h", _shingles(c("words")).alias("s")), "line-sets")
+    texts = lines.filter(_bits(keys, "h")("h")).groupBy("h").agg(F.first("line").alias("line"))
+    words = texts.join(keys, "h", "left_semi").select("h", _words(c("line")).alias("words"))
+    sets = written(words.select("h", F.array_distinct(_shingles(c("words"))).alias("s")), "line-sets")
 
     # the earliest class at each shared token
     earliest = postings.groupBy("token").agg(F.min(F.struct("first", "h", "n", "pos")).alias("e"))
