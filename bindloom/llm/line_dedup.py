@@ -60,8 +60,9 @@ def _bits(df: DataFrame, column: str, bits: int = 24) -> Callable[[str], Column]
 
 def _lines(df: DataFrame) -> DataFrame:
     """(_id, th, line_no, h, line) of all lines, lower-cased; ``h`` is the class of a line."""
-    lines = df.select("_id", F.xxhash64("_text").alias("th"), F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.lower("line"))
+    # the hash of the text first: behind the explode it would be computed once per line
+    texts = df.select("_id", F.xxhash64("_text").alias("th"), F.split("_text", "\n").alias("lines"))
+    lines = texts.select("_id", "th", F.posexplode("lines").alias("line_no", "line")).withColumn("line", F.lower("line"))
     return lines.select("_id", "th", "line_no", F.xxhash64("line").alias("h"), "line")
 
 
@@ -191,16 +192,18 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
     flat = df.select(quoted(doc_id).alias("_id"), quoted(text).alias("_text"), *[quoted(x).alias(f"_k{i}") for i, x in enumerate(names)])
     found = removed_lines(flat.select("_id", "_text"), num, den).select(c("_id").alias("_rid"), c("th").alias("_rth"), c("removed").alias("_gone"))
     flat = flat.withColumn("_th", F.xxhash64("_text"))
-    both = flat.join(found, c("_id").eqNullSafe(c("_rid")) & (c("_th") == c("_rth")), "left")
-    lines = F.split("_text", "\n")
+    # found is small beside the texts: hashed, so that no texts are sorted
+    both = flat.join(found.hint("shuffle_hash"), c("_id").eqNullSafe(c("_rid")) & (c("_th") == c("_rth")), "left")
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    bounds = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+    both = both.withColumn("_gone", gone).withColumn("_lines", F.when(F.size(gone) > 0, F.split("_text", "\n")))
+    both = both.withColumn("_n1", F.size("_gone")).withColumn("_stops", F.concat(F.array(F.lit(-1)), "_gone", F.array(F.size("_lines"))))
     # the runs of lines between removed ones
-    between = F.transform(F.sequence(F.lit(0), F.size(gone)), lambda j: F.slice(lines, F.get(bounds, j) + 2, F.get(bounds, j + 1) - F.get(bounds, j) - 1))
-    left = F.when(F.size(gone) == 0, lines).otherwise(F.flatten(between))
-    kept = F.when(F.size(gone) == 0, c("_text")).otherwise(F.array_join(left, "\n"))
-    worded = F.size(F.filter(left, lambda x: x.rlike("[^ \\t\\x0B\\f\\r]")))
-    count = F.when(c("_text").isNull(), 0).otherwise(F.size(lines)).alias("_n0")
-    both = both.select("*", kept.alias("_kept"), count, F.size(gone).alias("_n1"), F.when(c("_text").isNull(), 0).otherwise(worded).alias("_n2"))
+    run = lambda j: F.slice("_lines", F.get("_stops", j) + 2, F.get("_stops", j + 1) - F.get("_stops", j) - 1)
+    left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), c("_n1")), run)), "\n")
+    both = both.withColumn("_kept", F.when(c("_n1") == 0, c("_text")).otherwise(left))
+    count = F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1
+    both = both.withColumn("_n0", F.when(c("_text").isNull(), 0).otherwise(count))
+    worded = F.size(F.filter(F.split("_kept", "\n"), lambda x: x.rlike("[^ \\t\\x0B\\f\\r]")))
+    both = both.withColumn("_n2", F.when(c("_text").isNull(), 0).otherwise(worded))
     columns = [c("_kept" if x == text else f"_k{i}").alias(x) for i, x in enumerate(names)]
     return both.select(*columns, *[c(f"_n{i}").alias(x) for i, x in enumerate(new)])
