@@ -105,6 +105,14 @@ def test_line_dedup(spark):
     assert {r.doc_id: r.text for r in got} == plain_lines(rows) and sum(r.n_removed for r in got) > 10
 
 
+def test_line_dedup_of_other_separators(spark):
+    words = [f"w{i}" for i in range(12)]
+    forms = [" ".join(words), "\t".join(words), "  ".join(words), " " + " ".join(words) + " ", " ".join(words).upper() + "\r", "\x0b \f".join(words)]
+    rows = [(i, x) for i, x in enumerate([*forms, " ".join(words[:4]), "\t".join(words[:4])])]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 0, 7: 0}
+
+
 def test_line_dedup_of_odd_rows(odd, nothing):
     got = line_dedup.dedup_lines(odd).collect()
     assert len(got) == len(ROWS)
