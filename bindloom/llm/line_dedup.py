@@ -7,7 +7,8 @@ on every line. For a Jaccard threshold t, sets of n <= m tokens can only match i
 before and behind the shared one can still make up the overlap (position). Pairs that pass are
 verified on the whole sets. A line goes if an earlier line matches it.
 
-Lines that are equal but for case are one class, found by their hash. A class is compared with the earliest class
+Lines that are equal but for case are one class, found by their hash. Sets too small to match any but an
+equal one have no prefix: their class is the hash of the set, whatever the separators or repeats. A class is compared with the earliest class
 at each of its shared tokens first; only classes without a match there meet all earlier ones.
 """
 
@@ -101,7 +102,7 @@ def _rarity(lines: DataFrame) -> Column:
 def _entries(lines: DataFrame, levels: Column, num: int, den: int) -> DataFrame:
     """(_id, th, line_no, h, n, prefix) of the lines of five words or more: number of tokens, first tokens.
 
-    Sets that cannot match another set have no prefix."""
+    Sets that can only match an equal set have no prefix; their class ``h`` is the hash of the set."""
 
     def token(s: Column) -> Column:
         return F.shiftleft(_at(c("_levels"), _cell_of(s)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(s, 8))
@@ -111,10 +112,12 @@ def _entries(lines: DataFrame, levels: Column, num: int, den: int) -> DataFrame:
     # a scalar may not be written inside a lambda, as a column of its own it merges into the next step
     hashes = lines.select(*at, _words(c("line")).alias("words")).select(*at, _shingles(c("words")).alias("s"))
     tokens = hashes.withColumn("_levels", levels)
-    tokens = tokens.select(*at, F.sort_array(F.array_distinct(F.transform("s", lambda s: F.coalesce(token(s), F.lit(0))))).alias("tokens"))
+    tokens = tokens.select(*at, "s", F.sort_array(F.array_distinct(F.transform("s", lambda s: F.coalesce(token(s), F.lit(0))))).alias("tokens"))
     n = F.size("tokens")
     first = F.when((den - num) * n >= num, n - F.ceil(n * num / F.lit(den)).cast("int") + 1).otherwise(0)
-    return tokens.select(*at, n.alias("n"), F.slice("tokens", F.lit(1), first).alias("prefix"))
+    whole = F.xxhash64(F.sort_array(F.array_distinct("s")))
+    h = F.when(first == 0, whole).otherwise(c("h"))
+    return tokens.select("_id", "th", "line_no", h.alias("h"), n.alias("n"), F.slice("tokens", F.lit(1), first).alias("prefix"))
 
 
 def _may_match(n: Column, pos: Column, m: Column, at: Column, num: int, den: int) -> Column:

@@ -113,6 +113,16 @@ def test_line_dedup_of_other_separators(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 0, 7: 0}
 
 
+def test_line_dedup_of_few_shingles(spark):
+    lines = [" ".join(f"w{n}x{i}" for i in range(n)) for n in (5, 6, 7)] + ["- - - - -", "a b a b a b a b a"]
+    forms = [lambda x: x, lambda x: x.replace(" ", "\t"), lambda x: x.replace(" ", "  "), lambda x: "  " + x, lambda x: x.upper() + "\r", lambda x: x + " "]
+    rows = [(100 * k + i, f(x)) for k, x in enumerate(lines) for i, f in enumerate(forms)]
+    rows += [(900, "- - - - - - -"), (901, "- " * 40), (902, "b a b a b a"), (903, "w5x0 w5x1 w5x2 w5x3 w5x5"), (904, "w7x0 w7x1 w7x2 w7x3 w7x4 w7x5")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.text for r in got} == plain_lines(rows)
+    assert {r.doc_id for r in got if not r.n_removed} == {0, 100, 200, 300, 400, 903, 904}
+
+
 def test_line_dedup_of_odd_rows(odd, nothing):
     got = line_dedup.dedup_lines(odd).collect()
     assert len(got) == len(ROWS)
