@@ -5,8 +5,10 @@ its bucket is the nearest signed axis. Every table has signs of its own. A query
 the buckets of its largest signed coordinates, and meets the vectors there in blocks: one matrix
 product per block gives the inner products of the original vectors, from which the best are kept.
 
-For the largest inner product among vectors of different norms, vectors get one more coordinate that
-fills their norm up to the largest norm, queries a zero; then the nearest direction is the largest product.
+For the largest inner product among vectors of different norms, vectors are parted into bands whose norms
+differ by at most a quarter of a power of two, so that inside a band the nearest direction is about the
+largest product. Every band has buckets of its own and every query probes all bands of its length. A band
+with no more vectors than buckets is one bucket, which every query meets.
 Equal vectors are one class, of which no more ids travel than a result can hold. Large buckets are
 cut into blocks of at most ``BLOCK`` vectors and queries, so no task holds a whole bucket.
 """
@@ -37,20 +39,18 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def _unit(x: np.ndarray, largest: float | None) -> np.ndarray:
-    """Rows as unit vectors, padded to a power of two; with ``largest``, data rows filled up to that norm."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors, padded to a power of two."""
     n, d = x.shape
-    norms = np.linalg.norm(x, axis=1)
-    width = 1 << max(1, (d + (largest is not None) - 1).bit_length())
-    out = np.zeros((n, width))
-    if largest is None:
-        out[:, :d] = x / norms[:, None]
-    else:
-        out[:, :d] = x / largest
-        out[:, d] = np.sqrt(np.maximum(0, 1 - (norms / largest) ** 2))
+    out = np.zeros((n, _width(d)))
+    out[:, :d] = x / np.linalg.norm(x, axis=1)[:, None]
     return out
 
 
+def _width(d: int) -> int:
+    return 1 << max(1, (d - 1).bit_length())
+
+
 def _matrix(col: pa.Array, kind) -> np.ndarray:
     """Rows of a binary column of equally long vectors."""
     return np.frombuffer(b"".join(col.to_pylist()), kind).astype(np.float64).reshape(len(col), -1)
@@ -86,10 +86,15 @@ def search(
     asked = rows.filter(c("id") % query_step == 0).distinct()
     classes = classes.join(asked.select("v").distinct().withColumn("asks", F.lit(True)), "v", "left")
     # several vectors may share an id, so the vector's hash is part of the class's name
-    classes = classes.select(F.struct(c("vid"), F.xxhash64("v").alias("h")).alias("cls"), "ids", "v", F.coalesce("asks", F.lit(False)).alias("asks"), norm.alias("norm"))
+    # bands are centred on the powers, so that rounded unit vectors are one band
+    band = F.coalesce(F.floor(4 * F.log2(norm) + 0.5), F.lit(-5000)).cast("long")
+    classes = classes.select(F.struct(c("vid"), F.xxhash64("v").alias("h")).alias("cls"), "ids", "v", F.coalesce("asks", F.lit(False)).alias("asks"), band.alias("band"))
     classes = written(classes, "vectors")
-    least, largest = classes.agg(F.min("norm"), F.max("norm")).first()
-    fill = None if least is None or largest <= least * (1 + 1e-5) else largest
+    # one row per length and band: as many as powers of two the norms span, whatever the input
+    bands = {}
+    for number, row in enumerate(classes.groupBy(F.size("v").alias("d"), "band").count().orderBy("d", "band").collect()):
+        hashes = row["count"] > tables * 2 * _width(row["d"])
+        bands.setdefault(row["d"], {})[row["band"]] = (number, hashes)
 
     def hashed(limit: int, query: bool):
         """Rows (bucket, id, h, vec) of data (one bucket per table) or queries (``limit`` buckets per table)."""
@@ -103,35 +108,40 @@ def search(
                     values = vectors.take(pa.array(at))
                     x = np.array(values.flatten().to_numpy(zero_copy_only=False), kind).reshape(len(at), int(d))
                     raw = pa.array([r.tobytes() for r in x], pa.binary())
-                    if query:
-                        unit = _unit(x.astype(np.float64), None)
-                        if fill is not None:
-                            wide = np.zeros((len(at), 1 << max(1, int(d).bit_length())))
-                            wide[:, : unit.shape[1]] = unit[:, : wide.shape[1]]
-                            unit = wide
-                    else:
-                        unit = _unit(x.astype(np.float64), fill)
+                    unit = None
+                    # a band of one bucket has it in table 0 at axis 0
+                    whole = [b for b, (_, hashes) in bands[d].items() if not hashes]
+                    split = [b for b, (_, hashes) in bands[d].items() if hashes]
+                    mine = None if query else batch.column(4).to_numpy()[at]
                     for t in range(tables if limit >= 0 else 1):
-                        y = rotate(unit, t)
-                        both = np.concatenate([y, -y], axis=1)
-                        if not query:
-                            axes = both.argmax(axis=1)[:, None]
-                        elif limit < 0:
-                            axes = np.broadcast_to(np.arange(both.shape[1]), both.shape)
-                        else:
-                            m = min(limit, both.shape[1])
-                            axes = np.argpartition(-both, m - 1, axis=1)[:, :m]
-                        bucket = (np.int64(d) << np.int64(32)) + (np.int64(t) << np.int64(24)) + axes
-                        n = axes.shape[1]
-                        back = pa.array(np.repeat(np.arange(len(at)), n))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(bucket.reshape(-1)), pa.array(np.repeat(vid[at], n)), pa.array(np.repeat(h[at], n)), raw.take(back)],
-                            names=["bucket", "id", "h", "vec"],
-                        )
+                        parts = [(b, np.arange(len(at)) if query else np.flatnonzero(mine == b)) for b in (whole if t == 0 else [])]
+                        parts = [(b, to, np.zeros((len(to), 1), np.int64)) for b, to in parts]
+                        if split:
+                            unit = _unit(x.astype(np.float64)) if unit is None else unit
+                            y = rotate(unit, t)
+                            both = np.concatenate([y, -y], axis=1)
+                            if not query:
+                                axes = both.argmax(axis=1)[:, None]
+                            elif limit < 0:
+                                axes = np.broadcast_to(np.arange(both.shape[1]), both.shape)
+                            else:
+                                m = min(limit, both.shape[1])
+                                axes = np.argpartition(-both, m - 1, axis=1)[:, :m]
+                            for b in split:
+                                to = np.arange(len(at)) if query else np.flatnonzero(mine == b)
+                                parts.append((b, to, axes[to]))
+                        for b, to, axes in parts:
+                            bucket = (np.int64(bands[d][b][0]) << np.int64(32)) + (np.int64(t) << np.int64(24)) + axes
+                            n = axes.shape[1]
+                            back = np.repeat(to, n)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(bucket.reshape(-1)), pa.array(vid[at][back]), pa.array(h[at][back]), raw.take(pa.array(back))],
+                                names=["bucket", "id", "h", "vec"],
+                            )
 
         return run
 
-    plain = ["cls.vid", "cls.h", "v", F.size("v").cast("long").alias("d")]
+    plain = ["cls.vid", "cls.h", "v", F.size("v").cast("long").alias("d"), "band"]
     schema = "bucket long, id long, h long, vec binary"
 
     def found(queries: DataFrame, limit: int) -> DataFrame:

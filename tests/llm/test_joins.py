@@ -198,6 +198,24 @@ def test_search_recall(spark, scaled):
     assert [hot[k] for k in range(1, 21)] == want[220]
 
 
+@pytest.mark.parametrize("norms", ["outlier", "lognormal", "narrow"])
+def test_search_recall_of_unequal_norms(spark, norms):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "outlier":
+        x[7] *= 10
+    else:
+        x *= np.exp((1.0 if norms == "lognormal" else 0.05) * rng.normal(size=(4000, 1)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = cross_polytope.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), 40, 20).collect()
+    want = plain_search(rows, 40, 20)
+    assert len(got) == 20 * len(want)
+    recall = sum(r.vec_id in want[r.query_id] for r in got) / len(got)
+    print("recall", norms, recall)
+    assert recall >= 0.9
+
+
 def test_search_of_few_and_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [-1.0, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, None]), (8, []), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (10, [-1.0, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS rank", "2 AS id")
