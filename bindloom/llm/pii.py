@@ -5,7 +5,8 @@ is a candidate instance; the two words before it are its lexical pattern. Patter
 a graph per kind. In each round a pattern's confidence is the mean score of the distinct instances that
 occur behind it, and the score of an instance that is no seed is 1 minus the product of (1 - confidence)
 over its patterns. Patterns with enough distinct seeds and high confidence discover the instances
-behind them that no base pattern matches.
+behind them that no base pattern matches. The discovered ones that can be identifiers of the kind are
+seeds of the next generation of patterns, until a generation trusts no new pattern.
 """
 
 from __future__ import annotations
@@ -137,27 +138,45 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["k"]), s["start"], s["end"])), ",")
 
 
-def learn_patterns(occurrences: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind) worth trusting, from occurrences (pattern, value, kind); kind is null if no base pattern matched."""
-    edges = written(occurrences.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), "pii-edges")
-    seeds = edges.filter("seed is not null").select("value", c("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
-    # patterns that no seed follows can never gain a score
-    backed = edges.filter("seed is not null").groupBy("pattern", c("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds"))
+def _trusted(edges: DataFrame, sizes: DataFrame, known: DataFrame, min_seeds: int, confidence: float, rounds: int) -> DataFrame:
+    """(pattern, kind, confidence) worth trusting by the instances ``known`` (value, kind, score) already."""
+    # patterns with fewer known instances behind them are not scored in this generation
+    backed = edges.join(known, "value").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
     backed = written(backed.filter(c("seeds") >= min_seeds).join(sizes, "pattern"), "pii-patterns")
     open_edges = written(edges.join(backed.select("pattern").distinct(), "pattern", "left_semi"), "pii-graph")
-    scores = seeds
+    scores = known
     trusted = None
     for turn in range(rounds):
         near = open_edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"))
         trusted = backed.join(near, ["pattern", "kind"]).withColumn("confidence", c("sum") / c("instances"))
         if turn + 1 < rounds:
-            miss = F.exp(F.sum(F.log(F.greatest(1 - c("confidence"), F.lit(1e-12)))))
-            new = open_edges.filter("seed is null").join(trusted, "pattern").groupBy("value", "kind").agg((1 - miss).alias("score"))
-            new = new.join(seeds.select("value").distinct(), "value", "left_anti")
-            scores = written(seeds.unionByName(new.filter("score > 0.01")), "pii-scores")
-    best = trusted.filter(c("confidence") >= confidence).groupBy("pattern").agg(F.max_by("kind", "confidence").alias("kind"))
-    return best
+            new = _scored(open_edges, trusted).join(known.select("value").distinct(), "value", "left_anti")
+            scores = written(known.unionByName(new.filter("score > 0.01")), "pii-scores")
+    return trusted.filter(c("confidence") >= confidence).select("pattern", "kind", "confidence")
+
+
+def _scored(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(value, kind, score) of the instances behind patterns (pattern, kind, confidence) that are no seeds there."""
+    miss = F.exp(F.sum(F.log(F.greatest(1 - c("confidence"), F.lit(1e-12)))))
+    return edges.filter("seed is null").join(patterns, "pattern").groupBy("value", "kind").agg((1 - miss).alias("score"))
+
+
+def learn_patterns(occurrences: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, kind) worth trusting, from occurrences (pattern, value, kind); kind is null if no base pattern matched."""
+    edges = written(occurrences.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), "pii-edges")
+    seeds = edges.filter("seed is not null").select("value", c("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
+    name = F.element_at(F.array(*map(F.lit, KINDS)), c("kind"))
+    known, before = seeds, 0
+    while True:
+        trusted = written(_trusted(edges, sizes, known, min_seeds, confidence, rounds), "pii-trusted")
+        now = trusted.count()
+        if now <= before:
+            return trusted.groupBy("pattern").agg(F.max_by("kind", "confidence").alias("kind"))
+        before = now
+        found = _scored(edges, trusted).filter(_plausible(name, c("value")))
+        found = found.join(seeds.select("value").distinct(), "value", "left_anti")
+        known = written(seeds.unionByName(found), "pii-known")
 
 
 def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
@@ -166,7 +185,8 @@ def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_seeds: i
     The counts and ``base_sha256`` are of the base spans, ``spans`` lists these and the discovered ones
     as kind:start:end (code points, end exclusive) by kind and start; ``n_found`` counts the
     discovered ones. A discovered span follows a trusted pattern, can be an identifier of its kind
-    and overlaps no base span. Patterns need ``min_seeds`` distinct seeds and the given mean score.
+    and overlaps no base span. Patterns need ``min_seeds`` distinct seeds, or
+    instances discovered before, and the given mean score.
 
     Null and empty texts have no spans. Repeated rows and ids are rows of their own and get the same
     result for the same text. Values that occur often count once per pattern. Extra columns are not

@@ -171,6 +171,17 @@ def test_contexts_discover_new_identifiers(spark):
     assert got[52].n_found == 0 and got[53].n_found == 0 and all(got[i].n_found == 0 for i, _ in seeds)
 
 
+def test_contexts_of_the_second_generation(spark):
+    seeds = [(i, f"He said: please call +1 212 555-01{i:02d} today") for i in range(10, 40)]
+    both = [(100 + i, f"so please call 555-02{i:02d} today") for i in range(4)] + [(200 + i, f"the fax number 555-02{i:02d} here") for i in range(4)]
+    # the third generation rests on what only the second one finds; two instances vouch for nothing
+    more = [(300 + i, f"the fax number 555-03{i:02d} here") for i in range(2)] + [(400 + i, f"or dial direct 555-0{i}00 now") for i in (2, 3)]
+    last = [(400 + i, f"or dial direct 555-030{i - 10} now") for i in (11,)] + [(500, "or dial direct 555-0999 now"), (600, "fax number 12 x"), (700, "room code 555-0200 x"), (701, "room code 555-0201 x"), (702, "room code 555-0888 x")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(seeds + both + more + last, "doc_id long, text string")).collect()}
+    assert got[100].spans == "phone:15:23" and got[200].spans == "phone:15:23" and got[300].spans == got[301].spans == "phone:15:23"
+    assert got[500].spans == "phone:15:23" and got[600].n_found == 0 and got[702].n_found == 0
+
+
 def plain_search(rows, step, k):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
     out = {}
