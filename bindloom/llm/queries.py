@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bindloom.llm import byte_bpe, cross_polytope, decontaminate, line_dedup, main_text, ngram_join, pii, quality, repair, warc
+from bindloom.llm import byte_bpe, cross_polytope, decontaminate, line_dedup, main_text, ngram_join, phrases, pii, quality, repair, warc
 from bindloom.llm.common import fresh_path, table
 
 QUERIES: dict = {}
@@ -103,6 +103,33 @@ def _(spark, sf):
     return repair.read_shards(spark, path)
 
 
+@query(
+    "op12_phrases",
+    f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({ASCII_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+ws AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w)) AS n FROM ws GROUP BY lang),
+runs AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM ws, range(1, 6) AS t(k) WHERE len(w) >= k),
+f AS (SELECT lang, list_slice(w, i, i + k - 1) AS p, count(*) AS f FROM runs GROUP BY 1, 2 HAVING count(*) >= 100),
+cand AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM cand),
+scored AS (SELECT cuts.lang, cuts.p, cuts.a, k, x.f AS l, y.f AS r, n,
+    CAST((CAST(1000 AS HUGEINT) * cuts.a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.p = list_slice(cuts.p, 1, k)
+  JOIN f AS y ON y.lang = cuts.lang AND y.p = list_slice(cuts.p, k + 1, len(cuts.p)) JOIN sizes ON sizes.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+held AS (SELECT lang, list_slice(p, i, j) AS p, max(a) AS f FROM (SELECT lang, p, a, i, unnest(range(i + 1, len(p) + 1)) AS j
+    FROM (SELECT lang, p, a, unnest(range(1, len(p))) AS i FROM cand)) WHERE j - i + 1 < len(p) GROUP BY 1, 2),
+free AS (SELECT best.* FROM best LEFT JOIN held ON held.lang = best.lang AND held.p = best.p WHERE held.f IS NULL OR 100 * held.f < 100 * best.a),
+named AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM free)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+  CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+FROM named QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
+)
+def _(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 @query("pipeline")
 def _(spark, sf):
     import corpus_pipeline
