@@ -169,8 +169,13 @@ def frequent_phrases(runs: np.ndarray, weights: np.ndarray, shortest: int, least
 def _routed(chunks: DataFrame, back: DataFrame, parts: int, longest: int) -> DataFrame:
     """(part, depth, n, runs, weights) of every chunk: its merged runs, dealt by their leading words."""
     names = ["part", "depth", "n", "runs", "weights"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = dealt(left, right) if right.num_rows else []  # else no word of the chunk is frequent
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    def dealt(left: pa.Table, right: pa.Table) -> list[tuple]:
         size = left.column("size")[0].as_py()
         stream = _unpacked(left.column("stream")[0].as_py(), size, np.uint32).astype(np.int64)
         top = int(stream.max()) + 1
@@ -195,20 +200,11 @@ def _routed(chunks: DataFrame, back: DataFrame, parts: int, longest: int) -> Dat
         for some in np.split(order, bounds) if len(order) else []:
             some = np.sort(some)
             rows.append((int(part[some[0]]), int(depth[some[0]]), len(some), _packed(runs[:, some].reshape(-1)), _packed(weights[some])))
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(list(x), k) for x, k in zip(columns, kinds)], names=names)
+        return rows
 
     schema = "part long, depth int, n long, runs binary, weights binary"
     left = chunks.select("chunk", "size", "stream").groupBy("chunk")
-    return left.cogroup(back.groupBy("of")).applyInArrow(lambda x, y: deal(x, y) if x.num_rows and y.num_rows else _nothing(schema), schema)
-
-
-def _nothing(ddl: str) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl)).empty_table()
+    return left.cogroup(back.groupBy("of")).applyInArrow(deal, schema)
 
 
 def _counted(routed: DataFrame, longest: int, least: int) -> DataFrame:
