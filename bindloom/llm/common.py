@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from bindloom.session import fresh_path, written
 
-__all__ = ["append_columns", "byte_view", "fresh_path", "row_groups", "run_hashes", "table", "token_classes", "written"]
+__all__ = ["append_columns", "byte_view", "fresh_path", "planes", "row_groups", "run_hashes", "table", "token_classes", "unplanes", "written"]
 
 GROUP_BYTES = 1 << 20  # text handled at once by the array code; bounds the arrays of a task
 
@@ -120,5 +120,17 @@ def token_classes(separators: bytes) -> np.ndarray:
     return classes
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Integers by byte planes, so that equal leading bytes compress away."""
+    parts = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return np.ascontiguousarray(parts).tobytes()
+
+
+def unplanes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    parts = np.frombuffer(data, np.uint8).reshape(size, -1).T
+    return np.ascontiguousarray(parts).view(kind).reshape(-1)
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

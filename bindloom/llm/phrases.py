@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bindloom.llm.common import written
+from bindloom.llm.common import planes, unplanes, written
 
 CHUNK_WORDS = 1 << 20  # words of one task that share a dictionary of their own
 PART_ROWS = 1 << 19  # runs that one part of the routed rows holds about
@@ -31,15 +31,11 @@ c = F.col
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Integers by byte planes, so that equal leading bytes compress away."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(planes(values), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, n: int, kind) -> np.ndarray:
-    size = n * np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True) if n else b"", np.uint8)
-    return np.ascontiguousarray(planes.reshape(-1, n).T).view(kind).reshape(n) if n else np.zeros(0, kind)
+    return unplanes(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
 def _chunks(df: DataFrame) -> DataFrame:

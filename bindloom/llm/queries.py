@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bindloom.llm import byte_bpe, cross_polytope, decontaminate, line_dedup, main_text, ngram_join, phrases, pii, quality, repair, warc
+from bindloom.llm import align, byte_bpe, cross_polytope, decontaminate, language, line_dedup, main_text, ngram_join, phrases, pii, quality, repair, warc
 from bindloom.llm.common import fresh_path, table
 
 QUERIES: dict = {}
@@ -103,6 +103,12 @@ def _(spark, sf):
     return repair.read_shards(spark, path)
 
 
+@query("op11_alignment")
+def _(spark, sf):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.align(table(spark, sf, "documents"), *paths, keep=["doc_id"])
+
+
 @query(
     "op12_phrases",
     f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({ASCII_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece
@@ -130,6 +136,13 @@ def _(spark, sf):
     return phrases.collocations(table(spark, sf, "documents"))
 
 
+@query("op13_language")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = language.identify(docs, language.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", language.is_held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("pipeline")
 def _(spark, sf):
     import corpus_pipeline
