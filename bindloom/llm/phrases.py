@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bindloom.llm.common import planes, unplanes, written
 
-CHUNK_WORDS = 1 << 20  # words of one task that share a dictionary of their own
+CHUNK_WORDS = 1 << 21  # words of one task that share a dictionary of their own
 PART_ROWS = 1 << 19  # runs that one part of the routed rows holds about
 COMMON = 2_000  # a word is very common from this part of all words on
 RANK_SALTS = 64
@@ -95,6 +95,19 @@ def _chunks(df: DataFrame) -> DataFrame:
     return out.withColumn("chunk", F.monotonically_increasing_id())
 
 
+def _frequent_words(chunks: DataFrame, least: int) -> DataFrame:
+    """(chunk, at, id, f, lang, word) of the words with ``least`` occurrences or more, by chunk; lang and word in one row of each.
+
+    One shuffle of the chunks' dictionaries gives the counts and the ids: a word is at most one row a chunk."""
+    entries = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "times")).alias("at", "w"))
+    entries = entries.select("chunk", "lang", (c("at") + 1).alias("at"), c("w.words").alias("word"), c("w.times").alias("times"))
+    same = W.partitionBy("lang", "word")
+    rows = entries.withColumn("f", F.sum("times").over(same)).filter(c("f") >= least).withColumn("_row", F.monotonically_increasing_id() + 1)
+    rows = rows.withColumn("id", F.min("_row").over(same))  # 0 is no id
+    first = c("id") == c("_row")
+    return written(rows.select("chunk", "at", "id", "f", "lang", F.when(first, c("word")).alias("word")), "phrase-words")
+
+
 def _runs(ids: np.ndarray, longest: int) -> np.ndarray:
     """Runs (rows of ``longest`` ids, 0 behind the end) that start at the positions of two ids or more in a row."""
     n = len(ids)
@@ -173,21 +186,20 @@ def _routed(chunks: DataFrame, back: DataFrame, parts: int, longest: int) -> Dat
 
     def dealt(left: pa.Table, right: pa.Table) -> list[tuple]:
         size = left.column("size")[0].as_py()
-        stream = _unpacked(left.column("stream")[0].as_py(), size, np.uint32).astype(np.int64)
+        stream = _unpacked(left.column("stream")[0].as_py(), size, np.uint32)
         top = int(stream.max()) + 1
         ids, common = np.zeros(top, np.int64), np.zeros(top, bool)
         at = right.column("at").to_numpy()
         ids[at] = right.column("id").to_numpy()
         common[at] = right.column("common").to_numpy()
         # the runs carry chunk numbers of words first: small values sort fast
-        local = np.where(ids[stream] != 0, stream, 0)
+        local = np.where(ids[stream] != 0, stream, 0).astype(np.uint32)
         runs = _runs(local, longest)
         runs, weights = _merged(runs, np.ones(runs.shape[1], np.int64))
         depth = route_depth(common[runs]) if len(weights) else np.zeros(0, np.int64)
-        runs = ids[runs]
         key = np.zeros(len(weights), np.uint64)
         for k in range(longest):
-            key = np.where(depth > k, (key ^ runs[k].view(np.uint64)) * _ROUTE, key)
+            key = np.where(depth > k, (key ^ ids[runs[k]].view(np.uint64)) * _ROUTE, key)
             key ^= key >> np.uint64(29)
         part = (key % np.uint64(parts)).astype(np.int64)
         rows = []
@@ -195,7 +207,7 @@ def _routed(chunks: DataFrame, back: DataFrame, parts: int, longest: int) -> Dat
         bounds = np.flatnonzero(np.diff(part[order] * 16 + depth[order])) + 1
         for some in np.split(order, bounds) if len(order) else []:
             some = np.sort(some)
-            rows.append((int(part[some[0]]), int(depth[some[0]]), len(some), _packed(runs[:, some].reshape(-1)), _packed(weights[some])))
+            rows.append((int(part[some[0]]), int(depth[some[0]]), len(some), _packed(ids[runs[:, some]].reshape(-1)), _packed(weights[some])))
         return rows
 
     schema = "part long, depth int, n long, runs binary, weights binary"
@@ -272,15 +284,11 @@ def collocations(
     source = df.select(F.coalesce(c(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), c(f"`{text}`").alias("text"))
     chunks = written(_chunks(source), "phrase-chunks")
     sizes = chunks.groupBy("lang").agg(F.sum("n").alias("n"))  # one row a language
-    entries = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "times")).alias("at", "w"))
-    entries = entries.select("chunk", "lang", (c("at") + 1).alias("at"), c("w.words").alias("word"), c("w.times").alias("times"))
-    totals = entries.groupBy("lang", "word").agg(F.sum("times").alias("f")).filter(c("f") >= least)
-    # 0 is no id
-    words = written(totals.withColumn("id", F.monotonically_increasing_id() + 1), "phrase-words")
+    entries = _frequent_words(chunks, least)
+    words = entries.filter("word IS NOT NULL").select("lang", "word", "id", "f")
     held = words.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("f")).first()["f"]
     parts = max(8, -(-held // PART_ROWS))
-    share = words.select("lang", "word", "id", (c("f") * COMMON >= held).alias("common"))
-    back = entries.select("chunk", "lang", "at", "word").join(share, ["lang", "word"]).select(c("chunk").alias("of"), "at", "id", "common")
+    back = entries.select(c("chunk").alias("of"), "at", "id", (c("f") * COMMON >= held).alias("common"))
     routed = _routed(chunks, back, parts, longest)
     runs = _counted(routed, longest, least)
     phrases = written(runs.unionByName(words.select(F.array("id").alias("ids"), "f")), "phrases")
