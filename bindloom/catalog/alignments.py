@@ -285,11 +285,13 @@ def _(spark, sf):
 @query(
     "train_sample",
     "WITH " + LET + ", " + DRAW + f""", it AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7|' || doc_id), doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM dr JOIN documents USING (doc_id)),
-      sl AS (SELECT slot, CASE WHEN u < 0.5 THEN 'en' WHEN u < 0.8 THEN 'fr' ELSE 'de' END AS lang FROM (SELECT slot, {U(1007, 'slot')} AS u FROM (SELECT unnest(range(2000)) AS slot))),
+      wt AS (SELECT * FROM (VALUES (1, 'en', 4), (2, 'fr', 3), (3, 'de', 2), (4, 'es', 1), (5, 'xx', 6)) AS t(o, lang, w) WHERE lang IN (SELECT lang FROM it)),
+      cu AS (SELECT lang, (sum(w) OVER (ORDER BY o) - w)::DOUBLE / sum(w) OVER () AS lo, (sum(w) OVER (ORDER BY o))::DOUBLE / sum(w) OVER () AS hi FROM wt),
+      sl AS (SELECT slot, lang FROM (SELECT slot, {U(1007, 'slot')} AS u FROM (SELECT unnest(range(2000)) AS slot)) JOIN cu ON lo <= u AND u < hi),
       sr AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY slot) AS k FROM sl)
     SELECT 0 AS epoch, slot, sr.lang, doc_id FROM sr JOIN it ON it.lang = sr.lang AND it.i = (k - 1) % n + 1""",
 )
 def _(spark, sf):
     x = T.train_draw(good_chains(spark, sf), "doc_id", F.length("s"), c("doc_id") % 3 + 1).select("doc_id")
     x = x.join(D.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    return T.mix_epoch(x, "lang", "doc_id", {"en": 0.5, "fr": 0.3, "de": 0.2}, 2000)
+    return T.mix_epoch(x, "lang", "doc_id", {"en": 4, "fr": 3, "de": 2, "es": 1, "xx": 6}, 2000)

@@ -219,4 +219,4 @@ def _(spark, sf):
 )
 def _(spark, sf):
     o = D.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("P"), c("o_custkey") % 30).alias("protein"))
-    return R.assign_ids(o, "protein", "tar", "o_orderkey", F.floor(c("o_orderkey") / 4096)).select("o_orderkey", "complex_id")
+    return R.assign_ids(o, "protein", "tar", "o_orderkey").select("o_orderkey", "complex_id")

@@ -197,7 +197,7 @@ def _(spark, sf):
     SELECT a.mutation, a.version AS version_a, b.version AS version_b, count(*) AS n, round(avg(CASE WHEN a.aa = b.aa THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM r a JOIN r b ON a.mutation = b.mutation AND a.i = b.i AND a.version < b.version GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
-    return D.rounded(R.version_agreement(versions(spark, sf), "mutation", "version", "batch", F.floor(c("batch") / 4096)))
+    return D.rounded(R.version_agreement(versions(spark, sf), "mutation", "version", "batch"))
 
 
 SITE = """r AS (SELECT structure_id, chain, resseq, row_number() OVER (PARTITION BY structure_id ORDER BY vec_id) - 1 AS idx, substr('ACDEFGHIKLMNPQRSTVWYX', CAST(vec_id % 20 + 1 AS INT), 1) AS aa FROM prot WHERE atom = 'CA'),
@@ -217,7 +217,7 @@ def _(spark, sf):
     v = c("vec_id")
     letter = F.substring(F.lit(D.AA), (v % 20 + 1).cast("int"), F.lit(1))
     ca = D.atoms(spark, sf).filter("kind = 'protein' and atom = 'CA'").withColumn("aa", letter)
-    res = S.ranked(ca, ["structure_id"], [v], [F.floor(v / 4096)], "idx").withColumn("idx", c("idx") - 1)
+    res = S.ranked(ca, ["structure_id"], [v], "idx").withColumn("idx", c("idx") - 1)
     text = F.concat(
         F.when(v % 3 == 0, "A:").when(v % 3 == 1, "b:").otherwise(""), F.when(v % 2 == 0, letter).otherwise(""), F.floor(v / 4).cast("string"), F.lit("V")
     )

@@ -180,7 +180,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     r = D.table(spark, sf, "embeddings").select(F.concat(F.lit("S"), "label").alias("s"), "vec_id", F.floor(c("vec_id") / 40).alias("n"))
-    return A.renumber(r, ["s"], "vec_id", "n", F.floor(c("vec_id") / 64))
+    return A.renumber(r, ["s"], "vec_id", "n")
 
 
 def fragment(spark, sf):
@@ -323,6 +323,6 @@ def _(spark, sf):
     from bindloom.plans import skew as S
 
     k = c("o_orderkey")
-    t = S.ranked(D.table(spark, sf, "orders").select(c("o_custkey").alias("k"), "o_orderkey", c("o_orderstatus").alias("residue")), ["k"], [k], [F.floor(k / 4096)], "pos")
+    t = S.ranked(D.table(spark, sf, "orders").select(c("o_custkey").alias("k"), "o_orderkey", c("o_orderstatus").alias("residue")), ["k"], [k], "pos")
     o = t.withColumn("pos", c("pos") + F.when(k % 31 == 3, 1000).otherwise(0)).withColumn("residue", F.when(k % 40 == 7, "X").otherwise(c("residue")))
     return A.residues_align(t, o, ["k"])

@@ -26,9 +26,7 @@ def encode(sequence: Column) -> Column:
 def merge(msas: DataFrame, query: str, sequence: str, order: list[str]) -> DataFrame:
     """Alignments of a query stacked without repeated sequences (first kept), numbered and encoded."""
     first = S.first_per(msas, [query, sequence], [F.col(o) for o in order])
-    cells = [F.col(order[0])] + [F.floor(F.col(o) / 1024) for o in order[1:]]
-    # the leading order columns are small numbers; the rank is distributed over their cells
-    x = S.ranked(first, [query], [F.col(o) for o in order], cells, "seq_idx", total="num_alignments")
+    x = S.ranked(first, [query], [F.col(o) for o in order], "seq_idx", total="num_alignments")
     return x.withColumn("seq_idx", F.col("seq_idx") - 1).withColumn("codes", encode(F.col(sequence)))
 
 
@@ -71,18 +69,18 @@ def sample(rows: DataFrame, query: str, index: str, max_seq: int, max_extra: int
     x = S.with_group(rows, [query], F.min(index).alias("_q"))
     is_query = (F.col(index) == F.col("_q")).cast("int")
     x = x.withColumn("_h", F.when(is_query == 1, "").otherwise(hash_order(query, index, seed=seed)))
-    x = S.ranked(x, [query], [F.col("_h"), F.col(index)], [F.substring("_h", 1, 2)], "_rn")
+    x = S.ranked(x, [query], [F.col("_h"), F.col(index)], "_rn")
     x = x.withColumn("part", F.when(F.col("_rn") <= max_seq, "sample").otherwise("extra")).drop("_q", "_h", "_rn")
     if max_extra is None:
         return x
     x = x.withColumn("_h", hash_order(query, index, seed=seed + 1))
-    x = S.ranked(x, [query, "part"], [F.col("_h"), F.col(index)], [F.substring("_h", 1, 2)], "_rn")
+    x = S.ranked(x, [query, "part"], [F.col("_h"), F.col(index)], "_rn")
     return x.filter((F.col("part") == "sample") | (F.col("_rn") <= max_extra)).drop("_h", "_rn")
 
 
 def block_delete(rows: DataFrame, query: str, index: str, fraction: float, n_blocks: int, seed: int = 7) -> DataFrame:
     """Random contiguous blocks of rows removed; the query (first row) is kept."""
-    x = S.ranked(rows, [query], [F.col(index)], [S.coarse(F.col(index), 64)], "_rn", total="_n")
+    x = S.ranked(rows, [query], [F.col(index)], "_rn", total="_n")
     x = x.withColumn("_i", F.col("_rn") - 1).withColumn("_size", F.floor(F.col("_n") * fraction))
     gone = F.lit(False)
     for b in range(n_blocks):

@@ -133,7 +133,7 @@ def filter_ensemble(df: DataFrame, overrides: DataFrame, label: str, index: str,
     Returns every model that passed, with its rank (null beyond ``k``); the confidence falls
     back to the second column where a label has none in the first.
     """
-    x = S.with_group(df, [label], F.count_if(~F.isnan("plddt")).alias("_has"))
+    x = S.with_group(df, [label], F.count_if(F.col("plddt").isNotNull() & ~F.isnan("plddt")).alias("_has"))
     x = x.join(overrides, label, "left")
     conf = F.when(F.col("_has") > 0, F.col("plddt")).otherwise(F.col("plddt_pde"))
     limit = F.coalesce("rmsd_threshold", F.lit(max_rmsd))
@@ -166,9 +166,9 @@ def select_models(df: DataFrame, label: str, indices: str, listing: DataFrame, p
     return x.select(label, F.col("pos").cast("long").alias("pos"), "model", "path", F.coalesce("found", F.lit(False)).alias("found"))
 
 
-def assign_ids(df: DataFrame, protein: str, tag: str, order: str, cell: Column) -> DataFrame:
+def assign_ids(df: DataFrame, protein: str, tag: str, order: str) -> DataFrame:
     """Running id per protein, ``{protein}_{tag}_{n:06d}``."""
-    x = S.ranked(df, [protein], [F.col(order)], [cell], "_n")
+    x = S.ranked(df, [protein], [F.col(order)], "_n")
     return x.withColumn("complex_id", F.format_string(f"%s_{tag}_%06d", F.col(protein), F.col("_n"))).drop("_n")
 
 

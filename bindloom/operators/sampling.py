@@ -109,11 +109,8 @@ def stratified_quota(df: DataFrame, family: str, total: int, minimum: int = 3) -
 
 
 def sample_stratified(df: DataFrame, key: str, family: str, total: int, minimum: int = 3, seed: int = 42) -> DataFrame:
-    """Draw the quota of every family without replacement, in seeded hash order.
-
-    The rank within a family is distributed over the leading hex digits of the hash.
-    """
+    """Draw the quota of every family without replacement, in seeded hash order."""
     order = hash_order(key, seed=seed)
-    ranked = S.ranked(df.withColumn("_h", order), [family], [F.col("_h")], [F.substring("_h", 1, 2)], "_rn")
+    ranked = S.ranked(df.withColumn("_h", order), [family], [F.col("_h"), F.col(key)], "_rn")
     quota = stratified_quota(df, family, total, minimum).select(family, "quota")
     return ranked.join(quota, family).filter(F.col("_rn") <= F.col("quota")).drop("_h", "_rn", "quota")

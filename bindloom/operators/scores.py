@@ -168,9 +168,9 @@ def version_summary(df: DataFrame, keys: list[str], batch: str) -> DataFrame:
     )
 
 
-def version_agreement(df: DataFrame, mutation: str, version: str, batch: str, cell: Column) -> DataFrame:
+def version_agreement(df: DataFrame, mutation: str, version: str, batch: str) -> DataFrame:
     """Share of equal predictions per pair of versions, compared by the order of their batches."""
-    x = S.ranked(df.select(mutation, version, batch, "aa"), [mutation, version], [F.col(batch)], [cell], "_i")
+    x = S.ranked(df.select(mutation, version, batch, "aa"), [mutation, version], [F.col(batch)], "_i")
     # one row per version at each place, so a place yields at most versions² / 2 rows
     a = x.select(mutation, "_i", F.col(version).alias("version_a"), F.col("aa").alias("_a"))
     b = x.select(mutation, "_i", F.col(version).alias("version_b"), F.col("aa").alias("_b"))

@@ -77,7 +77,7 @@ def sampled_pairs(df: DataFrame, by: list[str], key: str, max_ligands: int, bloc
 
 def difficulty_bucket(df: DataFrame, by: list[str], score: str, ties: list[Column]) -> DataFrame:
     """Per protein, lowest 30 % of the similarities easy, from 70 % on hard, the rest medium."""
-    x = S.ranked(df, by, [F.col(score), *ties], [S.coarse(F.col(score), 4096)], "_rn", total="_n")
+    x = S.ranked(df, by, [F.col(score), *ties], "_rn", total="_n")
     name = (
         F.when(F.col("_rn") <= F.floor(F.col("_n").cast("double") * 0.30), "easy")
         .when(F.col("_rn") > F.floor(F.col("_n").cast("double") * 0.70), "hard")

@@ -54,7 +54,7 @@ def clash_count(ligand: DataFrame, receptor: DataFrame, by: list[str], radius: f
 
 def min_distance(ligand: DataFrame, receptor: DataFrame, by: list[str], key: list[str], cutoff: float) -> DataFrame:
     """Smallest heavy-atom distance and whether it lies under the cut-off."""
-    near = G.k_nearest(heavy(ligand), heavy(receptor), by, key, "serial", 1, (cutoff * 4, 64.0))
+    near = G.k_nearest(heavy(ligand), heavy(receptor), by, key, "serial", 1)
     d = F.sqrt(F.min("d2"))
     return near.groupBy(*by).agg(d.alias("min_distance"), (d < cutoff).alias("has_clash"))
 
@@ -177,25 +177,25 @@ def backbone_only(atoms: DataFrame, with_cb: bool = True, to_alanine: bool = Tru
     return out.withColumn("resname", F.when(polymer, "ALA").otherwise(F.col("resname"))) if to_alanine else out
 
 
-def renumber(residues: DataFrame, by: list[str], order: str, number: str, cell: Column) -> DataFrame:
+def renumber(residues: DataFrame, by: list[str], order: str, number: str) -> DataFrame:
     """Residue numbers made consecutive over insertion codes: repeats so far are added.
 
-    Repeats are neighbours with the same number, counted within blocks of the order first
-    and carried over block totals, so a structure of any size is not gathered.
+    Repeats are neighbours with the same number, counted within ranges of the order first
+    and carried over range totals, so a structure of any size is not gathered.
     """
-    x = residues.withColumn("_blk", cell)
-    inside = W.partitionBy(*by, "_blk").orderBy(order)
-    ends = x.groupBy(*by, "_blk").agg(F.max_by(number, order).alias("_last"))
-    carried = ends.select(*by, "_blk", F.lag("_last").over(W.partitionBy(*by).orderBy("_blk")).alias("_prev"))
-    x = x.join(carried, [*by, "_blk"])
+    x = S.in_ranges(residues, by, [F.col(order)])
+    inside = W.partitionBy(*by, "_range").orderBy(order)
+    last = x.groupBy(*by, "_range").agg(F.max_by(number, order).alias("_last"))
+    carried = last.select(*by, "_range", F.lag("_last").over(W.partitionBy(*by).orderBy("_range")).alias("_prev"))
+    x = S.null_safe_join(x, carried, [*by, "_range"])
     before = F.when(F.row_number().over(inside) == 1, F.col("_prev")).otherwise(F.lag(number).over(inside))
     x = x.withColumn("_same", F.coalesce((before == F.col(number)).cast("long"), F.lit(0)))
-    totals = x.groupBy(*by, "_blk").agg(F.sum("_same").alias("_t"))
-    upto = W.partitionBy(*by).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*by, "_blk", F.coalesce(F.sum("_t").over(upto), F.lit(0)).alias("_add"))
-    x = x.join(totals, [*by, "_blk"])
-    running = F.sum("_same").over(inside.rowsBetween(W.unboundedPreceding, 0))
-    return x.withColumn(f"{number}_new", F.col(number) + F.col("_add") + running).drop("_blk", "_prev", "_same", "_add")
+    x = x.withColumn("_run", F.sum("_same").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    totals = x.groupBy(*by, "_range").agg(F.sum("_same").alias("_t"))
+    upto = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*by, "_range", F.coalesce(F.sum("_t").over(upto), F.lit(0)).alias("_add"))
+    x = S.null_safe_join(x, totals, [*by, "_range"])
+    return x.withColumn(f"{number}_new", F.col(number) + F.col("_add") + F.col("_run")).drop("_range", "_at", "_prev", "_same", "_run", "_add")
 
 
 # ---- stitching of fragments
@@ -249,7 +249,7 @@ def match_by_order(a: DataFrame, b: DataFrame, by: list[str], order: str) -> Dat
     """
     def numbered(df, name):
         h = F.upper("element").startswith("H")
-        x = S.ranked(df.withColumn("is_h", h), [*by, "is_h"], [F.col(order)], [F.floor(F.col(order) / 4096)], "pos")
+        x = S.ranked(df.withColumn("is_h", h), [*by, "is_h"], [F.col(order)], "pos")
         cols = [c for c in df.columns if c not in by]
         return x.select(*by, "is_h", "pos", *[F.col(c).alias(f"{name}_{c}") for c in cols])
 
@@ -265,7 +265,7 @@ def complex_union(receptor: DataFrame, ligand: DataFrame, by: list[str], chain:
     tagged = ligand.withColumns({"chain": F.lit(chain), "record": F.lit("HETATM"), "resseq": F.lit(resseq), "icode": F.lit("")})
     both = receptor.withColumn("_part", F.lit(0)).unionByName(tagged.withColumn("_part", F.lit(1)))
     old = F.col("serial")
-    numbered = S.ranked(both, by, [F.col("_part"), old], [F.col("_part"), F.floor(old / 4096)], "_new")
+    numbered = S.ranked(both, by, [F.col("_part"), old], "_new")
     return numbered.withColumn("serial", F.col("_new")).drop("_new", "_part")
 
 

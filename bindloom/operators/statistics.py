@@ -73,14 +73,19 @@ def rank_table(df: DataFrame, by: list[str], value: str, out: str, weight: str)
     return hist.join(cells, [*by, "_c"]).select(*by, value, rank.alias(out))
 
 
+def known(value: str) -> Column:
+    """Neither null nor NaN: both are missing values here."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    r = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    r = df.filter(known(x) & known(y)).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
     return r.withColumn("p", P.correlation_p("r", "n"))
 
 
 def spearman(df: DataFrame, by: str, x: str, y: str, min_pairs: int = 20) -> DataFrame:
     """Rank correlation per protein with at least ``min_pairs`` pairs."""
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, x, y)
+    d = df.filter(known(x) & known(y)).select(by, x, y)
     # equal pairs are counted once; both rank tables come from those counts
     pairs = d.groupBy(by, x, y).agg(F.count(F.lit(1)).alias("_w"))
     ranked = pairs.join(rank_table(pairs, [by], x, "_rx", "_w"), [by, x]).join(rank_table(pairs, [by], y, "_ry", "_w"), [by, y])
@@ -117,7 +122,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 def mann_whitney(df: DataFrame, value: str, in_first: Column) -> DataFrame:
     """U statistic of the first group, tie-corrected normal p; built from counts per value."""
     hist = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(known(value))
         .groupBy(value)
         .agg(F.count_if(in_first).alias("_a"), F.count_if(~in_first).alias("_b"))
         .withColumn("_c", S.coarse(F.col(value)))

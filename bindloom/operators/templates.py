@@ -120,21 +120,24 @@ def train_draw(chains: DataFrame, key: str, length: Column, cluster_size: Column
 
 
 def mix_epoch(accepted: DataFrame, dataset: str, key: str, weights: dict[str, float], epoch_len: int, epoch: int = 0, seed: int = 7) -> DataFrame:
-    """An epoch of ``epoch_len`` items: each slot draws a dataset by weight and takes its next item.
+    """An epoch of exactly ``epoch_len`` items: each slot draws a dataset by weight and takes its next item.
 
-    Items of a dataset come in seeded hash order and start over when exhausted.
+    Items of a dataset come in seeded hash order and start over when exhausted. Only datasets with an
+    item and a positive weight are drawn, with their weights scaled up to one; without any the epoch is empty.
     """
     spark = accepted.sparkSession
-    slots = spark.range(epoch_len).select(F.col("id").alias("slot")).withColumn("_u", hash_uniform("slot", seed=seed + 1000 * (epoch + 1)))
-    total, upto, pick = sum(weights.values()), 0.0, None
-    for name, w in weights.items():
-        upto += w / total
-        pick = F.when(F.col("_u") < upto, name) if pick is None else pick.when(F.col("_u") < upto, name)
-    slots = slots.withColumn(dataset, pick.otherwise(list(weights)[-1]))
-    slots = S.ranked(slots, [dataset], [F.col("slot")], [F.floor(F.col("slot") / 65536)], "_n")
-    items = accepted.select(dataset, key).withColumn("_h", hash_order(key, seed=seed + epoch))
-    items = S.ranked(items, [dataset], [F.col("_h"), F.col(key)], [F.substring("_h", 1, 2)], "_i", total="_size")
+    named = accepted.select(dataset, key).filter(F.col(dataset).isin([n for n, w in weights.items() if w > 0]))
+    items = named.withColumn("_h", hash_order(key, seed=seed + epoch))
+    items = S.ranked(items, [dataset], [F.col("_h"), F.col(key)], "_i", total="_size")
     sizes = items.groupBy(dataset).agg(F.max("_size").alias("_size"))
+    held = {r[dataset] for r in sizes.select(dataset).collect()}  # as many rows as there are weights, at most
+    slots = spark.range(epoch_len if held else 0).select(F.col("id").alias("slot")).withColumn("_u", hash_uniform("slot", seed=seed + 1000 * (epoch + 1)))
+    drawn = {n: w for n, w in weights.items() if n in held}
+    total, upto, pick = sum(drawn.values()), 0.0, F.when(F.lit(False), "")
+    for name, w in drawn.items():
+        upto += w
+        pick = pick.when(F.col("_u") < upto / total, name)
+    slots = S.ranked(slots.withColumn(dataset, pick), [dataset], [F.col("slot")], "_n")
     slots = slots.join(sizes, dataset).withColumn("_i", (F.col("_n") - 1) % F.col("_size") + 1)
     out = slots.join(items.drop("_size", "_h"), [dataset, "_i"])
     return out.select(F.lit(epoch).alias("epoch"), "slot", dataset, key)

@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from bindloom.session import written
+
 WHOLE = "_whole"
 GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 SALTS = 256
@@ -71,39 +73,35 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_k(df, keys, order, 1, "_first").drop("_first")
 
 
-def ranked(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    cells: list[Column],
-    name: str = "rn",
-    total: str | None = None,
-) -> DataFrame:
-    """Exact row number of every row inside its key (no limit on the key's size).
+def in_ranges(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The rows in ranges of (keys, order), with ``_range`` and ``_at``, the place among the sorted rows of the range.
 
-    ``cells`` are order-preserving coarse buckets of the leading ``order`` columns, in the
-    same direction: rows of a smaller cell all come first.
+    The borders come from a sample of the rows, so a key of any size, and one value of a key too,
+    spreads over as many ranges as its rows fill. ``order`` should tell rows apart; equal ones share a range. The
+    ranges are written once: all later steps see the same ones.
+    """
+    cols = [F.col(k) for k in keys]
+    x = df.repartitionByRange(*cols, *order).sortWithinPartitions(*cols, *order)
+    x = written(x.withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    return x.withColumns({"_range": F.shiftright("_id", 33), "_at": F.col("_id") % (1 << 33)}).drop("_id")
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn", total: str | None = None) -> DataFrame:
+    """Exact row number of every row inside its key, by the whole ``order``; no limit on the key's size.
+
+    A row's number is its place in its range, counted from the key's first row there, plus the key's rows in
+    the ranges before. Only these counts, one per key and range, are added up key by key.
     """
     keys = list(keys)
-    if not keys:
-        df, keys, drop = df.withColumn(WHOLE, F.lit(0)), [WHOLE], [WHOLE]
-    else:
-        drop = []
-    names = [f"_cell{i}" for i in range(len(cells))]
-    x = df.withColumns(dict(zip(names, cells)))
-    sizes = x.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
-    upto = W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys,
-        *names,
-        F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy(*keys)).alias("_total"),
-    )
-    x = null_safe_join(x, offsets, [*keys, *names])
-    inner = W.partitionBy(*keys, *names).orderBy(*order)
-    x = x.withColumn(name, (F.row_number().over(inner) + F.col("_before")).cast("long"))
+    rows = in_ranges(df, keys, order)
+    counts = rows.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    upto = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(upto), F.lit(0)) - F.col("_first") + 1
+    offsets = counts.select(*keys, "_range", before.alias("_add"), F.sum("_n").over(W.partitionBy(*keys)).alias("_total"))
+    x = null_safe_join(rows, offsets, [*keys, "_range"])
+    x = x.withColumn(name, F.col("_at") + F.col("_add"))
     x = x.withColumnRenamed("_total", total) if total else x.drop("_total")
-    return x.drop("_before", *names, *drop)
+    return x.drop("_range", "_at", "_add")
 
 
 def exact_quantiles(

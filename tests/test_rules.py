@@ -173,9 +173,15 @@ def test_decoy_relaxation(spark):
 def test_renumber(spark):
     numbers = [52, 52, 52, 53, 54, 54, 55]
     df = spark.createDataFrame([("s", i, n) for i, n in enumerate(numbers)], "s string, pos int, n int")
-    for size in (2, 3, 100):
-        got = P.renumber(df, ["s"], "pos", "n", F.floor(F.col("pos") / size)).orderBy("pos").collect()
-        assert [r.n_new for r in got] == [52, 53, 54, 55, 56, 57, 58]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in ("1", "3", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = P.renumber(df.unionByName(df.withColumn("s", F.lit(None))), ["s"], "pos", "n").orderBy("s", "pos").collect()
+            assert [r.n_new for r in got] == [52, 53, 54, 55, 56, 57, 58] * 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_site_map(spark):
