@@ -7,8 +7,7 @@ product per block gives the inner products of the original vectors, from which t
 
 For the largest inner product among vectors of different norms, vectors are parted into bands whose norms
 differ by at most a quarter of a power of two, so that inside a band the nearest direction is about the
-largest product. Every band has buckets of its own and every query probes all bands of its length. A band
-with no more vectors than buckets is one bucket, which every query meets.
+largest product. Every band has buckets of its own and every query probes all bands of its length.
 Equal vectors are one class, of which no more ids travel than a result can hold. Large buckets are
 cut into blocks of at most ``BLOCK`` vectors and queries, so no task holds a whole bucket.
 """
@@ -56,6 +55,17 @@ def _matrix(col: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), kind).astype(np.float64).reshape(len(col), -1)
 
 
+def first_best(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the ``n`` largest scores of every row, ties to the smaller id."""
+    best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+    least = np.take_along_axis(scores, best, axis=1).min(axis=1)
+    reach = scores >= least[:, None]
+    for row in np.flatnonzero(reach.sum(axis=1) > n).tolist():
+        tied = np.flatnonzero(reach[row])
+        best[row] = tied[np.lexsort((ids[tied], -scores[row, tied]))[:n]]
+    return best
+
+
 def search(
     df: DataFrame,
     query_step: int = 20,
@@ -63,10 +73,11 @@ def search(
     vec_id: str = "vec_id",
     vector: str = "embedding",
     tables: int = 10,
-    probes: int = 14,
+    probes: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row whose id is divisible by ``query_step`` its ``k`` nearest found.
 
+    ``probes`` buckets are probed per table, if None 7 for each 32 of the padded width and 14 at least.
     Nearness is the inner product in double precision, ties go to the smaller id, the query's own
     row is no candidate. Rows with a null id or a vector that is null, empty, zero or holds null or
     non-finite components take no part; vectors of different lengths never meet. A query that found
@@ -90,11 +101,10 @@ def search(
     band = F.coalesce(F.floor(4 * F.log2(norm) + 0.5), F.lit(-5000)).cast("long")
     classes = classes.select(F.struct(c("vid"), F.xxhash64("v").alias("h")).alias("cls"), "ids", "v", F.coalesce("asks", F.lit(False)).alias("asks"), band.alias("band"))
     classes = written(classes, "vectors")
-    # one row per length and band: as many as powers of two the norms span, whatever the input
+    # one row per length and band: as many as quarters of powers of two the norms span, whatever the input
     bands = {}
-    for number, row in enumerate(classes.groupBy(F.size("v").alias("d"), "band").count().orderBy("d", "band").collect()):
-        hashes = row["count"] > tables * 2 * _width(row["d"])
-        bands.setdefault(row["d"], {})[row["band"]] = (number, hashes)
+    for number, row in enumerate(classes.select(F.size("v").alias("d"), "band").distinct().orderBy("d", "band").collect()):
+        bands.setdefault(row["d"], {})[row["band"]] = number
 
     def hashed(limit: int, query: bool):
         """Rows (bucket, id, h, vec) of data (one bucket per table) or queries (``limit`` buckets per table)."""
@@ -108,32 +118,22 @@ def search(
                     values = vectors.take(pa.array(at))
                     x = np.array(values.flatten().to_numpy(zero_copy_only=False), kind).reshape(len(at), int(d))
                     raw = pa.array([r.tobytes() for r in x], pa.binary())
-                    unit = None
-                    # a band of one bucket has it in table 0 at axis 0
-                    whole = [b for b, (_, hashes) in bands[d].items() if not hashes]
-                    split = [b for b, (_, hashes) in bands[d].items() if hashes]
+                    unit = _unit(x.astype(np.float64))
                     mine = None if query else batch.column(4).to_numpy()[at]
                     for t in range(tables if limit >= 0 else 1):
-                        parts = [(b, np.arange(len(at)) if query else np.flatnonzero(mine == b)) for b in (whole if t == 0 else [])]
-                        parts = [(b, to, np.zeros((len(to), 1), np.int64)) for b, to in parts]
-                        if split:
-                            unit = _unit(x.astype(np.float64)) if unit is None else unit
-                            y = rotate(unit, t)
-                            both = np.concatenate([y, -y], axis=1)
-                            if not query:
-                                axes = both.argmax(axis=1)[:, None]
-                            elif limit < 0:
-                                axes = np.broadcast_to(np.arange(both.shape[1]), both.shape)
-                            else:
-                                m = min(limit, both.shape[1])
-                                axes = np.argpartition(-both, m - 1, axis=1)[:, :m]
-                            for b in split:
-                                to = np.arange(len(at)) if query else np.flatnonzero(mine == b)
-                                parts.append((b, to, axes[to]))
-                        for b, to, axes in parts:
-                            bucket = (np.int64(bands[d][b][0]) << np.int64(32)) + (np.int64(t) << np.int64(24)) + axes
-                            n = axes.shape[1]
-                            back = np.repeat(to, n)
+                        y = rotate(unit, t)
+                        both = np.concatenate([y, -y], axis=1)
+                        if not query:
+                            axes = both.argmax(axis=1)[:, None]
+                        elif limit < 0:
+                            axes = np.broadcast_to(np.arange(both.shape[1]), both.shape)
+                        else:
+                            m = min(limit or max(14, 7 * y.shape[1] // 32), both.shape[1])
+                            axes = np.argpartition(-both, m - 1, axis=1)[:, :m]
+                        for band, number in bands[d].items():
+                            to = np.arange(len(at)) if query else np.flatnonzero(mine == band)
+                            bucket = (np.int64(number) << np.int64(32)) + (np.int64(t) << np.int64(24)) + axes[to]
+                            back = np.repeat(to, axes.shape[1])
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(bucket.reshape(-1)), pa.array(vid[at][back]), pa.array(h[at][back]), raw.take(pa.array(back))],
                                 names=["bucket", "id", "h", "vec"],
@@ -164,7 +164,7 @@ def search(
             else:
                 full = q @ x.T
                 n = min(k + 1, len(x))
-                best = np.argpartition(-full, n - 1, axis=1)[:, :n]
+                best = first_best(full, left["id"].to_numpy(), n)
                 scores = np.take_along_axis(full, best, axis=1).reshape(-1)
                 at = np.repeat(np.arange(len(q)), n)
             hit = pa.array(best.reshape(-1).astype(np.int64))
@@ -190,7 +190,7 @@ def search(
     names = classes.filter("asks").select("v", c("cls.vid").alias("q"), c("cls.h").alias("qh"))
     queries = written(asked.join(names, "v").select(c("id").alias("query_id"), "q", "qh"), "queries")
     result = ["query_id", "qh", "rank", "vec_id", "score"]
-    near = written(ranked(found(classes.filter("asks"), probes), queries).select(*result), "neighbours")
+    near = written(ranked(found(classes.filter("asks"), probes or 0), queries).select(*result), "neighbours")
     full = near.filter(c("rank") == k).select("query_id", "qh")
     short = written(queries.join(full, ["query_id", "qh"], "left_anti"), "short-queries")
     if not short.isEmpty():

@@ -183,23 +183,48 @@ class ChunkEncoder:
     """Ids of whole texts with the tokenizers library, remembering the ids of parts between blanks.
 
     The tokenizer of the file drops white space before it merges, so parts between blanks and
-    line ends have the same ids alone and in the text.
+    line ends have the same ids alone and in the text. It lower-cases and separates letters and digits from
+    marks, so a part is looked up once more as its lower-cased stem and the mark behind it. A text with the
+    string of a special token goes to the library whole.
     """
 
-    CACHE = 500_000  # parts per generation and worker; an eviction only costs time
+    CACHE = 300_000  # parts, and stems, per generation and worker; an eviction only costs time
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.width = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
         self.known, self.old = {}, {}  # a full table of ids becomes the old one
+        self.stems, self.old_stems = {}, {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _stem(part: str) -> tuple[str, str]:
+        mark = ""
+        if len(part) > 1 and part[-1] in ".,;:!?" and part[-2].isalnum() and part[-2] < "\u0250":
+            part, mark = part[:-1], part[-1]
+        return part.lower() if part.isascii() and "<" not in part else part, mark
+
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of new parts by their stems and marks."""
+        if len(self.stems) >= self.CACHE:
+            self.stems, self.old_stems = {}, self.stems
+        stems, old = self.stems, self.old_stems
+        cut = [self._stem(p) for p in parts]
+        new = {x for pair in cut for x in pair if x not in stems}
+        stems.update((x, old[x]) for x in new if x in old)
+        missing = [x for x in new if x not in stems]
+        stems.update(zip(missing, self._ids(missing)))
+        self.known.update((p, stems[stem] + stems[mark]) for p, (stem, mark) in zip(parts, cut))
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [[] if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) >= self.CACHE:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
@@ -207,10 +232,9 @@ class ChunkEncoder:
         missing = [p for p in new if p not in old]
         known.update((p, old[p]) for p in new if p in old)
         if missing:
-            for part, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                known[part] = np.array(found.ids, self.width).tobytes()
+            self._learn(missing)
         end = np.array([end_id], self.width).tobytes()
-        return [b"".join(map(known.__getitem__, parts)) + end for parts in split]
+        return [(b"".join(map(known.__getitem__, parts)) if parts else self._ids([t])[0]) + end for t, parts in zip(texts, split)]
 
 
 @lru_cache(maxsize=2)

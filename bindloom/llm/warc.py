@@ -19,6 +19,8 @@ import hashlib
 import html as entities
 import re
 import uuid
+from collections.abc import Iterator
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bindloom.llm.common import append_columns
 
 VERSION = "WARC/1.0"
+BATCH = 1000  # records handed on at once
+_LENGTH = re.compile(r"^content-length:\s*(\d+)", re.I | re.M)
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _INLINE = re.compile(
     r"</?(?:a|abbr|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|ins|kbd|label|mark|q|s|samp|small|span|strike|strong|sub|sup|time|tt|u|var|wbr)(?:\s[^>]*)?/?>",
@@ -45,10 +49,15 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(chr(0).join(parts).encode()).digest()[:16], version=5)}>"
 
 
-def plain_text(html: str) -> str:
-    """Visible text: a block per line, white space as one blank, character references decoded."""
-    flat = re.sub(r"\s+", " ", _HIDDEN.sub(" ", html))
-    lines = (" ".join(entities.unescape(x).split()) for x in _TAG.sub("\n", _INLINE.sub("", flat)).split("\n"))
+def visible(html: str) -> str:
+    """The page without comments, scripts and other parts that are not shown."""
+    return _HIDDEN.sub(" ", html)
+
+
+def plain_text(shown: str) -> str:
+    """Text of the visible part: a block per line, white space as one blank, character references decoded."""
+    lines = _TAG.sub("\n", _INLINE.sub("", " ".join(shown.split()))).split("\n")
+    lines = (" ".join((entities.unescape(x) if "&" in x else x).split()) for x in lines)
     return "\n".join(x for x in lines if x)
 
 
@@ -71,8 +80,8 @@ def record(kind: str, ident: str, refers_to: str, uri: str | None, date: str | N
     return VERSION + "\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + block
 
 
-def metadata_block(http: str, body: str) -> str:
-    """warc-fields of a response: digest, source headers, title, language, links in page order."""
+def metadata_block(http: str, body: str, shown: str) -> str:
+    """warc-fields of a response: digest, source headers, title, language, links of the visible part in page order."""
     raw = body.encode()
     fields = [("payload-digest", digest(raw)), ("payload-length", str(len(raw)))]
     status, *headers = [x for x in re.split(r"\r?\n", http) if x.strip()] or [""]
@@ -82,7 +91,7 @@ def metadata_block(http: str, body: str) -> str:
         fields.append(("title", entities.unescape(m.group(1))))
     if m := _LANG.search(body):
         fields.append(("language", m.group(1)))
-    fields += [("link", entities.unescape(a or b or c)) for a, b, c in _LINK.findall(_HIDDEN.sub(" ", body))]
+    fields += [("link", entities.unescape(a or b or c)) for a, b, c in _LINK.findall(shown)]
     return "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields)
 
 
@@ -102,7 +111,8 @@ def derive(responses: DataFrame) -> DataFrame:
                 body, http = body or "", http or ""
                 date = _one_line(date) if date else None
                 ident = _one_line(ident or "") or record_id("response", uri or "", date or "", http, body)
-                blocks = (("metadata", "application/warc-fields", metadata_block(http, body)), ("conversion", "text/plain", plain_text(body)))
+                shown = visible(body)
+                blocks = (("metadata", "application/warc-fields", metadata_block(http, body, shown)), ("conversion", "text/plain", plain_text(shown)))
                 out[0].append(ident)
                 for i, (kind, content, block) in enumerate(blocks):
                     out[i + 1].append(record(kind, record_id(kind, ident), ident, uri, date, content, block))
@@ -119,36 +129,71 @@ def write_records(derived: DataFrame, path: str) -> None:
     rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+def _pieces(rows) -> Iterator[tuple[dict, int, str, bytes]]:
+    """(fields, stated length, block, its bytes) of the records in (file, piece) rows, which follow each other as in the file.
+
+    A block that holds the version line arrives in pieces; they are joined until the stated length is reached."""
+    held, at, missing = "", None, 0
+    for file, piece in rows:
+        if at == file and missing > 0:
+            held += VERSION + "\r\n" + piece
+            missing = missing - len(VERSION) - 2 - len(piece.encode()) if missing < inf else _missing(held)
+        elif piece:
+            if at is not None:
+                yield _parsed(held)
+            held, at = piece, file
+            missing = _missing(held)
+    if at is not None:
+        yield _parsed(held)
+
+
+def _missing(held: str) -> float:
+    """Bytes of the block that are not there yet; all, if the head is not complete."""
+    head, end, block = held.partition("\r\n\r\n")
+    found = _LENGTH.search(head)
+    return inf if not end else int(found.group(1)) - len(block.encode()) if found else 0
+
+
+def _parsed(held: str) -> tuple[dict, int, str, bytes]:
+    head, _, rest = held.partition("\r\n\r\n")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.split("\r\n"))}
+    stated = fields.get("content-length", "0")
+    length = int(stated) if stated.isdigit() else -1
+    block = rest.removesuffix("\r\n\r\n")
+    raw = block.encode()
+    if len(raw) != length:  # other line ends than those of the writer
+        raw = rest.encode()[: max(0, length)]
+        block = raw.decode("utf-8", "replace")
+    return fields, length, block, raw
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(type, record_id, refers_to, uri, date, content_type, block_digest, length, block, whole) of WARC files with text blocks.
 
-    Records are cut at the version line, so a block may not hold one; ``whole`` says whether
-    the block has its stated length and digest.
+    Records end where their Content-Length says, whatever lines the block holds; ``whole`` says whether
+    the block has its stated length and digest. A compressed file is read by one task, record after record.
     """
-
-    def start():
-        names = ["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type", "warc-block-digest"]
-
-        def step(cols):
-            out = [[] for _ in range(10)]
-            for value in cols[0]:
-                head, _, rest = value.as_py().partition("\r\n\r\n")
-                fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.split("\r\n"))}
-                length = int(fields.get("content-length", "0")) if fields.get("content-length", "0").isdigit() else -1
-                raw = rest.encode()[: max(0, length)]
-                for i, name in enumerate(names):
-                    out[i].append(fields.get(name))
-                out[7].append(length)
-                out[8].append(raw.decode("utf-8", "replace"))
-                out[9].append(len(raw) == length and fields.get("warc-block-digest", digest(raw)) == digest(raw))
-            kinds = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.bool_()]
-            return [pa.array(x, k) for x, k in zip(out, kinds)]
-
-        return step
-
-    lines = spark.read.option("lineSep", VERSION + "\r\n").text(path).filter("value <> ''")
-    new = "type string, record_id string, refers_to string, uri string, date string, content_type string, block_digest string, length long, block string, whole boolean"
-    return append_columns(lines, ["value"], [], new, start)
+    names = ["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type", "warc-block-digest"]
+    schema = "type string, record_id string, refers_to string, uri string, date string, content_type string, block_digest string, length long, block string, whole boolean"
+    columns = [x.split(" ")[0] for x in schema.split(", ")]
+    kinds = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.bool_()]
+
+    def run(batches):
+        rows = ((f, v) for batch in batches for f, v in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))))
+        out: list[list] = [[] for _ in columns]
+        for fields, length, block, raw in _pieces(rows):
+            for i, name in enumerate(names):
+                out[i].append(fields.get(name))
+            out[7].append(length)
+            out[8].append(block)
+            out[9].append(len(raw) == length and fields.get("warc-block-digest") in (None, digest(raw)))
+            if len(out[0]) == BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=columns)
+                out = [[] for _ in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=columns)
+
+    lines = spark.read.option("lineSep", VERSION + "\r\n").text(path)
+    return lines.select(F.input_file_name(), "value").mapInArrow(run, schema)
 
 
 def linked(records: DataFrame) -> DataFrame:

@@ -227,6 +227,25 @@ def test_search_recall_of_unequal_norms(spark, norms):
     assert recall >= 0.9
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(0, [1.0, 0.0])] + [(i, [1.0, i / 10000]) for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = cross_polytope.search(df, 1000, 20).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 21)) and {r.score for r in got} == {1.0}
+    scores = np.array([[3.0, 1.0, 3.0, 3.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]])
+    best = cross_polytope.first_best(scores, np.array([9, 8, 7, 6, 5, 4]), 2)
+    assert [set(x) for x in best.tolist()] == [{3, 5}, {4, 5}]
+
+
+def test_search_recall_of_wide_vectors(spark):
+    rng = np.random.default_rng(12)
+    rows = list(enumerate(rng.normal(size=(3000, 128)).tolist()))
+    got = cross_polytope.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), 30, 20).collect()
+    want = plain_search(rows, 30, 20)
+    found = {q: {r.vec_id for r in got if r.query_id == q} for q in want}
+    assert np.mean([len(found[q] & set(w)) / len(w) for q, w in want.items()]) >= 0.9
+
+
 def test_search_of_few_and_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [-1.0, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, None]), (8, []), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (10, [-1.0, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS rank", "2 AS id")

@@ -111,10 +111,51 @@ def test_warc(spark, tmp_path, nothing):
     assert W.derive(W.page_responses(df.limit(0))).count() == 0
 
 
+def test_records_with_version_lines_stay_whole(spark, tmp_path):
+    pages = [
+        (1, "http://a/", "<title>All about WARC/1.0</title><p>one WARC/1.0<p>WARC/1.0<a href='WARC/1.0'>x</a><a href='/b WARC/1.0'>y</a>"),
+        (2, "WARC/1.0", "<p>WARC/1.0\r\nWARC/1.0\r\n\r\nWARC/1.0"),
+        (3, "http://c/", "<title>WARC/1.0</title>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    W.write_records(W.derive(W.page_responses(df)).coalesce(1), f"{tmp_path}/w")
+    records = W.read_records(spark, f"{tmp_path}/w")
+    assert records.count() == 6 and records.filter("NOT whole OR type IS NULL").count() == 0
+    got = {r.page_id: r for r in W.linked(records).collect()}
+    assert got[1].title == "All about WARC/1.0" and got[3].title == "WARC/1.0" and got[1].n_links == 2 and got[2].uri == "WARC/1.0"
+
+
+@pytest.mark.parametrize("block", ["", "a", "WARC/1.0\r\n", "WARC/1.0\r\nWARC/1.0\r\n", "x\r\n\r\nWARC/1.0\r\nWARC-Type: no\r\n\r\ny\r\n\r\n", "\r\n\r\n", "é WARC/1.0\r\n\r\n"])
+def test_pieces_of_any_block(block):
+    records = [W.record("conversion", f"<{i}>", "<r>", "u", None, "text/plain", b) for i, b in enumerate([block, "next", block])]
+    pieces = "".join(r + "\r\n\r\n" for r in records).split("WARC/1.0\r\n")
+    found = list(W._pieces([("f", p) for p in pieces] + [("g", p) for p in pieces]))
+    assert [b for _, _, b, _ in found] == [block, "next", block] * 2
+    assert [f["warc-record-id"] for f, *_ in found] == ["<0>", "<1>", "<2>"] * 2
+
+
+PARTS = ["<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|>", "<|endoftext|", "Foo, foo. FOO! don't. DON'T; 1st. é. É, ²! ½? ...", "Ａ. ǅ, ﬁ. e\u0301. =\u0338", "a.b. .a \x1c\x85 \u2028 q."]
+
+
+def test_parts_are_encoded_as_the_whole_text():
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    encoder = R.ChunkEncoder(path)
+    encoder.CACHE = 3
+    for _ in range(2):
+        for text in PARTS + [" ".join(PARTS)]:
+            ids = tok.encode(text, add_special_tokens=False).ids
+            assert encoder.encode([text], 2) == [np.array([*ids, 2], np.uint16).tobytes()], text
+    rng = np.random.default_rng(8)
+    letters = list("aAbBzZ.,;:!?'<|> \té²\u0301ß-_\n")
+    for _ in range(500):
+        text = "".join(rng.choice(letters, 30))
+        assert encoder.encode([text], 2) == [np.array([*tok.encode(text, add_special_tokens=False).ids, 2], np.uint16).tobytes()], text
+
+
 def test_shards(spark, odd, nothing, tmp_path):
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     R.write_shards(odd, f"{tmp_path}/s", path, 49_408, 2, shard_ids=3000, part_ids=9000)
     got = sorted(R.read_shards(spark, f"{tmp_path}/s").collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((i for i, _ in ROWS), key=lambda i: -1 if i is None else i)
