@@ -1,22 +1,23 @@
 """Main text of web pages by composite text density.
 
-The page becomes a tree (the tolerant tokenizer of the standard library, with the implied ends of
-paragraphs, list items, cells and options). Elements that are no article by their tag, role or class
-are left out first. For every node that is left
+The page becomes a tree (tags as browsers read them, with the implied ends of the head, paragraphs,
+list items, cells and options). Elements that are no article by their tag or role are left out first, those
+with the class or id of a notice, advert or the like unless they hold the article. For every node that is left
 
     density = C / T * log_b(C / LC * T / LT),   b = max(e, ln(C / (C - LC) * LC + LC_body / C_body * C + e))
 
 with C characters and T tags in its subtree and LC, LT those inside links (zeros count as one):
 characters per tag, lowered where the text is link text. The density sum of a node adds up the
 densities of its children; a run of text directly in the node is a child of one tag. The node with
-the largest sum, or the container around it if it is a paragraph, list or the like, holds the article. The threshold is the least density on its path to the body: a
-neighbour of the path stays if its density reaches it, or if it is a heading.
+the largest sum, or the container around it if it is a paragraph, list or the like, holds the article. The
+threshold is the least density on its path to the body, or to an article element on the path with most of the
+text: a neighbour of the path stays if its density reaches it, or if it is a heading.
 """
 
 from __future__ import annotations
 
+import html as entities
 import re
-from html.parser import HTMLParser
 from math import e, log
 
 import pyarrow as pa
@@ -40,7 +41,10 @@ DROPPED_WORDS = frozenset(
     "popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login widget toolbar "
     "pagination pager copyright".split()
 )
-KEPT_TAGS = frozenset("html body main article".split())
+ARTICLES = frozenset("article main".split())
+KEPT_TAGS = ARTICLES | frozenset("html body".split())
+HEAD_TAGS = frozenset("title meta link script style base noscript template".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())  # their content is no markup
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body main article section div td center".split())
 CLOSED_BY = {  # an open element of the first kind ends where one of the second kind begins
@@ -63,69 +67,162 @@ _split_names = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])").split
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "suspect", "article", "closable", "block", "open", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag, parent, dropped):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag, parent, dropped, suspect=False):
+        self.tag, self.parent, self.dropped, self.suspect = tag, parent, dropped, suspect
         self.children: list = []  # nodes and strings in page order
+        # inside an article or one itself; the nearest element with an implied end in this scope; the nearest block
+        self.article = tag in ARTICLES or (parent is not None and parent.article)
+        self.closable = self if tag in CLOSED_BY else None if tag in SCOPES or parent is None else parent.closable
+        self.block = parent.block if tag in INLINE and parent is not None else self
+        self.open: dict[str, int] = {}  # of a block: inline elements open in it
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_dropped(tag: str, attrs, parent: Node) -> bool:
-    if tag in DROPPED_TAGS:
-        return True
-    if tag in KEPT_TAGS:
-        return False
-    if tag == "header" and not _inside_article(parent):
+def _is_hidden(tag: str, attrs, parent: Node) -> bool:
+    """No part of the article by its tag, role or style."""
+    if tag in DROPPED_TAGS or (tag == "header" and not parent.article):
         return True
     for name, value in attrs:
-        if name == "role" and value and value.strip().lower() in DROPPED_ROLES:
+        if name == "role" and value.strip().lower() in DROPPED_ROLES:
             return True
-        if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and value:
+    return False
+
+
+def _is_suspect(attrs) -> bool:
+    """Has the class or id of a menu, notice, advert or the like."""
+    for name, value in attrs:
+        if name in ("class", "id"):
             for one in value.split():
-                words = [w.lower() for w in _split_names(one)]
-                if not {"has", "with", "no", "without"} & set(words) and DROPPED_WORDS & set(words):
+                words = {w.lower() for w in _split_names(one)}
+                if DROPPED_WORDS & words and not {"has", "with", "no", "without"} & words:
                     return True
     return False
 
 
-def _inside_article(node) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+def _unescape(text: str) -> str:
+    """Character references decoded; a number of very many digits is no character."""
+    if "&" not in text:
+        return text
+    return entities.unescape(_LONG_NUMBER.sub("\ufffd", text))
 
 
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+_LONG_NUMBER = re.compile(r"&#(?:0*+[1-9][0-9]{9,}|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{9,});?|&#(?=[0-9]{1000})0*+;?")
+_NAME = re.compile(r"[^\s/>]*+")
+_SKIP = re.compile(r"[\s/]*+")
+_KEY = re.compile(r"=?[^\s/>=]*+")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_BARE = re.compile(r"[^\s>]*+")
+
+
+class _Tree:
+    """The tree of a page, read once from left to right; the time is linear in its length whatever the markup."""
+
+    def __init__(self, html: str):
         self.root = self.at = Node("html", None, False)
         self.nodes = [self.root]
         self.body = None
-
-    def handle_starttag(self, tag, attrs):
+        self.html = html
+        self.last = {mark: html.rfind(mark) for mark in ">\"'"}
+        self.quotes = True  # until a tag with quotes turns out not to end
+        self._read()
+
+    def _read(self) -> None:
+        html, at = self.html, 0
+        while at < len(html):
+            start = html.find("<", at)
+            if start < 0 or start > self.last[">"]:  # no tag ends behind here
+                if not html.startswith("<!--", max(start, 0)) or start < 0:
+                    self._data(html[at:])
+                else:
+                    self._data(html[at:start])
+                return
+            if start > at:
+                self._data(html[at:start])
+            at = self._markup(start)
+
+    def _markup(self, start: int) -> int:
+        """Reads what begins with ``<`` at ``start``; returns where it ends."""
+        html = self.html
+        mark = html[start + 1 : start + 2]
+        if html.startswith("<!--", start):
+            if html.startswith((">", "->"), start + 4):
+                return html.find(">", start) + 1
+            end = html.find("-->", start + 4)
+            return len(html) if end < 0 else end + 3
+        if mark in ("!", "?") or (mark == "/" and not html[start + 2 : start + 3].isalpha()):
+            return html.find(">", start) + 1
+        if mark == "/":
+            name = _NAME.match(html, start + 2)
+            self._end(name.group().lower())
+            return html.find(">", name.end()) + 1 or len(html)
+        if not (mark.isascii() and mark.isalpha()):
+            self._data("<")
+            return start + 1
+        name = _NAME.match(html, start + 1)
+        attrs, end = self._attributes(name.end())
+        if end < 0:
+            self.quotes = False
+            end = html.find(">", name.end()) + 1 or len(html)
+            attrs = []
+        tag = name.group().lower()
+        self._start(tag, attrs)
+        if tag in RAW:
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, end)
+            stop = close.start() if close else len(html)
+            if tag in ("title", "textarea"):
+                self._data(html[end:stop])
+            return stop
+        return end
+
+    def _attributes(self, at: int) -> tuple[list[tuple[str, str]], int]:
+        """Attributes from ``at`` on and where the tag ends, -1 if it does not."""
+        html, out = self.html, []
+        if not self.quotes:
+            return [], html.find(">", at) + 1 or -1
+        while True:
+            at = _SKIP.match(html, at).end()
+            if at >= len(html):
+                return out, -1
+            if html[at] == ">":
+                return out, at + 1
+            key = _KEY.match(html, at)
+            at, value = key.end(), ""
+            equals = _EQUALS.match(html, at)
+            if equals:
+                at = equals.end()
+                quote = html[at : at + 1]
+                if quote in ("'", '"') and at < self.last[quote]:
+                    end = html.find(quote, at + 1)
+                    value, at = html[at + 1 : end], end + 1
+                else:
+                    bare = _BARE.match(html, at)
+                    value, at = bare.group(), bare.end()
+            out.append((key.group().lower(), _unescape(value)))
+
+    def _start(self, tag: str, attrs) -> None:
         if tag == "html":
             return
         if tag == "body":
             if self.body is None:
-                self.at = self.root
+                self._leave(self.root)
                 self.body = self._open("body", [])
             return
-        node = self.at
-        while node.parent is not None:  # implied ends
-            if tag in CLOSED_BY.get(node.tag, ()):
-                self.at = node.parent
-                node = node.parent
-                continue
-            if node.tag in SCOPES and not (node.tag in CLOSED_BY):
-                break
-            node = node.parent
+        if self.at.tag == "head" and tag not in HEAD_TAGS:  # the head ends where something else begins
+            self._leave(self.at.parent)
+        x = self.at.closable
+        while x is not None:  # implied ends
+            if tag in CLOSED_BY[x.tag]:
+                self._leave(x.parent)
+                x = self.at.closable
+            else:
+                x = x.parent.closable
         if tag in VOID:
             if tag == "br" or tag == "hr":
                 self.at.children.append(" ")
@@ -133,31 +230,69 @@ class _Tree(HTMLParser):
             return
         self._open(tag, attrs)
 
-    def _open(self, tag, attrs):
-        node = Node(tag, self.at, self.at.dropped or _is_dropped(tag, attrs, self.at))
+    def _open(self, tag: str, attrs) -> Node:
+        hidden = self.at.dropped or _is_hidden(tag, attrs, self.at)
+        node = Node(tag, self.at, hidden, tag not in KEPT_TAGS and _is_suspect(attrs))
         self.at.children.append(node)
         self.nodes.append(node)
+        opened = node.block.open if tag in INLINE else self.root.open
+        opened[tag] = opened.get(tag, 0) + 1
         self.at = node
         return node
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # in HTML the slash of a non-void element has no meaning
+    def _leave(self, node: Node) -> None:
+        """Closes what is open inside ``node``."""
+        while self.at is not node:
+            opened = self.at.block.open if self.at.tag in INLINE else self.root.open
+            opened[self.at.tag] -= 1
+            self.at = self.at.parent
 
-    def handle_endtag(self, tag):
+    def _end(self, tag: str) -> None:
         if tag in ("html", "body") or tag in VOID:
             return
+        # the end of an inline element never closes a block
+        opened = self.at.block.open if tag in INLINE else self.root.open
+        if not opened.get(tag):
+            return
         node = self.at
-        while node is not None and node.tag != tag:
-            # the end of an inline element never closes a block
-            if tag in INLINE and node.tag not in INLINE:
-                return
+        while node.tag != tag:
             node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        self._leave(node.parent)
 
-    def handle_data(self, data):
+    def _data(self, data: str) -> None:
+        if self.at.tag == "head" and data.strip():
+            self._leave(self.at.parent)
         if not self.at.dropped:
-            self.at.children.append(data)
+            self.at.children.append(_unescape(data))
+
+
+def _size(text: str) -> int:
+    return len(" ".join(text.split()))
+
+
+def _sift(tree: _Tree, body: Node) -> None:
+    """Leaves out the elements of suspicious class or id.
+
+    None with an article in it goes and, on a page without an article, none with most of the plain text."""
+    if not any(n.suspect for n in tree.nodes):
+        return
+    plain: dict[int, int] = {}
+    holds: set[int] = set()
+    for node in reversed(tree.nodes):  # children come after their parents
+        if node.dropped:
+            continue
+        own = 0 if node.tag == "a" else plain.get(id(node), 0) + sum(_size(c) for c in node.children if isinstance(c, str))
+        plain[id(node)] = own
+        if node.parent is not None:
+            plain[id(node.parent)] = plain.get(id(node.parent), 0) + own
+            if (node.tag in ARTICLES and own) or id(node) in holds:
+                holds.add(id(node.parent))
+    most = plain.get(id(body), 0) / 2
+    for node in tree.nodes:
+        if node.parent is not None and node.parent.dropped:
+            node.dropped = True
+        elif node.suspect and id(node) not in holds and (holds or plain.get(id(node), 0) <= most):
+            node.dropped = True
 
 
 def _measure(tree: _Tree, body: Node) -> None:
@@ -208,10 +343,9 @@ def main_text(html: str) -> str:
     """The article of a page as one line of text; empty if there is none."""
     if not html:
         return ""
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    tree = _Tree(html)
     body = tree.body or tree.root
+    _sift(tree, body)
     _measure(tree, body)
     if not body.chars:
         return ""
@@ -222,10 +356,11 @@ def main_text(html: str) -> str:
     path = [best]
     while path[-1].parent is not None and path[-1] is not body:
         path.append(path[-1].parent)
-    for node in reversed(path):  # the outermost article around the densest node is the article
-        if node.tag in ("article", "main"):
-            return _text(node)
     threshold = min(n.density for n in path)
+    # an article with most of the plain text is the whole that the threshold sifts, otherwise the body is
+    most = (body.chars - body.link_chars) / 2
+    tops = [i for i, n in enumerate(path) if n.tag in ARTICLES and n.chars - n.link_chars >= most]
+    path = path[: tops[-1] + 1] if tops else path
     inside, on_path = set(map(id, path)), set(map(id, path[1:]))
 
     def chosen(node: Node) -> bool:

@@ -94,6 +94,56 @@ def test_main_text(spark, nothing):
     assert M.extract(nothing, "text").count() == 0
 
 
+ARTICLE = "<h1>Head</h1><p>" + "First long paragraph of the text. " * 8 + "</p><p>" + "Second paragraph, <b>as long</b>. " * 8 + "</p>"
+ARTICLE_TEXT = "Head " + ("First long paragraph of the text. " * 8).strip() + " " + ("Second paragraph, as long. " * 8).strip()
+CHROME = "<nav><a href=1>Home</a></nav><ul class='menu-list'><li><a href=2>More</a></ul>", "<div class='ad'>Buy it now.</div><footer>All rights.</footer>"
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+@pytest.mark.parametrize("wrapper", ["<div class='layout-sidebar-right'>", "<div class='elementor-widget-container'>", "<div id='related-theme'>", "<div class=x>"])
+def test_wrappers_do_not_take_the_article_along(wrapper, tag):
+    page = f"<html><head><title>T</title></head><body>{CHROME[0]}{wrapper}<{tag}>{ARTICLE}</{tag}></div>{CHROME[1]}</body></html>"
+    assert M.main_text(page) == ARTICLE_TEXT
+    assert M.main_text(page.replace("</head><body>", "")) == ARTICLE_TEXT  # the head ends by itself
+    assert M.main_text(page.replace("<html><head>", "").replace("</head><body>", "")) == ARTICLE_TEXT
+    assert M.main_text(f"<head><meta charset=x><div>{ARTICLE}</div>") == ARTICLE_TEXT
+
+
+def test_small_article_beside_much_else():
+    page = f"<body><article><p>Short news.</p></article><div class='ad banner'>{ARTICLE}</div><aside>{ARTICLE}</aside></body>"
+    assert M.main_text(page) == "Short news."
+
+
+def test_density_sifts_neighbours():
+    links = "<div>" + "".join(f"<a href={i}>one link</a> " for i in range(30)) + "</div>"
+    page = f"<body>{links}<div><div class=a>{ARTICLE}</div><div class=b>{ARTICLE}</div>{links}</div><p>ok</p></body>"
+    assert M.main_text(page) == ARTICLE_TEXT + " " + ARTICLE_TEXT
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<a ", "<!--", "<", "</", "<p", "<p>", "<b>", "</b>", "<b><div>", "</b></i>", "&#9", "&", "<a href='", '<a href="x', "<a x='>\"", "<i></b>", "<td>", "<!", "<?", "<script>", "<title>", "<a b=c ", "<li><ul>", "<option><th>", "a<b "],
+)
+def test_time_is_linear_in_the_markup(unit):
+    """A megabyte of anything takes seconds at most, alone, inside an article and before one."""
+    import time
+
+    long = unit * (1_000_000 // len(unit))
+    for page in (long, f"<article><p>{long}</p></article>", "<b><div>" + "<i>" * 1000 + long, long + ">" + ARTICLE):
+        start = time.process_time()
+        M.main_text(page)
+        assert time.process_time() - start < 20
+
+
+def test_odd_markup():
+    assert M.main_text("a < b &amp; c &lt;p&gt; 1<2") == "a < b & c <p> 1<2"
+    assert M.main_text("<p>a<!-- <p>no --> b<!--> c<!---> d<![CDATA[x]]> e<?php no ?> f</ no> g</p>") == "a b c d e f g"
+    assert M.main_text("<P CLASS=x>Up<BR/>per</P><script>if (a</b>c) '<p>'</script><style>p</style>") == "Up per"
+    assert M.main_text("<p title='>'>quoted</p><p title=a>b>bare</p><p hidden>no</p>") == "quoted b>bare"
+    assert M.main_text("<div>&#233;&#xE9;&eacute; &#" + "9" * 6000 + "; &#x" + "F" * 20 + ";</div>") == "ééé \ufffd \ufffd"
+    assert M.main_text("<p>one<p>two<table><tr><td>three<td>four</table><ul><li>five<li>six</ul>") == "one two three four five six"
+
+
 def test_warc(spark, tmp_path, nothing):
     html = "<html lang='en'><head><title>A &amp; B</title></head><body><p>x <b>y</b>z<p><a href='/q?a=1&amp;b=2'>li\r\nnk</a><script>no</script></body>"
     df = spark.createDataFrame([(1, "http://a/ b\r\nX: y", html), (2, None, None), (3, "http://c/", ""), (3, "http://c/", "")], "page_id long, url string, html string")
