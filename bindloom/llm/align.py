@@ -25,74 +25,62 @@ from bindloom.llm.common import fresh_path, planes, unplanes
 
 CHUNK_PAIRS = 1 << 21  # distinct pairs of texts, added up, that share a chunk
 CHUNK_ROWS = 10_000
+GROUP = 64  # texts that are encoded together
+CACHE = 200_000  # parts per generation and worker; an eviction only costs time
+LONGEST_PART = 64
 ID_BITS = 32
 c = F.col
 
 
-def diagonal_runs(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Stretches of groups of the ascending ends ``a`` and ``b``, whose last ends are equal.
-
-    (i, i2, j, j2): with i2 - i == j2 - j > 0 and equal ends, i2 - i one-to-one groups; else one group
-    of the tokens i to i2 and j to j2."""
-    left, right = np.asarray(a, np.int64).tobytes(), np.asarray(b, np.int64).tobytes()
+def diagonal_runs(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First tokens of the groups on both sides, for ascending ends whose last ones are equal."""
+    a, b = ends_a.tolist(), ends_b.tolist()
+    left, right = ends_a.tobytes(), ends_b.tobytes()
+    size = ends_a.itemsize
+    first_a, first_b, groups = [], [], []  # of every stretch: where it starts and how many groups it has
     i = j = 0
     n, m = len(a), len(b)
     while i < n:
-        if a[i] == b[j]:
-            most = min(n - i, m - j)
-            length, width = 1, 2
-            while length < most:  # double while all is equal
-                width = min(width, most - length)
-                if left[8 * (i + length) : 8 * (i + length + width)] != right[8 * (j + length) : 8 * (j + length + width)]:
-                    break
-                length += width
-                width *= 2
-            else:
-                width = 0
-            while width > 1:  # halve up to the first difference
-                width //= 2
-                if left[8 * (i + length) : 8 * (i + length + width)] == right[8 * (j + length) : 8 * (j + length + width)]:
-                    length += width
-            yield i, i + length, j, j + length
-            i += length
-            j += length
-        else:
-            i2, j2 = i + 1, j + 1
-            x, y = a[i], b[j]
+        first_a.append(i)
+        first_b.append(j)
+        x, y = a[i], b[j]
+        i += 1
+        j += 1
+        if x != y:  # an irregular group, up to the next common end
             while x != y:
                 if x < y:
-                    x = a[i2]
-                    i2 += 1
+                    x = a[i]
+                    i += 1
                 else:
-                    y = b[j2]
-                    j2 += 1
-            yield i, i2, j, j2
-            i, j = i2, j2
-
-
-def aligned(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
-    """Groups (i, i2, j, j2) and the linked token places of both sides, one entry per overlapping pair."""
-    groups: list[tuple[int, int, int, int]] = []
-    left: list[int] = []
-    right: list[int] = []
-    for i, i2, j, j2 in diagonal_runs(a, b):
-        if a[i] == b[j]:
-            groups.extend((i + k, i + k + 1, j + k, j + k + 1) for k in range(i2 - i))
-            left.extend(range(i, i2))
-            right.extend(range(j, j2))
+                    y = b[j]
+                    j += 1
+            groups.append(1)
             continue
-        groups.append((i, i2, j, j2))
-        while True:  # every step along the group is one more overlap
-            left.append(i)
-            right.append(j)
-            x, y = a[i], b[j]
-            if x <= y:
-                i += 1
-            if y <= x:
-                j += 1
-            if i == i2:
+        start, width, most = i - 1, 1, min(n - i, m - j)
+        while most:  # doubles while all is equal
+            if left[size * i : size * (i + width)] != right[size * j : size * (j + width)]:
                 break
-    return groups, left, right
+            i += width
+            j += width
+            most -= width
+            width = min(2 * width, most)
+        while width > 1 and most:  # halves up to the first difference
+            width //= 2
+            if left[size * i : size * (i + width)] == right[size * j : size * (j + width)]:
+                i += width
+                j += width
+        groups.append(i - start)
+    count = np.array(groups, np.int64)
+    away = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(np.array(first_a, np.int64), count) + away, np.repeat(np.array(first_b, np.int64), count) + away
+
+
+def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the overlapping tokens of both sides: one pair for each piece between neighbouring ends."""
+    ends = np.concatenate([ends_a, ends_b])
+    ends.sort(kind="stable")
+    ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])] if len(ends) else ends
+    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
 class Sides:
@@ -116,32 +104,57 @@ class Sides:
         ]
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.digits = [str(k) for k in range(max(len(self.a_bytes), len(self.b_bytes)))]
-
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of both sides; none, if one of them does not spell a blank and the text."""
-        if not text:
-            return [], []
-        whole = " " + text
-        a, b = self.bytes_encoder.encode_ordinary(whole), self.pieces.encode(text)
-        raw = whole.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-            return [], []
-        return a, b
-
-    def align(self, text: str | None):
-        """(ids a, ids b, groups, linked places a, linked places b) of a text."""
-        a, b = self.encode(text)
-        if not a:
-            return a, b, [], [], []
-        return a, b, *aligned(np.cumsum(self.a_sizes[a]).tolist(), np.cumsum(self.b_sizes[b]).tolist())
-
-    def spelt(self, a: list[int], b: list[int], groups: list[tuple[int, int, int, int]]) -> str:
+        # ids with what may follow them in a spelt line: comma, bar or semicolon
+        self.spellings = [f"{k}{mark}" for k in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|;"]
+        # where no piece goes on behind a blank, parts between single blanks have the same ids alone and in the text
+        self.by_parts = not any(b" " in x.lstrip(b" ") for x in self.b_bytes)
+        self.known, self.old = {}, {}  # a full table of parts becomes the old one
+
+    def _whole(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids (4 bytes each) of both sides for every text; None if one of them does not spell a blank and the text."""
+        out = []
+        for text, b in zip(texts, self.pieces.encode(texts, num_threads=1)):
+            whole = " " + text
+            a, raw = self.bytes_encoder.encode_ordinary(whole), whole.encode()
+            spelt = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+            out.append((np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if spelt else None)
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both sides for every text; empty if there are none."""
+        split = [t.split(" ") if t and self.by_parts else [t or ""] for t in texts]
+        # a part of blanks only, or with none, belongs to its neighbours
+        split = [[t or ""] if "" in parts else parts for t, parts in zip(texts, split)]
+        if len(self.known) >= CACHE:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = {p for parts in split for p in parts if p not in known}
+        known.update((p, old[p]) for p in new if p in old)
+        missing = [p for p in new if p not in known]
+        found = dict(zip(missing, self._whole(missing)))
+        known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST_PART)
+        found = found.get
+        out = []
+        for parts in split:
+            ids = [known[p] if p in known else found(p) for p in parts]
+            if None in ids:
+                ids = []
+            out.append(tuple(np.frombuffer(b"".join([x[k] for x in ids]), np.int32) for k in (0, 1)))
+        return out
+
+    def spelt(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> str:
         """``a1,a2|b1;a3|b2,b3``: the ids of the groups in order."""
-        da, db = [self.digits[x] for x in a], [self.digits[x] for x in b]
-        return ";".join(
-            f"{da[i]}|{db[j]}" if i2 - i == 1 == j2 - j else ",".join(da[i:i2]) + "|" + ",".join(db[j:j2]) for i, i2, j, j2 in groups
-        )
+        if not len(a):
+            return ""
+        order = np.empty(len(a) + len(b), np.int64)
+        last_a, last_b = np.append(first_a[1:], len(a)), np.append(first_b[1:], len(b))
+        places = np.arange(len(a)) + np.repeat(first_b, last_a - first_a)
+        order[places] = a.astype(np.int64) * 3
+        order[last_a - 1 + first_b] += 1
+        places = np.arange(len(b)) + np.repeat(last_a, last_b - first_b)
+        order[places] = b.astype(np.int64) * 3
+        order[last_b - 1 + last_a] += 2
+        return "".join(map(self.spellings.__getitem__, order.tolist()))[:-1]
 
 
 #: Splits a text before the merges of a byte-level file; fixed value of that file format.
@@ -175,6 +188,23 @@ NEW = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 GROUPS = "groups array<struct<a:array<int>,b:array<int>>>"
 
 
+def _row(both: Sides, a: np.ndarray, b: np.ndarray, with_groups: bool) -> tuple:
+    """(n_a, n_b, n_groups, n_links, digest, distinct pairs, their numbers, groups) of a text."""
+    if not len(a):
+        return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    ends_a, ends_b = np.cumsum(both.a_sizes[a]), np.cumsum(both.b_sizes[b])
+    first_a, first_b = diagonal_runs(ends_a, ends_b)
+    left, right = links(ends_a, ends_b)
+    keys = a.astype(np.int64)[left] << ID_BITS | b[right]
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    digest = hashlib.sha256(both.spelt(a, b, first_a, first_b).encode()).hexdigest()
+    shown = []
+    if with_groups:
+        shown = [{"a": x.tolist(), "b": y.tolist()} for x, y in zip(np.split(a, first_a[1:]), np.split(b, first_b[1:]))]
+    return len(a), len(b), len(first_a), len(left), digest, keys[first], np.diff(np.append(first, len(keys))), shown
+
+
 def _aligned_rows(flat: DataFrame, kept: T.StructType, bytes_path: str, piece_path: str, with_groups: bool, chunk_pairs: int) -> DataFrame:
     """Per text its kept columns, counts, digest, chunk and pairs; per chunk one row with its distinct pairs.
 
@@ -221,15 +251,9 @@ def _aligned_rows(flat: DataFrame, kept: T.StructType, bytes_path: str, piece_pa
         for batch in batches:
             rows, start = [], 0
             texts = batch.column(0)
-            for k in range(len(texts)):
-                a, b, groups, left, right = both.align(texts[k].as_py())
-                key = np.asarray(a, np.int64)[left] << ID_BITS | np.asarray(b, np.int64)[right] if a else np.zeros(0, np.int64)
-                key, times = np.unique(key, return_counts=True)
-                spelt = both.spelt(a, b, groups)
-                digest = hashlib.sha256(spelt.encode()).hexdigest() if a else ""
-                shown = [{"a": a[i:i2], "b": b[j:j2]} for i, i2, j, j2 in groups] if with_groups else None
-                rows.append((len(a), len(b), len(groups), len(left), digest, key, times, shown))
-                entries += len(key)
+            for k, (a, b) in enumerate(pair for at in range(0, len(texts), GROUP) for pair in both.encode(texts.slice(at, GROUP).to_pylist())):
+                rows.append(_row(both, a, b, with_groups))
+                entries += len(rows[-1][5])
                 n_rows += 1
                 if entries >= chunk_pairs or n_rows >= CHUNK_ROWS:
                     held.append(([x.slice(start, k + 1 - start) for x in batch.columns[1:]], rows))

@@ -97,16 +97,36 @@ def test_alignment_of_the_documents(spark, libraries):
 
 
 def test_diagonal_runs():
-    both = A.sides(*PATHS)
     rng = random.Random(2)
-    for _ in range(300):
-        total = rng.randint(1, 60)
-        a, b = (sorted({total, *(rng.randint(1, total) for _ in range(rng.randint(0, 40)))}) for _ in "ab")
-        groups, left, right = A.aligned(a, b)
-        assert [a[g[1] - 1] for g in groups] == sorted(set(a) & set(b))
-        assert len(left) == len(right) == len(a) + len(b) - len(groups) == len(set(a) | set(b))
-    a, b = both.encode("the same")
-    assert both.spelt(a, b, A.aligned(*(np.cumsum(s[x]).tolist() for s, x in ((both.a_sizes, a), (both.b_sizes, b))))[0]).count(";") == len(a) - 1
+    for turn in range(400):
+        total = rng.randint(1, 60) if turn % 4 else 3000
+        a, b = (np.array(sorted({total, *(rng.randint(1, total) for _ in range(rng.randint(0, 40)))})) for _ in "ab")
+        if turn % 3 == 0:  # long equal stretches
+            same = np.array(sorted(rng.sample(range(total + 1, total + 4000), 1000)))
+            a, b = np.concatenate([a, same, same[-1] + a]), np.concatenate([b, same, same[-1] + b])
+        first_a, first_b = A.diagonal_runs(a, b)
+        common = sorted(set(a.tolist()) & set(b.tolist()))
+        assert first_a[0] == first_b[0] == 0
+        assert a[first_a[1:] - 1].tolist() == b[first_b[1:] - 1].tolist() == common[:-1]
+        left, right = A.links(a, b)
+        begin_a, begin_b = np.append(0, a[:-1]), np.append(0, b[:-1])
+        want = {(i, j) for i in range(len(a)) for j in range(len(b)) if begin_a[i] < b[j] and begin_b[j] < a[i]} if len(a) < 200 else None
+        assert want is None or sorted(zip(left.tolist(), right.tolist())) == sorted(want)
+        assert len(left) == len(a) + len(b) - len(common)
+
+
+def test_parts_are_encoded_as_the_whole_text(libraries, monkeypatch):
+    both = A.Sides(*PATHS)
+    assert both.by_parts
+    monkeypatch.setattr(A, "CACHE", 20)
+    rng = random.Random(4)
+    letters = list("aAbz.,'1 \t\n\r▁é的😀\x00<>/s") + [" "] * 8
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + TEXTS
+    for at in range(0, len(texts), 50):
+        for text, (a, b) in zip(texts[at : at + 50], both.encode(texts[at : at + 50])):
+            one, two = libraries[0].encode(" " + text, add_special_tokens=False).ids, libraries[1].encode(text)
+            assert (a.tolist(), b.tolist()) in ([(one, two)] if text and len(a) else [([], [])]), text
+            assert len(a) or not text or b"".join(both.b_bytes[x] for x in two) != (" " + text).encode()
 
 
 def test_both_libraries_agree(libraries):
