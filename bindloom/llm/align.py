@@ -25,21 +25,18 @@ from bindloom.llm.common import fresh_path, planes, unplanes
 
 CHUNK_PAIRS = 1 << 21  # distinct pairs of texts, added up, that share a chunk
 CHUNK_ROWS = 10_000
-GROUP = 64  # texts that are encoded together
-CACHE = 200_000  # parts per generation and worker; an eviction only costs time
-LONGEST_PART = 64
 ID_BITS = 32
 c = F.col
 
 
 def diagonal_runs(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First tokens of the groups on both sides, for ascending ends whose last ones are equal."""
-    a, b = ends_a.tolist(), ends_b.tolist()
+    a, b = [*ends_a.tolist(), -1], [*ends_b.tolist(), -2]  # behind the last end nothing is equal
     left, right = ends_a.tobytes(), ends_b.tobytes()
     size = ends_a.itemsize
     first_a, first_b, groups = [], [], []  # of every stretch: where it starts and how many groups it has
     i = j = 0
-    n, m = len(a), len(b)
+    n, m = len(ends_a), len(ends_b)
     while i < n:
         first_a.append(i)
         first_b.append(j)
@@ -56,14 +53,21 @@ def diagonal_runs(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, n
                     j += 1
             groups.append(1)
             continue
-        start, width, most = i - 1, 1, min(n - i, m - j)
+        if a[i] != b[j]:
+            groups.append(1)
+            continue
+        start, width, most = i - 1, 2, min(n - i, m - j)
+        i += 1
+        j += 1
+        most -= 1
         while most:  # doubles while all is equal
+            width = min(width, most)
             if left[size * i : size * (i + width)] != right[size * j : size * (j + width)]:
                 break
             i += width
             j += width
             most -= width
-            width = min(2 * width, most)
+            width *= 2
         while width > 1 and most:  # halves up to the first difference
             width //= 2
             if left[size * i : size * (i + width)] == right[size * j : size * (j + width)]:
@@ -94,67 +98,44 @@ class Sides:
         # the same merges in the same order as the file's library; a test compares both on all code points
         self.bytes_encoder = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        self.a_sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
-            self.a_bytes[rank] = token
+            self.a_sizes[rank] = len(token)
         # fixed values of the piece file's format: U+2581 is a blank, <0xHH> one byte
         self.b_bytes = [
             bytes([int(self.pieces.id_to_piece(k)[3:5], 16)]) if self.pieces.is_byte(k) else self.pieces.id_to_piece(k).replace("▁", " ").encode()
             for k in range(self.pieces.get_piece_size())
         ]
-        self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
-        # ids with what may follow them in a spelt line: comma, bar or semicolon
-        self.spellings = [f"{k}{mark}" for k in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|;"]
-        # where no piece goes on behind a blank, parts between single blanks have the same ids alone and in the text
-        self.by_parts = not any(b" " in x.lstrip(b" ") for x in self.b_bytes)
-        self.known, self.old = {}, {}  # a full table of parts becomes the old one
-
-    def _whole(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids (4 bytes each) of both sides for every text; None if one of them does not spell a blank and the text."""
-        out = []
-        for text, b in zip(texts, self.pieces.encode(texts, num_threads=1)):
-            whole = " " + text
-            a, raw = self.bytes_encoder.encode_ordinary(whole), whole.encode()
-            spelt = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-            out.append((np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if spelt else None)
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both sides for every text; empty if there are none."""
-        split = [t.split(" ") if t and self.by_parts else [t or ""] for t in texts]
-        # a part of blanks only, or with none, belongs to its neighbours
-        split = [[t or ""] if "" in parts else parts for t, parts in zip(texts, split)]
-        if len(self.known) >= CACHE:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        new = {p for parts in split for p in parts if p not in known}
-        known.update((p, old[p]) for p in new if p in old)
-        missing = [p for p in new if p not in known]
-        found = dict(zip(missing, self._whole(missing)))
-        known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST_PART)
-        found = found.get
-        out = []
-        for parts in split:
-            ids = [known[p] if p in known else found(p) for p in parts]
-            if None in ids:
-                ids = []
-            out.append(tuple(np.frombuffer(b"".join([x[k] for x in ids]), np.int32) for k in (0, 1)))
-        return out
-
-    def spelt(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> str:
+        # ids with what may follow them in a spelt line, as rows of bytes with zeros behind
+        top = max(len(self.a_sizes), len(self.b_bytes))
+        lines = np.array([f"{k}{mark}" for k in range(top) for mark in ",|;"], dtype="S")
+        self.spellings = lines.view(np.uint8).reshape(len(lines), -1)
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both sides of a text; empty if there are none, or the pieces do not spell a blank and the text.
+
+        The byte-level side always spells its text."""
+        if text:
+            whole, b = " " + text, self.pieces.encode(text)
+            if b"".join(map(self.b_bytes.__getitem__, b)) == whole.encode():
+                return self.bytes_encoder.encode_to_numpy(whole).astype(np.int64), np.array(b, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def spelt(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> bytes:
         """``a1,a2|b1;a3|b2,b3``: the ids of the groups in order."""
         if not len(a):
-            return ""
+            return b""
         order = np.empty(len(a) + len(b), np.int64)
         last_a, last_b = np.append(first_a[1:], len(a)), np.append(first_b[1:], len(b))
         places = np.arange(len(a)) + np.repeat(first_b, last_a - first_a)
-        order[places] = a.astype(np.int64) * 3
+        order[places] = a * 3
         order[last_a - 1 + first_b] += 1
         places = np.arange(len(b)) + np.repeat(last_a, last_b - first_b)
-        order[places] = b.astype(np.int64) * 3
+        order[places] = b * 3
         order[last_b - 1 + last_a] += 2
-        return "".join(map(self.spellings.__getitem__, order.tolist()))[:-1]
+        flat = self.spellings[order].reshape(-1)
+        return flat[flat != 0].tobytes()[:-1]
 
 
 #: Splits a text before the merges of a byte-level file; fixed value of that file format.
@@ -195,10 +176,10 @@ def _row(both: Sides, a: np.ndarray, b: np.ndarray, with_groups: bool) -> tuple:
     ends_a, ends_b = np.cumsum(both.a_sizes[a]), np.cumsum(both.b_sizes[b])
     first_a, first_b = diagonal_runs(ends_a, ends_b)
     left, right = links(ends_a, ends_b)
-    keys = a.astype(np.int64)[left] << ID_BITS | b[right]
+    keys = a[left] << ID_BITS | b[right]
     keys.sort()
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    digest = hashlib.sha256(both.spelt(a, b, first_a, first_b).encode()).hexdigest()
+    digest = hashlib.sha256(both.spelt(a, b, first_a, first_b)).hexdigest()
     shown = []
     if with_groups:
         shown = [{"a": x.tolist(), "b": y.tolist()} for x, y in zip(np.split(a, first_a[1:]), np.split(b, first_b[1:]))]
@@ -251,8 +232,8 @@ def _aligned_rows(flat: DataFrame, kept: T.StructType, bytes_path: str, piece_pa
         for batch in batches:
             rows, start = [], 0
             texts = batch.column(0)
-            for k, (a, b) in enumerate(pair for at in range(0, len(texts), GROUP) for pair in both.encode(texts.slice(at, GROUP).to_pylist())):
-                rows.append(_row(both, a, b, with_groups))
+            for k in range(len(texts)):
+                rows.append(_row(both, *both.encode(texts[k].as_py()), with_groups))
                 entries += len(rows[-1][5])
                 n_rows += 1
                 if entries >= chunk_pairs or n_rows >= CHUNK_ROWS:

@@ -115,20 +115,6 @@ def test_diagonal_runs():
         assert len(left) == len(a) + len(b) - len(common)
 
 
-def test_parts_are_encoded_as_the_whole_text(libraries, monkeypatch):
-    both = A.Sides(*PATHS)
-    assert both.by_parts
-    monkeypatch.setattr(A, "CACHE", 20)
-    rng = random.Random(4)
-    letters = list("aAbz.,'1 \t\n\r▁é的😀\x00<>/s") + [" "] * 8
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + TEXTS
-    for at in range(0, len(texts), 50):
-        for text, (a, b) in zip(texts[at : at + 50], both.encode(texts[at : at + 50])):
-            one, two = libraries[0].encode(" " + text, add_special_tokens=False).ids, libraries[1].encode(text)
-            assert (a.tolist(), b.tolist()) in ([(one, two)] if text and len(a) else [([], [])]), text
-            assert len(a) or not text or b"".join(both.b_bytes[x] for x in two) != (" " + text).encode()
-
-
 def test_both_libraries_agree(libraries):
     """The byte-level side is the library of its file, on every code point."""
     both, points = A.sides(*PATHS), [x for x in range(0x110000) if not 0xD800 <= x < 0xE000]
