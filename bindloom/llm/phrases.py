@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from bindloom.llm.common import planes, unplanes, written
 
 CHUNK_WORDS = 1 << 21  # words of one task that share a dictionary of their own
-PART_ROWS = 1 << 19  # runs that one part of the routed rows holds about
-COMMON = 2_000  # a word is very common from this part of all words on
+PART_ROWS = 1 << 20  # runs that one part of the routed rows holds about
+COMMON_SHARE = 8  # a word is very common from this part of ``PART_ROWS`` on
 RANK_SALTS = 64
 _ROUTE = np.uint64(0x9E3779B97F4A7C15)
 #: Separators of pieces become line feeds, tabs become blanks.
@@ -38,6 +38,33 @@ def _unpacked(data: bytes, n: int, kind) -> np.ndarray:
     return unplanes(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
+def pack_runs(runs: np.ndarray, weights: np.ndarray, depth: np.ndarray) -> bytes:
+    """A block of weighted runs: its distinct ids, rising, and the runs as numbers of these ids, the most frequent first."""
+    ids, at, times = np.unique(runs, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    number = np.empty(len(ids), np.uint32)
+    number[order] = np.arange(len(ids))
+    rows = number[at.reshape(runs.shape)]
+    rows = np.concatenate([rows, weights[None].astype(np.uint32), depth[None].astype(np.uint32)])
+    rows = rows[:, np.lexsort(rows[1::-1])]
+    rows[0] = np.diff(rows[0], prepend=np.uint32(0))
+    parts = [np.diff(ids, prepend=0).view(np.uint64), order.astype(np.uint32)]
+    body = b"".join(planes(x) for x in (*parts, rows.reshape(-1)))
+    head = np.array([len(ids), runs.shape[1], len(body)], np.int64).tobytes()
+    return head + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpack_runs(data: bytes, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs, weights and depths of a block."""
+    n_ids, n, size = np.frombuffer(data[:24], np.int64).tolist()
+    body = pa.decompress(data[24:], size, codec="zstd", asbytes=True)
+    ids = np.cumsum(unplanes(body[: 8 * n_ids], np.uint64).view(np.int64))
+    order = unplanes(body[8 * n_ids : 12 * n_ids], np.uint32)
+    rows = unplanes(body[12 * n_ids :], np.uint32).reshape(longest + 2, n)
+    rows[0] = np.cumsum(rows[0], dtype=np.uint32)
+    return ids[order][rows[:longest]], rows[longest].astype(np.int64), rows[longest + 1].astype(np.int64)
+
+
 def _chunks(df: DataFrame) -> DataFrame:
     """One row per language and chunk of texts: distinct words, their counts, and the word numbers in order.
 
@@ -176,13 +203,11 @@ def frequent_phrases(runs: np.ndarray, weights: np.ndarray, shortest: int, least
 
 
 def _routed(chunks: DataFrame, back: DataFrame, parts: int, longest: int) -> DataFrame:
-    """(part, depth, n, runs, weights) of every chunk: its merged runs, dealt by their leading words."""
-    names = ["part", "depth", "n", "runs", "weights"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    """(part, block): the merged runs of every chunk, dealt by their leading words."""
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = dealt(left, right) if right.num_rows else []  # else no word of the chunk is frequent
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "block"])
 
     def dealt(left: pa.Table, right: pa.Table) -> list[tuple]:
         size = left.column("size")[0].as_py()
@@ -196,23 +221,20 @@ def _routed(chunks: DataFrame, back: DataFrame, parts: int, longest: int) -> Dat
         local = np.where(ids[stream] != 0, stream, 0).astype(np.uint32)
         runs = _runs(local, longest)
         runs, weights = _merged(runs, np.ones(runs.shape[1], np.int64))
-        depth = route_depth(common[runs]) if len(weights) else np.zeros(0, np.int64)
+        if not len(weights):
+            return []
+        depth = route_depth(common[runs])
         key = np.zeros(len(weights), np.uint64)
         for k in range(longest):
             key = np.where(depth > k, (key ^ ids[runs[k]].view(np.uint64)) * _ROUTE, key)
             key ^= key >> np.uint64(29)
         part = (key % np.uint64(parts)).astype(np.int64)
-        rows = []
-        order = np.lexsort((depth, part))
-        bounds = np.flatnonzero(np.diff(part[order] * 16 + depth[order])) + 1
-        for some in np.split(order, bounds) if len(order) else []:
-            some = np.sort(some)
-            rows.append((int(part[some[0]]), int(depth[some[0]]), len(some), _packed(ids[runs[:, some]].reshape(-1)), _packed(weights[some])))
-        return rows
-
-    schema = "part long, depth int, n long, runs binary, weights binary"
+        order = np.argsort(part, kind="stable")
+        bounds = np.flatnonzero(np.diff(part[order])) + 1
+        return [(int(part[some[0]]), pack_runs(ids[runs[:, some]], weights[some], depth[some])) for some in np.split(order, bounds)]
+
     left = chunks.select("chunk", "size", "stream").groupBy("chunk")
-    return left.cogroup(back.groupBy("of")).applyInArrow(deal, schema)
+    return left.cogroup(back.groupBy("of")).applyInArrow(deal, "part long, block binary")
 
 
 def _counted(routed: DataFrame, longest: int, least: int) -> DataFrame:
@@ -221,12 +243,12 @@ def _counted(routed: DataFrame, longest: int, least: int) -> DataFrame:
 
     def count(rows: pa.Table) -> pa.Table:
         ids, f, whole = [], [], []
-        depths = np.asarray(rows.column("depth").to_numpy())
+        blocks = [unpack_runs(x.as_py(), longest) for x in rows.column("block")]
+        all_runs, all_weights, depths = (np.concatenate([x[i] for x in blocks], axis=-1) for i in range(3))
+        del blocks
         for depth in np.unique(depths).tolist():
-            some = [rows.slice(i, 1) for i in np.flatnonzero(depths == depth).tolist()]
-            n = [x.column("n")[0].as_py() for x in some]
-            runs = np.concatenate([_unpacked(x.column("runs")[0].as_py(), k * longest, np.int64).reshape(longest, k) for x, k in zip(some, n)], axis=1)
-            weights = np.concatenate([_unpacked(x.column("weights")[0].as_py(), k, np.int64) for x, k in zip(some, n)])
+            some = np.flatnonzero(depths == depth)
+            runs, weights = all_runs[:, some], all_weights[some]
             for phrase, total in frequent_phrases(runs, weights, depth, least):
                 ids.append(phrase.tolist())
                 f.append(total)
@@ -288,7 +310,7 @@ def collocations(
     words = entries.filter("word IS NOT NULL").select("lang", "word", "id", "f")
     held = words.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("f")).first()["f"]
     parts = max(8, -(-held // PART_ROWS))
-    back = entries.select(c("chunk").alias("of"), "at", "id", (c("f") * COMMON >= held).alias("common"))
+    back = entries.select(c("chunk").alias("of"), "at", "id", (c("f") * COMMON_SHARE >= PART_ROWS).alias("common"))
     routed = _routed(chunks, back, parts, longest)
     runs = _counted(routed, longest, least)
     phrases = written(runs.unionByName(words.select(F.array("id").alias("ids"), "f")), "phrases")

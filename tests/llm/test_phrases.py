@@ -56,9 +56,9 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("common", [3, 30, 2000])
+@pytest.mark.parametrize("common", [1, 8, 100])
 def test_collocations(spark, monkeypatch, common):
-    monkeypatch.setattr(P, "COMMON", common)  # from 3 on nearly no, at 2000 all frequent words route by more words
+    monkeypatch.setattr(P, "COMMON_SHARE", common)  # at 1 few, at 100 all frequent words route by more words
     monkeypatch.setattr(P, "PART_ROWS", 300)
     rows = made(common)
     df = spark.createDataFrame(rows, "lang string, text string").selectExpr("lang", "text", "1 AS f", "2 AS chunk", "3 AS ids", "4 AS n").repartition(5)
@@ -73,6 +73,16 @@ def test_no_texts(spark):
     assert rows_of(P.collocations(odd)) == plain([("en", "w " * 300)], 100)
 
 
+def test_blocks_round_trip():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 700):
+        runs = np.sort(rng.choice([0, 1, 5, 2**33 + 1, 7 * 2**33, 2**62], (5, n)), axis=0)[::-1].copy()
+        weights, depth = rng.integers(1, 2**31, n), rng.integers(2, 6, n)
+        back = P.unpack_runs(P.pack_runs(runs, weights, depth), 5)
+        rows = lambda x: sorted(zip(x[0].T.tolist(), x[1].tolist(), x[2].tolist()))
+        assert rows(back) == rows((runs, weights, depth))
+
+
 def test_quicksort_counts():
     rng = np.random.default_rng(3)
     runs = np.sort(rng.integers(0, 4, (5, 3000)), axis=0)[::-1].copy()  # zeros only behind words
