@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -58,8 +59,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """The library's settings of adaptive execution on a session of the user's own."""
+    for key, value in DEFAULTS.items():
+        if ".adaptive." in key:
+            spark.conf.set(key, value)
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a parquet table in the shared folder: survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_path = path
+    return table
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing reads any more, and lets Spark clean the shuffles behind them.
+
+    Spark deletes the files of a shuffle when the driver has collected its last reference, which
+    in a long job with a large heap may be much later than the disks would like.
+    """
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table._written_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.java.lang.System.gc()
