@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from bindloom.session import fresh_path, written
+from bindloom.session import dropped, fresh_path, written
 
-__all__ = ["append_columns", "byte_view", "fresh_path", "planes", "row_groups", "run_hashes", "table", "token_classes", "unplanes", "written"]
+__all__ = ["append_columns", "byte_view", "dropped", "fresh_path", "planes", "row_groups", "run_hashes", "table", "token_classes", "unplanes", "written"]
 
 GROUP_BYTES = 1 << 20  # text handled at once by the array code; bounds the arrays of a task
 

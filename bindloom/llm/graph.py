@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from bindloom.llm.common import written
+from bindloom.llm.common import dropped, written
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        pairs = written(small.select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct(), "links")
+        last, pairs = pairs, written(small.select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct(), "links")
+        dropped(pairs.sparkSession, last)
         now = _state(pairs)
         if now == seen:
             break

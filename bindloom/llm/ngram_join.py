@@ -11,8 +11,8 @@ order for all texts. Two sets of sizes n <= m can only reach the threshold t if
 
 Pairs that pass are verified once on the whole sets. Equal sets are one class from the start. For
 components, every class is first compared with a few partners that a random draw per shared token
-gives; what is connected by then needs no further comparison, and all pairs of different
-components that pass the filters are compared at the end. So the result is that of all pairs, while
+gives, again and again until a draw finds no link; what is connected by then needs no further
+comparison, and all pairs of different components that pass the filters are compared at the end. So the result is that of all pairs, while
 a large group of near copies does not cost the square of its size.
 """
 
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bindloom.llm.common import LOWER, append_columns, byte_view, row_groups, run_hashes, token_classes, written
+from bindloom.llm.common import LOWER, append_columns, byte_view, dropped, row_groups, run_hashes, token_classes, written
 from bindloom.llm.graph import components
 
 COUNT_BITS = 21  # n-grams are counted in 2^21 hashed cells
@@ -185,9 +185,11 @@ class Join:
         found = spark.sparkContext.broadcast(bitmap(self.shared, "token"))
         postings = self._prefixes(found).join(self.shared, "token", "left_semi").distinct()
         self.postings = written(postings, "postings")
+        dropped(spark, self.shared)
         keys = self.postings.select("key").distinct()
         wanted = spark.sparkContext.broadcast(bitmap(keys, "key"))
         self.sets = written(self._sets(wanted).join(keys, "key", "left_semi").dropDuplicates(["key"]), "ngram-sets")
+        dropped(spark)
 
     def _prefixes(self, only) -> DataFrame:
         """(token, key, n, pos) of the prefix tokens, of each class once per task.
@@ -299,35 +301,52 @@ class Join:
         pairs = best.select("key", F.explode("best.b").alias("b"))
         return pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
 
-    def classes(self, rounds: int = 2, partners: int = 4) -> DataFrame:
-        """(key, comp) of the classes that have links; the component is its least key."""
-        links = checked = comps = None
-        for turn in range(rounds + 1):
+    def classes(self, partners: int = 4) -> DataFrame | None:
+        """(key, comp) of the classes that have links; the component is its least key.
+
+        Draws go on until one finds no link; what is in one component by then needs no comparison."""
+        comps, turn, drawing = None, 0, True
+        while True:
             postings = self.postings
             if comps is None:
                 postings = postings.withColumn("comp", F.col("key"))
             else:
                 postings = postings.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-            pairs = self._drawn_pairs(postings, turn, partners * (turn + 1)) if turn < rounds else self._all_pairs(postings, True)
-            if checked is not None:
-                pairs = pairs.join(checked, ["a", "b"], "left_anti")
-            pairs = written(pairs, "ngram-pairs")
+            drawn = self._drawn_pairs(postings, turn, partners * min(4, turn + 1)) if drawing else self._all_pairs(postings, True)
+            pairs = written(drawn, "ngram-pairs")
             found = written(self._verified(pairs), "ngram-links")
-            checked = pairs if checked is None else checked.unionByName(pairs)
+            dropped(self.spark, pairs)
             if found.isEmpty():
+                if not drawing:
+                    return comps
+                drawing = False
                 continue
-            links = found if links is None else links.unionByName(found)
-            comps = written(components(links).select(F.col("node").alias("key"), F.col("component").alias("comp")), "ngram-classes")
-        return comps
+            # a component is a star by now: its classes hang on its least one
+            stars = None if comps is None else comps.select(F.col("key").alias("a"), F.col("comp").alias("b"))
+            now = components(found if stars is None else found.unionByName(stars))
+            last, comps = comps, written(now.select(F.col("node").alias("key"), F.col("component").alias("comp")), "ngram-classes")
+            dropped(self.spark, found, *([] if last is None else [last]))
+            if not drawing:
+                return comps
+            turn += 1
+
+
+def class_keys(df: DataFrame, text: str = "text", n: int = 4) -> DataFrame:
+    """All columns and ``class_key``, the key of the text's set as ``near_duplicates`` gives it; null without words."""
+
+    def start():
+        return lambda cols: [pa.array([_class_key(g) if len(g) else None for g in ngram_hashes(cols[0], n)], pa.int64())]
+
+    return append_columns(df, [text], None, "class_key long", start)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, class_key, component_id) of every row.
+    """(doc_id, n_shingles, class_key, component_id, component_key) of every row.
 
     Words are runs of characters other than ASCII white space, lower-cased A-Z; a set holds the
     distinct ``n``-grams, a text of fewer words counts as one n-gram. Two texts link when
     100 * overlap >= percent * union. ``component_id`` is the least id that links reach, the row's
-    own included. Null, empty and blank texts have 0 shingles and link with nothing. Equal texts and
+    own included, ``class_key`` names equal sets and ``component_key`` the component. Null, empty and blank texts have 0 shingles and link with nothing. Equal texts and
     repeated rows are one class; repeated ids are rows of their own; a null id never is the least
     one unless all are null. Extra columns are not read. An empty table gives an empty result.
 
@@ -339,10 +358,11 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n
     rows = join.rows.filter("n > 0")
     least = rows.groupBy("key").agg(F.min("_id").alias("_least"))
     if comps is not None:
-        known = least.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        least = known.join(known.groupBy("comp").agg(F.min("_least").alias("component_id")), "comp").select("key", "component_id")
+        least = least.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        least = least.join(least.groupBy("comp").agg(F.min("_least").alias("component_id")), "comp").select("key", "comp", "component_id")
     else:
-        least = least.withColumnRenamed("_least", "component_id")
-    empty = join.rows.filter("n = 0").withColumn("component_id", F.col("_id"))
+        least = least.select("key", F.col("key").alias("comp"), F.col("_least").alias("component_id"))
+    empty = join.rows.filter("n = 0").withColumns({"component_id": F.col("_id"), "comp": F.col("key")})
     out = rows.join(least, "key").unionByName(empty)
-    return out.select(F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), "component_id")
+    names = {"_id": doc_id, "n": "n_shingles", "key": "class_key", "component_id": "component_id", "comp": "component_key"}
+    return out.select(*[F.col(k).alias(v) for k, v in names.items()])
