@@ -51,12 +51,38 @@ def seeds(spark, sf):
     )
 
 
-@query("pose_rmsd")
+AXES = [u + v for u in "xyz" for v in "xyz"]
+NEWTON = "((l * l + p2) * l + p1) * l + p0", "(4 * l * l + 2 * p2) * l + p1"
+RMSD = f"""s AS (SELECT CAST(vec_id // 5 AS BIGINT) AS complex_id, CAST(vec_id % 5 AS INT) AS seed,
+    list_transform(list_slice(embedding, 1, CASE WHEN vec_id % 17 = 0 THEN 60 ELSE 63 END), lambda v: v::DOUBLE * 10) AS c FROM embeddings),
+  ax AS (SELECT complex_id, seed, list_filter(c, lambda v, i: i % 3 = 1) AS x, list_filter(c, lambda v, i: i % 3 = 2) AS y, list_filter(c, lambda v, i: i % 3 = 0) AS z FROM s),
+  m AS (SELECT *, list_avg(x) AS mx, list_avg(y) AS my, list_avg(z) AS mz FROM ax),
+  ce AS (SELECT complex_id, seed, list_transform(x, lambda v: v - mx) AS x, list_transform(y, lambda v: v - my) AS y, list_transform(z, lambda v: v - mz) AS z FROM m),
+  ng AS (SELECT *, list_inner_product(x, x) + list_inner_product(y, y) + list_inner_product(z, z) AS g, len(x) AS n FROM ce),
+  su AS (SELECT a.complex_id, a.seed, b.seed AS other, a.n, (a.g + b.g) / 2 AS l0, {", ".join(f"CASE WHEN a.n = b.n THEN list_inner_product(a.{p[0]}, b.{p[1]}) END AS {p}" for p in AXES)}
+    FROM ng a JOIN ng b ON a.complex_id = b.complex_id AND a.seed < b.seed),
+  ky AS (SELECT *, xx + yy + zz AS a, yz - zy AS b, zx - xz AS c, xy - yx AS d, xx - yy - zz AS e, xy + yx AS f, zx + xz AS g, yy - xx - zz AS h, yz + zy AS i, zz - xx - yy AS j FROM su),
+  co AS (SELECT complex_id, seed, other, n, l0, -2 * ({" + ".join(f"{p} * {p}" for p in AXES)}) AS p2,
+    -8 * (xx * (yy * zz - yz * zy) - xy * (yx * zz - yz * zx) + xz * (yx * zy - yy * zx)) AS p1,
+    a * (e * (h * j - i * i) - f * (f * j - i * g) + g * (f * i - h * g)) - b * (b * (h * j - i * i) - f * (c * j - i * d) + g * (c * i - h * d))
+      + c * (b * (f * j - i * g) - e * (c * j - i * d) + g * (c * g - f * d)) - d * (b * (f * i - h * g) - e * (c * i - h * d) + f * (c * g - f * d)) AS p0 FROM ky),
+  pr AS (SELECT complex_id, seed, other, CASE WHEN p2 IS NOT NULL THEN sqrt(greatest((l0 - list_reduce(list_concat([l0], list_transform(range(50), lambda v: 0::DOUBLE)),
+    lambda l, v: CASE WHEN {NEWTON[1]} > 0 THEN l - ({NEWTON[0]}) / ({NEWTON[1]}) ELSE l END)) * 2 / n, 0)) END AS rmsd FROM co)"""
+
+
+@query("pose_rmsd", "WITH " + RMSD + " SELECT complex_id, round(avg(rmsd), 6) AS mean_rmsd, count(rmsd) AS n_pairs FROM pr GROUP BY 1")
 def _(spark, sf):
     return D.rounded(R.pose_rmsd(seeds(spark, sf), ["complex_id"], "seed", "xyz"))
 
 
-@query("relax_delta")
+@query(
+    "relax_delta",
+    "WITH " + RMSD + """, bo AS (SELECT complex_id, seed, rmsd FROM pr UNION ALL SELECT complex_id, other, rmsd FROM pr),
+      sp AS (SELECT complex_id, seed, round(avg(rmsd), 6) AS rmsd_mean, round(stddev_pop(rmsd), 6) AS rmsd_std FROM bo GROUP BY 1, 2),
+      ch AS (SELECT CAST(vec_id // 5 AS BIGINT) AS complex_id, CAST(vec_id % 5 AS INT) AS seed, vec_id * 13 % 101 / 1.0::DOUBLE AS total_before, vec_id * 7 % 89 / 1.0::DOUBLE AS total_after,
+        vec_id * 5 % 31 / 1.0::DOUBLE AS rep_before, vec_id * 3 % 29 / 1.0::DOUBLE AS rep_after FROM embeddings)
+    SELECT ch.*, total_after - total_before AS d_total, rep_after - rep_before AS d_rep, rmsd_mean, rmsd_std FROM ch LEFT JOIN sp ON sp.complex_id = ch.complex_id AND sp.seed = ch.seed""",
+)
 def _(spark, sf):
     return D.rounded(R.relax_delta(seeds(spark, sf), ["complex_id"], "seed", "xyz").drop("xyz"))
 

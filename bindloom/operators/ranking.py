@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bindloom.functions import affinity as A
+from bindloom.functions import affinity as A, superposition as P
 from bindloom.plans import skew as S
-from bindloom.session import written
+from bindloom.session import dropped, written
 
 # fixed values: weights of the composite and of the two final scores
 COMPOSITE = {"score": 0.5, "distance": 0.2, "interactions": 0.3}
@@ -172,112 +170,86 @@ def assign_ids(df: DataFrame, protein: str, tag: str, order: str) -> DataFrame:
     return x.withColumn("complex_id", F.format_string(f"%s_{tag}_%06d", F.col(protein), F.col("_n"))).drop("_n")
 
 
+PAIR_BLOCK = 256  # seeds of a complex that meet in one block
+
+
 def seed_pairs(df: DataFrame, by: list[str], seed: str, columns: list[str]) -> DataFrame:
-    """Every seed next to each other seed of its complex, whatever the seeds' numbers."""
-    one = S.first_per(df, [*by, seed], [F.col(c) for c in columns])
-    other = one.select(*by, F.col(seed).alias("other"), *[F.col(c).alias(f"other_{c}") for c in columns])
-    return one.join(other, by).filter(F.col("other") != F.col(seed))
-
-
-def _superposed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """RMSD after optimal superposition for stacks of coordinate sets (n, atoms, 3)."""
-    a = a - a.mean(axis=1, keepdims=True)
-    b = b - b.mean(axis=1, keepdims=True)
-    cov = np.einsum("nai,naj->nij", a, b)
-    s = np.linalg.svd(cov, compute_uv=False)
-    s[:, 2] *= np.sign(np.linalg.det(cov))
-    sq = (a**2).sum(axis=(1, 2)) + (b**2).sum(axis=(1, 2)) - 2 * s.sum(axis=1)
-    return np.sqrt(np.clip(sq, 0, None) / a.shape[1])
-
-
-@F.pandas_udf(T.DoubleType())
-def superposed_rmsd(a: pd.Series, b: pd.Series) -> pd.Series:
-    """RMSD after superposition of two flat coordinate arrays; null on unequal atom counts."""
-    out = np.full(len(a), np.nan)
-    sizes = np.array([len(x) if x is not None and y is not None and len(x) == len(y) else 0 for x, y in zip(a, b)], dtype=int)
-    for n in np.unique(sizes[sizes > 0]):
-        at = np.flatnonzero(sizes == n)
-        left = np.stack(a.iloc[at].to_list()).reshape(len(at), -1, 3)
-        right = np.stack(b.iloc[at].to_list()).reshape(len(at), -1, 3)
-        out[at] = _superposed(left, right)
-    return pd.Series(out).where(sizes > 0, None)
+    """Every two seeds of a complex once, the smaller one first, whatever the seeds' numbers.
+
+    The seeds of a complex are dealt to blocks and two blocks meet at a time, so that the pairs of one
+    complex are made by as many tasks as its size asks for.
+    """
+    one = S.with_group(S.first_per(df, [*by, seed], [F.col(c) for c in columns]), by, F.count(F.lit(1)).alias("_n"))
+    blocks = F.ceil(F.col("_n") / PAIR_BLOCK).cast("int")
+    own, every = F.pmod(F.xxhash64(seed), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    a = one.select(*by, F.col(seed), *columns, own.alias("_i"), every.alias("_j"))
+    b = one.select(*by, F.col(seed).alias("other"), *[F.col(c).alias(f"other_{c}") for c in columns], own.alias("_j"), every.alias("_i"))
+    return S.null_safe_join(a, b, [*by, "_i", "_j"]).filter(F.col(seed) < F.col("other")).drop("_i", "_j")
+
+
+def _pair_rmsd(df: DataFrame, by: list[str], seed: str, coords: str) -> DataFrame:
+    """(by, seed, other, rmsd) of every two seeds; null where their atom counts differ."""
+    moved = df.select(*by, seed, P.centred(F.col(coords)).alias("_xyz"))
+    return seed_pairs(moved, by, seed, ["_xyz"]).select(*by, seed, "other", P.superposed_rmsd(F.col("_xyz"), F.col("other__xyz")).alias("rmsd"))
 
 
 def pose_rmsd(df: DataFrame, by: list[str], seed: str, coords: str) -> DataFrame:
     """Mean superposed RMSD over all seed pairs of a complex."""
-    pairs = seed_pairs(df, by, seed, [coords]).filter(F.col(seed) < F.col("other"))
-    each = pairs.withColumn("rmsd", superposed_rmsd(coords, f"other_{coords}"))
+    each = _pair_rmsd(df, by, seed, coords)
     return each.groupBy(*by).agg(F.avg("rmsd").alias("mean_rmsd"), F.count("rmsd").alias("n_pairs"))
 
 
 def relax_delta(df: DataFrame, by: list[str], seed: str, coords: str) -> DataFrame:
     """Change of score and repulsion by relaxation; spread of each seed's RMSD to the other seeds."""
-    pairs = seed_pairs(df, by, seed, [coords]).withColumn("rmsd", superposed_rmsd(coords, f"other_{coords}"))
-    spread = pairs.groupBy(*by, seed).agg(F.avg("rmsd").alias("rmsd_mean"), F.stddev_pop("rmsd").alias("rmsd_std"))
+    each = _pair_rmsd(df, by, seed, coords)
+    both = each.select(*by, F.explode(F.array(seed, "other")).alias(seed), "rmsd")
+    spread = both.groupBy(*by, seed).agg(F.avg("rmsd").alias("rmsd_mean"), F.stddev_pop("rmsd").alias("rmsd_std"))
     change = df.withColumn("d_total", F.col("total_after") - F.col("total_before")).withColumn(
         "d_rep", F.col("rep_after") - F.col("rep_before")
     )
-    return change.join(spread, [*by, seed], "left")
+    return S.null_safe_join(change, spread, [*by, seed], "left")
 
 
-def _average_linkage(d: np.ndarray, k: int) -> np.ndarray:
-    """Merge the closest clusters by mean distance until ``k`` remain; returns cluster numbers."""
-    d = d.copy()
-    np.fill_diagonal(d, np.inf)
-    member, size = np.arange(len(d)), np.ones(len(d))
-    for _ in range(len(d) - k):
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        member[member == j] = i
-    return np.unique(member, return_inverse=True)[1] + 1
+UNLIKE = 999.0  # fixed value: the distance of poses with different atom counts
 
 
 def cluster_poses(
-    df: DataFrame, by: str, pose: str, coords: str, n_select: int = 10, max_com: float = 15.0, max_clashes: int = 0, max_poses: int = 1000
+    df: DataFrame, by: str, pose: str, coords: str, n_select: int = 10, max_com: float = 15.0, max_clashes: int = 0
 ) -> DataFrame:
     """Diverse poses per configuration: clash and distance filters, RMSD clusters, share per cluster.
 
-    The filters run as aggregates. Clustering needs all distances of a configuration, so
-    it is done for configurations of at most ``max_poses`` poses (docking writes some tens);
-    poses of larger ones come back unranked with a reason instead of being gathered.
+    Of n poses that pass, min(n_select, max(3, n // 3)) become centres: first the one nearest to the
+    centre of mass, then again and again the pose farthest from all centres so far (ties to the
+    smaller distance and id). A pose belongs to its nearest centre. Only the centres, ``n_select`` per
+    configuration at most, travel to the poses, so a configuration of any size is never gathered.
+    Each cluster gives its share of ``n_select``, at least one, the rest is filled up by distance; up to
+    ``n_select`` poses are all taken as one cluster.
     """
     x = S.with_group(df, [by], F.count_if(F.col("n_clashes") <= max_clashes).alias("_clean"), F.min("n_clashes").alias("_least"))
     limit = F.when(F.col("_clean") > 0, F.lit(max_clashes)).otherwise(F.col("_least") + 2)
-    x = x.filter((F.col("n_clashes") <= limit) & (F.col("com_distance") <= max_com)).select(by, pose, coords, "com_distance")
+    x = x.filter((F.col("n_clashes") <= limit) & (F.col("com_distance") <= max_com))
+    x = x.select(by, pose, F.col("com_distance").cast("double").alias("com_distance"), P.centred(F.col(coords)).alias("_xyz"))
     x = S.with_group(x, [by], F.count(F.lit(1)).alias("_n"))
-    small = x.filter(F.col("_n") <= max_poses)
-    big = x.filter(F.col("_n") > max_poses)
-    schema = T.StructType(
-        [small.schema[by], small.schema[pose], T.StructField("com_distance", T.DoubleType()),
-         T.StructField("cluster", T.LongType()), T.StructField("rank", T.LongType())]
-    )
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["com_distance", pose]).reset_index(drop=True)
-        n = len(pdf)
-        pdf["cluster"] = 1
-        if n > n_select:
-            xyz = np.stack(pdf[coords].to_list()).reshape(n, -1, 3)
-            d = np.zeros((n, n))
-            i, j = np.triu_indices(n, 1)
-            d[i, j] = d[j, i] = _superposed(xyz[i], xyz[j])
-            pdf["cluster"] = _average_linkage(d, min(n_select, max(3, n // 3)))
-            size = pdf.groupby("cluster")["cluster"].transform("size")
-            share = np.maximum(1, (size * n_select / n).astype(int))
-            chosen = pdf.groupby("cluster").cumcount() < share
-            # chosen poses first, both parts in order of distance, cut to the wanted number
-            pdf = pdf.assign(late=~chosen).sort_values(["late", "com_distance", pose]).head(n_select)
-            pdf = pdf.sort_values(["com_distance", pose])
-        pdf["rank"] = np.arange(1, len(pdf) + 1)
-        return pdf[[by, pose, "com_distance", "cluster", "rank"]]
-
-    picked = small.groupBy(by).applyInPandas(choose, schema).withColumn("reason", F.lit(None).cast("string"))
-    rest = big.select(by, pose, "com_distance").withColumn("reason", F.lit("too many poses to cluster"))
-    return picked.unionByName(rest, allowMissingColumns=True)
+    wanted = F.when(F.col("_n") <= n_select, 1).otherwise(F.least(F.lit(n_select), F.greatest(F.lit(3), F.floor(F.col("_n") / 3))))
+    x = written(x.withColumns({"_k": wanted, "_d": F.lit(float("inf")), "cluster": F.lit(0).cast("long")}), "poses")
+    newest = x.groupBy(by).agg(F.min_by("_xyz", F.struct("com_distance", pose)).alias("_t"), F.lit(True).alias("_new"))
+    # the farthest pose; of equally far ones the first
+    last = F.struct((-F.col("_d")).alias("d"), "com_distance", pose)
+    apart = F.round(F.coalesce(P.superposed_rmsd(F.col("_xyz"), F.col("_t")), F.lit(UNLIKE)), 9)
+    for turn in range(1, (x.agg(F.max("_k")).first()[0] or 0) + 1):
+        y = S.null_safe_join(x, newest, [by], "left").withColumn("_a", F.when(F.col("_new"), apart))
+        closer = F.coalesce(F.col("_a") < F.col("_d"), F.lit(False))
+        y = y.withColumns({"_d": F.when(closer, F.col("_a")).otherwise(F.col("_d")), "cluster": F.when(closer, turn).otherwise(F.col("cluster")).cast("long")})
+        before, x = x, written(y.select(*x.columns), "poses")
+        dropped(x.sparkSession, before)
+        newest = x.filter(F.col("_k") > turn).groupBy(by).agg(F.min_by("_xyz", last).alias("_t"), F.lit(True).alias("_new"))
+    members = x.select(by, pose, "com_distance", "cluster", "_n")
+    sized = S.with_group(members, [by, "cluster"], F.count(F.lit(1)).alias("_size"))
+    share = F.when(F.col("_n") <= n_select, F.col("_n")).otherwise(F.greatest(F.lit(1), F.floor(F.col("_size") * n_select / F.col("_n"))))
+    first = S.top_k(sized, [by, "cluster"], [F.col("com_distance"), F.col(pose)], n_select, "_i").withColumn("_late", (F.col("_i") > share).cast("int"))
+    picked = S.top_k(first, [by], [F.col("_late"), F.col("com_distance"), F.col(pose)], n_select, "_i")
+    ranked = S.top_k(picked, [by], [F.col("com_distance"), F.col(pose)], n_select, "rank")
+    return ranked.select(by, pose, "com_distance", "cluster", F.col("rank").cast("long").alias("rank"))
 
 
 def interaction_counts(df: DataFrame, pose: str, kind: str, kinds: list[str]) -> DataFrame:

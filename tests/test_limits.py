@@ -13,7 +13,10 @@ def test_all_seed_pairs_whatever_their_numbers(spark):
     rows = [("c", s, [float(s * k % 7) for k in range(9)]) for s in (1, 2, 3, 40)]
     df = spark.createDataFrame(rows, "complex string, seed int, xyz array<double>")
     pairs = R.seed_pairs(df, ["complex"], "seed", ["xyz"]).select("seed", "other").collect()
-    assert {(r.seed, r.other) for r in pairs} == {(a, b) for a in (1, 2, 3, 40) for b in (1, 2, 3, 40) if a != b}
+    assert sorted(map(tuple, pairs)) == [(a, b) for a in (1, 2, 3, 40) for b in (1, 2, 3, 40) if a < b]
+    many = spark.range(700).selectExpr("'c' AS complex", "id AS seed", "array(1D, 2D, 3D) AS xyz")
+    got = R.seed_pairs(many, ["complex"], "seed", ["xyz"]).agg(F.count("seed"), F.count_distinct(F.struct("seed", "other"))).first()
+    assert tuple(got) == (700 * 699 // 2,) * 2
 
 
 @pytest.mark.parametrize("n", [150, 200, 300, 2000])

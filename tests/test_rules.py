@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from bindloom.functions import affinity as A, sequences as Q, similarity as M, text as X
+from bindloom.functions import affinity as A, sequences as Q, similarity as M, superposition as U, text as X
 from bindloom.operators import alignments as L, assay as O, ranking as R, sampling as G, scores as C, spatial as P, structures as J, templates as T
 
 
@@ -137,15 +137,50 @@ def test_priority_quota(spark):
     assert len(t) == 3 and len(o) == 3 and {"t0", "t1"} <= {r.l for r in t} and all(r.px == 4.0 for r in o)
 
 
+def plain_rmsd(a, b):
+    """By singular values; no reflection."""
+    a, b = (np.reshape(x, (-1, 3)) for x in (a, b))
+    if a.shape != b.shape:
+        return None
+    a, b = a - a.mean(axis=0), b - b.mean(axis=0)
+    s = np.linalg.svd(a.T @ b, compute_uv=False)
+    s[2] *= np.sign(np.linalg.det(a.T @ b))
+    return np.sqrt(max(0.0, (a**2).sum() + (b**2).sum() - 2 * s.sum()) / len(a))
+
+
 def test_superposed_rmsd(spark):
-    rng = np.random.default_rng(6)
-    a = rng.normal(size=(12, 3))
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(7, 3)) * 5
     turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
-    turn[:, 0] *= np.sign(np.linalg.det(turn))
-    moved = a @ turn.T + 5
-    df = spark.createDataFrame([(a.ravel().tolist(), moved.ravel().tolist()), (a.ravel().tolist(), (a * [1, 1, -1]).ravel().tolist()), (a.ravel().tolist(), a.ravel().tolist()[:-3])], "a array<double>, b array<double>")
-    got = [r.v for r in df.select(R.superposed_rmsd("a", "b").alias("v")).collect()]
-    assert got[0] == pytest.approx(0, abs=1e-6) and got[1] > 0.1 and got[2] is None
+    turn *= np.sign(np.linalg.det(turn))
+    flat, line = a * [1, 1, 0], a * [1, 0, 0]
+    pairs = [(a, a @ turn + 3), (a, -a), (a, rng.normal(size=(7, 3))), (flat, -flat @ turn), (line, -line), (a[:1], a[1:2]), (a[:2], a[3:5]), (a * 1e4, a[::-1] * 1e4), (0 * a, a), (0 * a, 0 * a)]
+    rows = [(x.ravel().tolist(), y.ravel().tolist()) for x, y in pairs]
+    bad = [([1.0] * 9, [1.0] * 6), (None, [1.0] * 6), ([], []), ([1.0] * 4, [1.0] * 4), ([1.0, None, 2.0], [1.0, 2.0, 3.0]), ([1.0, float("nan"), 2.0], [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows + bad, "a array<double>, b array<double>")
+    got = [r.v for r in df.select(U.superposed_rmsd(U.centred(F.col("a")), U.centred(F.col("b"))).alias("v")).collect()]
+    assert got[len(rows) :] == [None] * len(bad)
+    for x, (u, v) in zip(got, pairs):
+        assert x == pytest.approx(plain_rmsd(u, v), rel=1e-6, abs=1e-5 * max(1, np.abs(u).max()))
+
+
+def plain_poses(poses, n_select):
+    """(pose, cluster) in order of rank, by farthest points."""
+    poses = sorted(poses, key=lambda p: (p[1], p[0]))
+    n, apart = len(poses), lambda a, b: round(x, 9) if (x := plain_rmsd(a[2], b[2])) is not None else 999.0
+    k = 1 if n <= n_select else min(n_select, max(3, n // 3))
+    centres, near = [poses[0]], []
+    while True:
+        near = [min((apart(p, t), i) for i, t in enumerate(centres)) for p in poses]
+        if len(centres) == k:
+            break
+        centres.append(poses[max(range(n), key=lambda i: (near[i][0], -i))])
+    seen, late = {}, []
+    for p, (_, i) in zip(poses, near):
+        seen[i] = seen.get(i, 0) + 1
+        share = n if n <= n_select else max(1, sum(j == i for _, j in near) * n_select // n)
+        late.append((seen[i] > share, p[1], p[0], i + 1))
+    return [(p, i) for _, _, p, i in sorted(sorted(late)[:n_select], key=lambda x: (x[1], x[2]))]
 
 
 def test_pose_clusters(spark):
@@ -153,14 +188,19 @@ def test_pose_clusters(spark):
     shapes = [rng.normal(size=(6, 3)) * 5 for _ in range(4)]
     rows = [("c", i, (shapes[i % 4] + rng.normal(0, 0.01, (6, 3))).ravel().tolist(), 0 if i % 10 else 3, float(i % 13)) for i in range(40)]
     rows += [("clash", i, shapes[0].ravel().tolist(), 2 + i, 1.0) for i in range(5)]
+    rows += [("odd", i, rng.normal(size=(5 + (i == 17), 3)).ravel().tolist(), 0, float(i % 7)) for i in range(30)]
+    rows += [("many", i, rng.normal(size=(4, 3)).ravel().tolist(), 0, float(i % 11)) for i in range(1500)]
     df = spark.createDataFrame(rows, "config string, pose int, xyz array<double>, n_clashes int, com_distance double")
-    got = R.cluster_poses(df, "config", "pose", "xyz", 8, 15.0).collect()
+    got = R.cluster_poses(df, "config", "pose", "xyz", 8, 15.0).orderBy("config", "rank").collect()
     c = [r for r in got if r.config == "c"]
-    assert len(c) == 8 and sorted(r["rank"] for r in c) == list(range(1, 9))
     assert {r.pose % 4 for r in c} == {0, 1, 2, 3} and all(r.pose % 10 for r in c)
     assert sorted(r.pose for r in got if r.config == "clash") == [0, 1, 2]  # relaxed to the least clashes + 2
-    big = R.cluster_poses(df, "config", "pose", "xyz", 8, 15.0, max_poses=4).collect()
-    assert all(r.reason for r in big if r.config == "c") and len([r for r in big if r.config == "c"]) == 36
+    for config in ("c", "odd", "many"):
+        mine = [r for r in got if r.config == config]
+        assert [r["rank"] for r in mine] == list(range(1, 9))
+        poses = [(p, d, xyz) for name, p, xyz, n, d in rows if name == config and n == 0]
+        assert [(r.pose, r.cluster) for r in mine] == plain_poses(poses, 8)
+    assert R.cluster_poses(df.limit(0), "config", "pose", "xyz").count() == 0
 
 
 def test_decoy_relaxation(spark):
