@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join, in DataFrame expressions only.
 
-A line is the set of its five-word shingles (as 64-bit hashes). A shingle's token starts with its
+A line is the set of its five-word shingles (as 64-bit hashes); fewer words are one token together. A shingle's token starts with its
 rarity level, from counts over the whole corpus, so that the numeric order of tokens is rare-first
 on every line. For a Jaccard threshold t, sets of n <= m tokens can only match if n >= t * m
 (length), if they share one of their first n - ceil(t * n) + 1 tokens (prefix), and if the tokens
@@ -18,9 +18,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bindloom.llm.common import written
+from bindloom.llm.common import dropped, written
 
-WORDS = 5  # per shingle; lines of fewer words are never judged
+WORDS = 5  # per shingle; fewer words of a line are one token
+BLANK = " \t\x0b\x0c\r"
 CELL_BITS = 16  # shingles are counted in 2^16 hashed cells
 INNER_BITS = 10
 c = F.col
@@ -69,18 +70,19 @@ def _lines(df: DataFrame) -> DataFrame:
 
 def _words(line: Column) -> Column:
     """Words of a line; only a line with other separators than single blanks needs the regular expression."""
-    blank = " \t\x0b\x0c\r"
     odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
-    for mark in ["  ", *blank[1:]]:
+    for mark in ["  ", *BLANK[1:]]:
         odd = odd | F.contains(line, F.lit(mark))
-    return F.when(odd, F.split(F.btrim(line, F.lit(blank)), f"[{blank}]+")).otherwise(F.split(line, " "))
+    return F.when(odd, F.split(F.btrim(line, F.lit(BLANK)), f"[{BLANK}]+")).otherwise(F.split(line, " "))
 
 
 def _shingles(words: Column) -> Column:
-    """64-bit hashes of five words in a row, in their order."""
+    """64-bit hashes of five words in a row, in their order; one hash of fewer words, none of a blank line."""
     n = F.greatest(F.size(words) - WORDS + 1, F.lit(0))
     runs = F.arrays_zip(*[F.slice(words, F.lit(k + 1), n) for k in range(WORDS)])
-    return F.transform(runs, lambda run: F.xxhash64(run))
+    # the words of a blank line are one empty string
+    short = F.when(F.get(words, F.lit(0)) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(words)))
+    return F.when(n > 0, F.transform(runs, lambda run: F.xxhash64(run))).otherwise(short)
 
 
 def _cell_of(shingle: Column) -> Column:
@@ -100,7 +102,7 @@ def _rarity(lines: DataFrame) -> Column:
 
 
 def _entries(lines: DataFrame, levels: Column, num: int, den: int) -> DataFrame:
-    """(_id, th, line_no, h, n, prefix) of the lines of five words or more: number of tokens, first tokens.
+    """(_id, th, line_no, h, n, prefix) of the lines: number of tokens (0 if blank), first tokens.
 
     Sets that can only match an equal set have no prefix; their class ``h`` is the hash of the set."""
 
@@ -139,22 +141,27 @@ def removed_lines(df: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """(_id, th, removed) for texts (_id, _text): ascending numbers of the lines that go."""
     lines = _lines(df)
     order = F.struct("_id", "th", "line_no")
-    table = written(_entries(lines, _rarity(lines), num, den), "line-tokens")
-    table = table.filter("n > 0")
+    spark = df.sparkSession
+    tokens = written(_entries(lines, _rarity(lines), num, den), "line-tokens")
+    dropped(spark)
+    table = tokens.filter("n > 0")
     places = table.select("h", "_id", "th", "line_no")
     entries = table.select("h", "n", F.posexplode("prefix").alias("pos", "token"))
     # first the tokens of several lines, then those of several classes
     repeated = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token"), "line-repeated")
     few = entries.filter(_bits(repeated, "token")("token")).join(repeated, "token", "left_semi").distinct()
     few = written(few, "line-few")
+    dropped(spark, repeated)
     shared = few.groupBy("token").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("token")
     classes = written(places.groupBy("h").agg(F.min(order).alias("first")), "line-classes")
     postings = written(few.join(shared, "token", "left_semi").join(classes, "h"), "line-postings")
+    dropped(spark, few)
     keys = postings.select("h").distinct()
     # one line per class and task travels
     texts = lines.filter(_bits(keys, "h")("h")).groupBy("h").agg(F.first("line").alias("line"))
     words = texts.join(keys, "h", "left_semi").select("h", _words(c("line")).alias("words"))
     sets = written(words.select("h", F.array_distinct(_shingles(c("words"))).alias("s")), "line-sets")
+    dropped(spark)
 
     # the earliest class at each shared token
     earliest = postings.groupBy("token").agg(F.min(F.struct("first", "h", "n", "pos")).alias("e"))
@@ -168,21 +175,25 @@ def removed_lines(df: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     on = (c("before") < c("first")) & _may_match(c("n"), c("pos"), c("m"), c("at"), num, den)
     rest = late.withColumnRenamed("token", "t").join(early, (c("t") == c("token")) & on).select("h", "other").distinct()
     rest = rest.join(pairs, ["h", "other"], "left_anti")
-    gone = gone.unionByName(_matches(rest, sets, num, den).select("h").distinct())
+    gone = written(gone.unionByName(_matches(rest, sets, num, den).select("h").distinct()), "line-all-gone")
+    dropped(spark, pairs, postings, sets)
 
     marked = places.join(classes.join(gone.withColumn("gone", F.lit(True)), "h", "left"), "h")
     goes = c("gone").isNotNull() | ~c("first").eqNullSafe(order)
-    return marked.filter(goes).groupBy("_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    removed = marked.filter(goes).groupBy("_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    removed = written(removed, "line-removed")
+    dropped(spark, tokens, classes, gone)
+    return removed
 
 
 def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, num: int = 4, den: int = 5) -> DataFrame:
     """Columns ``keep`` (None: all) with the text without repeated lines, and n_lines, n_removed, n_worded.
 
     Lines end at a line feed; words are what blanks, tabs, carriage returns and form feeds separate,
-    all lower-cased. A line of at least five words goes if an earlier line, in the order of id and
-    line number, is equal but for case or has five-word shingles with a Jaccard similarity of at
-    least num/den (default 0.8), whether that earlier line stays itself or not. The other lines,
-    blank and short ones included, stay as they are and in their order. ``n_worded`` counts
+    all lower-cased. A line goes if an earlier line, in the order of id and line number, is equal but for
+    case or has five-word shingles with a Jaccard similarity of at least num/den (default 0.8), whether
+    that earlier line stays itself or not; of fewer than five words both must have the same. The other
+    lines, blank ones included, stay as they are and in their order. ``n_worded`` counts
     the lines left that hold anything but white space.
 
     Null ids come first; rows of one id go by a hash of their text; rows that repeat id and text keep
