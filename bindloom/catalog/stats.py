@@ -95,6 +95,17 @@ def _(spark, sf):
     return pairs.select("protein", "vec_id_1", "vec_id_2", F.round(M.tanimoto(c("fp_1"), c("fp_2")), 6).alias("similarity_2d"))
 
 
+@query(
+    "pairs_all_similar",
+    D.with_sql(D.VECS)
+    + f"""SELECT protein, vec_id_1, vec_id_2, round(s, 6) AS similarity_2d FROM (SELECT protein, vec_id_1, vec_id_2, {TANI} AS s FROM
+      (SELECT a.protein, a.vec_id AS vec_id_1, b.vec_id AS vec_id_2, a.bits, b.bits AS bits2 FROM vecs a JOIN vecs b ON a.protein = b.protein AND a.vec_id < b.vec_id)) WHERE s >= 0.5""",
+)
+def _(spark, sf):
+    v = D.vecs(spark, sf)
+    return D.rounded(N.similar_pairs(v, v, ["protein"], "vec_id", 0.5).filter("vec_id_1 < vec_id_2"))
+
+
 @query(
     "bucket_difficulty",
     D.with_sql(D.PAIRTAB)

@@ -2,54 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bindloom.functions import similarity as M
 from bindloom.plans import skew as S
+from bindloom.session import written
+
+N_BITS = 2048  # fixed value: fingerprint length, which bounds the table of ranks
+
 
-N_BITS = 2048  # fixed value: fingerprint length, which bounds the bit-order table
+def bit_ranks(rows: DataFrame) -> DataFrame:
+    """One row: the rank of every bit, from rare to frequent, as an array by bit; ``N_BITS`` entries at most."""
+    freq = rows.select(F.explode(F.array_distinct("bits")).alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
+    ranks = freq.withColumn("rank", F.row_number().over(W.orderBy("n", "bit")))  # as many rows as bits
+    known = ranks.agg(F.map_from_entries(F.collect_list(F.struct("bit", "rank"))).alias("m"), F.max("bit").alias("top"))
+    return known.select(F.transform(F.sequence(F.lit(0), F.coalesce("top", F.lit(0))), lambda b: F.try_element_at("m", b)).alias("ranks"))
 
 
-def bit_order(bits: DataFrame) -> DataFrame:
-    """Fingerprint bits from rare to frequent, as one array; at most ``N_BITS`` entries."""
-    freq = bits.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
-    cell = F.array_sort(F.collect_list(F.struct("n", "bit")))
-    return freq.agg(F.transform(cell, lambda s: s["bit"]).alias("order"))
+def _enough(overlap: Column, n: Column, m: Column, threshold: float) -> Column:
+    """An overlap of two sets of n and m that reaches the threshold; the margin is for rounding only."""
+    return overlap * (1 + threshold) >= (n + m) * threshold - 1e-9
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, by: list[str], key: str, threshold: float) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, by: list[str], key: str, threshold: float, block: int = 512) -> DataFrame:
     """All pairs within ``by`` whose Tanimoto similarity reaches the threshold, exactly.
 
-    Two sets that similar share at least one bit of their rare prefixes, so the join runs
-    on (group, prefix bit) rather than on the group. A pair is kept only at its first
-    shared prefix bit, which makes a distinct step unnecessary. ``bits`` holds the on-bits.
+    Bits are ranked from rare to frequent. Two similar sets share one of their first bits, at places that still
+    allow the overlap, so most groups are joined on (group, leading bit) with ids, sizes and places only;
+    the bits come back for the pairs that are left. A group whose leading bits are so common that this
+    would meet more pairs than there are is joined by bands of sizes instead, block by block.
+    ``bits`` holds the on-bits; empty sets are similar to none.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    order = bit_order(left.select("bits").unionByName(right.select("bits")))
-
-    def prefixed(df, side):
-        n = F.size("bits")
-        keep = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
-        ranked = F.filter(F.col("order"), lambda b: F.array_contains("bits", b))
-        x = S.with_row(df, order).withColumn("_p", F.slice(ranked, 1, F.greatest(keep, F.lit(1))))
-        x = x.filter(n > 0)
-        return x.select(
-            *by,
-            F.col(key).alias(f"{key}_{side}"),
-            F.col("bits").alias(f"_b{side}"),
-            F.col("_p").alias(f"_p{side}"),
-            F.explode("_p").alias("_bit"),
-        )
-
-    a, b = prefixed(left, 1), prefixed(right, 2)
-    x = a.join(b, [*by, "_bit"]).filter(F.col(f"{key}_1") != F.col(f"{key}_2"))
-    n1, n2 = F.size("_b1"), F.size("_b2")
-    x = x.filter((n1 >= n2 * threshold - 1e-9) & (n2 >= n1 * threshold - 1e-9))
-    x = x.filter(F.array_intersect("_p1", "_p2")[0] == F.col("_bit"))
-    return x.select(
-        *by, f"{key}_1", f"{key}_2", M.tanimoto_sets(F.col("_b1"), F.col("_b2")).alias("similarity_2d")
-    ).filter(F.col("similarity_2d") >= threshold)
+    sides = [df.select(*by, F.col(key).alias("_key"), "bits", F.lit(i).alias("_side")) for i, df in enumerate((left, right))]
+    both = sides[0].unionByName(sides[1])
+    x = S.with_row(both, bit_ranks(both)).withColumn("_r", F.array_sort(F.transform(F.array_distinct("bits"), lambda b: F.get("ranks", b))))
+    x = x.withColumn("_n", F.size("_r")).filter("_n > 0").select(*by, "_key", "_side", "_n", "_r")
+    x = written(x, "fingerprints")
+    first = F.slice("_r", 1, F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9).cast("int") + 1)
+    heads = x.select(*by, "_key", "_side", "_n", F.posexplode(first).alias("_pos", "_bit"))
+    mine = [F.col("_side") == i for i in (0, 1)]
+    met = heads.groupBy(*by, "_bit").agg(*[F.count_if(m).alias(f"_c{i}") for i, m in enumerate(mine)]).groupBy(*by).agg(F.sum(F.col("_c0") * F.col("_c1")).alias("_met"))
+    sizes = x.groupBy(*by).agg(*[F.count_if(m).alias(f"_c{i}") for i, m in enumerate(mine)])
+    groups = S.null_safe_join(sizes, met, by).withColumn("_dense", F.col("_met") > F.col("_c0") * F.col("_c1"))
+    groups = written(groups.filter("_met > 0").withColumn("_blocks", F.ceil(F.greatest("_c0", "_c1") / block).cast("int")), "fingerprint-groups")
+    names = {"_key": "_key2", "_n": "_m", "_r": "_r2"}
+
+    sparse = S.null_safe_join(heads, groups.filter("NOT _dense").select(*by), by, "left_semi")
+    b = sparse.filter("_side = 1").select(*by, "_bit", F.col("_key").alias("_key2"), F.col("_n").alias("_m"), F.col("_pos").alias("_at"))
+    pairs = S.null_safe_join(sparse.filter("_side = 0"), b, [*by, "_bit"])
+    most = F.least("_pos", "_at") + F.least(F.col("_n") - F.col("_pos"), F.col("_m") - F.col("_at"))
+    pairs = pairs.filter((F.col("_key") != F.col("_key2")) & _fits(threshold) & _enough(most, F.col("_n"), F.col("_m"), threshold))
+    pairs = pairs.select(*by, "_key", "_key2").distinct()
+    bits = x.select(*by, "_key", "_n", "_r", "_side")
+    pairs = S.null_safe_join(pairs, bits.filter("_side = 0").drop("_side"), [*by, "_key"])
+    pairs = S.null_safe_join(pairs, bits.filter("_side = 1").drop("_side").withColumnsRenamed(names), [*by, "_key2"])
+
+    dense = S.null_safe_join(bits, groups.filter("_dense").select(*by, "_blocks"), by)
+    # sizes that fit lie in one band or in neighbouring ones
+    band = F.floor(F.log(F.col("_n").cast("double")) / (1.001 * max(math.log(1 / threshold), 1e-3))).cast("int")
+    own, every = F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    a = dense.filter("_side = 0").select(*by, "_key", "_n", "_r", band.alias("_band"), own.alias("_i"), every.alias("_j"))
+    b = dense.filter("_side = 1").withColumn("_i", every).withColumn("_j", own).withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
+    blocks = S.null_safe_join(a, b.select(*by, "_key", "_n", "_r", "_band", "_i", "_j").withColumnsRenamed(names), [*by, "_band", "_i", "_j"])
+    blocks = blocks.filter((F.col("_key") != F.col("_key2")) & _fits(threshold))
+
+    out = pairs.select(*by, *names, *names.values()).unionByName(blocks.select(*by, *names, *names.values()))
+    common = F.size(F.array_intersect("_r", "_r2"))
+    out = out.withColumn("similarity_2d", F.transform(F.array(common), lambda o: o / (F.col("_n") + F.col("_m") - o))[0])
+    out = out.filter(F.col("similarity_2d") >= threshold)
+    return out.select(*by, F.col("_key").alias(f"{key}_1"), F.col("_key2").alias(f"{key}_2"), "similarity_2d")
+
+
+def _fits(threshold: float) -> Column:
+    n, m = F.col("_n"), F.col("_m")
+    return (n >= m * threshold - 1e-9) & (m >= n * threshold - 1e-9)
 
 
 def sampled_ligands(df: DataFrame, by: list[str], key: str, max_ligands: int, seed: int = 42) -> DataFrame:

@@ -137,17 +137,18 @@ def test_k_nearest_of_uneven_points(spark, k):
     assert sorted((r.p, r.rank, r.r_q) for r in got.collect()) == sorted(zip(want.p, want["rank"], want.q))
 
 
-@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.8, 1.0])
-def test_similar_pairs(spark, threshold):
+@pytest.mark.parametrize("threshold, bits, most", [(0.2, 40, 12), (0.5, 40, 12), (0.8, 2000, 40), (1.0, 40, 3), (0.5, 14, 13), (0.9, 30, 29)])
+def test_similar_pairs(spark, threshold, bits, most):
     rng = np.random.default_rng(3)
-    base = [sorted(rng.choice(40, rng.integers(1, 12), replace=False).tolist()) for _ in range(60)]
+    base = [sorted(rng.choice(bits, rng.integers(1, most), replace=False).tolist()) for _ in range(60)]
     rows = [(i, i % 2, b if i % 3 else base[0]) for i, b in enumerate(base)]
+    rows[7] = (7, 1, [])
     df = spark.createDataFrame(rows, "id int, g int, bits array<int>")
-    got = N.similar_pairs(df.filter("id < 30"), df.filter("id >= 25"), ["g"], "id", threshold).collect()
+    got = N.similar_pairs(df.filter("id < 30"), df.filter("id >= 25"), ["g"], "id", threshold, block=7).collect()
     want = {}
     for i, g, a in rows[:30]:
         for j, h, b in rows[25:]:
-            t = len(set(a) & set(b)) / len(set(a) | set(b))
+            t = len(set(a) & set(b)) / max(1, len(set(a) | set(b)))
             if g == h and i != j and t >= threshold:
                 want[i, j] = t
     assert {(r.id_1, r.id_2): pytest.approx(r.similarity_2d) for r in got} == want and len(got) == len(want)
