@@ -45,7 +45,7 @@ def chains(spark, sf):
 @query("msa_pair_chains", "WITH " + CHAINS + " SELECT cid, chain, repeat('-', CAST(before AS INT)) || s || repeat('-', CAST(after AS INT)) AS s FROM ly")
 def _(spark, sf):
     x = chains(spark, sf)
-    return A.pair_chains(x, A.chain_layout(x, "cid", "chain", "s"), "cid", "chain", "s").select("cid", "chain", "s")
+    return A.padded(A.pair_chains(x, A.chain_layout(x, "cid", "chain", "s"), "cid", "chain", "s"), "s").select("cid", "chain", "s")
 
 
 @query(

@@ -31,20 +31,35 @@ def merge(msas: DataFrame, query: str, sequence: str, order: list[str]) -> DataF
 
 
 def chain_layout(chains: DataFrame, complex_id: str, chain: str, sequence: str) -> DataFrame:
-    """Offset, padding after and residue-index shift of every chain (one row per chain)."""
-    w = W.partitionBy(complex_id).orderBy(chain)
-    x = chains.select(complex_id, chain, F.length(sequence).alias("len"))
-    before = F.coalesce(F.sum("len").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    after = F.coalesce(F.sum("len").over(w.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
-    shift = (F.row_number().over(w) - 1) * CHAIN_GAP
-    return x.withColumns({"before": before, "after": after, "index_shift": shift.cast("long")})
+    """Offset, padding after and residue-index shift of every chain (one row per chain).
+
+    Lengths are added up inside ranges of (complex, chain) and over range totals, whatever the number of chains."""
+    x = S.in_ranges(chains.select(complex_id, chain, F.length(sequence).alias("len")), [complex_id], [F.col(chain)])
+    totals = x.groupBy(complex_id, "_range").agg(F.sum("len").alias("_len"), F.count(F.lit(1)).alias("_n"))
+    parts = W.partitionBy(complex_id).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(complex_id)
+    carried = [F.coalesce(F.sum(v).over(parts), F.lit(0)).alias(f"{v}_before") for v in ("_len", "_n")]
+    totals = totals.select(complex_id, "_range", *carried, F.sum("_len").over(whole).alias("_all"))
+    x = S.null_safe_join(x, totals, [complex_id, "_range"])
+    inside = W.partitionBy(complex_id, "_range").orderBy(chain)
+    upto = F.col("_len_before") + F.sum("len").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    number = F.col("_n_before") + F.row_number().over(inside) - 1
+    x = x.select(complex_id, chain, "len", upto.alias("_upto"), "_all", number.alias("_number"))
+    shift = (F.col("_number") * CHAIN_GAP).cast("long")
+    return x.select(complex_id, chain, "len", (F.col("_upto") - F.col("len")).alias("before"), (F.col("_all") - F.col("_upto")).alias("after"), shift.alias("index_shift"))
 
 
 def pair_chains(alignments: DataFrame, layout: DataFrame, complex_id: str, chain: str, sequence: str) -> DataFrame:
-    """Alignment rows of each chain padded with gaps to the length of the complex, chain after chain."""
-    x = alignments.join(layout.select(complex_id, chain, "before", "after"), [complex_id, chain])
+    """Alignment rows of each chain at their place in the complex: the letters with the gaps ``before`` and ``after``.
+
+    The table is as large as the alignments; ``padded`` writes the gaps out where a file wants them."""
+    return S.null_safe_join(alignments, layout.select(complex_id, chain, "before", "after"), [complex_id, chain])
+
+
+def padded(placed: DataFrame, sequence: str) -> DataFrame:
+    """Rows of ``pair_chains`` with their gaps written out, chain after chain, for a writer of whole rows."""
     gap = lambda n: F.repeat(F.lit(GAP), F.col(n).cast("int"))
-    return x.withColumn(sequence, F.concat(gap("before"), F.col(sequence), gap("after"))).drop("before", "after")
+    return placed.withColumn(sequence, F.concat(gap("before"), F.col(sequence), gap("after"))).drop("before", "after")
 
 
 def residue_index(layout: DataFrame, complex_id: str, chain: str) -> DataFrame:
@@ -93,21 +108,51 @@ def block_delete(rows: DataFrame, query: str, index: str, fraction: float, n_blo
     return kept.drop("_rn", "_n", "_i", "_size", "_blk", "_s", *[f"_gone{b}" for b in range(n_blocks)])
 
 
+PLANES = 7  # bits of a letter
+
+
+def bit_planes(msa: DataFrame, rows: list[str]) -> DataFrame:
+    """One row per aligned row: its letters as bit planes, an array of words of 64 columns.
+
+    Plane k holds bit k of every letter; ``letter`` and ``gap`` mark the columns that hold one, ``any`` either."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 64).cast("int"))
+    marks = {f"p{k}": F.ascii("aa").bitwiseAND(1 << k) != 0 for k in range(PLANES)}
+    marks |= {"any": F.lit(True), "gap": F.col("aa") == GAP, "letter": ~F.col("aa").isin(GAP, MASK)}
+    known = msa.filter(F.col("aa").isNotNull()).withColumn("_w", F.floor(F.col("pos") / 64).cast("int"))
+    words = known.groupBy(*rows, "_w").agg(*[F.bit_or(F.when(m, bit).otherwise(F.lit(0).cast("long"))).alias(n) for n, m in marks.items()])
+    return words.groupBy(*rows).agg(F.array_sort(F.collect_list(F.struct("_w", *marks))).alias("words"))
+
+
+def agreement(a: Column, b: Column, gap_weight: float) -> Column:
+    """Columns where the words ``a`` and ``b`` hold the same letter, gaps by weight, masked ones never."""
+
+    def of(x: Column, y: Column) -> Column:
+        differ = x["p0"].bitwiseXOR(y["p0"])
+        for k in range(1, PLANES):
+            differ = differ.bitwiseOR(x[f"p{k}"].bitwiseXOR(y[f"p{k}"]))
+        same = F.bitwise_not(differ).bitwiseAND(y["any"])
+        return F.bit_count(same.bitwiseAND(x["letter"])) + gap_weight * F.bit_count(same.bitwiseAND(x["gap"]))
+
+    # words that both rows have; usually they have all
+    partner = lambda x: F.get(F.filter(b, lambda y: y["_w"] == x["_w"]), 0)
+    each = F.transform(a, lambda x: F.coalesce(F.transform(F.array(partner(x)), lambda y: of(x, y))[0], F.lit(0.0)))
+    return F.aggregate(each, F.lit(0.0), lambda s, v: s + v)
+
+
 def nearest_cluster(msa: DataFrame, query: str, index: str, gap_weight: float = 0.0) -> DataFrame:
     """Each extra row assigned to the sampled row with most agreeing columns, ties to the first.
 
-    ``msa`` is the long table with ``part`` sample or extra. The sampled rows per query are
-    bounded by the sample size; the join runs on (query, column, letter).
+    ``msa`` is the long table with ``part`` sample or extra. A row becomes bit planes, and the sampled rows
+    of a query, bounded by the sample size, are one array that every extra row is compared with in place.
     """
-    weight = F.when(F.col("aa") == GAP, gap_weight).when(F.col("aa") == MASK, 0.0).otherwise(1.0)
-    centre = msa.filter("part = 'sample'").select(query, "pos", "aa", F.col(index).alias("centre"))
-    extra = msa.filter("part = 'extra'").select(query, "pos", "aa", index, weight.alias("_w")).filter("_w > 0")
-    agree = extra.join(centre, [query, "pos", "aa"]).groupBy(query, index, "centre").agg(F.sum("_w").alias("_a"))
-    best = agree.groupBy(query, index).agg(F.max_by("centre", F.struct("_a", -F.col("centre"))).alias("centre"))
-    first = centre.groupBy(query).agg(F.min("centre").alias("_first"))
+    planes = bit_planes(msa, [query, index, "part"])
+    centres = planes.filter("part = 'sample'").groupBy(query).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("centre"), "words"))).alias("_centres"))
     rows = msa.filter("part = 'extra'").select(query, index).distinct()
-    x = rows.join(best, [query, index], "left").join(first, query)
-    return x.select(query, index, F.coalesce("centre", "_first").alias("centre"))
+    extra = S.null_safe_join(rows, planes.filter("part = 'extra'").drop("part"), [query, index], "left")
+    x = S.null_safe_join(extra, centres, [query])
+    none = F.array().cast(planes.schema["words"].dataType)
+    scores = F.transform("_centres", lambda c: F.struct((-agreement(F.coalesce("words", none), c["words"], gap_weight)).alias("s"), c["centre"].alias("centre")))
+    return x.select(query, index, F.array_min(scores)["centre"].alias("centre"))
 
 
 def cluster_summary(msa: DataFrame, assignment: DataFrame, query: str, index: str) -> DataFrame:

@@ -260,3 +260,20 @@ def test_cluster_assignment_without_agreement(spark):
     df = spark.createDataFrame(rows, "q string, i int, pos int, aa string, part string")
     got = {r.i: r.centre for r in L.nearest_cluster(df, "q", "i").collect()}
     assert got == {5: 3, 6: 0}
+
+
+@pytest.mark.parametrize("gap_weight", [0.0, 0.5])
+def test_nearest_cluster_by_bit_planes(spark, gap_weight):
+    rng = np.random.default_rng(5)
+    letters = list("ACDW-*X")
+    rows = {(q, i): rng.choice(letters, 150).tolist() for q in "ab" for i in range(25)}
+    rows["a", 20] = rows["a", 3][:70] + [None] * 80
+    long = [(q, i, p, x, "sample" if i < 6 else "extra") for (q, i), r in rows.items() for p, x in enumerate(r) if not (i == 21 and p < 64)]
+    df = spark.createDataFrame(long + [("c", 0, 0, "A", "sample"), ("c", 1, 900, "A", "extra")], "q string, i int, pos int, aa string, part string")
+    got = {(r.q, r.i): r.centre for r in L.nearest_cluster(df, "q", "i", gap_weight).collect()}
+    weight = lambda x: gap_weight if x == "-" else 0.0 if x == "*" else 1.0
+    for (q, i), r in rows.items():
+        if i >= 6:
+            score = lambda c: sum(weight(x) for p, (x, y) in enumerate(zip(r, rows[q, c])) if x == y is not None and not (i == 21 and p < 64))
+            assert got[q, i] == max(range(6), key=lambda c: (score(c), -c))
+    assert got["c", 1] == 0 and len(got) == 2 * 19 + 1
