@@ -108,6 +108,104 @@ def _(spark, sf):
     return D.rounded(x.select(file_id(), "model", "record", "kind", "serial", "atom", "altloc", "resname", "chain", "resseq", "icode", "x", "y", "z", "element"), 3)
 
 
+def atom_values(spark, sf):
+    """Atoms with occupancy and temperature factor, without what their columns of text cannot hold."""
+    a = D.atoms(spark, sf).withColumns({"occupancy": F.when(c("vec_id") % 17 == 8, 0.0).otherwise(1.0), "bfactor": (c("vec_id") % 50) * 1.25})
+    return a.withColumn("serial", c("serial") % 100000)
+
+
+VALUES = "CASE WHEN vec_id % 17 = 8 THEN 0.0 ELSE 1.0 END::DOUBLE AS occupancy, round((vec_id % 50) * 1.25, 2)::DOUBLE AS bfactor"
+
+
+@query(
+    "snk_structures",
+    D.with_sql(D.ATOMS) + f"SELECT CAST(substr(structure_id, 2) AS BIGINT) AS file, record, {ATOM_COLS}, {VALUES} FROM atoms",
+)
+def _(spark, sf):
+    path = fresh_path(spark, "structures")
+    a = atom_values(spark, sf).withColumn("part_of", F.substring("structure_id", 2, 9).cast("long"))
+    W.write_structures(a, "part_of", "serial", path)
+    x = R.parse_atoms(R.text_lines(spark, path), zero_occupancy=True)
+    return D.rounded(x.select(file_id(), "record", "serial", "atom", "altloc", "resname", "chain", "resseq", "icode", "x", "y", "z", "element", "occupancy", "bfactor"), 3)
+
+
+@query(
+    "src_mmcif_atoms",
+    D.with_sql(D.ATOMS) + f"SELECT CAST(substr(structure_id, 2) AS BIGINT) AS file, CAST(1 AS BIGINT) AS model, record, {ATOM_COLS}, {VALUES} FROM atoms WHERE vec_id % 17 <> 8",
+)
+def _(spark, sf):
+    items = "group_PDB id type_symbol label_atom_id label_alt_id label_comp_id label_asym_id auth_seq_id pdbx_PDB_ins_code Cartn_x Cartn_y Cartn_z occupancy B_iso_or_equiv pdbx_PDB_model_num"
+    a = atom_values(spark, sf)
+    part = F.substring("structure_id", 2, 9).cast("long").alias("part_of")
+    word = lambda x: F.when(F.coalesce(F.trim(x), F.lit("")) == "", "?").when(F.contains(x, F.lit("'")), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.trim(x))
+    number = lambda x, d: F.format_string(f"%.{d}f", x)
+    row = F.concat_ws(
+        " ", "record", "serial", "element", word(c("atom")), word(c("altloc")), "resname", "chain", "resseq", word(c("icode")), number("x", 3), number("y", 3), number("z", 3),
+        number("occupancy", 2), number("bfactor", 2), F.lit("1"),
+    )
+    body = a.select(part, (c("serial") + 1000).alias("ord"), row.alias("value"))
+    before = ["data_X", "_entry.id X", "#", "_struct.title", ";A title with 'quotes', loop_ and", "_atom_site.id", ";", "#", "loop_", *[f"_atom_site.{i}" for i in items.split(" ")]]
+    head = a.select(part).distinct().select("part_of", F.posexplode(F.array(*map(F.lit, before))).alias("ord", "value"))
+    rows = body.unionByName(head.withColumn("ord", c("ord").cast("long"))).unionByName(a.select(part).distinct().withColumns({"ord": F.lit(10**9), "value": F.lit("#")}))
+    x = R.parse_mmcif_atoms(lines(spark, rows, "mmcif"))
+    return D.rounded(x.select(file_id(), "model", "record", "serial", "atom", "altloc", "resname", "chain", "resseq", "icode", "x", "y", "z", "element", "occupancy", "bfactor"), 3)
+
+
+@query(
+    "src_mmcif_dates",
+    """SELECT o_custkey % 50 AS file, strftime(min(o_orderdate), '%Y-%m-%d') AS first_revision, count(*) AS n_revisions,
+      CASE WHEN o_custkey % 50 % 4 <> 0 THEN round((o_custkey % 50) / 10.0, 1)::DOUBLE END AS resolution FROM orders GROUP BY o_custkey % 50""",
+)
+def _(spark, sf):
+    o = D.table(spark, sf, "orders").select((c("o_custkey") % 50).alias("part_of"), (c("o_orderkey") + 100).alias("ord"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    body = o.select("part_of", "ord", F.concat_ws(" ", F.lit("1"), "d", F.lit("'Structure model'")).alias("value"))
+    before = ["data_X", "loop_", "_pdbx_audit_revision_history.ordinal", "_pdbx_audit_revision_history.revision_date", "_pdbx_audit_revision_history.data_content_type"]
+    files = o.select("part_of").distinct()
+    head = files.select("part_of", F.posexplode(F.array(*map(F.lit, before))).alias("ord", "value")).withColumn("ord", c("ord").cast("long"))
+    value = F.when(c("part_of") % 4 == 0, "?").otherwise(F.format_string("%.1f", c("part_of") / 10.0))
+    tail = files.select("part_of", F.explode(F.array(*[F.struct(F.lit(10**10 + i).alias("ord"), v.alias("value")) for i, v in enumerate([F.lit("#"), F.lit("_refine.entry_id X"), F.concat(F.lit("_refine.ls_d_res_high  "), value), F.lit("#")])])).alias("r"))
+    text = lines(spark, body.unionByName(head).unionByName(tail.select("part_of", "r.ord", "r.value")), "mmcif-dates")
+    dates = R.parse_mmcif(text, "pdbx_audit_revision_history").groupBy("file").agg(F.min(c("items")["revision_date"]).alias("first_revision"), F.count(F.lit(1)).alias("n_revisions"))
+    best = R.parse_mmcif(text, "refine").select("file", F.try_element_at("items", F.lit("ls_d_res_high")).cast("double").alias("resolution"))
+    return dates.join(best, "file", "left").select(file_id(), "first_revision", "n_revisions", "resolution")
+
+
+HHR_SEQ = f"SELECT doc_id, s AS q, replace(s, 'A', '-') AS h FROM (SELECT doc_id, substr({D.LETTERS}, 1, 150) AS s FROM documents) WHERE s <> ''"
+
+
+@query(
+    "src_hhr_hits",
+    f"""WITH s AS ({HHR_SEQ}), n AS (SELECT *, length(replace(h, '-', '')) AS k, doc_id % 30 AS z FROM s)
+    SELECT doc_id % 20 AS file, CAST(doc_id AS INT) AS hit, 'D' || doc_id || ' a name' AS name, (doc_id % 1000) / 10.0::DOUBLE AS probability, CAST(length(q) AS INT) AS aligned_cols, (doc_id % 97) / 2.0::DOUBLE AS sum_probs,
+      q AS query_sequence, h AS hit_sequence, CAST(length(q) * z + length(q) * (length(q) - 1) // 2 AS BIGINT) AS sum_query, CAST(k * (z + 5) + k * (k - 1) // 2 - (length(h) - k) AS BIGINT) AS sum_hit, length(h) AS n_places FROM n""",
+)
+def _(spark, sf):
+    s = D.table(spark, sf, "documents").select("doc_id", F.substring(D.letters("text"), 1, 150).alias("q")).filter("q <> ''").withColumn("h", F.translate("q", "A", "-"))
+    own = lambda name, i: F.length(F.replace(F.substring(name, F.lit(1), i), F.lit("-"), F.lit("")))
+    i = c("i") * 60
+
+    def line(letter, label, name, base):
+        text = F.substring(c(name), i + 1, F.lit(60))
+        start = c("doc_id") % 30 + base + own(c(name), i) + 1
+        return F.concat(F.lit(f"{letter} {label:<14} "), start.cast("string"), F.lit(" "), text, F.lit("  "), (start + own(text, F.lit(60)) - 1).cast("string"), F.lit(" (999)"))
+
+    head = [
+        F.concat(F.lit("No "), c("doc_id").cast("string"), F.lit("  ")), F.concat(F.lit(">D"), c("doc_id").cast("string"), F.lit(" a name")),
+        F.concat(F.lit("Probab="), F.format_string("%.1f", c("doc_id") % 1000 / 10.0), F.lit("  E-value=1.5e-07  Score=1.00  Aligned_cols="), F.length("q").cast("string"), F.lit("  Identities=9%  Similarity=0.1  Sum_probs="),
+                 F.format_string("%.1f", c("doc_id") % 97 / 2.0), F.lit("  Template_Neff=1.0")), F.lit(""),
+    ]
+    block = [F.lit("Q ss_pred        HHHH"), line("Q", "query", "q", 0), F.lit("Q Consensus      1 AAAA  4 (999)"), F.lit("                 ||||"), F.lit("T Consensus      1 AAAA  4 (999)"), line("T", "1abc_A", "h", 5), F.lit("T ss_dssp        HHHH"), F.lit("")]
+    part, at = (c("doc_id") % 20).alias("part_of"), c("doc_id") * 1000
+    heads = s.select(part, at.alias("at"), F.posexplode(F.array(*head)).alias("k", "value"))
+    blocks = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.length("q") - 1) / 60).cast("int"))))
+    blocks = blocks.select(part, (at + 10 + c("i") * 10).alias("at"), F.posexplode(F.array(*block)).alias("k", "value"))
+    rows = heads.unionByName(blocks).select("part_of", (c("at") + c("k")).alias("ord"), "value")
+    top = s.select(part).distinct().select("part_of", F.lit(-1).cast("long").alias("ord"), F.lit(" No Hit                             Prob E-value").alias("value"))
+    x = R.parse_hhr(lines(spark, rows.unionByName(top), "hhr"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, v: t + v)
+    return x.select(file_id(), "hit", "name", "probability", "aligned_cols", "sum_probs", "query_sequence", "hit_sequence", total("indices_query").alias("sum_query"), total("indices_hit").alias("sum_hit"), F.size("indices_hit").cast("long").alias("n_places"))
+
+
 @query(
     "src_pose_file",
     D.with_sql(D.ATOMS) + """SELECT CAST(substr(structure_id, 2) AS BIGINT) AS file, row_number() OVER (PARTITION BY structure_id ORDER BY vec_id) AS model, CAST(vec_id % 1000 AS INT) AS pose_id,

@@ -248,6 +248,87 @@ def parse_atoms(lines: DataFrame, chains: list[str] | None = None, zero_occupanc
     return atoms.filter(F.col("chain").isin(*chains)) if chains else atoms
 
 
+def parse_hhr(lines: DataFrame) -> DataFrame:
+    """Template hits of HHR text: (file, hit, name, probability, e_value, aligned_cols, sum_probs, query_sequence, hit_sequence, indices_query, indices_hit).
+
+    A hit begins at its ``No`` line. The query and template lines of its blocks are put together in order; the
+    indices count residues from 0 and are -1 at gaps. Secondary structure and consensus lines are passed over.
+    A hit without blocks has empty sequences.
+    """
+    x = number_records(lines, F.col("value").rlike(r"^No [0-9]+\s*$")).filter("rec > 0")
+    part = r"^{} +(?!ss_dssp|ss_pred|ss_conf|Consensus)\S+ +([0-9]+) ([A-Za-z-]+) +[0-9]+ +\([0-9]+\)"
+    field = lambda name: F.max(F.regexp_extract("value", rf"(?:^|\s){name}=([0-9.eE+-]+)", 1).try_cast("double"))
+    line = F.struct("block", "line")
+
+    def side(letter: str) -> tuple[Column, Column]:
+        text, start = (F.regexp_extract("value", part.format(letter), i) for i in (2, 1))
+        own = lambda i: F.length(F.replace(F.substring(text, F.lit(1), i), F.lit("-"), F.lit("")))
+        # the residue at a place, from the residues of the line before it
+        places = F.transform(F.split(text, ""), lambda v, i: F.when(v == "-", -1).otherwise(start.cast("int") - 1 + own(i)))
+        cell = F.array_sort(F.collect_list(F.when(text != "", F.struct("block", "line", text.alias("t"), places.alias("i")))))
+        return F.array_join(F.transform(cell, lambda r: r["t"]), ""), F.flatten(F.transform(cell, lambda r: r["i"]))
+
+    (query, at_query), (hit, at_hit) = side("Q"), side("T")
+    name = F.min_by(F.when(F.col("value").startswith(">"), F.substr("value", F.lit(2))), F.when(F.col("value").startswith(">"), line))
+    return x.groupBy("file", "rec").agg(
+        F.max(F.regexp_extract("value", r"^No ([0-9]+)\s*$", 1).try_cast("int")).alias("hit"), name.alias("name"),
+        field("Probab").alias("probability"), field("E-value").alias("e_value"), field("Aligned_cols").cast("int").alias("aligned_cols"),
+        field("Sum_probs").alias("sum_probs"), query.alias("query_sequence"), hit.alias("hit_sequence"),
+        at_query.alias("indices_query"), at_hit.alias("indices_hit"),
+    ).drop("rec")
+
+
+_TOKEN = r"""'(?:[^']|'(?=\S))*'(?=\s|$)|"(?:[^"]|"(?=\S))*"(?=\s|$)|\S+"""
+
+
+def parse_mmcif(lines: DataFrame, category: str) -> DataFrame:
+    """Rows of one category of mmCIF text: (file, table, block, line, items), ``items`` a map from item to value.
+
+    Looped rows and single ``_category.item value`` lines are read; the latter are one row per file. ``?``
+    and ``.`` are unknown and left out. Values in text fields (lines from ``;`` to ``;``) and rows that go on over
+    several lines are left out, too: the tables of atoms, dates and resolutions have none.
+    """
+    v = F.trim("value")
+    x = number_records(lines, F.col("value").startswith(";"), "_texts").filter((F.col("_texts") % 2 == 0) & ~F.col("value").startswith(";"))
+    x = number_records(x, (F.lower(v) == "loop_") | v.startswith("#") | F.lower(v).startswith("data_"), "table")
+    mark = f"_{category}."
+    tokens = F.regexp_extract_all("value", F.lit(_TOKEN), 0)
+    bare = lambda t: F.when((F.length(t) > 1) & t.rlike("^(['\"]).*\\1$"), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+    x = x.select("file", "table", "block", "line", v.alias("v"), F.transform(tokens, bare).alias("t"))
+    is_head = F.col("v").startswith(mark)
+    # a table's head: the items in order and whether they have their values beside them
+    order = F.array_sort(F.collect_list(F.struct("block", "line", F.substr(F.col("t")[0], F.lit(len(mark) + 1)).alias("item"), F.get("t", F.lit(1)).alias("value"))))
+    heads = x.filter(is_head).groupBy("file", "table").agg(order.alias("_items"))
+    known = lambda m: F.map_filter(m, lambda k, w: w.isNotNull() & ~w.isin("?", "."))
+    looped = F.exists("_items", lambda i: i["value"].isNull())
+    singles = heads.filter(~looped)
+    single = F.map_from_entries(F.transform("_items", lambda i: F.struct(i["item"], i["value"])))
+    first = F.col("_items")[0]
+    singles = singles.select("file", "table", first["block"].alias("block"), first["line"].alias("line"), known(single).alias("items"))
+    rows = x.filter((F.col("v") != "") & ~F.col("v").startswith("_") & (F.lower("v") != "loop_") & ~F.col("v").startswith("#"))
+    rows = rows.join(heads.filter(looped), ["file", "table"]).filter(F.size("t") == F.size("_items"))
+    row = F.map_from_arrays(F.transform("_items", lambda i: i["item"]), F.col("t"))
+    return rows.select("file", "table", "block", "line", known(row).alias("items")).unionByName(singles)
+
+
+def parse_mmcif_atoms(lines: DataFrame, chains: list[str] | None = None, zero_occupancy: bool = False) -> DataFrame:
+    """Atoms of mmCIF text with the columns of ``parse_atoms``; names of the authors where given."""
+    x = parse_mmcif(lines, "atom_site")
+    item = lambda *names: F.coalesce(*[F.try_element_at("items", F.lit(n)) for n in names])
+    text = lambda *names: F.coalesce(item(*names), F.lit(""))
+    number = lambda *names: item(*names).try_cast("double")
+    atoms = x.select(
+        "file", F.coalesce(item("pdbx_PDB_model_num").try_cast("long"), F.lit(0)).alias("model"), text("group_PDB").alias("record"), item("id").try_cast("long").alias("serial"),
+        text("auth_atom_id", "label_atom_id").alias("atom"), text("label_alt_id").alias("altloc"), text("auth_comp_id", "label_comp_id").alias("resname"),
+        text("auth_asym_id", "label_asym_id").alias("chain"), item("auth_seq_id", "label_seq_id").try_cast("int").alias("resseq"), text("pdbx_PDB_ins_code").alias("icode"),
+        *[number(f"Cartn_{a}").alias(a) for a in "xyz"], F.coalesce(number("occupancy"), F.lit(1.0)).alias("occupancy"), number("B_iso_or_equiv").alias("bfactor"),
+        F.upper(text("type_symbol")).alias("element"),
+    ).filter("x is not null and y is not null and z is not null")
+    if not zero_occupancy:
+        atoms = atoms.filter("occupancy > 0")
+    return atoms.filter(F.col("chain").isin(*chains)) if chains else atoms
+
+
 def parse_poses(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Poses of multi-model text: (file, model, pose_id, score) and their atoms."""
     start = F.col("value").startswith("MODEL")

@@ -23,6 +23,33 @@ def write_fasta(df: DataFrame, header: str, sequence: str, path: str) -> None:
     fasta_text(df, header, sequence).write.mode("overwrite").text(path)
 
 
+def structure_text(atoms: DataFrame) -> DataFrame:
+    """Fixed-column structure text: one ``value`` line per atom beside the atom's columns.
+
+    Numbers keep three decimals (coordinates) or two; names of one to three letters begin in the second column of
+    their field. Atoms whose number, residue number or coordinates do not fit their fields get a null line.
+    """
+    right = lambda x, w: F.when(F.length(x) <= w, F.lpad(x, w, " "))
+    fixed = lambda name, w, d: right(F.format_string(f"%.{d}f", F.col(name).cast("double")), w)
+    text = lambda name: F.coalesce(F.trim(name), F.lit(""))
+    name = F.when(F.length(text("atom")) < 4, F.concat(F.lit(" "), text("atom"))).otherwise(text("atom"))
+    blank = lambda n: F.lit(" " * n)
+    line = F.concat(
+        F.rpad("record", 6, " "), right(F.col("serial").cast("string"), 5), blank(1), F.rpad(name, 4, " "), F.rpad(text("altloc"), 1, " "),
+        right(text("resname"), 3), blank(1), F.rpad(text("chain"), 1, " "), right(F.col("resseq").cast("string"), 4), F.rpad(text("icode"), 1, " "), blank(3),
+        *[fixed(a, 8, 3) for a in "xyz"], fixed("occupancy", 6, 2), F.coalesce(fixed("bfactor", 6, 2), blank(6)), blank(10), right(text("element"), 2),
+    )
+    return atoms.withColumn("value", line)
+
+
+def write_structures(atoms: DataFrame, structure: str, order: str, path: str) -> None:
+    """One folder of text per structure, its atoms in order, each file ended by END."""
+    lines = structure_text(atoms).filter(F.col("value").isNotNull()).select(structure, F.col(order).alias("_o"), "value")
+    ends = atoms.groupBy(structure).agg((F.max(order) + 1).alias("_o")).withColumn("value", F.lit("END"))
+    x = lines.unionByName(ends).repartition(structure).sortWithinPartitions(structure, "_o")
+    x.select(structure, "value").write.partitionBy(structure).text(path)
+
+
 def manifest(df: DataFrame, entry: str, model: str, ranges: list[tuple[int, int]], pattern: str) -> DataFrame:
     """Distinct file paths per id range; ranges are a short list of the job."""
     known = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in ranges])
