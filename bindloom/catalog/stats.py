@@ -121,7 +121,7 @@ def _(spark, sf):
     v = D.vecs(spark, sf)
     feats = [f"f{i}" for i in range(7)]
     v = v.select("vec_id", "protein", F.lit(6).alias("n"), *[c("embedding")[i].cast("double").alias(f) for i, f in enumerate(feats)])
-    return G.diversity_sample(v, ["protein"], "vec_id", feats, "n", 6).select("protein", "vec_id", "_cluster").withColumnRenamed("_cluster", "cluster")
+    return G.diversity_sample(v, ["protein"], "vec_id", feats, "n").select("protein", "vec_id", "_cluster").withColumnRenamed("_cluster", "cluster")
 
 
 @query("sample_priority")

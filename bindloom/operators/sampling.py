@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bindloom.functions import affinity as A
 from bindloom.plans import skew as S
-from bindloom.session import written
+from bindloom.session import dropped, written
 
 # fixed values: tier cut-offs in pX, size bins of sequences and ligands
 TIGHT_PX, NON_BINDER_PX = 8.5, 4.5
@@ -44,12 +44,16 @@ def hash_uniform(*parts: str, seed: int = 42) -> Column:
     return F.conv(F.substring(hash_order(*parts, seed=seed), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def diversity_sample(df: DataFrame, by: list[str], key: str, features: list[str], size: str, max_size: int, rounds: int = 4) -> DataFrame:
+SETTLED = 1e-9  # centres that move less stand still
+
+
+def diversity_sample(df: DataFrame, by: list[str], key: str, features: list[str], size: str) -> DataFrame:
     """Diverse rows per group: k-means on standardised features, one row per cluster.
 
-    ``size`` is a column with the number of rows wanted by the group (at most ``max_size``).
-    Groups are never gathered: centres (at most ``max_size`` per group) travel to the rows,
-    and each round is one join plus one partial aggregate. Empty clusters are topped up.
+    ``size`` is a column with the number of rows wanted by the group; as many rows with the least hash are
+    the first centres. Rounds go on until no centre of any group moves. Groups are never gathered: the
+    centres of a group travel to its rows, and a round is one join and one partial aggregate. Clusters
+    that lose their rows are topped up with further rows of the group in the order of their hash.
     """
     stats = [s for f in features for s in (F.avg(f).alias(f"_m_{f}"), F.stddev_pop(f).alias(f"_s_{f}"))]
     x = S.with_group(df, by, *stats)
@@ -58,8 +62,11 @@ def diversity_sample(df: DataFrame, by: list[str], key: str, features: list[str]
     )
     x = x.withColumn("_z", scaled).drop(*[f"_{p}_{f}" for f in features for p in "ms"]).withColumn("_h", hash_order(*by, key))
     x = written(x, "kmeans")  # read by every round
-    seeds = S.top_k(x, by, [F.col("_h")], max_size, "_i").filter(F.col("_i") <= F.col(size))
-    centres = seeds.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_z").alias("z")))).alias("_centres"))
+    most = x.agg(F.max(size)).first()[0] or 0
+    seeds = S.top_k(x, by, [F.col("_h")], most, "_i").filter(F.col("_i") <= F.col(size))
+
+    def listed(moved):
+        return moved.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_z").alias("z")))).alias("_centres"))
 
     def dist(z, centre):
         return F.aggregate(F.zip_with(z, centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
@@ -69,17 +76,23 @@ def diversity_sample(df: DataFrame, by: list[str], key: str, features: list[str]
         options = F.transform("_centres", lambda k: F.struct(dist(F.col("_z"), k["z"]).alias("d"), k["i"].alias("i")))
         return y.withColumn("_cluster", F.array_min(options)["i"]).drop("_centres")
 
-    for _ in range(rounds):
-        near = assign(centres)
+    centres = written(listed(seeds), "kmeans-centres")
+    moving = most > 0
+    while moving:
         mean = F.array(*[F.avg(F.col("_z")[j]) for j in range(len(features))])
-        moved = near.groupBy(*by, "_cluster").agg(mean.alias("z"))
-        centres = moved.groupBy(*by).agg(
-            F.array_sort(F.collect_list(F.struct(F.col("_cluster").alias("i"), "z"))).alias("_centres")
-        )
+        moved = assign(centres).groupBy(*by, F.col("_cluster").alias("_i")).agg(mean.alias("_z"))
+        now = written(listed(moved), "kmeans-centres")
+        # a centre that lost its rows has no place in the new list
+        both = S.null_safe_join(now, centres.withColumnRenamed("_centres", "_last"), by)
+        apart = F.transform(F.arrays_zip("_centres", "_last"), lambda p: dist(p["_centres"]["z"], p["_last"]["z"]))
+        stand = (F.size("_centres") == F.size("_last")) & ~F.exists(apart, lambda d: d > SETTLED * SETTLED)
+        moving = not both.filter(~stand).isEmpty()
+        dropped(x.sparkSession, centres)
+        centres = now
     near = assign(centres)
     first = S.first_per(near, [*by, "_cluster"], [F.col("_h")]).select(*by, key, F.lit(0).alias("_prio"))
     order = [F.coalesce("_prio", F.lit(1)).asc(), F.col("_h").asc()]
-    ranked = S.top_k(S.null_safe_join(near, first, [*by, key], "left"), by, order, max_size, "_i")
+    ranked = S.top_k(S.null_safe_join(near, first, [*by, key], "left"), by, order, most, "_i")
     return ranked.filter(F.col("_i") <= F.col(size)).drop("_i", "_prio", "_h", "_z")
 
 
@@ -92,7 +105,7 @@ def sample_by_priority(df: DataFrame, protein: str, ligand: str, px: str, featur
     # the quota of a tier: all wanted rows from the extreme tier if it is large enough, else the remainder from the other
     quota = F.when(F.col("_extreme") == 1, F.least("_n_ext", F.lit(n))).otherwise(F.greatest(F.lit(n) - F.col("_n_ext"), F.lit(0)))
     x = x.withColumn("_quota", quota.cast("int")).filter("_quota > 0")
-    picked = diversity_sample(x, [*group, "_extreme"], ligand, features, "_quota", n)
+    picked = diversity_sample(x, [*group, "_extreme"], ligand, features, "_quota")
     both = picked.groupBy(protein).agg(F.count_distinct("target_type").alias("_k")).filter("_k = 2").select(protein)
     return picked.join(both, protein, "left_semi").drop("_extreme", "_n_ext", "_quota", "_cluster")
 

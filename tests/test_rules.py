@@ -119,13 +119,35 @@ def test_diversity_contract(spark):
     rows = [(f"g{i % 3}", i, float(c), float(c) + rng.normal(0, 0.01), 4) for i, c in enumerate(rng.integers(0, 4, 90) * 10)]
     rows += [("small", 1000 + i, float(i), 0.0, 4) for i in range(3)]
     df = spark.createDataFrame(rows, "g string, id int, a double, b double, k int")
-    out = G.diversity_sample(df, ["g"], "id", ["a", "b"], "k", 4).collect()
+    out = G.diversity_sample(df, ["g"], "id", ["a", "b"], "k").collect()
     sizes = pd.Series([r.g for r in out]).value_counts().to_dict()
     assert sizes == {"g0": 4, "g1": 4, "g2": 4, "small": 3}
-    again = G.diversity_sample(df.repartition(7), ["g"], "id", ["a", "b"], "k", 4).collect()
+    again = G.diversity_sample(df.repartition(7), ["g"], "id", ["a", "b"], "k").collect()
     assert {r.id for r in out} == {r.id for r in again}
 
 
+def test_diversity_sample_settles(spark):
+    """Lloyd's rounds in numpy from the same first centres, until nothing moves."""
+    rng = np.random.default_rng(11)
+    rows = [("g", i, *map(float, rng.normal(rng.choice([-3, 0, 4]), 1, 2)), 7) for i in range(300)] + [("h", i, 1.0, 2.0, 3) for i in range(9)] + [("e", 1, None, 1.0, 0)]
+    df = spark.createDataFrame(rows, "g string, id int, a double, b double, k int")
+    got = G.diversity_sample(df, ["g"], "id", ["a", "b"], "k").collect()
+    order = {r.id: r.h for r in df.filter("g = 'g'").select("id", G.hash_order("g", "id").alias("h")).collect()}
+    ids = sorted(order, key=order.get)
+    z = np.array([rows[i][2:4] for i in ids])
+    z = (z - z.mean(axis=0)) / z.std(axis=0)
+    centres = z[:7]
+    while True:
+        near = ((z[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        now = np.array([z[near == j].mean(axis=0) for j in range(7)])
+        if np.abs(now - centres).max() < 1e-9:
+            break
+        centres = now
+    want = {ids[np.flatnonzero(near == j)[0]] for j in range(7)}
+    assert {r.id for r in got if r.g == "g"} == want
+    assert sum(r.g == "h" for r in got) == 3 and not any(r.g == "e" for r in got)
+
+
 def test_priority_quota(spark):
     rows = [("p", f"t{i}", "target", 8.6 if i < 2 else 7.6, float(i)) for i in range(8)]
     rows += [("p", f"o{i}", "off_target", 4.0 if i < 6 else 5.0, float(i)) for i in range(9)] + [("q", "t", "target", 9.0, 1.0)]
