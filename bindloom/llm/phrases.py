@@ -18,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bindloom.llm.common import planes, unplanes, written
+from bindloom.llm.common import dropped, planes, unplanes, written
 
 CHUNK_WORDS = 1 << 21  # words of one task that share a dictionary of their own
 PART_ROWS = 1 << 20  # runs that one part of the routed rows holds about
 COMMON_SHARE = 8  # a word is very common from this part of ``PART_ROWS`` on
 RANK_SALTS = 64
+FRONT = 1 << 16  # marks, in place of a depth, a front of very common words; beyond any depth
 _ROUTE = np.uint64(0x9E3779B97F4A7C15)
 #: Separators of pieces become line feeds, tabs become blanks.
 _MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -132,7 +133,7 @@ def _frequent_words(chunks: DataFrame, least: int) -> DataFrame:
     rows = entries.withColumn("f", F.sum("times").over(same)).filter(c("f") >= least).withColumn("_row", F.monotonically_increasing_id() + 1)
     rows = rows.withColumn("id", F.min("_row").over(same))  # 0 is no id
     first = c("id") == c("_row")
-    return written(rows.select("chunk", "at", "id", "f", "lang", F.when(first, c("word")).alias("word")), "phrase-words")
+    return written(rows.select("chunk", "at", "id", "f", "lang", F.when(first, c("word")).alias("word")), "phrase-entries")
 
 
 def _runs(ids: np.ndarray, longest: int) -> np.ndarray:
@@ -224,9 +225,16 @@ def _routed(chunks: DataFrame, back: DataFrame, parts: int, longest: int) -> Dat
         if not len(weights):
             return []
         depth = route_depth(common[runs])
+        # the very common words in front of a deeper route are phrases of their own, counted where they are routed to
+        whole = [(runs, weights, depth)]
+        for k in range(2, longest):
+            front, sums = _merged(runs[:k, depth > k], weights[depth > k])
+            rest = np.zeros((longest - k, front.shape[1]), runs.dtype)
+            whole.append((np.concatenate([front, rest]), sums, np.full(len(sums), FRONT + k)))
+        runs, weights, depth = (np.concatenate([x[i] for x in whole], axis=-1) for i in range(3))
         key = np.zeros(len(weights), np.uint64)
         for k in range(longest):
-            key = np.where(depth > k, (key ^ ids[runs[k]].view(np.uint64)) * _ROUTE, key)
+            key = np.where(depth % FRONT > k, (key ^ ids[runs[k]].view(np.uint64)) * _ROUTE, key)
             key ^= key >> np.uint64(29)
         part = (key % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -238,31 +246,28 @@ def _routed(chunks: DataFrame, back: DataFrame, parts: int, longest: int) -> Dat
 
 
 def _counted(routed: DataFrame, longest: int, least: int) -> DataFrame:
-    """(ids, f) of the phrases of a part; leading phrases of very common words with their share of this part."""
-    schema = "ids array<long>, f long, whole boolean"
+    """(ids, f) of the frequent phrases, part by part."""
+    schema = "ids array<long>, f long"
 
     def count(rows: pa.Table) -> pa.Table:
-        ids, f, whole = [], [], []
+        ids, f = [], []
         blocks = [unpack_runs(x.as_py(), longest) for x in rows.column("block")]
         all_runs, all_weights, depths = (np.concatenate([x[i] for x in blocks], axis=-1) for i in range(3))
         del blocks
         for depth in np.unique(depths).tolist():
             some = np.flatnonzero(depths == depth)
             runs, weights = all_runs[:, some], all_weights[some]
+            if depth > FRONT:  # phrases of one length
+                fronts, sums = _merged(runs[: depth - FRONT], weights)
+                ids.extend(fronts[:, sums >= least].T.tolist())
+                f.extend(sums[sums >= least].tolist())
+                continue
             for phrase, total in frequent_phrases(runs, weights, depth, least):
                 ids.append(phrase.tolist())
                 f.append(total)
-                whole.append(True)
-            for k in range(2, depth):  # such a phrase is dealt to several parts
-                shares, sums = _merged(runs[:k], weights)
-                ids.extend(shares.T.tolist())
-                f.extend(sums.tolist())
-                whole.extend([False] * len(sums))
-        return pa.table([pa.array(ids, pa.list_(pa.int64())), pa.array(f, pa.int64()), pa.array(whole, pa.bool_())], names=["ids", "f", "whole"])
+        return pa.table([pa.array(ids, pa.list_(pa.int64())), pa.array(f, pa.int64())], names=["ids", "f"])
 
-    out = written(routed.groupBy("part").applyInArrow(count, schema), "phrase-parts")
-    shares = out.filter("NOT whole").groupBy("ids").agg(F.sum("f").alias("f")).filter(c("f") >= least)
-    return out.filter("whole").select("ids", "f").unionByName(shares)
+    return routed.groupBy("part").applyInArrow(count, schema)
 
 
 def _best_cuts(phrases: DataFrame, words: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
@@ -308,12 +313,16 @@ def collocations(
     sizes = chunks.groupBy("lang").agg(F.sum("n").alias("n"))  # one row a language
     entries = _frequent_words(chunks, least)
     words = entries.filter("word IS NOT NULL").select("lang", "word", "id", "f")
+    dropped(df.sparkSession)
     held = words.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("f")).first()["f"]
     parts = max(8, -(-held // PART_ROWS))
     back = entries.select(c("chunk").alias("of"), "at", "id", (c("f") * COMMON_SHARE >= PART_ROWS).alias("common"))
     routed = _routed(chunks, back, parts, longest)
     runs = _counted(routed, longest, least)
     phrases = written(runs.unionByName(words.select(F.array("id").alias("ids"), "f")), "phrases")
+    words = written(words, "phrase-words")
+    sizes = written(sizes, "phrase-sizes")
+    dropped(df.sparkSession, chunks, entries)
 
     scored = _best_cuts(phrases, words, sizes, least)
     longer = phrases.filter(F.size("ids") > 2)

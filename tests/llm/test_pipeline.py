@@ -50,3 +50,27 @@ def test_pipeline_on_odd_documents(spark, odd, tmp_path):
         docs = C.written(stage(spark, docs, str(tmp_path)), "odd")
     assert {r.doc_id for r in docs.collect()} == {1, 2, 3, 4, None, 7, 8, 9}
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_leave_other_columns_and_unlinked_rows(spark, tmp_path):
+    import corpus_pipeline as C
+
+    long = " ".join(f"w{i}" for i in range(40))
+    near = long + " more"
+    other = " ".join(f"u{i}" for i in range(30))
+    texts = [(1, long), (5, long), (5, other), (7, near), (7, other + " x"), (8, None), (8, None), (None, long), (9, "one two")]
+    clash = "score predicted n_lines n_removed n_worded n_words n_hit contaminated class_key component_key n_shingles _id _text _k0 _first ids n_tokens".split(" ")
+    docs = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("doc_id", "text", *[f"'own {x}' AS {x}" for x in clash])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {}
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert all(r[x] == f"own {x}" for r in rows for x in clash), name
+        kept[name] = sorted(((r.doc_id, r.text) for r in rows), key=str)
+    assert kept["n-gram Jaccard join"] == sorted([(1, long), (5, other), (8, None), (None, long), (9, "one two")], key=str)
+    assert (9, "one two") not in kept["benchmark decontamination"] and len(kept["benchmark decontamination"]) == 8
+    assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(texts)
