@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,10 @@ DEFAULTS = {
 }
 
 
+CLEANING = 10  # seconds
+_cleaned = float("-inf")
+
+
 def local_session(cpus: str = "8", app: str = "bindloom") -> SparkSession:
     """Session for tests and benches on one machine; a cluster brings its own."""
     builder = (
@@ -80,11 +85,15 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables that ``written`` made and nothing reads any more, and lets Spark clean the shuffles behind them.
 
     Spark deletes the files of a shuffle when the driver has collected its last reference, which
-    in a long job with a large heap may be much later than the disks would like.
+    in a long job with a large heap may be much later than the disks would like. This is asked for once in
+    ``CLEANING`` seconds at most.
     """
+    global _cleaned
     jvm = spark.sparkContext._jvm
     for table in tables:
         path = jvm.org.apache.hadoop.fs.Path(table._written_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.java.lang.System.gc()
+    if time.monotonic() - _cleaned > CLEANING:
+        gc.collect()
+        jvm.java.lang.System.gc()
+        _cleaned = time.monotonic()
