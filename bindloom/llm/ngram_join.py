@@ -11,7 +11,7 @@ order for all texts. Two sets of sizes n <= m can only reach the threshold t if
 
 Pairs that pass are verified once on the whole sets. Equal sets are one class from the start. For
 components, every class is first compared with a few partners that a random draw per shared token
-gives, again and again until a draw finds no link; what is connected by then needs no further
+gives, again and again until a draw finds few links; what is connected by then needs no further
 comparison, and all pairs of different components that pass the filters are compared at the end. So the result is that of all pairs, while
 a large group of near copies does not cost the square of its size.
 """
@@ -304,8 +304,9 @@ class Join:
     def classes(self, partners: int = 4) -> DataFrame | None:
         """(key, comp) of the classes that have links; the component is its least key.
 
-        Draws go on until one finds no link; what is in one component by then needs no comparison."""
-        comps, turn, drawing = None, 0, True
+        Draws go on while one finds at least a twentieth of the links of the best one; what is in one component
+        by then needs no comparison, and the last round compares all pairs of different components."""
+        comps, turn, drawing, most = None, 0, True, 0
         while True:
             postings = self.postings
             if comps is None:
@@ -316,7 +317,9 @@ class Join:
             pairs = written(drawn, "ngram-pairs")
             found = written(self._verified(pairs), "ngram-links")
             dropped(self.spark, pairs)
-            if found.isEmpty():
+            n = found.count()
+            most = max(most, n)
+            if not n:
                 if not drawing:
                     return comps
                 drawing = False
@@ -328,7 +331,7 @@ class Join:
             dropped(self.spark, found, *([] if last is None else [last]))
             if not drawing:
                 return comps
-            turn += 1
+            turn, drawing = turn + 1, n * 20 >= most
 
 
 def class_keys(df: DataFrame, text: str = "text", n: int = 4) -> DataFrame:
