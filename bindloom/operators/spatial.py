@@ -54,7 +54,9 @@ def clash_count(ligand: DataFrame, receptor: DataFrame, by: list[str], radius: f
 
 def min_distance(ligand: DataFrame, receptor: DataFrame, by: list[str], key: list[str], cutoff: float) -> DataFrame:
     """Smallest heavy-atom distance and whether it lies under the cut-off."""
-    near = G.k_nearest(heavy(ligand), heavy(receptor), by, key, "serial", 1)
+    # places and keys only: the search holds every pair of neighbouring cells
+    lig, rec = heavy(ligand).select(*by, *key, *G.AXES), heavy(receptor).select(*by, "serial", *G.AXES)
+    near = G.k_nearest(lig, rec, by, key, "serial", 1)
     d = F.sqrt(F.min("d2"))
     return near.groupBy(*by).agg(d.alias("min_distance"), (d < cutoff).alias("has_clash"))
 

@@ -10,6 +10,7 @@ from bindloom.session import written
 AXES = ("x", "y", "z")
 CELL = [f"_c{axis}" for axis in AXES]
 EXPONENTS = range(-3, 13)  # the finest grid of a structure has an edge of 2^e; coarser ones follow as far as needed
+ROWS = 1 << 20  # about as many rows of a search are held by one task
 c = F.col
 
 
@@ -76,10 +77,16 @@ def grid_levels(right: DataFrame, by: list[str], k: int) -> DataFrame:
     return x.select(*by, "_n", *[f"_{end}{v}" for v in AXES for end in ("lo", "hi")], e0.alias("_e0"), top.alias("_top"))
 
 
+def _tasks(rows: int | None) -> int:
+    """Tasks for so many rows that a search makes out of far fewer: sizes of shuffles say nothing of them."""
+    return (rows or 0) // ROWS + 1
+
+
 def _search_levels(left: DataFrame, right: DataFrame, by: list[str], levels: DataFrame, k: int) -> DataFrame:
     """Left rows with ``_want`` partners to find and the level ``_e`` at which the 27 cells around hold as many.
 
-    ``_far`` rows lie so far out that only a level with all points around will do."""
+    ``_near`` is the number of points that these cells hold. ``_far`` rows lie so far out that only a level with all points around will do."""
+    points = levels.agg(F.sum("_n")).first()[0]
     box = levels.select(*by, "_e0", "_top")
     finest = right.select(*by, *AXES).join(box, by).select(*by, "_e0", "_top", *[e.alias(v) for v, e in _cell_at(c("_e0")).items()])
     finest = finest.groupBy(*by, "_e0", "_top", *CELL).agg(F.count(F.lit(1)).alias("_k"))
@@ -88,15 +95,16 @@ def _search_levels(left: DataFrame, right: DataFrame, by: list[str], levels: Dat
         up = df.withColumn("_e", F.explode(F.sequence("_e0", "_top")))
         return up.withColumns({v: F.call_function("shiftright", c(v), c("_e") - c("_e0")) for v in CELL})
 
-    held = coarser(finest).groupBy(*by, "_e", *CELL).agg(F.sum("_k").alias("_k"))
+    # all levels have about twice as many cells as the finest one, and each counts for 27
+    held = coarser(finest).repartition(_tasks(54 * (points or 0)), *by, "_e", *CELL).groupBy(*by, "_e", *CELL).agg(F.sum("_k").alias("_k"))
     around = _around(held).groupBy(*by, "_e", *CELL).agg(F.sum("_k").alias("_k"))
     x = left.join(levels, by).withColumns(_cell_at(c("_e0"))).withColumn("_want", F.least(c("_n"), F.lit(k)))
     asked = x.select(*by, "_e0", "_top", "_want", *[c(v).alias(f"_0{v}") for v in CELL]).distinct()
     asked = coarser(asked.withColumns({v: c(f"_0{v}") for v in CELL})).join(around, [*by, "_e", *CELL]).filter("_k >= _want")
-    best = asked.groupBy(*by, *[f"_0{v}" for v in CELL]).agg(F.min("_e").alias("_e")).withColumnsRenamed({f"_0{v}": v for v in CELL})
+    best = asked.groupBy(*by, *[f"_0{v}" for v in CELL]).agg(F.min("_e").alias("_e"), F.min_by("_k", "_e").alias("_near")).withColumnsRenamed({f"_0{v}": v for v in CELL})
     x = x.join(best, [*by, *CELL], "left")
     away = F.greatest(*[F.greatest(F.abs(c(v) - c(f"_lo{v}")), F.abs(c(f"_hi{v}") - c(v))) for v in AXES], F.lit(2.0 ** EXPONENTS[0]))
-    x = x.withColumn("_far", c("_e").isNull()).withColumn("_e", F.coalesce("_e", _level_of(away)))
+    x = x.withColumn("_far", c("_e").isNull()).withColumns({"_e": F.coalesce("_e", _level_of(away)), "_near": F.coalesce("_near", "_n")})
     return x.drop(*CELL, "_n", "_e0", "_top", *[f"_{end}{v}" for v in AXES for end in ("lo", "hi")])
 
 
@@ -105,12 +113,14 @@ def _level_of(radius: Column) -> Column:
     return F.ceil(F.log2(radius * 1.000001)).cast("int")
 
 
-def _partners(x: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+def _partners(x: DataFrame, right: DataFrame, by: list[str], tasks: int) -> DataFrame:
     """Rows of ``x`` with all right rows in the 27 cells around them, at the row's level ``_e``."""
+    keys = [*by, "_e", *CELL]
     used = x.groupBy(*by).agg(F.collect_set("_e").alias("_e"))  # a structure has some tens of levels at most
     points = right.join(used, by).withColumn("_e", F.explode("_e")).withColumns(_cell_at(c("_e")))
     points = points.select(*by, "_e", *CELL, *[c(n).alias(f"r_{n}") for n in right.columns if n not in by])
-    return _around(x.withColumns(_cell_at(c("_e")))).join(points, [*by, "_e", *CELL]).drop(*CELL).withColumn("d2", _d2())
+    x = _around(x.withColumns(_cell_at(c("_e")))).repartition(tasks, *keys)
+    return x.join(points.repartition(tasks, *keys), keys).drop(*CELL).withColumn("d2", _d2())
 
 
 def k_nearest(left: DataFrame, right: DataFrame, by: list[str], key: list[str], tie: str, k: int) -> DataFrame:
@@ -123,15 +133,18 @@ def k_nearest(left: DataFrame, right: DataFrame, by: list[str], key: list[str],
     have no result.
     """
     left, right = located(left), located(right)
-    x = written(_search_levels(left, right, by, grid_levels(right, by, k), k), "grid-levels")
+    levels = written(grid_levels(right, by, k), "grid-boxes")
+    x = written(_search_levels(left, right, by, levels, k), "grid-levels")
+    tasks = _tasks(x.agg(F.sum("_near")).first()[0])
+    x = x.drop("_near")
     order = [c("d2"), c(f"r_{tie}")]
-    found = S.top_k(_partners(x, right, by), [*by, *key], order, k, "rank")
+    found = S.top_k(_partners(x, right, by, tasks), [*by, *key], order, k, "rank")
     s = _edge(c("_e"))
     margin = F.least(*[F.least(c(v) - (cell - 1) * s, (cell + 2) * s - c(v)) for v, cell in zip(AXES, _cell_at(c("_e")).values())])
     found = written(found.withColumn("_safe", F.when(c("_far"), float("inf")).otherwise(margin)), "grid-first")
     last = found.filter("rank = _want").select(*by, *key, c("d2").alias("_reach"), (c("d2") <= c("_safe") * c("_safe")).alias("_done"))
     final = found.join(last.filter("_done").select(*by, *key), [*by, *key], "left_semi").drop("_safe")
     again = x.join(last.filter("NOT _done").drop("_done"), [*by, *key]).withColumn("_e", _level_of(F.sqrt("_reach")))
-    more = _partners(again, right, by).filter("d2 <= _reach").drop("_reach")
+    more = _partners(again, right, by, tasks).filter("d2 <= _reach").drop("_reach")
     final = final.unionByName(S.top_k(more, [*by, *key], order, k, "rank"))
     return final.select(*left.columns, *[f"r_{n}" for n in right.columns if n not in by], "d2", "rank")

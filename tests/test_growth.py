@@ -41,3 +41,15 @@ def test_dense_pairs_travel_as_words(spark):
     rows = spark.range(60).selectExpr("id", "0 AS g", "transform(sequence(0, 19), b -> CAST((id + b) % 30 AS INT)) AS bits")
     text = plan(N.similar_pairs(rows, rows, ["g"], "id", 0.5, block=7, once=True))
     assert "bit_count" in text
+
+
+def test_search_is_dealt_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(grid, "ROWS", 100)
+    seen = []
+    deal = grid._partners
+    monkeypatch.setattr(grid, "_partners", lambda x, right, by, tasks: seen.append(tasks) or deal(x, right, by, tasks))
+    a = spark.range(40).selectExpr("0 AS s", "id AS p", "id * 0.1D AS x", "0D AS y", "0D AS z")
+    b = spark.range(40).selectExpr("0 AS s", "id AS q", "id * 0.1D AS x", "0D AS y", "0D AS z")
+    got = grid.k_nearest(a, b, ["s"], ["p"], "q", 8).collect()
+    assert len(got) == 320 and {r.r_q for r in got if r["rank"] == 1 and r.p == r.r_q} == set(range(40))
+    assert seen[0] > 3
