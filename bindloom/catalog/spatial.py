@@ -91,9 +91,14 @@ NEAR = f""", k AS (SELECT p.structure_id, p.chain, p.resseq, p.icode, l.serial,
     FROM cb p JOIN lig l ON l.structure_id = p.structure_id AND l.element <> 'H' WHERE p.valid)"""
 
 
+def ligand_places(spark, sf):
+    """What the search for near ligand atoms reads; it holds every pair of neighbouring cells."""
+    return kind(spark, sf, "ligand").select("structure_id", "element", "serial", *G.AXES)
+
+
 @query("nearest_ligand_atoms", AT + ", " + CB + NEAR + f" SELECT {RES}, serial, round(d2, 5) AS d2, rank FROM k WHERE rank <= 16")
 def _(spark, sf):
-    near, _flags = A.nearest_ligand_atoms(kind(spark, sf, "protein"), kind(spark, sf, "ligand"), 16)
+    near, _flags = A.nearest_ligand_atoms(kind(spark, sf, "protein"), ligand_places(spark, sf), 16)
     return D.rounded(near.select(*A.RESIDUE, c("r_serial").alias("serial"), "d2", "rank"), 5)
 
 
@@ -103,7 +108,7 @@ def _(spark, sf):
       FROM cb LEFT JOIN k ON k.rank = 1 AND k.structure_id = cb.structure_id AND k.chain = cb.chain AND k.resseq = cb.resseq AND k.icode = cb.icode""",
 )
 def _(spark, sf):
-    _near, flags = A.nearest_ligand_atoms(kind(spark, sf, "protein"), kind(spark, sf, "ligand"), 16)
+    _near, flags = A.nearest_ligand_atoms(kind(spark, sf, "protein"), ligand_places(spark, sf), 16)
     return D.rounded(flags)
 
 
