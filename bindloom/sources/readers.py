@@ -219,12 +219,17 @@ def parse_evalues(lines: DataFrame) -> DataFrame:
 
 
 def parse_replaced_ids(lines: DataFrame) -> DataFrame:
-    """Replaced structure ids of a fixed-width list, the last entry of an id wins."""
+    """Replaced structure ids of a fixed-width list, the last entry of an id wins.
+
+    A list may come in several files, in the order of their names. The last line of every distinct entry of a
+    block is found first, with numbers alone in the state, so that the lines themselves are not sorted.
+    """
     v = F.trim("value")
     rows = lines.filter(v.startswith("OBSLTE") & (F.length(v) > 30)).select(
-        F.lower(F.substring(v, 21, 4)).alias("from_id"), F.lower(F.substring(v, 30, 4)).alias("to_id"), F.struct("file", "block", "line").alias("_at")
+        F.lower(F.substring(v, 21, 4)).alias("from_id"), F.lower(F.substring(v, 30, 4)).alias("to_id"), "file", "block", "line"
     )
-    return rows.groupBy("from_id").agg(F.max_by("to_id", "_at").alias("to_id"))
+    last = rows.groupBy("from_id", "to_id", "file", "block").agg(F.max("line").alias("line"))
+    return last.groupBy("from_id").agg(F.max_by("to_id", F.struct("file", "block", "line")).alias("to_id"))
 
 
 def parse_atoms(lines: DataFrame, chains: list[str] | None = None, zero_occupancy: bool = False) -> DataFrame:

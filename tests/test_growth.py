@@ -53,3 +53,16 @@ def test_search_is_dealt_by_its_rows(spark, monkeypatch):
     got = grid.k_nearest(a, b, ["s"], ["p"], "q", 8).collect()
     assert len(got) == 320 and {r.r_q for r in got if r["rank"] == 1 and r.p == r.r_q} == set(range(40))
     assert seen[0] > 3
+
+
+def test_replaced_ids_come_in_several_files(spark):
+    value = F.concat(F.lit("OBSLTE    31-JUL-94 A001     B"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0"), F.lit(" "))
+    rows = spark.range(3000).select(F.col("id").alias("ord"), value.alias("value")).repartition(5)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = R.text_lines(spark, files.write_list(spark, rows, "ids"))
+        assert lines.select("file").distinct().count() > 1
+        assert [tuple(r) for r in R.parse_replaced_ids(lines).collect()] == [("a001", "b999")]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
