@@ -181,16 +181,21 @@ def affinity_pairs(pairs: DataFrame, px: DataFrame, protein: str, ligand: str, v
 
 
 def merge_similarity(df: DataFrame, sims: DataFrame, protein: str, ligand: str, row_id: str) -> DataFrame:
-    """Similarity rows on off-targets; targets take the protein's first listed target ligand."""
-    joined = df.join(sims.withColumnRenamed("off_ligand", ligand), [protein, ligand], "left")
-    first = (
-        joined.filter((F.col("target_type") == "off_target") & F.col("target_ligand").isNotNull())
-        .groupBy(protein)
-        .agg(F.min_by("target_ligand", F.struct(row_id, "target_ligand")).alias("_first"))
-    )
+    """Similarity rows on off-targets; targets take the protein's first listed target ligand.
+
+    The first target ligand is found from the first row and the least target ligand of every (protein, ligand),
+    before the similarity rows multiply the rows; the multiplied rows are not shuffled again.
+    """
+    keys = [protein, ligand]
+    sims = sims.withColumnRenamed("off_ligand", ligand)
+    least = sims.filter(F.col("target_ligand").isNotNull()).groupBy(*keys).agg(F.min("target_ligand").alias("target_ligand"))
+    at = F.when(F.count_if(F.col(row_id).isNull()) == 0, F.min(row_id))  # a row without a number comes first
+    rows = df.filter(F.col("target_type") == "off_target").groupBy(*keys).agg(at.alias("_at"))
+    first = rows.join(least, keys).groupBy(protein).agg(F.min_by("target_ligand", F.struct("_at", "target_ligand")).alias("_first"))
     filled = F.when(F.col("target_type") == "target", F.coalesce("target_ligand", "_first")).otherwise(F.col("target_ligand"))
     return (
-        joined.join(first, protein, "left")
+        df.join(first, protein, "left")
+        .join(sims, keys, "left")
         .withColumn("target_ligand", filled)
         .withColumn("bucket", F.coalesce("bucket", F.lit("target")))
         .drop("_first")

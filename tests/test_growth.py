@@ -66,3 +66,13 @@ def test_replaced_ids_come_in_several_files(spark):
         assert [tuple(r) for r in R.parse_replaced_ids(lines).collect()] == [("a001", "b999")]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_similarity_rows_are_not_shuffled_again(spark):
+    df = spark.createDataFrame([(1, "p", "a", "off_target"), (2, "p", "b", "off_target"), (3, "p", "c", "target"), (4, "q", "c", "target"), (5, None, "a", "target")], "row_id int, protein string, ligand string, target_type string")
+    sims = spark.createDataFrame([("p", "a", None, "x"), ("p", "b", "t2", "x"), ("p", "b", "t1", "y"), ("p", "c", None, "z")], "protein string, off_ligand string, target_ligand string, bucket string")
+    out = J.merge_similarity(df, sims, "protein", "ligand", "row_id")
+    got = sorted((r.row_id, r.target_ligand or "", r.bucket) for r in out.collect())
+    assert got == [(1, "", "x"), (2, "t1", "y"), (2, "t2", "x"), (3, "t1", "z"), (4, "", "target"), (5, "", "target")]
+    # the similarity rows are joined last
+    assert "ligand" in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].split("\n")[0]
