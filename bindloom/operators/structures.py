@@ -117,19 +117,24 @@ def structure_funnel(
     ``ligands`` one row per (pdb_id, het_id). The status names the first failing step.
     """
     listed = pairs.select(row, uniprot, F.upper(F.trim(het)).alias("_het"), F.posexplode_outer(X.split_ids(F.col(ids))).alias("_ord", "pdb_id"))
-    x = listed.join(meta, "pdb_id", "left")
-    codes = ligands.select("pdb_id", F.upper("het_id").alias("_het")).distinct().withColumn("_hit", F.lit(True))
-    x = x.join(codes, ["pdb_id", "_het"], "left")
+    # the codes of a structure travel with it, so the long list of ids is joined once
+    codes = ligands.groupBy("pdb_id").agg(F.collect_set(F.upper("het_id")).alias("_codes"))
+    known = meta.select("pdb_id", "uniprot_ids", "mutations", "resolution").join(codes, "pdb_id", "left")
+    x = listed.join(known, "pdb_id", "left")
     s1 = F.coalesce(F.array_contains("uniprot_ids", F.col(uniprot)), F.lit(False))
-    s2 = s1 & F.col("_hit").isNotNull()
+    s2 = s1 & F.coalesce(F.array_contains("_codes", F.col("_het")), F.lit(False))
     s3 = s2 & (F.coalesce(F.size("mutations"), F.lit(0)) <= 0)
-    rank = F.struct(F.coalesce(F.nullif("resolution", F.lit(0.0)), F.lit(999.9)), F.col("_ord"))
+    steps = F.when(s3, 3).when(s2, 2).when(s1, 1).otherwise(0)
+    resolution = F.coalesce(F.nullif("resolution", F.lit(0.0)), F.lit(999.9))
+    # rows of a few numbers are dealt by row, and only then sorted
+    x = x.select(row, "pdb_id", "_ord", steps.alias("_steps"), resolution.alias("_res")).repartition(F.col(row))
+    passed = lambda n: F.count_if(F.col("_steps") >= n)
     out = x.groupBy(row).agg(
         F.count("pdb_id").alias("n_ids"),
-        F.count_if(s1).alias("n_protein"),
-        F.count_if(s2).alias("n_ligand"),
-        F.count_if(s3).alias("n_wild_type"),
-        F.min_by("pdb_id", F.when(s3, rank)).alias("valid_pdb_id"),
+        passed(1).alias("n_protein"),
+        passed(2).alias("n_ligand"),
+        passed(3).alias("n_wild_type"),
+        F.min_by("pdb_id", F.when(F.col("_steps") == 3, F.struct("_res", "_ord"))).alias("valid_pdb_id"),
     )
     status = (
         F.when(F.col("n_ids") == 0, "no ids")

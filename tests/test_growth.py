@@ -76,3 +76,13 @@ def test_similarity_rows_are_not_shuffled_again(spark):
     assert got == [(1, "", "x"), (2, "t1", "y"), (2, "t2", "x"), (3, "t1", "z"), (4, "", "target"), (5, "", "target")]
     # the similarity rows are joined last
     assert "ligand" in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].split("\n")[0]
+
+
+def test_funnel_joins_the_ids_once(spark):
+    pairs = spark.createDataFrame([(1, "u", "a", "S1;S2;S3;S4"), (2, "u", "b", "S1"), (3, "v", "a", "S1"), (4, "u", "a", None), (5, "u", None, "S2")], "row_id int, u string, het string, ids string")
+    meta = spark.createDataFrame([("S1", ["u"], ["A1G"], 1.0), ("S2", ["u"], None, 0.0), ("S3", ["u"], [], 2.0), ("S4", ["w"], None, 1.0)], "pdb_id string, uniprot_ids array<string>, mutations array<string>, resolution double")
+    ligands = spark.createDataFrame([("S1", "A"), ("S1", "A"), ("S2", "a"), ("S3", "A"), ("S9", "A"), ("S2", None)], "pdb_id string, het_id string")
+    out = J.structure_funnel(pairs, meta, ligands, "row_id", "ids", "u", "het")
+    got = {r.row_id: (r.n_ids, r.n_protein, r.n_ligand, r.n_wild_type, r.valid_pdb_id, r.status) for r in out.collect()}
+    assert got == {1: (4, 3, 3, 2, "S3", "valid"), 2: (1, 1, 0, 0, None, "no ligand match"), 3: (1, 0, 0, 0, None, "no protein match"), 4: (0, 0, 0, 0, None, "no ids"), 5: (1, 1, 0, 0, None, "no ligand match")}
+    assert "_hit" not in plan(out)
