@@ -261,9 +261,8 @@ MASKED = """x AS (SELECT d.label, conv_id, turn, least(length(seq), length(ref))
 
 def against_reference(spark, sf):
     ref = D.references(spark, sf).withColumnRenamed("seq", "ref")
-    x = D.designs(spark, sf).join(ref, "label")
     every_fifth = F.transform(F.sequence(F.lit(1), F.greatest(F.length("ref"), F.lit(1))), lambda i: F.when(i % 5 == 1, 1).otherwise(0))
-    return x.withColumn("pocket", every_fifth)
+    return D.designs(spark, sf).join(ref.withColumn("pocket", every_fifth), "label")
 
 
 @query(

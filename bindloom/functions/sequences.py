@@ -19,7 +19,7 @@ NAMED_MUTATION = r"^[A-Z]\d+[A-Z]$"
 
 def chars(c: Column) -> Column:
     """Array of characters; the empty string gives an empty array."""
-    return F.filter(F.split(c, ""), lambda x: x != "")
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
 
 
 def mutations_in_name(name: Column) -> Column:

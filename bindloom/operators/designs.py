@@ -23,17 +23,23 @@ def positions(df: DataFrame, sequence: str) -> DataFrame:
 
 def regional_identity(designs: DataFrame, reference: str, design: str, pocket: str) -> DataFrame:
     """Identity overall, in the pocket and outside it; ``pocket`` is an array of 0/1 per position.
-    A region without positions scores 0."""
+    A region without positions scores 0. The positions are compared once, to one letter each, which all three count."""
     a, b = F.col(reference), F.col(design)
-    outside = F.transform(F.col(pocket), lambda m: 1 - m)
-    zero = F.lit(0.0)
-    return designs.withColumns(
-        {
-            "identity": F.coalesce(Q.identity(a, b), zero),
-            "pocket_identity": F.coalesce(Q.identity(a, b, F.col(pocket)), zero),
-            "rest_identity": F.coalesce(Q.identity(a, b, outside), zero),
-        }
-    )
+    n = F.least(F.length(a), F.length(b))
+    cells = F.arrays_zip(Q.chars(a).alias("a"), Q.chars(b).alias("b"), F.coalesce(pocket, F.array().cast("array<int>")).alias("m"))
+
+    def mark(cell):  # upper case where both are equal
+        region = F.when(cell["m"] == 1, "p").when(cell["m"] == 0, "r").otherwise("n")
+        return F.when(cell["a"] == cell["b"], F.upper(region)).otherwise(region)
+
+    marks = F.when(n > 0, F.array_join(F.transform(F.slice(cells, 1, F.greatest(n, F.lit(1))), mark), ""))
+
+    def share(others):
+        total = F.length(F.translate("_marks", others, ""))
+        return F.coalesce(F.when(total > 0, F.length(F.translate("_marks", others + "prn", "")) / total), F.lit(0.0))
+
+    shares = {"identity": share(""), "pocket_identity": share("RrNn"), "rest_identity": share("PpNn")}
+    return designs.withColumn("_marks", marks).withColumns(shares).drop("_marks")
 
 
 def position_profile(designs: DataFrame, reference: DataFrame, label: str, sequence: str) -> DataFrame:

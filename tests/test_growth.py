@@ -86,3 +86,12 @@ def test_funnel_joins_the_ids_once(spark):
     got = {r.row_id: (r.n_ids, r.n_protein, r.n_ligand, r.n_wild_type, r.valid_pdb_id, r.status) for r in out.collect()}
     assert got == {1: (4, 3, 3, 2, "S3", "valid"), 2: (1, 1, 0, 0, None, "no ligand match"), 3: (1, 0, 0, 0, None, "no protein match"), 4: (0, 0, 0, 0, None, "no ids"), 5: (1, 1, 0, 0, None, "no ligand match")}
     assert "_hit" not in plan(out)
+
+
+def test_positions_are_compared_once(spark):
+    rows = [("ABCDE", "ABXDEFG", [1, 0, 1, None, 0]), ("AB", "", [1, 1]), ("AAAA", "AABB", None), ("AB", "AB", [0, 0]), (None, "A", [1])]
+    df = spark.createDataFrame(rows, "a string, b string, m array<int>")
+    out = E.regional_identity(df, "a", "b", "m")
+    got = [tuple(r)[3:] for r in out.collect()]
+    assert got == [(0.8, 0.5, 1.0), (0.0, 0.0, 0.0), (0.5, 0.0, 0.0), (1.0, 0.0, 1.0), (0.0, 0.0, 0.0)]
+    assert plan(out).count("arrays_zip(") == 1
