@@ -66,6 +66,20 @@ def substitutions(reference: Column, variant: Column) -> Column:
     return F.when((F.length(reference) == F.length(variant)) & ~gapped, labels)
 
 
+class LetterMatcher(difflib.SequenceMatcher):
+    """The matcher on two texts, without its rule for popular letters; same blocks, found by text search."""
+
+    def find_longest_match(self, alo=0, ahi=None, blo=0, bhi=None):
+        a, b = self.a[:ahi], self.b[blo:bhi]
+        at, size = alo, 0
+        for i in range(alo, len(a)):
+            if i + size >= len(a):
+                break
+            while i + size < len(a) and a[i : i + size + 1] in b:  # longer than the best so far
+                at, size = i, size + 1
+        return difflib.Match(at, blo + b.index(a[at : at + size]), size)
+
+
 def describe_edit(reference: str, variant: str) -> tuple[str, int, int, int]:
     """Edits that turn the reference into the variant: text and counts (subs, ins, dels).
 
@@ -77,7 +91,7 @@ def describe_edit(reference: str, variant: str) -> tuple[str, int, int, int]:
     head = len(os.path.commonprefix([reference, variant]))
     tail = len(os.path.commonprefix([reference[head:][::-1], variant[head:][::-1]]))
     a, b = reference[head : len(reference) - tail], variant[head : len(variant) - tail]
-    for kind, a0, a1, b0, b1 in difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes():
+    for kind, a0, a1, b0, b1 in LetterMatcher(a=a, b=b, autojunk=False).get_opcodes():
         if kind == "equal":
             continue
         a0, a1, b0, b1 = a0 + head, a1 + head, b0 + head, b1 + head

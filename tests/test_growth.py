@@ -95,3 +95,13 @@ def test_positions_are_compared_once(spark):
     got = [tuple(r)[3:] for r in out.collect()]
     assert got == [(0.8, 0.5, 1.0), (0.0, 0.0, 0.0), (0.5, 0.0, 0.0), (1.0, 0.0, 1.0), (0.0, 0.0, 0.0)]
     assert plan(out).count("arrays_zip(") == 1
+
+
+@pytest.mark.parametrize("letters", ["AC", "ACDEFGHIKLMNPQRSTVWY"])
+def test_letter_matcher_finds_the_same_blocks(letters):
+    rng = random.Random(1)
+    for n in (0, 1, 5, 40, 300):
+        a = "".join(rng.choices(letters, k=n))
+        for b in (a.replace("AC", "D"), "".join(rng.choices(letters, k=n + 3)), a[n // 2 :] + a[: n // 2]):
+            plain = difflib.SequenceMatcher(a=a, b=b, autojunk=False)
+            assert Q.LetterMatcher(a=a, b=b, autojunk=False).get_opcodes() == plain.get_opcodes()
