@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 CORRUPT = "_corrupt"
+RUN_LINES = 4096  # lines numbered together
 
 
 # ---- tables
@@ -107,15 +108,17 @@ def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def number_records(lines: DataFrame, start: Column, name: str = "rec") -> DataFrame:
     """Running number of the record a line belongs to; a record begins where ``start`` holds.
 
-    Lines before the first start of a file get 0.
+    Lines before the first start of a file get 0. Lines are numbered inside runs of ``RUN_LINES`` and the starts of
+    the runs before are added, so that no task has to hold a block of a file.
     """
-    x = lines.withColumn("_start", F.coalesce(start.cast("int"), F.lit(0)))
-    blocks = x.groupBy("file", "block").agg(F.sum("_start").alias("_n"))
-    upto = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select("file", "block", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("file", "block").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    x = x.join(blocks, ["file", "block"])
-    return x.withColumn(name, F.col("_before") + F.sum("_start").over(inside)).drop("_start", "_before")
+    x = lines.withColumn("_start", F.coalesce(start.cast("int"), F.lit(0))).withColumn("_run", F.floor(F.col("line") / RUN_LINES))
+    run = ["file", "block", "_run"]
+    runs = x.groupBy(*run).agg(F.sum("_start").alias("_n"))
+    upto = W.partitionBy("file").orderBy("block", "_run").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.select(*run, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*run).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    x = x.join(runs, run)
+    return x.withColumn(name, F.col("_before") + F.sum("_start").over(inside)).drop("_start", "_before", "_run")
 
 
 def _joined(value: Column, sep: str = "") -> Column:

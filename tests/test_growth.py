@@ -68,6 +68,15 @@ def test_replaced_ids_come_in_several_files(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def test_records_are_numbered_in_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "RUN_LINES", 3)
+    (tmp_path / "a.fa").write_text("\n" + "".join(f">h{i}\n" + "AC\nDE\n" * (i % 4) for i in range(30)))
+    lines = R.text_lines(spark, str(tmp_path))
+    assert "_run" in plan(R.number_records(lines, F.col("value").startswith(">")))
+    got = {r.idx: (r.header, r.sequence) for r in R.parse_fasta(lines).collect()}
+    assert got == {i: (f"h{i}", "ACDE" * (i % 4)) for i in range(30)}
+
+
 def test_similarity_rows_are_not_shuffled_again(spark):
     df = spark.createDataFrame([(1, "p", "a", "off_target"), (2, "p", "b", "off_target"), (3, "p", "c", "target"), (4, "q", "c", "target"), (5, None, "a", "target")], "row_id int, protein string, ligand string, target_type string")
     sims = spark.createDataFrame([("p", "a", None, "x"), ("p", "b", "t2", "x"), ("p", "b", "t1", "y"), ("p", "c", None, "z")], "protein string, off_ligand string, target_ligand string, bucket string")
