@@ -6,6 +6,7 @@ from bindloom.catalog import adapters as D, query
 from bindloom.functions import affinity as A, text as X
 from bindloom.operators import assay as O
 from bindloom.plans import skew as S
+from bindloom.session import written
 
 c = F.col
 KEYS = ["protein", "ligand"]
@@ -250,7 +251,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     m = D.measurements(spark, sf)
-    pairs = O.aggregate_pairs(m, KEYS, "nM", "row_id")
+    # read by four steps
+    pairs = written(O.aggregate_pairs(m, KEYS, "nM", "row_id"), "pairs")
     valid = O.validate_replicates(pairs).filter("is_valid")
     lab = O.label_pairs(valid)
     return O.audit(

@@ -114,3 +114,11 @@ def test_letter_matcher_finds_the_same_blocks(letters):
         for b in (a.replace("AC", "D"), "".join(rng.choices(letters, k=n + 3)), a[n // 2 :] + a[: n // 2]):
             plain = difflib.SequenceMatcher(a=a, b=b, autojunk=False)
             assert Q.LetterMatcher(a=a, b=b, autojunk=False).get_opcodes() == plain.get_opcodes()
+
+
+def test_audit_makes_the_pairs_once(spark, monkeypatch):
+    made = []
+    write = assay.written
+    monkeypatch.setattr(assay, "written", lambda t, name: made.append(name) or write(t, name))
+    out = catalog.QUERIES["snk_audit"](spark, "/root/testdata/sf0.001")
+    assert made == ["pairs"] and "FileScan" in plan(out) and out.count() == 5
