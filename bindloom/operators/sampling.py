@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindloom.functions import affinity as A
@@ -52,7 +54,8 @@ def diversity_sample(df: DataFrame, by: list[str], key: str, features: list[str]
 
     ``size`` is a column with the number of rows wanted by the group; as many rows with the least hash are
     the first centres. Rounds go on until no centre of any group moves. Groups are never gathered: the
-    centres of a group travel to its rows, and a round is one join and one partial aggregate. Clusters
+    centres of a group travel to its rows, and a round is one join and one partial aggregate over the
+    groups that still move. Clusters
     that lose their rows are topped up with further rows of the group in the order of their hash.
     """
     stats = [s for f in features for s in (F.avg(f).alias(f"_m_{f}"), F.stddev_pop(f).alias(f"_s_{f}"))]
@@ -77,19 +80,25 @@ def diversity_sample(df: DataFrame, by: list[str], key: str, features: list[str]
         return y.withColumn("_cluster", F.array_min(options)["i"]).drop("_centres")
 
     centres = written(listed(seeds), "kmeans-centres")
-    moving = most > 0
-    while moving:
+    settled, kept, last = [], set(), centres  # groups whose centres stand still leave the rounds
+    while most > 0:
         mean = F.array(*[F.avg(F.col("_z")[j]) for j in range(len(features))])
         moved = assign(centres).groupBy(*by, F.col("_cluster").alias("_i")).agg(mean.alias("_z"))
-        now = written(listed(moved), "kmeans-centres")
         # a centre that lost its rows has no place in the new list
-        both = S.null_safe_join(now, centres.withColumnRenamed("_centres", "_last"), by)
+        both = S.null_safe_join(listed(moved), centres.withColumnRenamed("_centres", "_last"), by)
         apart = F.transform(F.arrays_zip("_centres", "_last"), lambda p: dist(p["_centres"]["z"], p["_last"]["z"]))
         stand = (F.size("_centres") == F.size("_last")) & ~F.exists(apart, lambda d: d > SETTLED * SETTLED)
-        moving = not both.filter(~stand).isEmpty()
-        dropped(x.sparkSession, centres)
-        centres = now
-    near = assign(centres)
+        now = written(both.select(*by, "_centres", F.coalesce(stand, F.lit(True)).alias("_stand")), "kmeans-centres")
+        some = now.groupBy().agg(F.count_if("_stand").alias("still"), F.count_if(~F.col("_stand")).alias("moving")).first()
+        if some.still:
+            settled.append(now.filter("_stand").drop("_stand"))
+        if last._written_path not in kept:
+            dropped(x.sparkSession, last)
+        kept |= {now._written_path} if some.still else set()
+        centres, last = now.filter("NOT _stand").drop("_stand"), now
+        if not some.moving:
+            break
+    near = assign(reduce(DataFrame.unionByName, settled, centres))
     first = S.first_per(near, [*by, "_cluster"], [F.col("_h")]).select(*by, key, F.lit(0).alias("_prio"))
     order = [F.coalesce("_prio", F.lit(1)).asc(), F.col("_h").asc()]
     ranked = S.top_k(S.null_safe_join(near, first, [*by, key], "left"), by, order, most, "_i")

@@ -116,6 +116,18 @@ def test_letter_matcher_finds_the_same_blocks(letters):
             assert Q.LetterMatcher(a=a, b=b, autojunk=False).get_opcodes() == plain.get_opcodes()
 
 
+def test_groups_that_stand_still_leave_the_rounds(spark, monkeypatch):
+    """One group settles at once, the other takes several rounds; the later rounds deal with the latter alone."""
+    rows = [("a", i, float(i % 2 * 100), 2) for i in range(8)] + [("b", i, float(i * i % 97 + i), 6) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, k int, f double, n int")
+    groups = []
+    write = G.written
+    monkeypatch.setattr(G, "written", lambda t, name: (lambda w: groups.append(w.select("g").distinct().count()) or w)(write(t, name)))
+    got = G.diversity_sample(df, ["g"], "k", ["f"], "n").groupBy("g").count().collect()
+    assert {(r.g, r["count"]) for r in got} == {("a", 2), ("b", 6)}
+    assert groups[1] == 2 and groups[-1] == 1
+
+
 def test_audit_makes_the_pairs_once(spark, monkeypatch):
     made = []
     write = assay.written
