@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -30,6 +31,7 @@ from bindloom.llm.common import append_columns, byte_view, fresh_path, row_group
 
 MIN_COUNT = 16
 ROUND_RULES = 4096  # rules made per round
+GROUP_BYTES = 4 << 20  # text encoded at once
 LEAST_GAIN = 0.02  # the rounds end when one shortens the sequence by less
 SHARD_IDS = 1 << 20
 HEAD = struct.Struct("<4sIIIII")
@@ -67,10 +69,11 @@ def compress(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> bytes:
         if not len(frequent):
             break
         chosen = np.sort(ordered[first[frequent]])
-        picks = _occurrences(pairs, inner, chosen)
+        picks, places = _occurrences(pairs, inner, chosen)
         if len(picks) < LEAST_GAIN * len(seq):
             break
-        used, rule = np.unique(np.searchsorted(chosen, pairs[picks]), return_inverse=True)
+        used = np.flatnonzero(np.bincount(places, minlength=len(chosen)))
+        rule = (np.cumsum(np.bincount(used, minlength=len(chosen))) - 1)[places]
         a, b = (chosen[used] >> by).astype(np.int64), (chosen[used] & pair((1 << int(by)) - 1)).astype(np.int64)
         known = np.concatenate([np.ones(vocabulary, np.int64), spans])
         spans = np.concatenate([spans, known[a] + known[b]])
@@ -90,20 +93,22 @@ def compress(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> bytes:
     return head + b"".join(x.tobytes() for x in parts)
 
 
-def _occurrences(pairs: np.ndarray, inner: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Starts of the chosen pairs, without those that overlap the occurrence before (left to right)."""
+def _occurrences(pairs: np.ndarray, inner: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the chosen pairs, without those that overlap the occurrence before (left to right), and their places in ``chosen``."""
     slots = 1 << 20
     spread = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)
     marks = np.zeros(slots, bool)
     marks[chosen.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)] = True
     at = np.flatnonzero(marks[spread] & inner)
     near = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
-    at = at[chosen[near] == pairs[at]]
+    same = chosen[near] == pairs[at]
+    at, near = at[same], near[same]
     if not len(at):
-        return at
+        return at, near
     begins = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
     run = np.repeat(begins, np.diff(np.append(begins, len(at))))
-    return at[(np.arange(len(at)) - run) % 2 == 0]
+    free = (np.arange(len(at)) - run) % 2 == 0
+    return at[free], near[free]
 
 
 class Shard:
@@ -183,12 +188,19 @@ class ChunkEncoder:
     """Ids of whole texts with the tokenizers library, remembering the ids of parts between blanks.
 
     The tokenizer of the file drops white space before it merges, so parts between blanks and
-    line ends have the same ids alone and in the text. It lower-cases and separates letters and digits from
-    marks, so a part is looked up once more as its lower-cased stem and the mark behind it. A text with the
-    string of a special token goes to the library whole.
+    line ends have the same ids alone and in the text. It lower-cases and separates letters from marks,
+    so a part of letters and marks behind them is looked up as its lower-cased letters and its marks. New
+    words of letters go to the library many at once, with blanks between them, and their ids are cut behind
+    the tokens that end a word. Other parts go to the library one by one, and a text with the string of a
+    special token whole.
     """
 
-    CACHE = 300_000  # parts, and stems, per generation and worker; an eviction only costs time
+    CACHE = 500_000  # words per generation and worker; an eviction only costs time
+    TOGETHER = 1000  # words that go to the library as one text
+    #: Letters whose lower case is one letter and that do not combine, then marks other than ' and <.
+    LETTERS = "[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+"
+    MARKS = r"[!-&(-/:;=-@\[-`{-~]*"
+    WORD_END = "</w>"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -196,45 +208,67 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.width = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
-        self.known, self.old = {}, {}  # a full table of ids becomes the old one
-        self.stems, self.old_stems = {}, {}
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.WORD_END)]] = True
+        self.known, self.old = {"": b""}, {}  # a full table of ids becomes the old one
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _stem(part: str) -> tuple[str, str]:
-        mark = ""
-        if len(part) > 1 and part[-1] in ".,;:!?" and part[-2].isalnum() and part[-2] < "\u0250":
-            part, mark = part[:-1], part[-1]
-        return part.lower() if part.isascii() and "<" not in part else part, mark
-
-    def _learn(self, parts: list[str]) -> None:
-        """Ids of new parts by their stems and marks."""
-        if len(self.stems) >= self.CACHE:
-            self.stems, self.old_stems = {}, self.stems
-        stems, old = self.stems, self.old_stems
-        cut = [self._stem(p) for p in parts]
-        new = {x for pair in cut for x in pair if x not in stems}
-        stems.update((x, old[x]) for x in new if x in old)
-        missing = [x for x in new if x not in stems]
-        stems.update(zip(missing, self._ids(missing)))
-        self.known.update((p, stems[stem] + stems[mark]) for p, (stem, mark) in zip(parts, cut))
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters."""
+        size, out = np.dtype(self.width).itemsize, []
+        for i in range(0, len(words), self.TOGETHER):
+            some = words[i : i + self.TOGETHER]
+            [raw] = self._ids([" ".join(some)])
+            stops = ((np.flatnonzero(self.ends[np.frombuffer(raw, self.width)]) + 1) * size).tolist()
+            if len(stops) == len(some) and stops[-1] == len(raw):
+                out += [raw[s:e] for s, e in zip([0, *stops], stops)]
+            else:  # a tokenizer that marks no ends of words
+                out += self._ids(some)
+        return out
 
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        split = [[] if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
+    def _distinct_ids(self, texts: pa.Array) -> pa.Array:
+        """Ids of distinct words, or other parts that the library takes as they are."""
         if len(self.known) >= self.CACHE:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        new = {p for parts in split for p in parts if p not in known}
-        missing = [p for p in new if p not in old]
-        known.update((p, old[p]) for p in new if p in old)
-        if missing:
-            self._learn(missing)
+            self.known, self.old = {"": b""}, self.known
+        known, old, words, others = self.known, self.old, [], []
+        every = texts.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(known.get, every))
+        new = [i for i, x in enumerate(found) if x is None]
+        for i, word in zip(new, pc.match_substring_regex(texts.take(pa.array(new, pa.int64())), rf"\A{self.LETTERS}\z").to_pylist()):
+            x = every[i]
+            if x in old:
+                known[x] = old[x]
+            else:
+                (words if word else others).append(x)
+        known.update(zip(words, self._word_ids(words)))
+        known.update(zip(others, self._ids(others)))
+        for i in new:
+            found[i] = known[every[i]]
+        return pa.array(found, pa.large_binary())
+
+    def _part_ids(self, parts: pa.Array) -> pa.Array:
+        """Ids of parts: those of the letters and those of the marks behind them."""
+        cut = pc.extract_regex(parts, rf"\A(?P<word>{self.LETTERS})(?P<mark>{self.MARKS})\z")
+        words = pc.coalesce(pc.utf8_lower(pc.struct_field(cut, "word")), parts).dictionary_encode()
+        marks = pc.fill_null(pc.struct_field(cut, "mark"), "").dictionary_encode()
+        ids = [self._distinct_ids(x.dictionary).take(x.indices) for x in (words, marks)]
+        return pc.binary_join_element_wise(*ids, pa.scalar(b"", pa.large_binary()))
+
+    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        whole = [any(s in t for s in self.special) for t in texts]
+        split = pc.split_pattern(pc.replace_substring(pa.array(["" if w else t for t, w in zip(texts, whole)], pa.large_string()), "\n", " "), " ")
+        places = split.values.dictionary_encode()
+        ids = self._part_ids(places.dictionary).take(places.indices)
+        _, at, data = ids.buffers()
+        bounds = np.frombuffer(at, np.int64)[: len(ids) + 1][split.offsets.to_numpy()].tolist()
+        flat = data.to_pybytes() if data else b""
         end = np.array([end_id], self.width).tobytes()
-        return [(b"".join(map(known.__getitem__, parts)) if parts else self._ids([t])[0]) + end for t, parts in zip(texts, split)]
+        return [(self._ids([t])[0] if w else flat[s:e]) + end for t, w, s, e in zip(texts, whole, bounds, bounds[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -252,7 +286,7 @@ def encode_ids(df: DataFrame, path: str, end_id: int, text: str = "text", keep:
         def step(cols):
             data, offsets = byte_view(cols[0])
             ids, hashes = [], []
-            for i, j in row_groups(offsets):
+            for i, j in row_groups(offsets, GROUP_BYTES):
                 raw = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
                 ids += encoder.encode([r.decode("utf-8", "replace") for r in raw], end_id)
                 hashes += [zlib.crc32(r) for r in raw]

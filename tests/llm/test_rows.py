@@ -203,6 +203,23 @@ def test_parts_are_encoded_as_the_whole_text():
         assert encoder.encode([text], 2) == [np.array([*tok.encode(text, add_special_tokens=False).ids, 2], np.uint16).tobytes()], text
 
 
+def test_new_words_go_to_the_library_together(monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    tok, encoder = Tokenizer.from_file(path), R.ChunkEncoder(path)
+    asked, plain = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: asked.extend(texts) or plain(texts))
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdeéßñ"), 9)) for _ in range(4500)]
+    texts = [" ".join(words), "\n".join(w.upper() + m for w, m in zip(words, ["", "###", ",", "!!"] * 1200)), "İstanbul ŉx ªº µm a\u0301b x² 'll's <|endoftext|> </w> ab</w> _a -", "", "  "]
+    want = [np.array([*tok.encode(t, add_special_tokens=False).ids, 2], np.uint16).tobytes() for t in texts]
+    assert encoder.encode(texts, 2) == want and len(asked) < 40
+    monkeypatch.setattr(encoder, "CACHE", 100)
+    assert [encoder.encode([t], 2)[0] for t in texts] == want
+    encoder.ends[:] = False  # a tokenizer without marked ends of words
+    encoder.known, encoder.old = {"": b""}, {}
+    assert encoder.encode(texts, 2) == want
+
+
 def test_shards(spark, odd, nothing, tmp_path):
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
