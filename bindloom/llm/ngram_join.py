@@ -1,25 +1,29 @@
 """Near-duplicate texts by an exact Jaccard join on word n-grams.
 
-The n-grams of a text are a set of 64-bit tokens; the leading bits of a token are the rarity level
-of its n-gram, from counts over all texts, so the numeric order of tokens is the same rare-first
-order for all texts. Two sets of sizes n <= m can only reach the threshold t if
-
-  length    n >= t * m
-  prefix    they share one of their first n - ceil(t * n) + 1 tokens
-  position  the tokens from the shared one on can still make the overlap
-  suffix    the sizes of 16 parts of both sets differ by no more than the allowed difference
-
-Pairs that pass are verified once on the whole sets. Equal sets are one class from the start. For
-components, every class is first compared with a few partners that a random draw per shared token
+The n-grams of a text are a set of 64-bit hashes. Sets of sizes n and m that reach the threshold t differ
+in d <= (n + m) * (1 - t) / (1 + t) n-grams. Sizes fall into classes, each up to 1 / t times its least one, so that
+two linked sets are of one class or of neighbouring ones; for both, d has the bound of the largest sizes.
+
+  parts    the hashes are cut into d + 1 + s ranges; d differences leave s + 1 ranges equal, so linked sets
+           share the hash of a part, unless all those ranges are empty in both
+  prefix   a set with more than s empty ranges also takes part by the first n - ceil(t * n) + 1 of its hashes:
+           of two linked sets that are both so, one of these is shared
+  length   n >= t * m
+  parity   bitmaps of the parity of n-grams per slot differ in no more bits than the sets differ in n-grams
+
+A part is several n-grams in a row of hashes, so texts that share single common n-grams do not meet, however many
+there are. Pairs that pass are verified once on the whole sets. Equal sets are one class from the start. For
+components, every class is first compared with the nearest of a few partners that a random draw per shared part
 gives, again and again until a draw finds few links; what is connected by then needs no further
-comparison, and all pairs of different components that pass the filters are compared at the end. So the result is that of all pairs, while
-a large group of near copies does not cost the square of its size.
+comparison, and all pairs of different components that pass the filters are compared at the end. So the result is that
+of all pairs, while a large group of near copies does not cost the square of its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -29,10 +33,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bindloom.llm.common import LOWER, append_columns, byte_view, dropped, row_groups, run_hashes, token_classes, written
 from bindloom.llm.graph import components
 
-COUNT_BITS = 21  # n-grams are counted in 2^21 hashed cells
-COUNT_BLOCK = 1 << 14
-LEVEL_BITS = 8
-PARTS = 16  # of the suffix filter
+BLOCK = 1 << 14  # cells of a bitmap that travel in one row
+NEAREST = 2  # partners of a draw that a class is verified with
 _WORD = token_classes(b" \t\n\x0b\x0c\r")
 _ODD = 0x9E3779B97F4A7C15
 
@@ -73,33 +75,21 @@ def _class_key(grams: np.ndarray) -> int:
 
 
 def _scan(df: DataFrame, text: str, n: int) -> DataFrame:
-    """One pass: per text its size and class key, and per task the n-gram counts in blocks of cells."""
+    """The size and the class key of every text's set."""
     id_type = df.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << COUNT_BITS, np.uint32)
-        kind = None
         for batch in batches:
-            kind = batch.column(0).type
-            sizes, keys = [], []
-            for grams in ngram_hashes(batch.column(1), n):
-                np.add.at(cells, (grams >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
-                sizes.append(len(grams))
-                keys.append(_class_key(grams) if len(grams) else None)
-            m = len(sizes)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "n", "key", "block", "cells"])
-        for b, block in enumerate(cells.reshape(-1, COUNT_BLOCK)):
-            if kind is not None and block.any():
-                columns = [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([b], pa.int32()), pa.array([block.tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "n", "key", "block", "cells"])
-
-    return df.select("_id", text).mapInArrow(run, f"_id {id_type}, n long, key long, block int, cells binary")
+            sets = [(len(grams), _class_key(grams) if len(grams) else None) for grams in ngram_hashes(batch.column(1), n)]
+            sizes, keys = zip(*sets) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["_id", "n", "key"])
+
+    return df.select("_id", text).mapInArrow(run, f"_id {id_type}, n long, key long")
 
 
 def _summed(blocks: DataFrame, size: int, kind=np.uint32, op=np.add) -> np.ndarray:
     """Adds up (block, cells) rows to one array of fixed size; the blocks are added row by row."""
-    per = COUNT_BLOCK
+    per = BLOCK
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -118,18 +108,72 @@ def _summed(blocks: DataFrame, size: int, kind=np.uint32, op=np.add) -> np.ndarr
     return out
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """Rarity level of every cell, in the leading bits of a token."""
-    level = np.minimum((1 << LEVEL_BITS) - 1, (8 * np.log2(1 + counts.astype(np.float64))).astype(np.uint64))
-    return level.astype(np.uint64) << np.uint64(64 - LEVEL_BITS)
-
-
-def _tokens(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Tokens of a set in rare-first order: level, then the leading bits of the hash; signed order."""
-    t = levels[(grams >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] | (grams >> np.uint64(LEVEL_BITS))
-    t = (t ^ np.uint64(1 << 63)).view(np.int64)
-    t.sort()
-    return t
+@lru_cache(maxsize=64)
+def size_classes(t: Fraction) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Least size of every class of sizes, and per class the ranges of hashes and how many may be empty.
+
+    The numbers of a class hold for pairs of that class and for pairs with the next one."""
+    least, cuts = [1], []
+    while least[-1] < 1 << 40:
+        most = int(least[-1] / t)
+        apart = int((most + int(most / t)) * (1 - t) / (1 + t))
+        empty = 2 + apart // 32
+        cuts.append((apart + 1 + empty, empty))
+        least.append(most + 1)
+    return np.array(least[:-1]), cuts
+
+
+@lru_cache(maxsize=4096)
+def _range_starts(k: int) -> np.ndarray:
+    return np.array([(i << 64) // k for i in range(1, k)], np.uint64)
+
+
+def part_hashes(grams: np.ndarray, t: Fraction) -> np.ndarray:
+    """Hashes of a set that two linked sets share one of, for its own class of sizes and the one before; signed."""
+    m = len(grams)
+    least, cuts = size_classes(t)
+    own = int(np.searchsorted(least, m, "right")) - 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(grams ^ np.uint64(_ODD)), dtype=np.uint64)])
+    out, sparse = [], False
+    for c in (own, own - 1) if own else (own,):
+        k, empty = cuts[c]
+        at = np.empty(k + 1, np.int64)
+        at[0], at[-1] = 0, m
+        at[1:-1] = np.searchsorted(grams, _range_starts(k))
+        full = np.flatnonzero(at[1:] > at[:-1])
+        sparse |= k - len(full) > empty
+        place = (full.astype(np.uint64) + np.uint64((c + 1) << 40)) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(_mix((sums[at[full + 1]] - sums[at[full]]) ^ _mix(place)))
+    if sparse:
+        out.append(_mix(grams[: m - ceil(t * m) + 1] * np.uint64(0x94D049BB133111EB)))
+    return np.concatenate(out).view(np.int64)
+
+
+def parity_bits(grams: np.ndarray) -> bytes:
+    """Parity of the n-grams per slot, two slots or more for an n-gram; longer bitmaps fold onto shorter ones."""
+    slots = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_distances(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Different bits of the bitmaps row by row: at most the different n-grams of the sets."""
+    sides = []
+    for col in (left, right):
+        _, at, data = col.buffers()
+        sides.append((np.frombuffer(at, np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64), np.frombuffer(data, np.uint8)))
+    (at, a), (bt, b) = sides
+    la, lb = np.diff(at), np.diff(bt)
+    out = np.empty(len(left), np.int64)
+    for x, y in set(zip(la.tolist(), lb.tolist())):
+        z = min(x, y)
+        rows = np.flatnonzero((la == x) & (lb == y))
+        for some in np.array_split(rows, -(-len(rows) * max(x, y) // (1 << 23))):
+            mine = a[at[some][:, None] + np.arange(x)].reshape(len(some), -1, z)
+            other = b[bt[some][:, None] + np.arange(y)].reshape(len(some), -1, z)
+            bits = np.bitwise_xor.reduce(mine, axis=1) ^ np.bitwise_xor.reduce(other, axis=1)
+            out[some] = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    return out
 
 
 class Bits:
@@ -160,7 +204,7 @@ def bitmap(values: DataFrame, column: str, most_bits: int = 30) -> Bits:
         for batch in batches:
             at = Bits.slots(batch.column(0).to_numpy(zero_copy_only=False), shift)
             np.bitwise_or.at(words, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        for b, block in enumerate(words.reshape(-1, COUNT_BLOCK)):
+        for b, block in enumerate(words.reshape(-1, BLOCK)):
             if block.any():
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["block", "cells"])
 
@@ -175,15 +219,13 @@ class Join:
         self.t, self.n = threshold, n
         self.source = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
         spark = self.spark = df.sparkSession
-        scan = written(_scan(self.source, "_text", n), "ngram-scan")
-        self.rows = scan.filter("block is null").select("_id", "n", "key")
-        counts = _summed(scan.filter("block is not null").select("block", "cells"), 1 << COUNT_BITS)
-        self.levels = spark.sparkContext.broadcast(_levels(counts))
-        prefix = self._prefixes(None)
-        shared = prefix.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("token")
-        self.shared = written(shared, "shared-tokens")
-        found = spark.sparkContext.broadcast(bitmap(self.shared, "token"))
-        postings = self._prefixes(found).join(self.shared, "token", "left_semi").distinct()
+        self.rows = written(_scan(self.source, "_text", n), "ngram-rows")
+        parts = self._parts(None)
+        shared = parts.groupBy("part").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("part")
+        self.shared = written(shared, "shared-parts")
+        dropped(spark)
+        found = spark.sparkContext.broadcast(bitmap(self.shared, "part"))
+        postings = self._parts(found).join(self.shared, "part", "left_semi").distinct()
         self.postings = written(postings, "postings")
         dropped(spark, self.shared)
         keys = self.postings.select("key").distinct()
@@ -191,16 +233,16 @@ class Join:
         self.sets = written(self._sets(wanted).join(keys, "key", "left_semi").dropDuplicates(["key"]), "ngram-sets")
         dropped(spark)
 
-    def _prefixes(self, only) -> DataFrame:
-        """(token, key, n, pos) of the prefix tokens, of each class once per task.
+    def _parts(self, only) -> DataFrame:
+        """(part, key, n) of the hashes of parts, of each class once per task.
 
-        Sets too small to reach the threshold with any other set have no prefix."""
-        n, t, levels = self.n, self.t, self.levels
+        Sets too small to reach the threshold with any other set have no parts."""
+        n, t = self.n, self.t
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in batches:
-                token, key, size, pos = [], [], [], []
+                part, key, size = [], [], []
                 for grams in ngram_hashes(batch.column(0), n):
                     m = len(grams)
                     if not m or Fraction(m, m + 1) < t:
@@ -209,30 +251,27 @@ class Join:
                     if k in seen:
                         continue
                     seen.add(k)
-                    p = m - ceil(t * m) + 1
-                    head = _tokens(grams, levels.value)[:p]
-                    at = np.arange(p)
+                    own = part_hashes(grams, t)
                     if only is not None:
-                        at = at[only.value.has(head)]
-                    if len(at):
-                        token.append(head[at])
-                        pos.append(at)
-                        key.append(np.full(len(at), k))
-                        size.append(np.full(len(at), m))
-                if token:
-                    columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in (token, key, size, pos)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["token", "key", "n", "pos"])
-
-        return self.source.select("_text").mapInArrow(run, "token long, key long, n long, pos long")
+                        own = own[only.value.has(own)]
+                    if len(own):
+                        part.append(own)
+                        key.append(np.full(len(own), k))
+                        size.append(np.full(len(own), m))
+                if part:
+                    columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in (part, key, size)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "key", "n"])
+
+        return self.source.select("_text").mapInArrow(run, "part long, key long, n long")
 
     def _sets(self, wanted) -> DataFrame:
-        """(key, n, parts, grams) of the wanted classes, of each once per task."""
+        """(key, n, parity, grams) of the wanted classes, of each once per task."""
         n, t = self.n, self.t
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in batches:
-                keys, sizes, parts, sets = [], [], [], []
+                keys, sizes, parity, sets = [], [], [], []
                 for grams in ngram_hashes(batch.column(0), n):
                     m = len(grams)
                     if not m or Fraction(m, m + 1) < t:
@@ -243,63 +282,74 @@ class Join:
                     seen.add(k)
                     keys.append(k)
                     sizes.append(m)
-                    parts.append(np.bincount((grams & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).tolist())
+                    parity.append(parity_bits(grams))
                     sets.append(grams.view(np.int64))
-                columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "parts", "grams"])
+                columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parity, pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "parity", "grams"])
+
+        return self.source.select("_text").mapInArrow(run, "key long, n long, parity binary, grams array<long>")
 
-        return self.source.select("_text").mapInArrow(run, "key long, n long, parts array<int>, grams array<long>")
+    def _may_link(self, n: Column, m: Column) -> Column:
+        """Length filter for sizes n and m."""
+        num, den = self.t.numerator, self.t.denominator
+        return (n * den >= m * num) & (m * den >= n * num)
 
-    def _may_link(self, n: Column, pos: Column, m: Column, at: Column) -> Column:
-        """Length and position filters for sizes n and m with a shared token at pos and at."""
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, apart) of the pairs whose parity bitmaps allow a link."""
         num, den = self.t.numerator, self.t.denominator
-        length = (n * den >= m * num) & (m * den >= n * num)
-        # overlap o must reach t / (1 + t) * (n + m); from the shared token on it is at most:
-        most = 1 + F.least(n - pos, m - at) - 1 + F.least(pos, at)
-        return length & (most * (num + den) >= (n + m) * num)
+        size = self.sets.select("key", "n", "parity")
+        left = size.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+        right = size.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link: suffix filter on part sizes, then the whole sets."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    a, b, total, one, other = batch.columns
+                    apart = parity_distances(one, other)
+                    # |a ^ b| = na + nb - 2 * overlap <= (na + nb) * (1 - t) / (1 + t)
+                    may = pa.array(apart * (num + den) <= total.to_numpy() * (den - num))
+                    yield pa.RecordBatch.from_arrays([a.filter(may), b.filter(may), pa.array(apart).filter(may)], names=["a", "b", "apart"])
+
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "pa", "pb")
+        return both.mapInArrow(run, "a long, b long, apart long")
+
+    def _verified(self, near: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, by the whole sets."""
         num, den = self.t.numerator, self.t.denominator
-        size = self.sets.select("key", "n", "parts")
-        left = size.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-        right = size.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-        apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        total = F.col("na") + F.col("nb")
-        # |a ^ b| = na + nb - 2 * overlap <= (na + nb) * (1 - t) / (1 + t)
-        near = pairs.join(left, "a").join(right, "b").filter(apart * (num + den) <= total * (den - num)).select("a", "b")
-        one = near.join(self.sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a")
+        one = near.select("a", "b").join(self.sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a")
         both = one.join(self.sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
 
         overlap = F.size(F.array_intersect("ga", "gb"))
         return both.withColumn("o", overlap).filter(F.col("o") * den >= (F.size("ga") + F.size("gb") - F.col("o")) * num).select("a", "b")
 
     def _all_pairs(self, postings: DataFrame, apart: bool) -> DataFrame:
-        """Distinct pairs (a < b) that share a prefix token and pass the filters; of two components, with ``apart``."""
-        other = postings.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("_comp"))
+        """Distinct pairs (a < b) that share a part and pass the length filter; of two components, with ``apart``."""
+        other = postings.select("part", F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("_comp"))
         c = F.col
-        on = (c("key") < c("b")) & self._may_link(c("n"), c("pos"), c("m"), c("at"))
+        on = (c("key") < c("b")) & self._may_link(c("n"), c("m"))
         if apart:
             on = on & (c("comp") != c("_comp"))
-        return postings.withColumnRenamed("token", "_t").join(other, (c("_t") == c("token")) & on).select(c("key").alias("a"), "b").distinct()
+        return postings.withColumnRenamed("part", "_t").join(other, (c("_t") == c("part")) & on).select(c("key").alias("a"), "b").distinct()
 
     def links(self) -> DataFrame:
         """All linked pairs (a, b) of classes, a < b."""
-        return self._verified(self._all_pairs(self.postings.withColumn("comp", F.col("key")), False))
+        return self._verified(self._near(self._all_pairs(self.postings.withColumn("comp", F.col("key")), False)))
 
     def _drawn_pairs(self, postings: DataFrame, turn: int, partners: int) -> DataFrame:
-        """Per class up to ``partners`` pairs with classes of other components.
+        """Per class its nearest ``NEAREST`` of up to ``partners`` classes of other components.
 
-        Every shared token draws one of its classes; a class takes those it meets at most tokens.
+        Every shared part draws one of its classes; a class takes those it meets at most parts.
         """
         c = F.col
-        drawn = F.max(F.struct(F.xxhash64("key", "token", F.lit(turn)).alias("h"), c("key").alias("b"), c("n").alias("m"), c("pos").alias("at"), c("comp").alias("_comp")))
-        lists = postings.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), drawn.alias("d")).filter("_lo <> _hi").select("token", "d.*")
-        met = postings.join(lists, "token").filter((c("comp") != c("_comp")) & self._may_link(c("n"), c("pos"), c("m"), c("at")))
+        drawn = F.max(F.struct(F.xxhash64("key", "part", F.lit(turn)).alias("h"), c("key").alias("b"), c("n").alias("m"), c("comp").alias("_comp")))
+        lists = postings.groupBy("part").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), drawn.alias("d")).filter("_lo <> _hi").select("part", "d.*")
+        met = postings.join(lists, "part").filter((c("comp") != c("_comp")) & self._may_link(c("n"), c("m")))
         met = met.groupBy("key", "b").agg(F.count(F.lit(1)).alias("times"))
         best = met.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "b")), False), 1, partners).alias("best"))
-        pairs = best.select("key", F.explode("best.b").alias("b"))
-        return pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+        near = self._near(best.select(c("key").alias("a"), F.explode("best.b").alias("b")))
+        first = near.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("apart", "b"))), 1, NEAREST).alias("first"))
+        pairs = first.select("a", F.explode("first.b").alias("b"))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def classes(self, partners: int = 4) -> DataFrame | None:
         """(key, comp) of the classes that have links; the component is its least key.
@@ -313,7 +363,7 @@ class Join:
                 postings = postings.withColumn("comp", F.col("key"))
             else:
                 postings = postings.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-            drawn = self._drawn_pairs(postings, turn, partners * min(4, turn + 1)) if drawing else self._all_pairs(postings, True)
+            drawn = self._drawn_pairs(postings, turn, partners * min(4, turn + 1)) if drawing else self._near(self._all_pairs(postings, True))
             pairs = written(drawn, "ngram-pairs")
             found = written(self._verified(pairs), "ngram-links")
             dropped(self.spark, pairs)
@@ -353,8 +403,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n
     repeated rows are one class; repeated ids are rows of their own; a null id never is the least
     one unless all are null. Extra columns are not read. An empty table gives an empty result.
 
-    Sets are compared by 64-bit hashes of n-grams. Counts of n-grams are kept in 2^21 hashed
-    cells, which only decides the order of tokens, not the result.
+    Sets are compared by 64-bit hashes of n-grams.
     """
     join = Join(df, text, doc_id, n, Fraction(percent, 100))
     comps = join.classes()

@@ -70,6 +70,35 @@ def test_links_are_complete(spark):
     assert want and {(r.a, r.b) for r in join.links().collect()} == want
 
 
+def test_linked_sets_share_a_part():
+    rng = np.random.default_rng(4)
+    t, n_links = ngram_join.Fraction(85, 100), 0
+    for _ in range(1500):
+        m = int(rng.choice([6, 7, 9, 14, 30, 80, 400, 5000], p=[0.15] * 6 + [0.09, 0.01]))
+        pool = rng.integers(0, 1 << 64, 2 * m, dtype=np.uint64)
+        if rng.random() < 0.3:  # hashes on few ranges, so that parts are empty
+            pool >>= np.uint64(5)
+        off = int(rng.integers(0, m // 6 + 2))
+        a = np.unique(pool[:m])
+        b = np.unique(np.concatenate([pool[off:m], pool[m : m + int(rng.integers(0, m // 6 + 2))]]))
+        both, every = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        x, y = (ngram_join.pa.array([ngram_join.parity_bits(s)], ngram_join.pa.binary()) for s in (a, b))
+        assert ngram_join.parity_distances(x, y)[0] <= every - both
+        if 100 * both >= 85 * every:
+            n_links += 1
+            assert np.intersect1d(ngram_join.part_hashes(a, t), ngram_join.part_hashes(b, t)).size
+    assert n_links > 300
+
+
+def test_texts_with_common_ngrams_do_not_meet(spark):
+    rng = random.Random(11)
+    common = [" ".join(f"c{i}x{k}" for k in range(6)) for i in range(12)]
+    rows = [(i, " ".join(rng.choice(common) if rng.random() < 0.1 else f"u{rng.randrange(10**9)}" for _ in range(90))) for i in range(300)]
+    join = ngram_join.Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "text", "doc_id", 4, ngram_join.Fraction(85, 100))
+    pairs = join._all_pairs(join.postings.withColumn("comp", ngram_join.F.col("key")), False).count()
+    assert pairs < 300
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert ngram_join.near_duplicates(nothing).count() == 0
 
