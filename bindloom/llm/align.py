@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +27,8 @@ from bindloom.llm.common import fresh_path, planes, unplanes
 CHUNK_PAIRS = 1 << 21  # distinct pairs of texts, added up, that share a chunk
 CHUNK_ROWS = 10_000
 ID_BITS = 32
+GROUP_CHARS = 1 << 22  # texts whose words are encoded together, about
+WORDS = 1000  # distinct words that go to the libraries as one text
 c = F.col
 
 
@@ -88,7 +91,11 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Sides:
-    """Both tokenizers, with the bytes and the decimal digits of every id."""
+    """Both tokenizers, with the bytes and the decimal digits of every id.
+
+    Where ``apart``, neither joins anything across a single blank between a character other than a blank and a visible one:
+    on side A such a blank begins a match of the split pattern, on side B no piece holds a blank behind another
+    character and texts are not normalized. So the words between such blanks are encoded once for a group of texts."""
 
     def __init__(self, bytes_path: str, piece_path: str):
         import sentencepiece
@@ -107,6 +114,8 @@ class Sides:
             for k in range(self.pieces.get_piece_size())
         ]
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.apart = words_apart(self.pieces, piece_path)
+        self.words = re.compile(r"(?<=[^ ]) (?=\S)").split
         # ids with what may follow them in a spelt line, as rows of bytes with zeros behind
         top = max(len(self.a_sizes), len(self.b_bytes))
         lines = np.array([f"{k}{mark}" for k in range(top) for mark in ",|;"], dtype="S")
@@ -122,6 +131,58 @@ class Sides:
                 return self.bytes_encoder.encode_to_numpy(whole).astype(np.int64), np.array(b, np.int64)
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _apart(self, text: str | None) -> bool:
+        """Whether the words of a text may stand between those of others; the pieces do not spell U+2581."""
+        return self.apart and bool(text) and not text[0].isspace() and text[-1] != " " and "▁" not in text
+
+    def _block(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both sides of words that go to the libraries as one text, the places behind each word's, and whether it is spelt."""
+        ends = np.cumsum([len(x.encode()) + 1 for x in words])
+        a, b = self.encode(" ".join(words))
+        sides = [np.concatenate([[0], np.cumsum(sizes[x])]) for sizes, x in ((self.a_sizes, a), (self.b_sizes, b))]
+        at = [np.searchsorted(x, ends) for x in sides]
+        if len(a) and all(np.array_equal(x[k], ends) for x, k in zip(sides, at)):
+            return a, b, *at, np.ones(len(words), bool)
+        if len(words) == 1:  # not spelt
+            return a[:0], b[:0], np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, bool)
+        ones = [self._block([x]) for x in words]
+        a, b, at_a, at_b, spells = (np.concatenate(x) for x in zip(*ones))
+        return a, b, np.cumsum(at_a), np.cumsum(at_b), spells
+
+    def _encode_words(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both sides of texts by their words, each distinct one encoded once."""
+        split = [self.words(x) for x in texts]
+        coded = pa.array([w for x in split for w in x], pa.string()).dictionary_encode()
+        first = np.concatenate([[0], np.cumsum([len(x) for x in split])])
+        del split
+        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        blocks = [self._block(words[k : k + WORDS]) for k in range(0, len(words), WORDS)]
+        flat = []
+        for side in (0, 1):
+            ids = np.concatenate([x[side] for x in blocks])
+            sizes = np.concatenate([np.diff(x[2 + side], prepend=0) for x in blocks])
+            starts, many = (np.cumsum(sizes) - sizes)[at], sizes[at]
+            ends = np.cumsum(many)
+            flat.append((ids[np.arange(many.sum()) + np.repeat(starts - ends + many, many)], np.concatenate([[0], ends])[first]))
+        spelt = np.logical_and.reduceat(np.concatenate([x[4] for x in blocks])[at], first[:-1])
+        (a, at_a), (b, at_b) = flat
+        for k, good in enumerate(spelt.tolist()):
+            yield (a[at_a[k] : at_a[k + 1]], b[at_b[k] : at_b[k + 1]]) if good else (a[:0], b[:0])
+
+    def encode_all(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``encode`` of every text."""
+        held: list[str | None] = []
+        size = 0
+        for k, text in enumerate(texts, 1):
+            held.append(text.as_py())
+            size += len(held[-1] or "")
+            if size >= GROUP_CHARS or k == len(texts):
+                some = [x for x in held if self._apart(x)]
+                by_words = self._encode_words(some) if some else iter(())
+                for x in held:
+                    yield next(by_words) if self._apart(x) else self.encode(x)
+                held, size = [], 0
+
     def spelt(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> bytes:
         """``a1,a2|b1;a3|b2,b3``: the ids of the groups in order."""
         if not len(a):
@@ -138,6 +199,20 @@ class Sides:
         return flat[flat != 0].tobytes()[:-1]
 
 
+def words_apart(pieces, path: str) -> bool:
+    """Whether a piece file encodes words by themselves: texts as they are with a blank in front, and no piece with a
+    blank behind another character."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as file:
+        model.ParseFromString(file.read())
+    spec = model.normalizer_spec
+    plain = not spec.precompiled_charsmap and spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces
+    plain &= not model.trainer_spec.treat_whitespace_as_suffix
+    return plain and not any("▁" in pieces.id_to_piece(k).lstrip("▁") for k in range(pieces.get_piece_size()))
+
+
 #: Splits a text before the merges of a byte-level file; fixed value of that file format.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -232,8 +307,8 @@ def _aligned_rows(flat: DataFrame, kept: T.StructType, bytes_path: str, piece_pa
         for batch in batches:
             rows, start = [], 0
             texts = batch.column(0)
-            for k in range(len(texts)):
-                rows.append(_row(both, *both.encode(texts[k].as_py()), with_groups))
+            for k, encoded in enumerate(both.encode_all(texts)):
+                rows.append(_row(both, *encoded, with_groups))
                 entries += len(rows[-1][5])
                 n_rows += 1
                 if entries >= chunk_pairs or n_rows >= CHUNK_ROWS:

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -122,3 +123,29 @@ def test_both_libraries_agree(libraries):
         texts = [f"a{chr(x)}1 {chr(x)}{chr(x)} b {chr(x)}.{chr(x)}x  {chr(x)} \t{chr(x)}" for x in points[at : at + 50_000]]
         want = libraries[0].encode_batch_fast(texts, add_special_tokens=False)
         assert all(both.bytes_encoder.encode_ordinary(t) == w.ids for t, w in zip(texts, want))
+
+
+def test_words_are_encoded_once(monkeypatch):
+    """Texts by their words have the ids of whole texts, and repeated words go to the libraries once."""
+    both, rng = A.sides(*PATHS), random.Random(4)
+    assert both.apart
+    bits = [" ", " ", " ", "  ", "\n", "\t", "a", "the", "é", "的", "▁", " ", "　", "\x1c", "\u0085", "'s", "12", ".", "<s>", "<unk>", "́", "\x00", "😀", "Word"]
+    texts = [None, "", *TEXTS, *("".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(20_000))]
+    monkeypatch.setattr(A, "WORDS", 7)
+    monkeypatch.setattr(A, "GROUP_CHARS", 5000)
+    for text, got in zip(texts, list(both.encode_all(pa.array(texts))), strict=True):
+        assert [x.tolist() for x in got] == [x.tolist() for x in both.encode(text)], repr(text)
+
+    class Counted:
+        def __init__(self, pieces):
+            self.pieces, self.size = pieces, 0
+
+        def encode(self, text):
+            self.size += len(text)
+            return self.pieces.encode(text)
+
+    counted = Counted(both.pieces)
+    monkeypatch.setattr(both, "pieces", counted)
+    monkeypatch.setattr(A, "GROUP_CHARS", 1 << 22)
+    list(both.encode_all(pa.array(["some words again and again"] * 500)))
+    assert counted.size < 100
