@@ -15,11 +15,12 @@ import re
 from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from bindloom.llm.common import append_columns
+from bindloom.llm.common import append_columns, leaves
 
 LEAF_BITS = 8  # a leaf of the bitmap covers 256 ranks
 LEAF_MASK = (1 << LEAF_BITS) - 1
@@ -175,6 +176,9 @@ def encoder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(load_ranks(path), pattern)
 
 
+leaves(__name__, encoder.cache_clear)
+
+
 def encode_decode(
     df: DataFrame,
     path: str,
@@ -204,7 +208,7 @@ def encode_decode(
                 digest.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(joined)).hexdigest())
                 if with_ids:
-                    ids.append(list(map(int, joined.split())))
+                    ids.append(np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32))
             out = [pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
             return [pa.array(ids, pa.list_(pa.int32())), *out] if with_ids else out
 

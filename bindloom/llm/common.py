@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from bindloom.session import dropped, fresh_path, written
 
-__all__ = ["append_columns", "byte_view", "dropped", "fresh_path", "planes", "row_groups", "run_hashes", "table", "token_classes", "unplanes", "written"]
+__all__ = ["append_columns", "byte_view", "dropped", "enter", "fresh_path", "leaves", "planes", "row_groups", "run_hashes", "table", "token_classes", "unplanes", "written"]
+
+_left: dict[str, Callable[[], None]] = {}  # per module: frees what its tasks leave in a worker
 
 GROUP_BYTES = 1 << 20  # text handled at once by the array code; bounds the arrays of a task
 
@@ -20,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def leaves(module: str, free: Callable[[], None]) -> None:
+    """Names the function that frees what a module's tasks leave in their worker for later ones."""
+    _left[module] = free
+
+
+def enter(module: str) -> None:
+    """Frees what tasks of other modules left in this worker, which Spark uses again for any operator."""
+    for other, free in _left.items():
+        if other != module:
+            free()
+
+
 def append_columns(
     df: DataFrame,
     inputs: list[str],
@@ -38,9 +52,10 @@ def append_columns(
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     slim = df.select(*[quoted(c).alias(f"_in{i}") for i, c in enumerate(inputs)], *[quoted(c).alias(f"_k{i}") for i, c in enumerate(kept)])
     schema = T.StructType([*slim.schema.fields[len(inputs) :], *fields])
-    names, n = schema.fieldNames(), len(inputs)
+    names, n, module = schema.fieldNames(), len(inputs), start.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(module)
         step = start()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[n:], *step(batch.columns[:n])], names=names)

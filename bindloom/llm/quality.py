@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bindloom.llm.common import append_columns, byte_view, row_groups, run_hashes
+from bindloom.llm.common import append_columns, byte_view, enter, row_groups, run_hashes
 
 BUCKETS = 1 << 14
 DIMS = 64
@@ -57,7 +57,10 @@ def context_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
     as blocks of rows and each block is added up row by row.
     """
 
+    module = __name__
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(module)
         columns, signs = _index_vectors()
         total = np.zeros(BUCKETS * DIMS)
         for batch in batches:

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from bindloom.llm import byte_bpe, decontaminate as D, main_text as M, quality as Q, repair as R, warc as W
+from bindloom.llm import byte_bpe, common, decontaminate as D, main_text as M, quality as Q, repair as R, warc as W
 from conftest import ROWS
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -267,3 +267,30 @@ def test_quality(spark, odd, nothing):
     assert len({r.score for r in odd_rows if not (r.text or "").strip()}) == 1
     assert Q.classify(nothing, model).count() == 0
     assert {r.score for r in Q.classify(odd, Q.fit(odd, labels.limit(0))).collect()} == {0.5}
+
+
+def test_workers_do_not_keep_the_encoder():
+    """What another operator's task enters next gives the encoder's memory back; the encoder's own tasks keep it."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    byte_bpe.encoder(path, P.PATTERN)
+    common.enter(byte_bpe.__name__)
+    assert byte_bpe.encoder.cache_info().currsize == 1
+
+    class Rows:  # runs the tasks of a map here
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            list(run(iter([])))
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        Q.context_vectors(Rows())
+    assert byte_bpe.encoder.cache_info().currsize == 0
+
+
+def test_ids_of_the_encoder(spark):
+    rows = spark.createDataFrame([(1, "some words"), (2, None), (3, "")], "doc_id long, text string")
+    got = byte_bpe.encode_decode(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).orderBy("doc_id").collect()
+    assert [hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() for r in got] == [r.ids_sha256 for r in got]
+    assert [len(r.ids) for r in got] == [r.n_tokens for r in got] and got[0].n_tokens > 0
