@@ -4,7 +4,7 @@ Words are counted per language first; a phrase with a rare word is rare itself,
 frequent words go on. Every such position is a pointer to the run of at most ``longest`` words that starts
 there. Equal runs of one chunk of texts become one row with a count; the rows are routed over the cluster
 by their leading words, two of them or, while all leading words are very common, one more, so that no
-common pair is one task. Where they arrive, a three-way quicksort works on the pointers word by word:
+common pair is one task, a share of them at a time. Where they arrive, a three-way quicksort works on the pointers word by word:
 the size of an equal part is the count of a phrase, and a part with fewer occurrences than wanted is
 abandoned at once.
 """
@@ -23,6 +23,7 @@ from bindloom.llm.common import dropped, planes, unplanes, written
 CHUNK_WORDS = 1 << 21  # words of one task that share a dictionary of their own
 PART_ROWS = 1 << 20  # runs that one part of the routed rows holds about
 COMMON_SHARE = 8  # a word is very common from this part of ``PART_ROWS`` on
+PASSES = 2  # parts are dealt and counted in so many turns; the runs of one turn are on the disks at a time
 RANK_SALTS = 64
 FRONT = 1 << 16  # marks, in place of a depth, a front of very common words; beyond any depth
 _ROUTE = np.uint64(0x9E3779B97F4A7C15)
@@ -203,8 +204,8 @@ def frequent_phrases(runs: np.ndarray, weights: np.ndarray, shortest: int, least
                 stack.append((at, depth + 1))
 
 
-def _routed(chunks: DataFrame, back: DataFrame, parts: int, longest: int) -> DataFrame:
-    """(part, block): the merged runs of every chunk, dealt by their leading words."""
+def _routed(chunks: DataFrame, back: DataFrame, parts: int, longest: int, turn: int) -> DataFrame:
+    """(part, block): the merged runs of every chunk, dealt by their leading words; the parts of one turn."""
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = dealt(left, right) if right.num_rows else []  # else no word of the chunk is frequent
@@ -237,7 +238,10 @@ def _routed(chunks: DataFrame, back: DataFrame, parts: int, longest: int) -> Dat
             key = np.where(depth % FRONT > k, (key ^ ids[runs[k]].view(np.uint64)) * _ROUTE, key)
             key ^= key >> np.uint64(29)
         part = (key % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        mine = np.flatnonzero(part % PASSES == turn)
+        order = mine[np.argsort(part[mine], kind="stable")]
+        if not len(order):
+            return []
         bounds = np.flatnonzero(np.diff(part[order])) + 1
         return [(int(part[some[0]]), pack_runs(ids[runs[:, some]], weights[some], depth[some])) for some in np.split(order, bounds)]
 
@@ -317,12 +321,17 @@ def collocations(
     held = words.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("f")).first()["f"]
     parts = max(8, -(-held // PART_ROWS))
     back = entries.select(c("chunk").alias("of"), "at", "id", (c("f") * COMMON_SHARE >= PART_ROWS).alias("common"))
-    routed = _routed(chunks, back, parts, longest)
-    runs = _counted(routed, longest, least)
-    phrases = written(runs.unionByName(words.select(F.array("id").alias("ids"), "f")), "phrases")
+    found = []
+    for turn in range(PASSES):
+        found.append(written(_counted(_routed(chunks, back, parts, longest, turn), longest, least), "phrase-runs"))
+        dropped(df.sparkSession)
+    phrases = words.select(F.array("id").alias("ids"), "f")
+    for runs in found:
+        phrases = phrases.unionByName(runs)
+    phrases = written(phrases, "phrases")
     words = written(words, "phrase-words")
     sizes = written(sizes, "phrase-sizes")
-    dropped(df.sparkSession, chunks, entries)
+    dropped(df.sparkSession, chunks, entries, *found)
 
     scored = _best_cuts(phrases, words, sizes, least)
     longer = phrases.filter(F.size("ids") > 2)

@@ -66,6 +66,15 @@ def test_collocations(spark, monkeypatch, common):
     assert rows_of(P.collocations(df, least=9, longest=3, top=4)) == plain(rows, 9, 3, 4)
 
 
+@pytest.mark.parametrize("passes", [1, 3])
+def test_collocations_in_turns(spark, monkeypatch, passes):
+    monkeypatch.setattr(P, "PASSES", passes)
+    monkeypatch.setattr(P, "PART_ROWS", 300)
+    rows = made(8)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    assert rows_of(P.collocations(df, least=6)) == plain(rows, 6)
+
+
 def test_no_texts(spark):
     df = spark.createDataFrame([], "doc_id long, lang string, text string")
     assert P.collocations(df).count() == 0
