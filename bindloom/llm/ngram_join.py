@@ -34,6 +34,7 @@ from bindloom.llm.common import LOWER, append_columns, byte_view, dropped, row_g
 from bindloom.llm.graph import components
 
 BLOCK = 1 << 14  # cells of a bitmap that travel in one row
+PART_BITS = 40  # of a part's hash that travel
 NEAREST = 2  # partners of a draw that a class is verified with
 _WORD = token_classes(b" \t\n\x0b\x0c\r")
 _ODD = 0x9E3779B97F4A7C15
@@ -129,7 +130,9 @@ def _range_starts(k: int) -> np.ndarray:
 
 
 def part_hashes(grams: np.ndarray, t: Fraction) -> np.ndarray:
-    """Hashes of a set that two linked sets share one of, for its own class of sizes and the one before; signed."""
+    """Hashes of a set that two linked sets share one of, for its own class of sizes and the one before.
+
+    Their leading ``PART_BITS`` bits; two parts that agree in them by chance only make a pair more to verify."""
     m = len(grams)
     least, cuts = size_classes(t)
     own = int(np.searchsorted(least, m, "right")) - 1
@@ -146,7 +149,7 @@ def part_hashes(grams: np.ndarray, t: Fraction) -> np.ndarray:
         out.append(_mix((sums[at[full + 1]] - sums[at[full]]) ^ _mix(place)))
     if sparse:
         out.append(_mix(grams[: m - ceil(t * m) + 1] * np.uint64(0x94D049BB133111EB)))
-    return np.concatenate(out).view(np.int64)
+    return (np.concatenate(out) >> np.uint64(64 - PART_BITS)).view(np.int64)
 
 
 def parity_bits(grams: np.ndarray) -> bytes:

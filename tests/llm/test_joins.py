@@ -90,6 +90,12 @@ def test_linked_sets_share_a_part():
     assert n_links > 300
 
 
+def test_parts_travel_in_few_bits():
+    grams = np.unique(np.random.default_rng(5).integers(0, 1 << 64, 500, np.uint64))
+    parts = ngram_join.part_hashes(grams, ngram_join.Fraction(85, 100))
+    assert len(np.unique(parts)) == len(parts) and 0 <= parts.min() and 1 << 30 < parts.max() < 1 << 40
+
+
 def test_texts_with_common_ngrams_do_not_meet(spark):
     rng = random.Random(11)
     common = [" ".join(f"c{i}x{k}" for k in range(6)) for i in range(12)]
