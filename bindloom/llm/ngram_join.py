@@ -15,8 +15,12 @@ A part is several n-grams in a row of hashes, so texts that share single common
 there are. Pairs that pass are verified once on the whole sets. Equal sets are one class from the start. For
 components, every class is first compared with the nearest of a few partners that a random draw per shared part
 gives, again and again until a draw finds few links; what is connected by then needs no further
-comparison, and all pairs of different components that pass the filters are compared at the end. So the result is that
-of all pairs, while a large group of near copies does not cost the square of its size.
+comparison, and all pairs of different components that may still link are compared at the end. So the result is that
+of all pairs, while a large group of near copies does not cost the square of its size. These filters pick them:
+
+  ranges   a linked set shares as many parts as the bound d leaves equal, not just one
+  private  n-grams that no other component holds are in no overlap; a set keeps the others, and goes if they are too few
+  rarest   sorted by how many of these sets hold them, two linked sets share one of the first of them, where enough follow
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindloom.llm.common import LOWER, append_columns, byte_view, dropped, row_groups, run_hashes, token_classes, written
@@ -152,6 +157,20 @@ def part_hashes(grams: np.ndarray, t: Fraction) -> np.ndarray:
     return (np.concatenate(out) >> np.uint64(64 - PART_BITS)).view(np.int64)
 
 
+def least_shared(grams: np.ndarray, t: Fraction) -> int:
+    """Of how many parts, one at least, a set shares the hashes with any set that it links with."""
+    least, cuts = size_classes(t)
+    own = int(np.searchsorted(least, len(grams), "right")) - 1
+    needs = []
+    for c in (own, own - 1) if own else (own,):
+        k, empty = cuts[c]
+        ends = np.searchsorted(grams, _range_starts(k))
+        full = int(np.count_nonzero(np.diff(ends, prepend=0, append=len(grams))))
+        needs.append(empty + 1 - (k - full))
+    parts = part_hashes(grams, t)
+    return max(1, min(needs) - (len(parts) - len(np.unique(parts))))
+
+
 def parity_bits(grams: np.ndarray) -> bytes:
     """Parity of the n-grams per slot, two slots or more for an n-gram; longer bitmaps fold onto shorter ones."""
     slots = max(64, 1 << (2 * len(grams) - 1).bit_length())
@@ -268,13 +287,13 @@ class Join:
         return self.source.select("_text").mapInArrow(run, "part long, key long, n long")
 
     def _sets(self, wanted) -> DataFrame:
-        """(key, n, parity, grams) of the wanted classes, of each once per task."""
+        """(key, n, need, parity, grams) of the wanted classes, of each once per task."""
         n, t = self.n, self.t
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in batches:
-                keys, sizes, parity, sets = [], [], [], []
+                keys, sizes, needs, parity, sets = [], [], [], [], []
                 for grams in ngram_hashes(batch.column(0), n):
                     m = len(grams)
                     if not m or Fraction(m, m + 1) < t:
@@ -285,12 +304,13 @@ class Join:
                     seen.add(k)
                     keys.append(k)
                     sizes.append(m)
+                    needs.append(least_shared(grams, t))
                     parity.append(parity_bits(grams))
                     sets.append(grams.view(np.int64))
-                columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parity, pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "parity", "grams"])
+                columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(needs, pa.int32()), pa.array(parity, pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "need", "parity", "grams"])
 
-        return self.source.select("_text").mapInArrow(run, "key long, n long, parity binary, grams array<long>")
+        return self.source.select("_text").mapInArrow(run, "key long, n long, need int, parity binary, grams array<long>")
 
     def _may_link(self, n: Column, m: Column) -> Column:
         """Length filter for sizes n and m."""
@@ -325,6 +345,11 @@ class Join:
         overlap = F.size(F.array_intersect("ga", "gb"))
         return both.withColumn("o", overlap).filter(F.col("o") * den >= (F.size("ga") + F.size("gb") - F.col("o")) * num).select("a", "b")
 
+    def _overlap(self, n: Column, m: Column) -> Column:
+        """The n-grams that linked sets of sizes n and m have in common at least."""
+        num, den = self.t.numerator, self.t.denominator
+        return F.floor(((n + m) * num + (num + den - 1)) / F.lit(num + den)).cast("int")
+
     def _all_pairs(self, postings: DataFrame, apart: bool) -> DataFrame:
         """Distinct pairs (a < b) that share a part and pass the length filter; of two components, with ``apart``."""
         other = postings.select("part", F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("_comp"))
@@ -334,6 +359,71 @@ class Join:
             on = on & (c("comp") != c("_comp"))
         return postings.withColumnRenamed("part", "_t").join(other, (c("_t") == c("part")) & on).select(c("key").alias("a"), "b").distinct()
 
+    def _grams_of(self, sets: DataFrame, keys=None, only=None) -> DataFrame:
+        """(key, grams) of the classes in the bitmap ``keys``; with ``only``, of n-grams in that bitmap, if they may be enough for a link."""
+        num, den = self.t.numerator, self.t.denominator
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key, grams = batch.columns
+                if keys is not None:
+                    mine = pa.array(keys.value.has(key.to_numpy()))
+                    key, grams = key.filter(mine), grams.filter(mine)
+                if only is not None and len(key):
+                    flat = grams.flatten().to_numpy()
+                    kept = only.value.has(flat)
+                    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.list_value_length(grams).to_numpy())])
+                    left = np.concatenate([np.zeros(1, np.int64), np.cumsum(kept)])[at]
+                    enough = pa.array(np.diff(left) * den >= np.diff(at) * num)
+                    key, grams = key.filter(enough), pa.ListArray.from_arrays(pa.array(left, pa.int32()), pa.array(flat[kept])).filter(enough)
+                yield pa.RecordBatch.from_arrays([key, grams], names=["key", "grams"])
+
+        return sets.select("key", "grams").mapInArrow(run, "key long, grams array<long>")
+
+    def _open_pairs(self, postings: DataFrame) -> DataFrame:
+        """Distinct pairs (a < b) of classes of different components that may link, by their rarest n-grams in common.
+
+        ``least`` bounds the sizes of a class's partners: all of them share a part with it. A class that goes makes
+        n-grams of others private, so these are looked for more than once: by class, by component, and with their counts."""
+        c, spark = F.col, self.spark
+        parts = postings.groupBy("part").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("n").alias("_least"))
+        parts = parts.filter("_lo <> _hi").select("part", "_least")
+        met = postings.join(parts, "part").groupBy("key").agg(F.first("comp").alias("comp"), F.min("_least").alias("least"), F.count(F.lit(1)).alias("_times"))
+        met = met.join(self.sets.select("key", "n", "need"), "key").filter("_times >= need").select("key", "comp", "n", "least")
+        met = written(met, "ngram-met")
+        keys = spark.sparkContext.broadcast(bitmap(met, "key"))
+        enough = F.size("grams") >= self._overlap(c("n"), c("least"))
+        several = self._grams_of(self.sets, keys).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
+        several = written(several.filter("k > 1").select("gram"), "ngram-several")
+        dropped(spark)
+        # bitmaps pick the n-grams first, so that few sets travel
+        found = spark.sparkContext.broadcast(bitmap(several, "gram"))
+        left = written(met.join(self._grams_of(self.sets, keys, found), "key").filter(enough), "ngram-left")
+        dropped(spark, met, several)
+
+        several = left.select("comp", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+        several = written(several.filter("_lo <> _hi").select("gram"), "ngram-several")
+        found = spark.sparkContext.broadcast(bitmap(several, "gram"))
+        fewer = written(left.drop("grams").join(self._grams_of(left, None, found), "key").filter(enough), "ngram-left")
+        dropped(spark, left, several)
+
+        rows = fewer.select("key", "comp", F.explode("grams").alias("gram"))
+        counts = rows.groupBy("gram").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("k"))
+        counts = written(counts.filter("_lo <> _hi").select("gram", "k"), "ngram-several")
+        ranked = rows.select("key", "gram").join(counts, "gram").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "gram"))).alias("ranked"))
+        last = fewer.drop("grams").join(ranked, "key").withColumn("grams", c("ranked.gram")).drop("ranked").filter(enough)
+        last = written(last, "ngram-left")
+        dropped(spark, fewer, counts)
+        first = F.slice("grams", F.lit(1), F.size("grams") - self._overlap(c("n"), c("least")) + 1)
+        tokens = last.select("key", "comp", "n", F.size("grams").alias("e"), F.posexplode(first).alias("pos", "gram"))
+        other = tokens.select("gram", *[c(x).alias(y) for x, y in (("key", "b"), ("comp", "_comp"), ("n", "m"), ("e", "_e"), ("pos", "at"))])
+        most = F.least(c("e") - c("pos"), c("_e") - c("at")) + F.least("pos", "at")
+        on = (c("key") < c("b")) & self._may_link(c("n"), c("m")) & (c("comp") != c("_comp")) & (most >= self._overlap(c("n"), c("m")))
+        pairs = tokens.withColumnRenamed("gram", "_t").join(other, (c("_t") == c("gram")) & on).select(c("key").alias("a"), "b").distinct()
+        pairs = written(pairs, "ngram-open")
+        dropped(spark, last)
+        return pairs
+
     def links(self) -> DataFrame:
         """All linked pairs (a, b) of classes, a < b."""
         return self._verified(self._near(self._all_pairs(self.postings.withColumn("comp", F.col("key")), False)))
@@ -358,7 +448,7 @@ class Join:
         """(key, comp) of the classes that have links; the component is its least key.
 
         Draws go on while one finds at least a twentieth of the links of the best one; what is in one component
-        by then needs no comparison, and the last round compares all pairs of different components."""
+        by then needs no comparison, and the last round compares all pairs of different components that may link."""
         comps, turn, drawing, most = None, 0, True, 0
         while True:
             postings = self.postings
@@ -366,7 +456,7 @@ class Join:
                 postings = postings.withColumn("comp", F.col("key"))
             else:
                 postings = postings.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-            drawn = self._drawn_pairs(postings, turn, partners * min(4, turn + 1)) if drawing else self._near(self._all_pairs(postings, True))
+            drawn = self._drawn_pairs(postings, turn, partners * min(4, turn + 1)) if drawing else self._near(self._open_pairs(postings))
             pairs = written(drawn, "ngram-pairs")
             found = written(self._verified(pairs), "ngram-links")
             dropped(self.spark, pairs)

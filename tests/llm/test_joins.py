@@ -105,6 +105,52 @@ def test_texts_with_common_ngrams_do_not_meet(spark):
     assert pairs < 300
 
 
+def around(seed, size=150, words=120, changes=(4, 5, 6, 7, 8)):
+    """Texts around one text that share parts with each other, most of them without a link, and links between a few."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    texts = []
+    for _ in range(size):
+        own = list(base)
+        for _ in range(rng.choice(changes)):
+            own[rng.randrange(words)] = f"v{rng.randrange(10**6)}"
+        texts.append(own)
+        if rng.random() < 0.2:  # a near copy of the changed text
+            other = list(own)
+            other[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+            texts.append(other)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_texts_around_one_do_not_meet_in_pairs(spark):
+    rows = around(21)
+    join = ngram_join.Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "text", "doc_id", 4, ngram_join.Fraction(85, 100))
+    postings = join.postings.withColumn("comp", ngram_join.F.col("key"))
+    every, few = join._all_pairs(postings, True), join._open_pairs(postings)
+    linked = {tuple(r) for r in join._verified(every).collect()}
+    assert linked and {tuple(r) for r in join._verified(few).collect()} == linked
+    assert 5 * few.count() < every.count()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == plain_components(rows)
+
+
+def test_linked_sets_share_the_parts_they_need():
+    rng = np.random.default_rng(14)
+    t, needs = ngram_join.Fraction(85, 100), set()
+    for _ in range(1500):
+        m = int(rng.choice([6, 9, 14, 30, 80, 150, 400, 1500]))
+        pool = rng.integers(0, 1 << 64, 2 * m, dtype=np.uint64) >> np.uint64(rng.integers(0, 2))
+        off, more = int(rng.integers(0, m // 6 + 2)), int(rng.integers(0, m // 6 + 2))
+        a, b = np.unique(pool[:m]), np.unique(np.concatenate([pool[off:m], pool[m : m + more]]))
+        if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
+            shared = np.intersect1d(ngram_join.part_hashes(a, t), ngram_join.part_hashes(b, t)).size
+            need = max(ngram_join.least_shared(x, t) for x in (a, b))
+            assert shared >= need
+            needs.add(need)
+    assert max(needs) > 3
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert ngram_join.near_duplicates(nothing).count() == 0
 
