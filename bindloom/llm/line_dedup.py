@@ -9,7 +9,8 @@ verified on the whole sets. A line goes if an earlier line matches it.
 
 Lines that are equal but for case are one class, found by their hash. Sets too small to match any but an
 equal one have no prefix: their class is the hash of the set, whatever the separators or repeats. A class is compared with the earliest class
-at each of its shared tokens first; only classes without a match there meet all earlier ones.
+at each of its shared tokens first; only classes without a match there meet all earlier ones, at tokens that can be the first one
+of a pair: with enough tokens from there on in both, as nothing before it is shared.
 """
 
 from __future__ import annotations
@@ -128,6 +129,11 @@ def _may_match(n: Column, pos: Column, m: Column, at: Column, num: int, den: int
     return (n * den >= m * num) & (m * den >= n * num) & (most * (num + den) >= (n + m) * num)
 
 
+def _may_begin(n: Column, pos: Column, m: Column, at: Column, num: int, den: int) -> Column:
+    """Length and position filters for sizes n and m whose first shared token is at pos and at."""
+    return (n * den >= m * num) & (m * den >= n * num) & (F.least(n - pos, m - at) * (num + den) >= (n + m) * num)
+
+
 def _matches(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (h, other) whose sets reach the threshold."""
     mine = sets.select("h", c("s").alias("s1"))
@@ -149,6 +155,7 @@ def removed_lines(df: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     entries = table.select("h", "n", F.posexplode("prefix").alias("pos", "token"))
     # first the tokens of several lines, then those of several classes
     repeated = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token"), "line-repeated")
+    dropped(spark)
     few = entries.filter(_bits(repeated, "token")("token")).join(repeated, "token", "left_semi").distinct()
     few = written(few, "line-few")
     dropped(spark, repeated)
@@ -172,7 +179,7 @@ def removed_lines(df: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     # the classes without a match there, against all earlier ones at their tokens
     late = postings.join(gone, "h", "left_anti").select("token", "h", "n", "pos", "first")
     early = postings.select("token", c("h").alias("other"), c("n").alias("m"), c("pos").alias("at"), c("first").alias("before"))
-    on = (c("before") < c("first")) & _may_match(c("n"), c("pos"), c("m"), c("at"), num, den)
+    on = (c("before") < c("first")) & _may_begin(c("n"), c("pos"), c("m"), c("at"), num, den)
     rest = late.withColumnRenamed("token", "t").join(early, (c("t") == c("token")) & on).select("h", "other").distinct()
     rest = rest.join(pairs, ["h", "other"], "left_anti")
     gone = written(gone.unionByName(_matches(rest, sets, num, den).select("h").distinct()), "line-all-gone")

@@ -417,7 +417,7 @@ class Join:
         first = F.slice("grams", F.lit(1), F.size("grams") - self._overlap(c("n"), c("least")) + 1)
         tokens = last.select("key", "comp", "n", F.size("grams").alias("e"), F.posexplode(first).alias("pos", "gram"))
         other = tokens.select("gram", *[c(x).alias(y) for x, y in (("key", "b"), ("comp", "_comp"), ("n", "m"), ("e", "_e"), ("pos", "at"))])
-        most = F.least(c("e") - c("pos"), c("_e") - c("at")) + F.least("pos", "at")
+        most = F.least(c("e") - c("pos"), c("_e") - c("at"))  # if this is the first n-gram in common; one of them is
         on = (c("key") < c("b")) & self._may_link(c("n"), c("m")) & (c("comp") != c("_comp")) & (most >= self._overlap(c("n"), c("m")))
         pairs = tokens.withColumnRenamed("gram", "_t").join(other, (c("_t") == c("gram")) & on).select(c("key").alias("a"), "b").distinct()
         pairs = written(pairs, "ngram-open")

@@ -204,6 +204,20 @@ def test_line_dedup_of_few_shingles(spark):
     assert {r.doc_id for r in got if not r.n_removed} == {0, 100, 200, 300, 400, 903, 904}
 
 
+def test_unlike_lines_with_passages_in_common_do_not_meet(spark, monkeypatch):
+    rng = random.Random(8)
+    passages = [" ".join(f"p{i}x{k}" for k in range(9)) for i in range(14)]
+    lines = [" ".join(rng.sample(passages, 7)) for _ in range(160)]
+    lines += [f"{x} {rng.randrange(10**6)}" for x in rng.sample(lines, 20)]
+    rows = list(enumerate(lines))
+    compared, real = [], line_dedup._matches
+    monkeypatch.setattr(line_dedup, "_matches", lambda pairs, *rest: compared.append(pairs.count()) or real(pairs, *rest))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.dedup_lines(df).collect()
+    assert {r.doc_id: r.text for r in got} == plain_lines(rows) and sum(r.n_removed for r in got) >= 20
+    assert len(compared) == 2 and compared[1] < 300  # 413 with all tokens that two lines share
+
+
 def test_line_dedup_of_odd_rows(odd, nothing):
     got = line_dedup.dedup_lines(odd).collect()
     assert len(got) == len(ROWS)
