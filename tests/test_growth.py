@@ -2,8 +2,10 @@
 
 import difflib
 import itertools
+import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from bindloom.catalog import assay, files
 from bindloom.functions import sequences as Q
 from bindloom.operators import designs as E, sampling as G, similarity as N, structures as J
 from bindloom.sources import readers as R
+from oracle_check import compare
 
 catalog.load()
 
@@ -36,6 +39,39 @@ def test_similar_pairs_once(spark, threshold, bits, most):
     assert sorted(((r.id_1, r.id_2, r.similarity_2d) for r in got), key=key) == sorted(want, key=key) and got
 
 
+@pytest.mark.parametrize("once", [False, True])
+@pytest.mark.parametrize("threshold, bits, most", [(0.45, 20, 15), (0.45, 1500, 900), (0.6, 400, 6), (1.0, 30, 2)])
+def test_similar_pairs_without_key_or_bits(spark, threshold, bits, most, once):
+    """No pair is lost where a key is missing or repeated, or where both sets are empty: dense and sparse groups, many blocks."""
+    rng = random.Random(bits)
+    base = [rng.sample(range(bits), rng.randint(1, most)) for _ in range(25)]
+    rows = [(None if i % 4 == 1 else i // 2, (0, 1, None)[i % 3], [] if i % 7 == 2 else None if i % 11 == 5 else base[rng.randrange(25)], i % 5 < 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, g int, bits array<int>, near boolean")
+    left, right = (df, df) if once else (df.filter("near"), df.filter("NOT near"))
+    got = N.similar_pairs(left, right, ["g"], "id", threshold, block=9, once=once).collect()
+    want = []
+    for (i, g, a, near), (j, h, b, far) in itertools.permutations(rows, 2):
+        if g != h or None in (a, b) or (None in (i, j) or i >= j if once else not near or far or (i is not None and i == j)):
+            continue
+        t = len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else math.nan
+        if not t < threshold:
+            want.append((g, i, j, round(t, 9)))
+    assert sorted(map(str, want)) == sorted(str((r.g, r.id_1, r.id_2, round(r.similarity_2d, 9))) for r in got)
+    assert any(math.isnan(t[3]) for t in want) and once != any(t[2] is None for t in want)
+
+
+@pytest.mark.parametrize("name", ["pairs_target_off", "pairs_all_similar"])
+def test_similar_pairs_match_sql_on_odd_vectors(spark, tmp_path, name):
+    """Vectors without an id, without a positive value, without values, and twice the same ones."""
+    rng = random.Random(4)
+    rows = [(None if i % 6 == 1 else i - i % 20 // 19 * 3, [rng.uniform(-1, 0.2 if i % 5 else 0) for _ in range(16 * (i % 13 > 0))], i % 2) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    n, problem = compare(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.ORACLES[name])
+    assert not problem and n > 0
+
+
 def test_dense_pairs_travel_as_words(spark):
     rows = spark.range(60).selectExpr("id", "0 AS g", "transform(sequence(0, 19), b -> CAST((id + b) % 30 AS INT)) AS bits")
     text = plan(N.similar_pairs(rows, rows, ["g"], "id", 0.5, block=7, once=True))
